@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import simhash
+from siftspark.llm import simhash, superkmer
 from siftspark.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_simhash": lambda spark, sf_dir: simhash.op7_simhash(table(spark, sf_dir, "documents")),
+        "op10_substring_dedup": lambda spark, sf_dir: superkmer.op10_substring_dedup(table(spark, sf_dir, "documents")),
     }
 
 
