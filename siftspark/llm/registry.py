@@ -6,18 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import mixing, sharding, simhash, superkmer
+from siftspark.llm import decontamination, merkle, mixing, sharding, simhash, superkmer
 from siftspark.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_decontamination": lambda spark, sf_dir: decontamination.op3_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
         "op5_mixing": lambda spark, sf_dir: mixing.op5_mixing(table(spark, sf_dir, "documents")),
         "op9_sharding": lambda spark, sf_dir: sharding.op9_sharding(table(spark, sf_dir, "documents")),
+        "op6_merkle": lambda spark, sf_dir: merkle.op6_merkle(table(spark, sf_dir, "documents")),
         "op7_simhash": lambda spark, sf_dir: simhash.op7_simhash(table(spark, sf_dir, "documents")),
         "op10_substring_dedup": lambda spark, sf_dir: superkmer.op10_substring_dedup(table(spark, sf_dir, "documents")),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.OP5_SQL}
+    return {"op3_decontamination": decontamination.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op6_merkle": merkle.OP6_SQL}
