@@ -5,11 +5,22 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word: a maximal run of anything but space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Words whose hashes a task remembers at once.
+KNOWN_WORDS = 400_000
+
+
+class WordHashes(dict):
+    """XXH64 of each word, computed once."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import decontamination, html_text, langid, merkle, mixing, sharding, simhash, superkmer
+from siftspark.llm import decontamination, html_text, langid, lm_scoring, merkle, mixing, packing, sharding, simhash, superkmer
 from siftspark.llm.common import table
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_langid": lambda spark, sf_dir: langid.op1_langid(table(spark, sf_dir, "documents")),
+        "op2_lm_scoring": lambda spark, sf_dir: lm_scoring.op2_lm_scoring(table(spark, sf_dir, "documents")),
         "op3_decontamination": lambda spark, sf_dir: decontamination.op3_decontamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")),
+        "op4_token_packing": lambda spark, sf_dir: packing.op4_token_packing(table(spark, sf_dir, "documents")),
         "op5_mixing": lambda spark, sf_dir: mixing.op5_mixing(table(spark, sf_dir, "documents")),
         "op8_html": lambda spark, sf_dir: html_text.op8_html(table(spark, sf_dir, "pages")),
         "op9_sharding": lambda spark, sf_dir: sharding.op9_sharding(table(spark, sf_dir, "documents")),

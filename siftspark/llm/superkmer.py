@@ -28,22 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import stored
+from siftspark.llm.common import KNOWN_WORDS, WordHashes, stored
 
 WINDOW = 50
 MINIMISER = 8
 RUN = 64
 MAX_BUCKET = 4096
-#: Words whose hashes are remembered at once.
-KNOWN_WORDS = 400_000
-
-
-class WordHashes(dict):
-    """Hash of each word, computed once."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
