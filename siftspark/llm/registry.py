@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from siftspark.llm import decontamination, html_text, langid, lm_scoring, merkle, mixing, packing, sharding, simhash, superkmer
 from siftspark.llm.common import table
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_merkle": lambda spark, sf_dir: merkle.op6_merkle(table(spark, sf_dir, "documents")),
         "op7_simhash": lambda spark, sf_dir: simhash.op7_simhash(table(spark, sf_dir, "documents")),
         "op10_substring_dedup": lambda spark, sf_dir: superkmer.op10_substring_dedup(table(spark, sf_dir, "documents")),
+        "pipeline": corpus_pipeline.run,
     }
 
 

@@ -294,3 +294,83 @@ def hamming_components(docs: DataFrame, words: int = 3, radius: int = 3, max_buc
 def op7_simhash(docs: DataFrame) -> DataFrame:
     """Fingerprint as 16 hex digits, and component, of every document."""
     return hamming_components(docs, words=3, radius=3).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- near duplicates by similarity
+
+#: Bits of the fingerprint that decides. A wide one tells similarities apart: about 8 bits of 512 are its spread.
+CODE_WORDS = 8
+#: Bits of the fingerprint that finds candidates, in BANDS equal bands.
+SKETCH_WORDS, BANDS, BAND_BITS = 4, 12, 21
+#: Words at least so long, in bytes, make up the sketch; all words where there are none.
+LONG_WORD = 6
+#: Spreads added to the expected distance at the similarity asked for, to keep links that chance puts beyond it.
+SLACK = 0.9
+
+
+def _widened(hashes: np.ndarray, k: int) -> np.ndarray:
+    """k hashes for each."""
+    x = hashes[:, None] + np.arange(1, k + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def allowed_bits(similarity: float, bits: int = 64 * CODE_WORDS) -> int:
+    """Differing bits up to which two texts link: expected for sets of that Jaccard similarity and equal size, plus SLACK spreads."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(bits * share + SLACK * (bits * share * (1 - share)) ** 0.5)
+
+
+def sketches(rows: DataFrame, words: int) -> DataFrame:
+    """rows: doc_id, th, text. code (of the set of shingles) and sketch (of the set of long words) of each text, lower-cased."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, found = [], []
+            for text in batch.column("text").cast(pa.binary()):
+                data = (text.as_py() or b"").lower()
+                codes.append(majority_bits(_widened(np.unique(shingle_hashes(data, words)), CODE_WORDS)))
+                tokens = set(data.split())
+                tokens = [t for t in tokens if len(t) >= LONG_WORD] or list(tokens)
+                found.append(majority_bits(_widened(np.array([xxhash.xxh64_intdigest(t, SEED) for t in tokens], np.uint64), SKETCH_WORDS)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(codes, pa.binary()), pa.array(found, pa.binary())], ["doc_id", "th", "code", "sketch"])
+
+    return rows.mapInArrow(run, "doc_id long, th long, code binary, sketch binary")
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """doc_id, th (a hash of the text), and group of every row; equal groups are texts linked by their fingerprints.
+
+    Fingerprints that may differ in many bits have no block in common to be found by, so candidates share a band
+    of a second fingerprint, made of long words, which a few changed words hardly move. The Gray-order index of
+    each bucket then links codes within allowed_bits(similarity).
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("th"), F.col("text").cast("string"))
+    made = stored(sketches(rows, words).withColumn("node", F.xxhash64("code", "sketch")), "sketches")
+    distinct = made.select("node", "code", "sketch").dropDuplicates(["node"])
+    bits = F.array_join(F.array(*(F.lpad(F.conv(F.substring(F.hex("sketch"), 16 * i + 1, 16), 16, 2), 64, "0") for i in range(SKETCH_WORDS))), "")
+    band = lambda i: F.conv(F.substring("bits", i * BAND_BITS + 1, BAND_BITS), 2, 10).cast("long")
+    keys = F.array(
+        *[
+            F.struct(
+                F.xxhash64(F.lit(i), band(i)).alias("bucket"),
+                F.shiftleft(band((i + 1) % BANDS), 2 * BAND_BITS).bitwiseOR(F.shiftleft(band((i + 2) % BANDS), BAND_BITS)).bitwiseOR(band((i + 3) % BANDS)).alias("rest"),
+            )
+            for i in range(BANDS)
+        ]
+    )
+    spread = distinct.select("node", "code", bits.alias("bits")).select("node", "code", F.explode(keys).alias("b")).select("b.bucket", "b.rest", "node", "code")
+    edges = bucket_links(dealt(spread, 3 * BAND_BITS, 3, max_bucket), allowed_bits(similarity))
+    return made.select("doc_id", "th", "node").join(components(edges), "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("group"))
+
+
+def one_of_each_group(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the smallest id, null ids last."""
+    groups = near_duplicate_groups(docs, words, similarity)
+    first = groups.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")).alias("f"))
+    keep = stored(first.select(F.col("f.none").alias("_none"), F.coalesce("f.doc_id", F.lit(0)).alias("_id"), F.col("f.th").alias("_th")), "kept")
+    own = F.col("doc_id").cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), own.isNull().alias("_none"), F.coalesce(own, F.lit(0)).alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_th"))
+    kept = rows.join(keep, ["_none", "_id", "_th"], "left_semi").dropDuplicates(["_none", "_id", "_th"])
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
