@@ -10,8 +10,8 @@ of both; 1 where the roots are equal.
 
 Defined results: a null text counts as empty; the empty text has a fingerprint like any other and likeness 1 to
 itself and 0 to others that have sentences; the document after a row is the next by (doc_id, digest of the text),
-null ids first, and the first follows the last, so a single document is its own next; rows that repeat each get
-a row; an empty table gives an empty result; further columns are not read.
+null ids first, and the first follows the last, so a single document is its own next; rows that repeat an id and a
+text are one document in that order and each get its result; an empty table gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -91,65 +91,62 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
     return docs.withColumn("fingerprint", root(tree(F.coalesce(F.col("text").cast("string"), F.lit("")))))
 
 
-KEY = ["k", "th", "nth"]
+KEY = ["k", "th"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """Rows under a key without nulls that is unique: repeats of a row are numbered."""
+    """doc_id, text, and a key without nulls that stands for both."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text"))
-    rows = rows.select("doc_id", "text", F.length("text").alias("n"), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"))
-    return rows
-
-
-def _numbered(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("nth", F.row_number().over(W.partitionBy("k", "th").orderBy("n")))
+    return rows.select("doc_id", "text", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("k"), F.xxhash64("text", F.col("doc_id").isNull()).alias("th"))
 
 
 def followers(rows: DataFrame) -> DataFrame:
-    """rows: as of _keyed(). Each row's key with that of the row before it (p_k, p_th, p_nth) and half of that row's length.
+    """rows: as of _keyed(). Each key with that of the document before it (p_k, p_th) and half of that one's length.
 
     Only keys and lengths are sorted, by range; a place in the whole order is the place in the partition plus
     what the partitions before hold.
     """
-    narrow = _numbered(rows.select("k", "th", "n"))
+    narrow = rows.select("k", "th", F.length("text").alias("n")).distinct()
     ordered = stored(narrow.repartitionByRange(*KEY).sortWithinPartitions(*KEY).withColumn("row", F.monotonically_increasing_id()), "order")
     ordered = ordered.withColumn("part", F.shiftright("row", 33)).withColumn("row", F.col("row").bitwiseAND((1 << 33) - 1))
     counts = ordered.groupBy("part").agg(F.count("*").alias("rows"))
     upto = F.sum("rows").over(W.orderBy("part"))
-    base = stored(counts.select("part", (upto - F.col("rows")).alias("base"), F.sum("rows").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("total")), "bases")
+    total = F.sum("rows").over(W.orderBy(F.lit(1)).rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    base = stored(counts.select("part", (upto - F.col("rows")).alias("base"), total.alias("total")), "bases")
     placed = ordered.join(base, "part").withColumn("place", F.col("base") + F.col("row"))
     before = placed.select(((F.col("place") + 1) % F.col("total")).alias("place"), *(F.col(c).alias(f"p_{c}") for c in KEY), F.floor(F.col("n") / 2).cast("int").alias("need"))
     return stored(placed.select("place", *KEY).join(before, "place").drop("place"), "followers")
 
 
 def with_edit(docs: DataFrame) -> DataFrame:
-    """doc_id, n, the text, the edited text, and the nodes of the next document's tree.
+    """doc_id, text, edited, and of the next document next_id and the nodes of its tree, next_nodes.
 
-    The next document sends only what the edit needs of it, to the row before it, and the digests of its tree.
+    The next document sends only what the edit needs of it, to the one before it, and the digests of its tree.
+    Both joins read the texts in the same columns and by the same key, so they are exchanged once.
     """
     rows = _keyed(docs)
-    follows = followers(rows)
-    texts = _numbered(rows)
-    leaves = texts.join(follows, KEY).select(F.col("text").substr(F.lit(1), F.col("need")).alias("head"), tree(F.col("text")).alias("leaves"), *(f"p_{c}" for c in KEY))
-    sent = leaves.select(*(F.col(f"p_{c}").alias(c) for c in KEY), "head", nodes(F.col("leaves"), root(F.col("leaves"))).alias("next_nodes"))
-    kept = F.col("text").substr(F.lit(1), F.col("n") - F.floor(F.col("n") / 2).cast("int"))
-    return texts.join(sent, KEY).select("doc_id", "n", "text", F.concat(kept, "head").alias("edited"), "next_nodes")
+    given = rows.join(followers(rows), KEY).select(*(F.col(f"p_{c}").alias(c) for c in KEY), F.col("doc_id").alias("next_id"), F.col("text").substr(F.lit(1), F.col("need")).alias("head"), tree(F.col("text")).alias("leaves"))
+    sent = given.select(*KEY, "next_id", "head", nodes(F.col("leaves"), root(F.col("leaves"))).alias("next_nodes")).dropDuplicates(KEY)
+    n = F.length("text")
+    kept = F.col("text").substr(F.lit(1), n - F.floor(n / 2).cast("int"))
+    return rows.join(sent, KEY).select("doc_id", "text", F.concat(kept, "head").alias("edited"), "next_id", "next_nodes")
 
 
 def op6_merkle(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, and what they have in common."""
-    grown = with_edit(docs).select("doc_id", "n", "edited", "next_nodes", tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"))
+    grown = with_edit(docs).select("doc_id", F.length("text").cast("long").alias("n_chars"), "edited", "next_id", "next_nodes", tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"))
     rooted = grown.select("*", root(F.col("a")).alias("fingerprint"), root(F.col("b")).alias("edited_fingerprint"))
     own = rooted.select("*", nodes(F.col("a"), F.col("fingerprint")).alias("x"), nodes(F.col("b"), F.col("edited_fingerprint")).alias("y"))
     return own.select(
         "doc_id",
-        F.col("n").cast("long").alias("n_chars"),
+        "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         "fingerprint",
         "edited_fingerprint",
         likeness(F.col("x"), F.col("y")).alias("near_edited"),
         likeness(F.col("x"), F.col("next_nodes")).alias("near_next"),
+        "next_id",
     )
 
 
@@ -162,12 +159,13 @@ _LIKE = "2 * len(list_intersect({a}, {b})) / (len({a}) + len({b}))"
 
 OP6_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
-o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next FROM d),
-e AS (SELECT doc_id, n, text, next, substr(text, 1, n - n // 2) || substr(next, 1, n // 2) AS edited FROM o),
+o AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next,
+         coalesce(lead(doc_id) OVER (ORDER BY doc_id), first_value(doc_id) OVER (ORDER BY doc_id)) AS next_id FROM d),
+e AS (SELECT doc_id, n, text, next, next_id, substr(text, 1, n - n // 2) || substr(next, 1, n // 2) AS edited FROM o),
 t AS (SELECT *, {_TREE.format(t='text')} AS a, {_TREE.format(t='edited')} AS b, {_TREE.format(t='next')} AS c FROM e),
 r AS (SELECT *, {_ROOT.format(t='a')} AS ra, {_ROOT.format(t='b')} AS rb, {_ROOT.format(t='c')} AS rc FROM t),
 s AS (SELECT *, {_NODES.format(t='a', r='ra')} AS x, {_NODES.format(t='b', r='rb')} AS y, {_NODES.format(t='c', r='rc')} AS z FROM r)
 SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256, ra AS fingerprint, rb AS edited_fingerprint,
-       {_LIKE.format(a='x', b='y')} AS near_edited, {_LIKE.format(a='x', b='z')} AS near_next
+       {_LIKE.format(a='x', b='y')} AS near_edited, {_LIKE.format(a='x', b='z')} AS near_next, next_id
 FROM s
 """

@@ -23,12 +23,12 @@ def grown(text):
 def brute(rows):
     rows = sorted(((d, t or "") for d, t in rows), key=lambda r: (r[0] is not None, r[0] or 0))
     out = []
-    for (d, t), (_, nxt) in zip(rows, rows[1:] + rows[:1]):
+    for (d, t), (e, nxt) in zip(rows, rows[1:] + rows[:1]):
         half = len(t) // 2
         edited = t[: len(t) - half] + nxt[:half]
         (a, x), (b, y), (_, z) = grown(t), grown(edited), grown(nxt)
         like = lambda p, q: 2 * len(p & q) / (len(p) + len(q))
-        out.append((d, len(t), sha(edited), a, b, like(x, y), like(x, z)))
+        out.append((d, len(t), sha(edited), a, b, like(x, y), like(x, z), e))
     return Counter(out)
 
 
