@@ -22,7 +22,7 @@ DIALECTS = (
 def read_files(spark: SparkSession, root: str, glob: str = "*", most_bytes: int = 1_000_000, head: int = 65_536) -> DataFrame:
     """Files below root as path, size, head; larger ones than most_bytes are listed without their head."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
-    text = F.when(F.col("length") < most_bytes, F.decode(F.substring("content", 1, head), F.lit("UTF-8")))
+    text = F.when(F.col("length") < most_bytes, F.make_valid_utf8(F.substring("content", 1, head).cast("string")))
     return raw.select("path", F.col("length").alias("size"), text.alias("head"))
 
 
@@ -66,7 +66,7 @@ def manifest_dependencies(files: DataFrame) -> DataFrame:
     sections = ("dependencies", "devDependencies", "peerDependencies", "optionalDependencies")
     parsed = F.from_json("head", "struct<" + ",".join(f"{s}: map<string,string>" for s in sections) + ">")
     keys = F.flatten(F.array(*(F.coalesce(F.map_keys(F.col(f"p.{s}")), F.array().cast("array<string>")) for s in sections)))
-    return files.where(F.col("path").rlike(r"(^|/)package\.json$")).select("path", parsed.alias("p")).select("path", F.explode(F.array_distinct(F.transform(keys, F.lower))).alias("name"))
+    return files.where(F.col("path").rlike(r"(^|/)package\.json$")).select("path", parsed.alias("p")).select("path", F.explode(F.array_distinct(F.transform(keys, lambda k: F.lower(k)))).alias("name"))
 
 
 def call_graph(exports: DataFrame) -> DataFrame:
