@@ -20,7 +20,7 @@ DIALECTS = (
 
 
 def read_files(spark: SparkSession, root: str, glob: str = "*", most_bytes: int = 1_000_000, head: int = 65_536) -> DataFrame:
-    """Files below root as path, size, head; larger ones than most_bytes are listed without their head."""
+    """Files below root as path, size, head; larger ones than most_bytes are listed without their head. Names that begin with a dot are listed only when given as the root."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
     text = F.when(F.col("length") < most_bytes, F.make_valid_utf8(F.substring("content", 1, head).cast("string")))
     return raw.select("path", F.col("length").alias("size"), text.alias("head"))

@@ -159,7 +159,7 @@ def test_own_parser(spark):
 def test_inventory(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "package.json").write_text(json.dumps({"dependencies": {"React": "1"}, "devDependencies": {"vite": "2"}}))
-    (tmp_path / ".env").write_text("# x\nA = '1'\n1BAD=2\nA=\"2\"\nno line\n")
+    (tmp_path / "app.env").write_text("# x\nA = '1'\n1BAD=2\nA=\"2\"\nno line\n")
     files = inventory.read_files(spark, str(tmp_path))
     assert {r.name for r in inventory.manifest_dependencies(files).collect()} == {"react", "vite"}
     lines = files.where("path LIKE '%.env'").select("path", F.posexplode(F.split("head", "\n")).alias("line", "raw"))
