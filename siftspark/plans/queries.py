@@ -560,3 +560,80 @@ def liveness_class(spark, d):
 def interrupted_checks(spark, d):
     r = a.results(spark, d)
     return live.interrupted(r, r.where("status IN ('PASS', 'FINDINGS')")).distinct()
+
+
+# ---------------------------------------------------------------- facts about values
+
+
+def _dims(d, spark) -> DataFrame:
+    """Line items as values with a dimension over three axes, made from their columns."""
+    power = lambda c, k: F.expr(f"cast({c} % {k} AS INT) - 1")
+    full = F.create_map(F.lit("length"), power("l_partkey", 3), F.lit("mass"), power("l_suppkey", 3), F.lit("time"), power("l_linenumber", 3))
+    return a.table(spark, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "l_partkey", "l_suppkey", F.map_filter(full, lambda _, v: v != 0).alias("a"), F.create_map(F.lit("time"), F.lit(1)).alias("b"))
+
+
+_AXES = "CAST(l_partkey % 3 AS INTEGER) - 1 AS x, CAST(l_suppkey % 3 AS INTEGER) - 1 AS y, CAST(l_linenumber % 3 AS INTEGER) - 1 AS z"
+_TEXT = lambda x, y, z: f"array_to_string(list_filter([CASE WHEN {x} <> 0 THEN 'length:' || ({x}) END, CASE WHEN {y} <> 0 THEN 'mass:' || ({y}) END, CASE WHEN {z} <> 0 THEN 'time:' || ({z}) END], lambda v: v IS NOT NULL), ',')"
+
+
+@query(f"""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, {_AXES} FROM lineitem)
+SELECT id, {_TEXT('x', 'y', 'z')} AS own, {_TEXT('x', 'y', 'z + 1')} AS times, {_TEXT('x', 'y', 'z - 1')} AS per, (x = 0 AND y = 0 AND z IN (0, 1)) AS compatible FROM v""")
+def dimension_algebra(spark, d):
+    from siftspark.functions import semantic as sem
+
+    v = _dims(d, spark)
+    p, q = F.col("a"), F.col("b")
+    return v.select("id", sem.dimension_text(p).alias("own"), sem.dimension_text(sem.product(p, q)).alias("times"), sem.dimension_text(sem.quotient(p, q)).alias("per"), sem.compatible(p, q).alias("compatible"))
+
+
+_DT = "['int8', 'uint8', 'int32', 'uint32', 'int64', 'uint64', 'float32', 'float64']"
+_W = lambda c: f"CAST(regexp_extract({c}, '[0-9]+') AS INTEGER)"
+
+
+@query(f"""WITH v AS (SELECT DISTINCT {_DT}[l_partkey % 8 + 1] AS source, {_DT}[l_suppkey % 8 + 1] AS target FROM lineitem)
+SELECT source, target, source <> target AND CASE WHEN source LIKE 'float%' AND target NOT LIKE 'float%' THEN true WHEN source LIKE 'float%' THEN {_W('target')} < {_W('source')}
+  WHEN target LIKE 'float%' THEN false ELSE {_W('target')} < {_W('source')} OR (source LIKE 'uint%' AND target LIKE 'int%' AND {_W('target')} <= {_W('source')}) END AS narrows,
+  source <> target AND ((source LIKE 'float%') <> (target LIKE 'float%') OR (source = 'uint64' AND (target LIKE 'int%' OR target LIKE 'float%')) OR (target = 'uint64' AND (source LIKE 'int%' OR source LIKE 'float%'))) AS risky FROM v""")
+def dtype_rules(spark, d):
+    from siftspark.functions import semantic as sem
+
+    names = "array('int8', 'uint8', 'int32', 'uint32', 'int64', 'uint64', 'float32', 'float64')"
+    v = a.table(spark, d, "lineitem").selectExpr(f"concat('np.', element_at({names}, cast(l_partkey % 8 + 1 AS INT))) AS s", f"element_at({names}, cast(l_suppkey % 8 + 1 AS INT)) AS t").distinct()
+    v = v.select(sem.dtype_name(F.col("s")).alias("source"), sem.dtype_name(F.col("t")).alias("target"))
+    return v.select("source", "target", sem.narrower(F.col("source"), F.col("target")).alias("narrows"), sem.promotion_risk(F.col("source"), F.col("target")).alias("risky"))
+
+
+@query("""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS id, round(1 - 6 * l_tax, 6) AS c, CASE l_linenumber % 3 WHEN 0 THEN 'name:x' WHEN 1 THEN 'name:x+schema:y' ELSE 'flow/guess+name' END AS p, l_linenumber % 3 = 1 AS two FROM lineitem)
+SELECT id, CAST(CASE WHEN two THEN 2 ELSE 1 END AS INTEGER) AS sources, c >= 0.7 OR (c >= 0.45 AND two) AS reportable, CASE WHEN c >= 0.9 THEN 'error' ELSE 'warning' END AS severity FROM v""")
+def evidence_gate(spark, d):
+    from siftspark.functions import semantic as sem
+
+    v = a.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "round(1 - 6 * l_tax, 6) AS c", "CASE l_linenumber % 3 WHEN 0 THEN 'name:x' WHEN 1 THEN 'name:x+schema:y' ELSE 'flow/guess+name' END AS p")
+    return v.select("id", sem.source_count(F.col("p")).alias("sources"), sem.reportable(F.col("c"), F.col("p")).alias("reportable"), sem.severity(F.col("c")).alias("severity"))
+
+
+# ---------------------------------------------------------------- rules over source code
+
+
+@query("""WITH p AS (SELECT 'gen/p' || p_partkey || '.py' AS path, p_size, p_partkey FROM part)
+SELECT 'BHCTRL001' AS code, path, CAST(5 AS INTEGER) AS line, 'error' AS severity FROM p WHERE p_partkey % 3 = 0
+UNION ALL SELECT 'BHUNIT001', path, 6, 'warning' FROM p WHERE p_size % 2 = 0
+UNION ALL SELECT 'BHDB001', path, 8, 'warning' FROM p WHERE p_partkey % 5 = 1""")
+def syntax_rules(spark, d):
+    """Sources made from the parts table, one a part, read by the node table and its rules."""
+    from siftspark.operators import rules
+    from siftspark.sources import syntax
+
+    source = F.concat_ws(
+        "\n",
+        F.lit("def f(ids):"),
+        F.lit("    try:"),
+        F.lit("        g()"),
+        F.lit("    finally:"),
+        F.when(F.expr("p_partkey % 3 = 0"), "        return 1").otherwise("        h()"),
+        F.when(F.expr("p_size % 2 = 0"), F.concat(F.lit("wait_ms = "), F.col("p_size").cast("string"))).otherwise("wait = f(1)"),
+        F.when(F.expr("p_partkey % 5 = 1"), "for i in items:").otherwise("if items:"),
+        F.lit("    cur.execute(q, wait)"),
+    )
+    nodes = syntax.nodes(a.table(spark, d, "part").select(F.concat(F.lit("gen/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), source.alias("source")))
+    return rules.run(nodes, ["BHCTRL001", "BHUNIT001", "BHDB001"]).select("code", "path", "line", "severity")
