@@ -78,3 +78,36 @@ def contract_clashes(arguments: DataFrame, contracts: DataFrame) -> DataFrame:
     """arguments: site, callee, position, unit, confidence; contracts: callee, position, unit. Values that reach a parameter of another unit."""
     wants = contracts.select("callee", "position", F.col("unit").alias("wanted"))
     return arguments.join(wants, ["callee", "position"]).where(F.col("unit").isNotNull() & (F.col("unit") != F.col("wanted"))).select("site", "callee", "position", "unit", "wanted", F.when(F.col("confidence") >= 0.9, "error").otherwise("warning").alias("severity"))
+
+
+def argument_bindings(arguments: DataFrame, parameters: DataFrame) -> DataFrame:
+    """arguments: site, callee, position, keyword; parameters: callee, position, name. The parameter each argument reaches: keywords by name, others by place."""
+    by_place = arguments.where("keyword IS NULL").join(parameters.select("callee", "position", "name"), ["callee", "position"])
+    by_name = arguments.where("keyword IS NOT NULL").join(parameters.select("callee", F.col("name").alias("keyword"), F.col("name")), ["callee", "keyword"])
+    return by_place.select("site", "callee", "position", "name").unionByName(by_name.select("site", "callee", "position", "name"))
+
+
+def rejected_forwards(forwards: DataFrame, passed: DataFrame, accepted: DataFrame) -> DataFrame:
+    """forwards: name, terminal; passed: name, key; accepted: terminal, key. Keys that a forwarding function passes on and its terminal doesn't take."""
+    keys = passed.select("name", "key").distinct().join(forwards, "name")
+    known = accepted.select("terminal").distinct()
+    return keys.join(known, "terminal", "left_semi").join(accepted.select("terminal", "key").distinct(), ["terminal", "key"], "left_anti").select("name", "terminal", "key")
+
+
+def uncovered_pairs(pairs: DataFrame, test_calls: DataFrame) -> DataFrame:
+    """pairs: a, b; test_calls: test, name. Pairs of which no one test calls both."""
+    calls = test_calls.select("test", "name").distinct()
+    both = pairs.join(calls.select("test", F.col("name").alias("a")), "a").join(calls.select("test", F.col("name").alias("b")), ["test", "b"])
+    return pairs.join(both.select("a", "b").distinct(), ["a", "b"], "left_anti")
+
+
+def untested_boundaries(calls: DataFrame, bodies: DataFrame, marker: str) -> DataFrame:
+    """calls: boundary (a word); bodies: body. Boundaries that no test body with the marker names; bodies are looked up by their words."""
+    words = bodies.where(F.col("body").rlike(marker)).select(F.explode(F.array_distinct(F.split("body", r"\W+"))).alias("boundary"))
+    return calls.select("boundary").distinct().join(words.distinct(), "boundary", "left_anti")
+
+
+def inconsistent_predicates(checks: DataFrame) -> DataFrame:
+    """checks: variable, place, value. Variables that different places accept different sets of values for."""
+    sets = checks.groupBy("variable", "place").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("accepted"))
+    return sets.groupBy("variable").agg(F.count_distinct("accepted").alias("variants"), F.count("*").alias("places")).where("variants > 1")

@@ -90,3 +90,9 @@ def strengthened(values: DataFrame, flows: DataFrame, passes: int = 5) -> DataFr
         if out.where("changes").isEmpty():
             break
     return now
+
+
+def unresolved_summary(lines: DataFrame) -> DataFrame:
+    """lines: text. Edges that an export could not resolve, by kind, as its log reports them."""
+    pattern = r"unresolved (\w+): (\d+)"
+    return lines.where(F.col("text").rlike(pattern)).groupBy(F.regexp_extract("text", pattern, 1).alias("kind")).agg(F.sum(F.regexp_extract("text", pattern, 2).cast("long")).alias("edges"))

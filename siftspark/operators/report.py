@@ -192,3 +192,36 @@ def disagreements(findings: DataFrame, results: DataFrame, checkers: tuple[str,
     both = loud.crossJoin(F.broadcast(present)).where((F.size("present") >= 2) & (F.col("loud") != F.col("present")))
     silent = F.array_sort(F.array_except("present", "loud"))
     return both.select("path", "line", F.array_join("loud", ", ").alias("loud"), F.array_join(silent, ", ").alias("silent"))
+
+
+def asset_budgets(assets: DataFrame, limits_kib: dict[str, float], bundle_kib: float) -> DataFrame:
+    """assets: root, path, bytes. Files over the limit of their suffix, and roots over the limit of all together."""
+    limit = F.lit(None).cast("double")
+    for suffix, kib in limits_kib.items():
+        limit = F.when(F.endswith("path", F.lit(suffix)), float(kib)).otherwise(limit)
+    kib = F.col("bytes") / 1024
+    files = assets.where(kib > limit).select(F.lit("BHCX005").alias("code"), "path", F.round(kib, 1).alias("kib"))
+    roots = assets.groupBy("root").agg(F.sum("bytes").alias("bytes")).where(kib > bundle_kib).select(F.lit("BHCX006").alias("code"), F.col("root").alias("path"), F.round(kib, 1).alias("kib"))
+    return files.unionByName(roots)
+
+
+def missing_evidence(sites: DataFrame, evidence: DataFrame) -> DataFrame:
+    """sites: path, line; evidence: any rows. One row, the first site and how many there are, unless there is evidence anywhere."""
+    first = sites.agg(F.min(F.struct("path", "line")).alias("f"), F.count("*").alias("sites")).where("sites > 0")
+    return first.join(evidence.limit(1).select(F.lit(1).alias("found")), F.lit(True), "left_anti").select("f.path", "f.line", "sites")
+
+
+def numeric_ranges(comparisons: DataFrame, most: int = 4) -> DataFrame:
+    """comparisons: name, pos, text. The first different comparisons of each name, joined by `and`."""
+    first = comparisons.groupBy("name", "text").agg(F.min("pos").alias("pos"))
+    rows = first.withColumn("nth", F.row_number().over(W.partitionBy("name").orderBy("pos", "text"))).where(F.col("nth") <= most)
+    return rows.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x.text), " and ").alias("accepted_range"))
+
+
+def first_seen_union(*parts: DataFrame) -> DataFrame:
+    """name, in the order in which the parts, one after another, first have it."""
+    rows = None
+    for i, part in enumerate(parts):
+        part = part.select("name", "pos").withColumn("part", F.lit(i))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows.groupBy("name").agg(F.min(F.struct("part", "pos")).alias("o")).select("name", "o.part", "o.pos")

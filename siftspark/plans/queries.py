@@ -637,3 +637,118 @@ def syntax_rules(spark, d):
     )
     nodes = syntax.nodes(a.table(spark, d, "part").select(F.concat(F.lit("gen/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), source.alias("source")))
     return rules.run(nodes, ["BHCTRL001", "BHUNIT001", "BHDB001"]).select("code", "path", "line", "severity")
+
+
+# ---------------------------------------------------------------- further joins and aggregates
+
+
+@query("""WITH g AS (SELECT l_orderkey * 10 + l_linenumber AS site, l_suppkey % 40 AS callee, CAST(l_linenumber % 4 AS INTEGER) AS position, CASE WHEN l_returnflag = 'R' THEN 'p' || (l_partkey % 9) END AS keyword FROM lineitem),
+q AS (SELECT DISTINCT s_suppkey % 40 AS callee, CAST(s_nationkey % 4 AS INTEGER) AS position, 'p' || (s_suppkey % 9) AS name FROM supplier)
+SELECT site, g.callee, g.position, name FROM g JOIN q ON g.callee = q.callee AND ((keyword IS NULL AND g.position = q.position) OR keyword = q.name)""")
+def argument_bindings(spark, d):
+    arguments = a.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS site", "l_suppkey % 40 AS callee", "cast(l_linenumber % 4 AS INT) AS position", "if(l_returnflag = 'R', concat('p', l_partkey % 9), null) AS keyword")
+    parameters = a.table(spark, d, "supplier").selectExpr("s_suppkey % 40 AS callee", "cast(s_nationkey % 4 AS INT) AS position", "concat('p', s_suppkey % 9) AS name").distinct()
+    return compare.argument_bindings(arguments, parameters)
+
+
+@query("""WITH p AS (SELECT DISTINCT 'f' || (l_suppkey % 50) AS name, 't' || (l_suppkey % 10) AS terminal, 'k' || (l_partkey % 30) AS key FROM lineitem WHERE l_quantity <= 2),
+t AS (SELECT DISTINCT 't' || (s_suppkey % 7) AS terminal, 'k' || (s_suppkey % 30) AS key FROM supplier)
+SELECT name, terminal, key FROM p WHERE terminal IN (SELECT terminal FROM t) AND NOT EXISTS (SELECT 1 FROM t WHERE t.terminal = p.terminal AND t.key = p.key)""")
+def forwarding_mismatch(spark, d):
+    li = a.table(spark, d, "lineitem").where("l_quantity <= 2")
+    forwards = li.selectExpr("concat('f', l_suppkey % 50) AS name", "concat('t', l_suppkey % 10) AS terminal").distinct()
+    accepted = a.table(spark, d, "supplier").selectExpr("concat('t', s_suppkey % 7) AS terminal", "concat('k', s_suppkey % 30) AS key")
+    return compare.rejected_forwards(forwards, li.selectExpr("concat('f', l_suppkey % 50) AS name", "concat('k', l_partkey % 30) AS key"), accepted)
+
+
+@query("""WITH c AS (SELECT DISTINCT o_orderkey AS test, 'n' || (l_partkey % 60) AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey), p AS (SELECT 'n' || x AS a, 'n' || (x + 1) AS b FROM (SELECT DISTINCT p_partkey % 80 AS x FROM part))
+SELECT a, b FROM p WHERE NOT EXISTS (SELECT 1 FROM c x JOIN c y ON x.test = y.test WHERE x.name = a AND y.name = b)""")
+def uncovered_pairs(spark, d):
+    calls = a.table(spark, d, "lineitem").selectExpr("l_orderkey AS test", "concat('n', l_partkey % 60) AS name")
+    pairs = a.table(spark, d, "part").selectExpr("p_partkey % 80 AS x").distinct().selectExpr("concat('n', x) AS a", "concat('n', x + 1) AS b")
+    return compare.uncovered_pairs(pairs, calls)
+
+
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS word FROM documents WHERE regexp_matches(text, 'that')), n AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS word FROM benchmark)
+SELECT word AS boundary FROM n WHERE word NOT IN (SELECT word FROM w)""")
+def untested_boundaries(spark, d):
+    words = a.table(spark, d, "benchmark").select(F.explode(F.split("text", r"\W+")).alias("boundary"))
+    return compare.untested_boundaries(words, a.table(spark, d, "documents").select(F.col("text").alias("body")), "that")
+
+
+@query("""WITH s AS (SELECT 'v' || (o_custkey % 90) AS variable, o_orderstatus AS place, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS accepted FROM orders GROUP BY 1, 2)
+SELECT variable, count(DISTINCT accepted) AS variants, count(*) AS places FROM s GROUP BY variable HAVING count(DISTINCT accepted) > 1""")
+def predicate_consistency(spark, d):
+    return compare.inconsistent_predicates(a.table(spark, d, "orders").selectExpr("concat('v', o_custkey % 90) AS variable", "o_orderstatus AS place", "o_orderpriority AS value"))
+
+
+@query("""WITH f AS (SELECT split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS root, url || CASE WHEN page_id % 2 = 0 THEN '.js' ELSE '.css' END AS path, length(html) AS bytes FROM pages)
+SELECT 'BHCX005' AS code, path, round(bytes / 1024, 1) AS kib FROM f WHERE bytes / 1024 > CASE WHEN path LIKE '%.js' THEN 3.0 ELSE 5.0 END
+UNION ALL SELECT 'BHCX006', root, round(sum(bytes) / 1024, 1) FROM f GROUP BY root HAVING sum(bytes) / 1024 > 20""")
+def asset_budgets(spark, d):
+    assets = a.table(spark, d, "pages").select(F.split_part(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit(1)).alias("root"), F.concat("url", F.expr("if(page_id % 2 = 0, '.js', '.css')")).alias("path"), F.length("html").alias("bytes"))
+    return report.asset_budgets(assets, {".js": 3.0, ".css": 5.0}, 20)
+
+
+@query(f"WITH {FS} SELECT (min(struct_pack(p := path, l := line))).p AS path, (min(struct_pack(p := path, l := line))).l AS line, count(*) AS sites FROM f WHERE code = 'BHCOV002' HAVING count(*) > 0 AND NOT EXISTS (SELECT 1 FROM f WHERE code = 'BHTIME009')")
+def evidence_missing(spark, d):
+    rows = a.findings(spark, d)
+    return report.missing_evidence(rows.where("code = 'BHCOV002'"), rows.where("code = 'BHTIME009'"))
+
+
+@query("""WITH c AS (SELECT 'v' || (l_partkey % 100) AS name, l_linenumber || ' < ' || CAST(l_quantity AS INTEGER) AS text, min(l_orderkey * 10 + l_linenumber) AS pos FROM lineitem GROUP BY 1, 2), n AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY pos, text) AS nth FROM c)
+SELECT name, string_agg(text, ' and ' ORDER BY nth) AS accepted_range FROM n WHERE nth <= 4 GROUP BY name""")
+def numeric_ranges(spark, d):
+    return report.numeric_ranges(a.table(spark, d, "lineitem").selectExpr("concat('v', l_partkey % 100) AS name", "l_orderkey * 10 + l_linenumber AS pos", "concat(l_linenumber, ' < ', cast(l_quantity AS INT)) AS text"))
+
+
+@query("""WITH u AS (SELECT 't' || (s_suppkey % 30) AS name, 0 AS part, s_suppkey AS pos FROM supplier UNION ALL SELECT 't' || (p_partkey % 70), 1, p_partkey FROM part)
+SELECT name, (min(struct_pack(a := part, b := pos))).a AS part, (min(struct_pack(a := part, b := pos))).b AS pos FROM u GROUP BY name""")
+def profile_tools(spark, d):
+    configured = a.table(spark, d, "supplier").selectExpr("concat('t', s_suppkey % 30) AS name", "s_suppkey AS pos")
+    return report.first_seen_union(configured, a.table(spark, d, "part").selectExpr("concat('t', p_partkey % 70) AS name", "p_partkey AS pos"))
+
+
+@query("SELECT doc_id % 5 AS grp, arg_max(source, n_chars * 1000000 + doc_id) AS path FROM documents GROUP BY 1")
+def latest_report(spark, d):
+    return a.table(spark, d, "documents").groupBy((F.col("doc_id") % 5).alias("grp")).agg(F.max_by("source", F.struct("n_chars", "doc_id")).alias("path"))
+
+
+@query("SELECT page_id, CASE WHEN length(html) < 3000 THEN substr(html, 1, 64) END AS head FROM pages")
+def limited_read(spark, d):
+    return a.table(spark, d, "pages").select("page_id", F.when(F.length("html") < 3000, F.substring("html", 1, 64)).alias("head"))
+
+
+@query(f"WITH {RS}, n AS (SELECT * FROM r WHERE seq % 4 = 0) SELECT name, 'PASS' AS status FROM n UNION ALL SELECT name, status FROM r WHERE name NOT IN (SELECT name FROM n)")
+def replaced_results(spark, d):
+    r = a.results(spark, d)
+    return lattice.replaced(r.select("name", "status"), r.where("seq % 4 = 0").select("name", F.lit("PASS").alias("status")))
+
+
+@query(f"WITH {RS} SELECT name, CASE WHEN seq % 3 = 0 THEN 'N/A' WHEN seq % 7 = 0 THEN 'SKIPPED' ELSE 'PLANNED' END AS status FROM r WHERE name LIKE 'd%' AND seq % 2 = 0")
+def registration(spark, d):
+    r = a.results(spark, d)
+    checks = r.select("name", (F.col("seq") % 3 == 0).alias("python_only"), F.when(F.col("seq") % 7 == 0, F.lit(None)).otherwise(F.col("command")).alias("command"))
+    return lattice.registered(checks, r.where("name LIKE 'd%' AND seq % 2 = 0"), has_python=False)
+
+
+@query(f"WITH {RS} SELECT name, status FROM r UNION ALL SELECT 'install:' || name, status FROM r WHERE status = 'ERROR'")
+def failed_installs(spark, d):
+    r = a.results(spark, d)
+    return lattice.with_failed_installs(r, r)
+
+
+@query("SELECT event_id AS name, ts AS ended FROM events ORDER BY ts DESC, event_id DESC LIMIT 8")
+def recent_completions(spark, d):
+    return live.recent(a.table(spark, d, "events").select(F.col("event_id").alias("name"), F.col("ts").alias("ended")))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 9 = 0 AND event_id % 2 = 1 THEN 'ERROR' WHEN event_id % 3 > 0 THEN 'FINDINGS' ELSE 'PASS' END AS status FROM events")
+def timeout_outcome(spark, d):
+    return a.table(spark, d, "events").select("event_id", live.outcome(F.expr("event_id % 9 = 0"), F.expr("event_id % 2 = 0"), F.expr("event_id % 3")).alias("status"))
+
+
+@query("SELECT page_id, regexp_matches('http://' || CASE WHEN page_id % 3 = 0 THEN 'localhost:80/' WHEN page_id % 3 = 1 THEN '127.0.0.1' ELSE '' END || url, '^https?://(localhost|127\\.0\\.0\\.1|0\\.0\\.0\\.0|\\[::1\\])(:\\d+)?(/|$)') AS local FROM pages")
+def local_urls(spark, d):
+    url = F.concat(F.lit("http://"), F.expr("CASE WHEN page_id % 3 = 0 THEN 'localhost:80/' WHEN page_id % 3 = 1 THEN '127.0.0.1' ELSE '' END"), "url")
+    return a.table(spark, d, "pages").select("page_id", fx.is_local_url(url).alias("local"))
