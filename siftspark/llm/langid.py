@@ -35,7 +35,7 @@ SAMPLE_ROWS = 300
 SAMPLE_CHARS = 2048
 BLOCK = 4096
 LEVEL = 9
-MARGIN = 0.02
+MARGIN = 0.01
 UNKNOWN = "und"
 
 _OTHER = re.compile(r"[\W\d_]+")
