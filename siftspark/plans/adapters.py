@@ -109,12 +109,12 @@ LEDGER_SQL = """l AS (
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """caller, callee, confidence: the surest of what the line items show."""
+    """caller, callee, confidence: orders call parts, with the surest that their line items show."""
     li = table(spark, sf_dir, "lineitem")
-    return li.groupBy(F.col("l_suppkey").alias("caller"), F.expr("l_partkey % 100 + 1").alias("callee")).agg(F.round(1 - 10 * F.min("l_discount"), 6).alias("confidence"))
+    return li.groupBy(F.col("l_orderkey").alias("caller"), F.col("l_partkey").alias("callee")).agg(F.round(1 - 10 * F.min("l_discount"), 6).alias("confidence"))
 
 
-EDGES_SQL = "e AS (SELECT l_suppkey AS caller, l_partkey % 100 + 1 AS callee, round(1 - 10 * min(l_discount), 6) AS confidence FROM lineitem GROUP BY 1, 2)"
+EDGES_SQL = "e AS (SELECT l_orderkey AS caller, l_partkey AS callee, round(1 - 10 * min(l_discount), 6) AS confidence FROM lineitem GROUP BY 1, 2)"
 
 
 def thin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,16 +286,16 @@ def wanted_defenses(spark, d):
 
 
 @query(f"""WITH RECURSIVE {a.THIN_SQL}, x(root, node, depth) AS (
-  SELECT s_suppkey, s_suppkey, 0 FROM supplier WHERE s_suppkey % 10 = 1 UNION SELECT root, callee, depth + 1 FROM x JOIN e ON e.caller = x.node WHERE depth < 3)
+  SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT root, callee, depth + 1 FROM x JOIN e ON e.caller = x.node WHERE depth < 3)
 SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM x GROUP BY root, node""")
 def reachable_depth3(spark, d):
-    roots = a.table(spark, d, "supplier").where("s_suppkey % 10 = 1").select(F.col("s_suppkey").alias("root"))
+    roots = a.table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
     return graph.reachable(a.thin_edges(spark, d), roots)
 
 
-@query(f"WITH {a.EDGES_SQL} SELECT caller, min(callee) AS callee FROM e WHERE confidence >= 1 AND callee % 3 = 0 AND caller % 2 = callee % 2 GROUP BY caller HAVING count(DISTINCT callee) = 1")
+@query(f"WITH {a.EDGES_SQL} SELECT caller, min(callee) AS callee FROM e WHERE confidence >= 0.5 GROUP BY caller HAVING count(DISTINCT callee) = 1")
 def unique_callee(spark, d):
-    return graph.unique_callees(a.call_edges(spark, d).where("callee % 3 = 0 AND caller % 2 = callee % 2"), 1.0)
+    return graph.unique_callees(a.call_edges(spark, d))
 
 
 @query("SELECT p_name AS name, min(p_brand) AS target FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")
@@ -407,13 +407,13 @@ def reference_pairs(spark, d):
     return compare.same_signature_pairs(a.table(spark, d, "part").selectExpr("concat('m', p_size % 10) AS module", "concat('g', p_partkey div 2 % 300, if(p_partkey % 2 = 0, '_reference', '_optimized')) AS name", "p_brand AS args", "p_partkey AS seq"))
 
 
-_NAMES = "n AS (SELECT DISTINCT 'o' || (l_suppkey % 50) AS owner, ['encode', 'decode', 'open', 'close', 'run'][l_linenumber % 5 + 1] || '_' || (l_partkey % 40) AS name FROM lineitem WHERE l_quantity <= 4)"
+_NAMES = "n AS (SELECT DISTINCT 'o' || (l_suppkey % 50) AS owner, ['encode', 'decode', 'open', 'close', 'run'][l_linenumber % 5 + 1] || '_' || (l_partkey % 400) AS name FROM lineitem)"
 
 
 @query(f"""WITH {_NAMES}, w AS (SELECT *, CASE split_part(name, '_', 1) WHEN 'encode' THEN 'decode' WHEN 'decode' THEN 'encode' WHEN 'open' THEN 'close' WHEN 'close' THEN 'open' END || '_' || split_part(name, '_', 2) AS other FROM n)
 SELECT w.owner, w.name, n.name AS partner FROM w LEFT JOIN n ON n.owner = w.owner AND n.name = w.other WHERE other IS NOT NULL""")
 def naming_pairs(spark, d):
-    names = a.table(spark, d, "lineitem").where("l_quantity <= 4").selectExpr("concat('o', l_suppkey % 50) AS owner", "concat(element_at(array('encode', 'decode', 'open', 'close', 'run'), cast(l_linenumber % 5 + 1 AS INT)), '_', l_partkey % 40) AS name")
+    names = a.table(spark, d, "lineitem").selectExpr("concat('o', l_suppkey % 50) AS owner", "concat(element_at(array('encode', 'decode', 'open', 'close', 'run'), cast(l_linenumber % 5 + 1 AS INT)), '_', l_partkey % 400) AS name")
     return compare.inverse_pairs(names, {"encode": "decode", "decode": "encode", "open": "close", "close": "open"})
 
 
@@ -467,10 +467,10 @@ def text_findings(spark, d):
 _RUFF_STYLE = "regexp_matches(p_brand, '^(D|COM|Q|I|N|PTH|T20|TD|FIX|ERA|EM)') OR p_brand IN ('E501', 'W505')"
 
 
-@query("""WITH i AS (SELECT o_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'm' || l_suppkey || '.py', ['F401', 'D100', 'E501', 'PTH12', 'B008'][l_partkey % 5 + 1], l_returnflag = 'R') - 1 AS pos, 'm' || l_suppkey || '.py' AS path, CAST(l_linenumber AS INTEGER) AS line, ['F401', 'D100', 'E501', 'PTH12', 'B008'][l_partkey % 5 + 1] AS code, l_returnflag = 'R' AS fixable FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity < 20)
+@query("""WITH i AS (SELECT o_orderkey AS run, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, 'm' || l_suppkey || '.py', ['F401', 'D100', 'E501', 'PTH12', 'B008'][l_partkey % 5 + 1], l_returnflag = 'R') - 1 AS pos, 'm' || l_suppkey || '.py' AS path, CAST(l_linenumber AS INTEGER) AS line, ['F401', 'D100', 'E501', 'PTH12', 'B008'][l_partkey % 5 + 1] AS code, l_returnflag = 'R' AS fixable FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
 SELECT run, CAST(pos AS INTEGER) AS pos, path, line, code, 'found ' || code AS message, CASE WHEN code IN ('D100', 'E501', 'PTH12') THEN 'note' ELSE 'error' END AS severity, fixable, CASE WHEN fixable THEN 'safe' END AS fix_safety FROM i""")
 def ruff_findings(spark, d):
-    li = a.table(spark, d, "lineitem").where("l_quantity < 20").selectExpr(
+    li = a.table(spark, d, "lineitem").selectExpr(
         "l_orderkey AS run", "l_linenumber AS n", "concat('m', l_suppkey, '.py') AS filename", "element_at(array('F401', 'D100', 'E501', 'PTH12', 'B008'), cast(l_partkey % 5 + 1 AS INT)) AS code", "if(l_returnflag = 'R', named_struct('applicability', 'Safe', 'message', 'fix it'), null) AS fix"
     )
     item = F.struct("n", "filename", "code", F.concat(F.lit("found "), "code").alias("message"), F.struct(F.col("n").cast("int").alias("row"), F.lit(1).alias("column")).alias("location"), "fix")
@@ -651,11 +651,11 @@ def argument_bindings(spark, d):
     return compare.argument_bindings(arguments, parameters)
 
 
-@query("""WITH p AS (SELECT DISTINCT 'f' || (l_suppkey % 50) AS name, 't' || (l_suppkey % 10) AS terminal, 'k' || (l_partkey % 30) AS key FROM lineitem WHERE l_quantity <= 2),
+@query("""WITH p AS (SELECT DISTINCT 'f' || (l_suppkey % 50) AS name, 't' || (l_suppkey % 10) AS terminal, 'k' || (l_partkey % 30) AS key FROM lineitem),
 t AS (SELECT DISTINCT 't' || (s_suppkey % 7) AS terminal, 'k' || (s_suppkey % 30) AS key FROM supplier)
 SELECT name, terminal, key FROM p WHERE terminal IN (SELECT terminal FROM t) AND NOT EXISTS (SELECT 1 FROM t WHERE t.terminal = p.terminal AND t.key = p.key)""")
 def forwarding_mismatch(spark, d):
-    li = a.table(spark, d, "lineitem").where("l_quantity <= 2")
+    li = a.table(spark, d, "lineitem")
     forwards = li.selectExpr("concat('f', l_suppkey % 50) AS name", "concat('t', l_suppkey % 10) AS terminal").distinct()
     accepted = a.table(spark, d, "supplier").selectExpr("concat('t', s_suppkey % 7) AS terminal", "concat('k', s_suppkey % 30) AS key")
     return compare.rejected_forwards(forwards, li.selectExpr("concat('f', l_suppkey % 50) AS name", "concat('k', l_partkey % 30) AS key"), accepted)

@@ -14,6 +14,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql.functions import udtf
 
+from siftspark.session import importable
+
 SCHEMA = "path string, lo int, hi int, bfs int, parent int, field string, kind string, name string, value string, line int, end_line int, col int, func int, cls int"
 
 
@@ -83,6 +85,6 @@ class SyntaxNodes:
 
 def nodes(sources: DataFrame) -> DataFrame:
     """sources: path, source. Their syntax nodes."""
-    spark = sources.sparkSession
+    spark = importable(sources.sparkSession)
     spark.udtf.register("syntax_nodes", SyntaxNodes.asDeterministic())
     return spark.sql("SELECT n.* FROM {s} s, LATERAL syntax_nodes(s.path, s.source) n", s=sources)
