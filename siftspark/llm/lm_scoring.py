@@ -138,32 +138,31 @@ def _answer(group: pa.Table) -> pa.Table:
 # ---------------------------------------------------------------- the automaton
 
 
-def weights(counts: list[np.ndarray], n: int, v: int, n1: int, n2: int, mu: float) -> tuple[list[list[float | None]], list[list[float]]]:
+def weights(counts: list[np.ndarray], n: int, v: int, n1: int, n2: int, mu: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """counts: by order, of the n-gram that ends at each position (0 where it would reach before the text).
 
-    arcs[k]: log10 weight of the arc that the (k + 1)-gram is, None where there is none but at order 1.
+    arcs[k]: log10 weight of the arc that the (k + 1)-gram is, not a number where there is none but at order 1.
     fails[k]: log10 weight of the failure arc of the state of k words that ends before the position.
     """
     with np.errstate(divide="ignore"):
         c = counts[0]
         discount = n1 / (n1 + 2 * max(n2, 1)) if n1 else 0.5
         p = np.where(c > 0, (c - discount) / n, discount * v / n) if n else np.ones(len(c))
-        arcs: list[list[float | None]] = [np.log10(p).tolist()]
-        fails: list[list[float]] = [[]]
+        arcs, fails = [np.log10(p)], [np.zeros(len(c))]
         for k in range(1, len(counts)):
             before = np.concatenate(([0], counts[k - 1][:-1]))
             p = (counts[k] + mu * p) / (before + mu)
-            arcs.append([w if there else None for w, there in zip(np.log10(p).tolist(), (counts[k] > 0).tolist())])
-            fails.append(np.log10(mu / (before + mu)).tolist())
+            arcs.append(np.where(counts[k] > 0, np.log10(p), np.nan))
+            fails.append(np.log10(mu / (before + mu)))
     return arcs, fails
 
 
-def traverse(arcs: list[list[float | None]], fails: list[list[float]], known: list[bool], begin: int, end: int) -> float:
-    """Read positions begin .. end - 1 from the empty state; the state is how many words back it reaches."""
+def traverse(arcs: list[list[float]], fails: list[list[float]], known: list[bool]) -> float:
+    """Read a text from the empty state; the state is how many words back it reaches."""
     longest = len(arcs) - 1
     total, state = 0.0, 0
-    for i in range(begin, end):
-        while state and (arc := arcs[state][i]) is None:
+    for i, is_known in enumerate(known):
+        while state and (arc := arcs[state][i]) != arc:
             total += fails[state][i]
             state -= 1
         if state:
@@ -172,7 +171,7 @@ def traverse(arcs: list[list[float | None]], fails: list[list[float]], known: li
                 state += 1
         else:
             total += arcs[0][i]
-            state = 1 if longest and known[i] else 0
+            state = 1 if longest and is_known else 0
     return total
 
 
@@ -196,9 +195,8 @@ def _scorer(order: int, buckets: int, mu: float):
         c = counts[0]
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         arcs, fails = weights(counts, n, v, n1, n2, mu)
-        known = (c > 0).tolist()
         begins = np.concatenate(([0], block.ends[:-1]))
-        scores = [traverse(arcs, fails, known, a, b) for a, b in zip(begins.tolist(), block.ends.tolist())]
+        scores = [traverse([x[a:b].tolist() for x in arcs], [x[a:b].tolist() for x in fails], (c[a:b] > 0).tolist()) for a, b in zip(begins.tolist(), block.ends.tolist())]
         return pa.table(
             [
                 group.column("doc_id"),
