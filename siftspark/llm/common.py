@@ -9,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftspark.session import importable
+
 #: A word: a maximal run of anything but space, \t, \n, \v, \f and \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Words whose hashes a task remembers at once.
@@ -24,7 +26,7 @@ class WordHashes(dict):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
