@@ -149,10 +149,33 @@ def is_local_url(url: Column) -> Column:
     return url.rlike(r"^https?://(localhost|127\.0\.0\.1|0\.0\.0\.0|\[::1\])(:\d+)?(/|$)")
 
 
-def looks_secret(name: Column, value: Column, placeholders: tuple[str, ...] = ("", "changeme", "change-me", "example", "placeholder", "secret", "password", "none", "null", "todo", "xxx")) -> Column:
+#: Values that only hold a place; fixed values.
+PLACEHOLDERS = (
+    "",
+    "changeme",
+    "change-me",
+    "example",
+    "example-value",
+    "placeholder",
+    "your-value-here",
+    "your_value_here",
+    "todo",
+    "unset",
+    "none",
+    "null",
+    "<required>",
+    "required",
+    "replace-me",
+    "replace_me",
+)
+#: Names of secrets, and shapes of tokens; fixed values.
+SECRET_NAME = r"(?i)(?:secret|token|password|passwd|api[_-]?key|private[_-]?key|access[_-]?key|client[_-]?secret)"
+TOKEN_SHAPE = r"^(?:sk-|ghp_|github_pat_|xox[baprs]-|AKIA)[A-Za-z0-9_\-]{12,}$"
+
+
+def looks_secret(name: Column, value: Column) -> Column:
     """Values that look like live credentials: known token shapes, and long plain values under secret names."""
     low = F.lower(F.trim(value))
-    harmless = low.isin(*placeholders) | low.rlike("^(example_|test_)") | F.contains(value, F.lit("${")) | value.rlike("^<.*>$")
-    shaped = value.rlike(r"^(?:sk-|ghp_|github_pat_|xox[baprs]-|AKIA)[A-Za-z0-9_\-]{12,}$") | F.contains(value, F.lit("PRIVATE KEY-----"))
-    named = F.lower(name).rlike("(secret|token|password|passwd|api_?key|private_?key|credential)") & value.rlike(r"^[A-Za-z0-9_./+=:@\-]{16,}$")
-    return ~harmless & (shaped | named)
+    harmless = low.isin(*PLACEHOLDERS) | low.rlike("^(example_|test_)") | F.contains(value, F.lit("${")) | value.rlike("^<.*>$")
+    shaped = value.rlike(TOKEN_SHAPE) | F.contains(value, F.lit("PRIVATE KEY-----"))
+    return ~harmless & (shaped | (name.rlike(SECRET_NAME) & value.rlike(r"^[A-Za-z0-9_./+=:@\-]{16,}$")))

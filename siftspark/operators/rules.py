@@ -20,6 +20,9 @@ SYNC_MAGIC = "'__init__', '__new__', '__del__', '__repr__', '__str__', '__bytes_
 VALUE_MAGIC = "'__init__', '__new__', '__del__', '__repr__', '__str__', '__bytes__', '__hash__', '__bool__', '__len__', '__next__', '__contains__', '__enter__', '__exit__', '__eq__', '__lt__', '__le__', '__gt__', '__ge__'"
 #: Binary magic methods, which return NotImplemented rather than raise; fixed values.
 BINARY_MAGIC = "'__add__', '__sub__', '__mul__', '__truediv__', '__floordiv__', '__mod__', '__pow__', '__and__', '__or__', '__xor__', '__lshift__', '__rshift__', '__eq__', '__ne__', '__lt__', '__le__', '__gt__', '__ge__', '__radd__', '__rsub__', '__rmul__'"
+#: Names of operational settings, and of modules that may hold them; fixed values.
+CONFIG_NAME = "(?:^|_)(timeout|retries|retry|host|port|url|endpoint|threshold|limit|max|min|interval|ttl|workers|batch(?:_size)?|concurrency|rate|delay|buffer|cache)(?:_|$)"
+CONFIG_MODULE = "(?:^|[./_])(config|settings|constants|defaults|cli|options)(?:[./_]|$)"
 FUNCS = "('FunctionDef', 'AsyncFunctionDef')"
 LOOPS = "('For', 'AsyncFor', 'While', 'ListComp', 'SetComp', 'DictComp', 'GeneratorExp')"
 
@@ -138,7 +141,7 @@ register(
 )
 register("BHTIME002", "SELECT c.path, c.line, 'error' AS severity, 'local wall clock labelled UTC' AS message FROM {n} c JOIN {n} k ON k.path = c.path AND k.parent = c.lo AND k.kind = 'keyword' AND k.name = 'tzinfo' JOIN {n} v ON v.path = c.path AND v.parent = k.lo WHERE c.kind = 'Call' AND c.name RLIKE 'datetime[.]now[.]replace$' AND v.name RLIKE '(UTC|utc)$'")
 register("BHTIME001", "SELECT min_by(path, struct(path, line)) AS path, min_by(line, struct(path, line)) AS line, 'warning' AS severity, concat(count(*), ' wall-clock calls, none under control in tests') AS message FROM {n} WHERE kind = 'Call' AND name IN ('time.time', 'datetime.now', 'datetime.datetime.now', 'datetime.utcnow', 'date.today') AND path NOT LIKE 'tests/%' AND NOT EXISTS (SELECT 1 FROM {n} t WHERE t.path LIKE 'tests/%' AND t.name RLIKE 'freeze_time|time_machine|freezegun') HAVING count(*) > 0")
-register("BHCFG004", "SELECT t.path, t.line, 'note' AS severity, concat(t.name, ' is an operational constant outside configuration') AS message FROM {n} a JOIN {n} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Name' JOIN {n} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'value' AND v.kind = 'Constant' WHERE a.kind = 'Assign' AND a.parent = 0 AND lower(t.name) RLIKE '(timeout|retries|limit|interval|batch_size|port|host)' AND t.name <> upper(t.name) AND a.path NOT RLIKE '(config|settings)'")
+register("BHCFG004", f"SELECT t.path, t.line, 'note' AS severity, concat(t.name, ' is an operational constant outside configuration') AS message FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Name' JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'value' AND v.kind = 'Constant' WHERE a.kind = 'Assign' AND a.parent = 0 AND lower(t.name) RLIKE '{CONFIG_NAME}' AND t.name <> upper(t.name) AND lower(a.path) NOT RLIKE '{CONFIG_MODULE}'")
 register("BHCFG005", "SELECT k.path, k.line, 'note' AS severity, concat('literal ', k.name, ' at a call') AS message FROM {n} k JOIN {n} v ON v.path = k.path AND v.parent = k.lo AND v.kind = 'Constant' WHERE k.kind = 'keyword' AND k.name IN ('timeout', 'retries', 'max_retries', 'interval', 'batch_size', 'max_workers') AND v.value RLIKE '^[0-9.]+$'")
 register(
     "BHIMPL001",
@@ -160,3 +163,98 @@ def env_uses(nodes: DataFrame) -> DataFrame:
         WHERE x.kind = 'Subscript' AND x.name = 'os.environ' OR x.kind = 'Call' AND x.name IN ('os.getenv', 'os.environ.get')""",
         n=nodes,
     )
+
+
+# ---------------------------------------------------------------- streams and fields
+
+_CALLS = """calls AS (
+  SELECT c.path, c.func, c.lo, c.line, v.name AS var, substring_index(c.name, '.', -1) AS method, NOT EXISTS (SELECT 1 FROM {n} x WHERE x.path = c.path AND x.parent = c.lo AND x.field IN ('args', 'keywords')) AS bare
+  FROM {n} c JOIN {n} a ON a.path = c.path AND a.parent = c.lo AND a.field = 'func' AND a.kind = 'Attribute' JOIN {n} v ON v.path = c.path AND v.parent = a.lo AND v.kind = 'Name' WHERE c.kind = 'Call' AND c.func >= 0),
+opens AS (
+  SELECT a.path, a.func, a.lo, a.line, t.name AS var, coalesce(max(CASE WHEN m.field = 'args' THEN m.value END), max(k.value), 'r') AS mode
+  FROM {n} a JOIN {n} t ON t.path = a.path AND t.parent = a.lo AND t.field IN ('targets', 'optional_vars') AND t.kind = 'Name'
+  JOIN {n} c ON c.path = a.path AND c.parent = a.lo AND c.field IN ('value', 'context_expr') AND c.kind = 'Call' AND substring_index(c.name, '.', -1) = 'open'
+  LEFT JOIN {n} m ON m.path = a.path AND m.parent = c.lo AND m.field = 'args' AND m.kind = 'Constant' AND m.lo > c.lo + 2 AND m.value RLIKE '^[rwaxbt+]+$'
+  LEFT JOIN {n} w ON w.path = a.path AND w.parent = c.lo AND w.kind = 'keyword' AND w.name = 'mode' LEFT JOIN {n} k ON k.path = a.path AND k.parent = w.lo AND k.kind = 'Constant'
+  WHERE a.kind IN ('Assign', 'withitem') AND a.func >= 0 GROUP BY a.path, a.func, a.lo, a.line, t.name),
+events AS (
+  SELECT path, func, lo, line, var, 'open' AS op, mode FROM opens UNION ALL
+  SELECT path, func, lo, line, var, CASE WHEN method = 'close' AND bare THEN 'close' WHEN method = 'close' THEN 'other' ELSE method END, CAST(NULL AS STRING) FROM calls),
+state AS (
+  SELECT *, last_value(CASE WHEN op IN ('open', 'close') THEN op END) IGNORE NULLS OVER w AS phase, last_value(mode) IGNORE NULLS OVER w AS now
+  FROM events WINDOW w AS (PARTITION BY path, func, var ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+register("BHPRT005", f"WITH {_CALLS} SELECT path, line, 'error' AS severity, concat(var, '.', op, '() after close()') AS message FROM state WHERE op NOT IN ('open', 'close', 'other') AND phase = 'close'")
+register(
+    "BHPRT006",
+    f"""WITH {_CALLS} SELECT path, line, 'error' AS severity, concat(var, ' is open with mode ', now) AS message FROM state WHERE coalesce(phase, '') <> 'close'
+    AND (now IN ('w', 'wb', 'a', 'ab', 'x', 'xb') AND op IN ('read', 'readline', 'readlines') OR now IN ('r', 'rb') AND op IN ('write', 'writelines'))""",
+)
+register(
+    "BHPRT008",
+    """WITH s AS (SELECT a.path, a.func, a.parent, a.field, a.lo, a.hi, a.line, t.lo AS t_lo, t.hi AS t_hi, t.name AS base, k.value AS key,
+      lead(a.lo) OVER w AS next_lo, lead(a.hi) OVER w AS next_hi, lead(t.lo) OVER w AS next_t_lo, lead(t.hi) OVER w AS next_t_hi
+      FROM {n} a JOIN {n} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Subscript' JOIN {n} v ON v.path = a.path AND v.parent = t.lo AND v.field = 'value' AND v.kind = 'Name'
+      JOIN {n} k ON k.path = a.path AND k.parent = t.lo AND k.field = 'slice' AND k.kind = 'Constant' WHERE a.kind = 'Assign' AND a.func >= 0
+      WINDOW w AS (PARTITION BY a.path, a.parent, a.field, t.name, k.value ORDER BY a.lo))
+    SELECT path, line, 'warning' AS severity, concat(base, '[', key, '] is stored twice and not read between') AS message FROM s WHERE next_lo IS NOT NULL
+      AND NOT EXISTS (SELECT 1 FROM {n} r WHERE r.path = s.path AND r.kind = 'Name' AND r.name = s.base AND r.lo > s.hi AND r.lo <= s.next_hi AND NOT (r.lo >= s.next_t_lo AND r.lo <= s.next_t_hi)
+        AND NOT EXISTS (SELECT 1 FROM {n} o WHERE o.path = r.path AND o.lo = r.parent AND o.kind = 'Subscript' AND o.field = 'targets'))""",
+)
+_IMPORTS = lambda module: f"EXISTS (SELECT 1 FROM {{n}} i WHERE i.path = b.path AND (i.kind = 'ImportFrom' OR i.kind = 'alias') AND i.name RLIKE '^{module}([.]|$)')"
+register("BHPRT012", f"SELECT b.path, b.line, 'error' AS severity, concat('Python ', lower(b.name), ' over SQL expressions') AS message FROM {{n}} b WHERE b.kind = 'BoolOp' AND {_IMPORTS('sqlalchemy')} AND EXISTS (SELECT 1 FROM {{n}} c WHERE c.path = b.path AND c.parent = b.lo AND c.kind = 'Compare')")
+_TRUE = lambda name: f"EXISTS (SELECT 1 FROM {{n}} k JOIN {{n}} v ON v.path = k.path AND v.parent = k.lo WHERE k.path = b.path AND k.parent = b.lo AND k.kind = 'keyword' AND k.name = '{name}' AND v.value = 'True')"
+register("BHPRT013", f"SELECT b.path, b.line, 'error' AS severity, 'null=True has no effect on a many-to-many field' AS message FROM {{n}} b WHERE b.kind = 'Call' AND b.name RLIKE '(^|[.])ManyToManyField$' AND {_IMPORTS('django')} AND {_TRUE('null')}")
+register("BHPRT014", f"SELECT b.path, b.line, 'warning' AS severity, 'unique=True beside primary_key=True' AS message FROM {{n}} b WHERE b.kind = 'Call' AND {_IMPORTS('django')} AND {_TRUE('primary_key')} AND {_TRUE('unique')}")
+register("BHPRT015", f"SELECT b.path, b.line, 'warning' AS severity, concat(k.name, ' is no database constraint') AS message FROM {{n}} b JOIN {{n}} k ON k.path = b.path AND k.parent = b.lo AND k.kind = 'keyword' AND k.name IN ('unique_for_date', 'unique_for_month', 'unique_for_year') WHERE b.kind = 'Call' AND {_IMPORTS('django')}")
+
+# ---------------------------------------------------------------- layers, seams, data
+
+#: Words of module paths; fixed values.
+UPPER_LAYER = "api|apis|route|routes|web|ui|service|services|domain|core|application|usecase|usecases|handler|handlers|controller|controllers"
+STORAGE = "sqlite|postgres|postgresql|mysql|sqlalchemy|peewee|orm|mongo|mongodb|redis"
+#: Parts of names of quantities and of functions that integrate; fixed values.
+QUANTITIES = "irradiance|radiation|dose|uv_index|uvi|_wm2|_j_m2|sed_|score|pigment|uva|uvb|vitamin|erythemal"
+INTEGRATORS = "integrate|trapz|cumtrapz|window_|_dose"
+
+register("BHPERS001", f"SELECT path, line, 'warning' AS severity, concat('upper layer imports storage implementation ', name) AS message FROM {{n}} i WHERE (kind = 'ImportFrom' OR kind = 'alias' AND EXISTS (SELECT 1 FROM {{n}} p WHERE p.path = i.path AND p.lo = i.parent AND p.kind = 'Import')) AND lower(path) RLIKE '(^|[/_.-])({UPPER_LAYER})([/_.-]|$)' AND lower(name) RLIKE '(^|[._-])({STORAGE})([._-]|$)'")
+register(
+    "BHSEAM005",
+    """SELECT DISTINCT a.path, a.line, 'warning' AS severity, concat('HTTP JSON enters ', t.name, ' and is read by key without validation') AS message FROM {n} a
+    JOIN {n} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Name' JOIN {n} c ON c.path = a.path AND c.parent = a.lo AND c.field = 'value' AND c.kind = 'Call' AND c.name RLIKE '(response|resp|requests|httpx|client|session|res|r)([.].*)?[.]json$'
+    JOIN {n} s ON s.path = a.path AND s.func = a.func AND s.kind = 'Subscript' AND s.name = t.name AND s.lo > a.hi WHERE a.kind = 'Assign' AND a.func >= 0
+      AND NOT EXISTS (SELECT 1 FROM {n} v JOIN {n} g ON g.path = v.path AND g.parent = v.lo AND g.kind = 'Name' AND g.name = t.name WHERE v.path = a.path AND v.func = a.func AND v.kind = 'Call' AND v.name RLIKE '(validate|model_validate|parse_obj|TypeAdapter|load|check)')""",
+)
+register(
+    "BHSEAM006",
+    """SELECT min_by(path, struct(path, line)) AS path, min_by(line, struct(path, line)) AS line, 'warning' AS severity, concat(count(*), ' HTTP calls without recorded payloads in tests') AS message FROM {n}
+    WHERE kind = 'Call' AND path NOT LIKE 'tests/%' AND lower(name) RLIKE '(requests|httpx|client|session).*[.](get|post|put|patch|delete|request|send)$'
+      AND NOT EXISTS (SELECT 1 FROM {n} t WHERE t.path LIKE 'tests/%' AND lower(concat(coalesce(t.name, ''), ' ', coalesce(t.value, ''))) RLIKE 'vcr|cassette|responses|respx|recorded_payload|fixture_payload') HAVING count(*) > 0""",
+)
+register(
+    "BHMISS001",
+    f"""WITH z AS (SELECT c.* FROM {{n}} c JOIN {{n}} v ON v.path = c.path AND v.parent = c.lo AND v.field = 'args' AND v.value IN ('0', '0.0') WHERE c.kind = 'Call' AND c.name RLIKE '[.]fillna$|^fillna$' AND c.func >= 0),
+    u AS (SELECT z.path, z.func, t.name FROM z JOIN {{n}} a ON {_inside('z', 'a')} AND a.kind = 'Assign' AND a.func = z.func JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Name'),
+    h AS (SELECT k.path, k.func, k.line, k.name, k.lo FROM {{n}} k JOIN {{n}} x ON {_inside('x', 'k')} LEFT JOIN u ON u.path = x.path AND u.func = x.func AND u.name = x.name AND x.kind = 'Name' LEFT JOIN z ON z.path = x.path AND z.lo = x.lo
+      WHERE k.kind = 'Call' AND lower(k.name) RLIKE '({QUANTITIES}|{INTEGRATORS})' AND (u.name IS NOT NULL OR z.lo IS NOT NULL))
+    SELECT path, min(line) AS line, 'error' AS severity, concat('zero put for a missing value flows into ', min_by(name, lo)) AS message FROM h GROUP BY path, func""",
+)
+register(
+    "BHMETA001",
+    f"""SELECT d.path, d.line, 'error' AS severity, 'a quantity stands beside complete or full coverage' AS message FROM {{n}} d JOIN {{n}} k ON k.path = d.path AND k.parent = d.lo AND k.field = 'keys' AND k.kind = 'Constant'
+    JOIN (SELECT *, row_number() OVER (PARTITION BY path, parent, field ORDER BY lo) AS nth FROM {{n}} WHERE field = 'keys') kk ON kk.path = k.path AND kk.lo = k.lo
+    JOIN (SELECT *, row_number() OVER (PARTITION BY path, parent, field ORDER BY lo) AS nth FROM {{n}} WHERE field = 'values') vv ON vv.path = k.path AND vv.parent = d.lo AND vv.nth = kk.nth
+    WHERE d.kind = 'Dict' GROUP BY d.path, d.lo, d.line
+    HAVING count_if(k.value = 'complete' AND vv.value = 'True' OR k.value = 'coverage' AND vv.value IN ('1', '1.0')) > 0 AND count_if(lower(k.value) RLIKE '{QUANTITIES}') > 0""",
+)
+register(
+    "BHDF001",
+    """WITH s AS (SELECT a.path, a.func, a.lo, a.line, t.name AS base, k.value AS col, a.hi FROM {n} a JOIN {n} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Subscript' JOIN {n} k ON k.path = a.path AND k.parent = t.lo AND k.field = 'slice' AND k.kind = 'Constant' WHERE a.kind = 'Assign' AND a.func >= 0),
+    r AS (SELECT s.*, q.value AS source FROM s JOIN {n} x ON x.path = s.path AND x.lo > s.lo AND x.lo <= s.hi AND x.kind = 'Subscript' AND x.name = s.base AND x.field <> 'targets' JOIN {n} q ON q.path = s.path AND q.parent = x.lo AND q.field = 'slice' AND q.kind = 'Constant' WHERE q.value <> s.col),
+    e AS (SELECT c.path, c.func, c.lo, c.line, regexp_extract(c.name, '^([A-Za-z_0-9]+)[.]', 1) AS base FROM {n} c WHERE c.kind = 'Call' AND c.name RLIKE '[.]to_(csv|parquet|json|excel|sql|pickle)$')
+    SELECT e.path, min(e.line) AS line, 'error' AS severity, concat(r.col, ' is exported after ', r.source, ' changed') AS message FROM r JOIN s m ON m.path = r.path AND m.func = r.func AND m.base = r.base AND m.col = r.source AND m.lo > r.lo
+    JOIN e ON e.path = r.path AND e.func = r.func AND e.base = r.base AND e.lo > m.lo WHERE NOT EXISTS (SELECT 1 FROM s d WHERE d.path = r.path AND d.func = r.func AND d.base = r.base AND d.col = r.col AND d.lo > m.lo AND d.lo < e.lo) GROUP BY e.path, r.func, r.col, r.source""",
+)
+register(
+    "BHTEST005",
+    f"SELECT DISTINCT v.path, v.line, 'warning' AS severity, 'long literal against generated text' AS message FROM {{n}} v JOIN {{n}} c ON c.path = v.path AND c.lo = v.parent AND c.kind = 'Compare' JOIN {{n}} a ON {_inside('c', 'a')} AND a.kind = 'Assert' JOIN {{n}} o ON {_inside('o', 'c')} AND lower(o.name) RLIKE '(source|generated|render|output|code)' WHERE v.kind = 'Constant' AND length(v.value) >= 200 AND v.path LIKE 'tests/%'",
+)

@@ -33,6 +33,19 @@ CASES = {
     "BHCFG005": ("get(url, timeout=5)\n", "get(url, timeout=limit)\n"),
     "BHIMPL001": ("def f():\n raise NotImplementedError\n", "def f():\n return 1\n"),
 }
+CASES |= {
+    "BHPRT005": ("def f(s):\n s.close()\n s.read()\n", "def f(s):\n s.read()\n s.close()\n"),
+    "BHPRT006": ("def f(p):\n h = open(p, 'w')\n h.read()\n", "def f(p):\n h = open(p, 'w')\n h.write('x')\n"),
+    "BHPRT008": ("def f(d):\n d['a'] = 1\n d['a'] = 2\n", "def f(d):\n d['a'] = 1\n g(d)\n d['a'] = 2\n"),
+    "BHPRT012": ("from sqlalchemy import x\nq = a == 1 and b == 2\n", "q = a == 1 and b == 2\n"),
+    "BHPRT013": ("from django.db import models\nx = models.ManyToManyField(A, null=True)\n", "from django.db import models\nx = models.CharField(null=True)\n"),
+    "BHPRT014": ("from django.db import models\nx = models.CharField(primary_key=True, unique=True)\n", "from django.db import models\nx = models.CharField(primary_key=True)\n"),
+    "BHPRT015": ("from django.db import models\nx = models.CharField(unique_for_date='d')\n", "from django.db import models\nx = models.CharField(unique=True)\n"),
+    "BHSEAM005": ("def f(c):\n data = response.json()\n return data['x']\n", "def f(c):\n data = response.json()\n Model.model_validate(data)\n return data['x']\n"),
+    "BHMISS001": ("def f(x):\n y = x.fillna(0)\n return integrate(y)\n", "def f(x):\n y = x.dropna()\n return integrate(y)\n"),
+    "BHMETA001": ("x = {'dose': 0.0, 'complete': True}\n", "x = {'dose': 0.0, 'complete': False}\n"),
+    "BHDF001": ("def f(df):\n df['b'] = df['a'] * 2\n df['a'] = 0\n df.to_csv(p)\n", "def f(df):\n df['a'] = 0\n df['b'] = df['a'] * 2\n df.to_csv(p)\n"),
+}
 TEST_CASES = {
     "BHTEST001": ("from pkg import _thing\n", "from pkg import thing\n"),
     "BHTEST002": ("def test_a(m):\n m.assert_called_once_with(1)\n", "def test_a(m):\n assert m == 1\n"),
@@ -45,6 +58,7 @@ TEST_CASES = {
 def found(spark):
     rows = [(f"src/{c}_{k}.py", s) for c, pair in CASES.items() for k, s in zip(("fires", "quiet"), pair)]
     rows += [(f"tests/{c}_{k}.py", s) for c, pair in TEST_CASES.items() for k, s in zip(("fires", "quiet"), pair)]
+    rows += [("src/api/routes.py", "import sqlalchemy\n"), ("src/store/db.py", "import sqlalchemy\n"), ("src/http.py", "requests.get(u)\n")]
     rows += [("src/broken.py", "def f(:\n"), ("src/empty.py", None)]
     nodes = syntax.nodes(spark.createDataFrame(rows, "path string, source string")).cache()
     assert nodes.where("path = 'src/broken.py'").count() == 0
@@ -58,6 +72,11 @@ def test_rule_fires_and_is_quiet(found, code):
     assert (code, f"{top}/{code}_quiet.py") not in found
 
 
+def test_layers_and_recorded_payloads(found):
+    assert ("BHPERS001", "src/api/routes.py") in found and ("BHPERS001", "src/store/db.py") not in found
+    assert ("BHSEAM006", "src/http.py") in found
+
+
 def test_nodes_have_intervals_scopes_and_both_orders(spark):
     source = textwrap.dedent("""
         import os
