@@ -17,6 +17,7 @@ an empty table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -34,6 +35,8 @@ END_ID = 50256
 PAD_ID = 50256
 ROW = 2048
 GROUP_TOKENS = 4_000_000
+#: Runs of white space are encoded so many characters at a time; the splitter's stack ends at some hundred thousand.
+SPACES = 50_000
 
 
 class Fullest:
@@ -88,6 +91,13 @@ def _encoding(ranks: bytes) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
 
 
+def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of any text; special tokens' names are ordinary text."""
+    if len(text) <= SPACES:
+        return encoding.encode_ordinary(text)
+    return [i for piece in re.split(rf"(\s{{{SPACES}}})", text) if piece for i in encoding.encode_ordinary(piece)]
+
+
 SCHEMA = "part int, number int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, pieces array<int>"
 
 
@@ -114,11 +124,11 @@ def packed(docs: DataFrame, row: int = ROW, ranks_path: str = RANKS, group_token
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(ranks.value).encode_ordinary
+        encoding = _encoding(ranks.value)
         parts, held, first = [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.array([*encode(text.as_py() or ""), END_ID], kind)
+                ids = np.array([*encode(encoding, text.as_py() or ""), END_ID], kind)
                 parts += [(doc, i // row, ids[i : i + row]) for i in range(0, len(ids), row)]
                 held += len(ids)
                 if held >= group_tokens:

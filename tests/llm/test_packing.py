@@ -37,7 +37,7 @@ def test_round_trip(spark, sf):
 
 
 def test_edges(spark):
-    rows = [(1, None), (2, ""), (None, "null id"), (3, "twice"), (3, "twice"), (4, "<|endoftext|> is text"), (5, "long words " * 30_000), (6, "x" * 5000), (7, " \n\t é𝒳")]
+    rows = [(1, None), (2, ""), (None, "null id"), (3, "twice"), (3, "twice"), (4, "<|endoftext|> is text"), (5, "long words " * 30_000), (6, "x" * 5000), (7, " \n\t é𝒳"), (8, " " * 1_000_000 + "end"), (9, "a\n" + "\n" * 400_000)]
     df = spark.createDataFrame([(*r, b"z") for r in rows], "doc_id long, text string, ids binary")
     check(rows, packing.packed(df, row=64).collect(), 64)
     assert packing.op4_token_packing(df.limit(0)).collect() == []
