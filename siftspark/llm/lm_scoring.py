@@ -15,7 +15,9 @@ twice. Each sums to one over the vocabulary and one unknown word, as the base sc
 No task holds the whole automaton. Documents are dealt into blocks of about BLOCK_BYTES. A block sends the hashes of
 its different n-grams, sorted and packed for each bucket, with how often its training documents have them; a bucket
 adds up all blocks and answers each one in its own order with counts alone. The block then has all arcs that its
-documents can meet, and traverses them. Counts and what travels grow with the corpus. The hashes have 64 bits.
+documents can meet, and traverses them. What travels grows with the corpus: there are as many buckets as blocks, and
+a block sends to a bucket only if it has keys for it, so rows are never more than n-grams. N, V, n1 and n2 are one
+row. The hashes have 64 bits.
 
 Tokens: A-Z lower-cased, words, and one end for each text.
 
@@ -90,29 +92,27 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys by bucket, ascending within, and where each bucket begins."""
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Order of the keys by bucket, ascending within, and (bucket, begin, end) of each bucket that gets any."""
     bucket = keys % np.uint64(buckets)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1).astype(np.uint64))
+    those, begin = np.unique(bucket[order], return_index=True)
+    return order, list(zip(those.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)]))
 
 
 _ASKS = "bucket int, block int, k int, keys binary, counts binary"
 _ANSWERS = "block int, bucket int, k int, totals binary, n long, v long, n1 long, n2 long"
+_ANSWER_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
 
 
 def _asker(order: int, buckets: int):
     def ask(group: pa.Table) -> pa.Table:
-        block = Block(group.column("text"), order)
+        block, number = Block(group.column("text"), order), group.column("block")[0].as_py()
         out = []
         for k, (keys, counts) in enumerate(zip(block.keys, block.trained(group.column("train").to_numpy()))):
-            order_, start = _dealt(keys, buckets)
-            keys, counts = keys[order_], counts[order_]
-            for b in range(buckets):
-                part = slice(start[b], start[b + 1])
-                if k and start[b] == start[b + 1]:
-                    continue  # the words are always asked for, as the answers bring the totals
-                out.append((b, group.column("block")[0].as_py(), k, _pack(np.diff(keys[part], prepend=np.uint64(0))), _pack(counts[part])))
+            by_bucket, parts = _dealt(keys, buckets)
+            keys, counts = keys[by_bucket], counts[by_bucket]
+            out += [(b, number, k, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(counts[i:j])) for b, i, j in parts]
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["bucket", "block", "k", "keys", "counts"])
 
@@ -120,7 +120,7 @@ def _asker(order: int, buckets: int):
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    """Totals over all blocks for each key that a block has sent, and N, V, n1 and n2 of the bucket's words."""
+    """Totals over all blocks for each key that a block has sent; with k = -1, N, V, n1 and n2 of the bucket's words."""
     rows = group.to_pylist()
     out = []
     for k in sorted({r["k"] for r in rows}):
@@ -128,11 +128,11 @@ def _answer(group: pa.Table) -> pa.Table:
         keys = [np.cumsum(_unpack(r["keys"], np.uint64), dtype=np.uint64) for r in mine]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
         totals = np.bincount(at, np.concatenate([_unpack(r["counts"], np.uint32) for r in mine])).astype(np.uint64)
-        stats = [int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())] if k == 0 else [0] * 4
+        if k == 0:
+            out.append((-1, mine[0]["bucket"], -1, b"", int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())))
         for r, own in zip(mine, np.split(at, np.cumsum([len(x) for x in keys])[:-1])):
-            out.append((r["block"], r["bucket"], k, _pack(totals[own]), *stats))
-    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["block", "bucket", "k", "totals", "n", "v", "n1", "n2"])
+            out.append((r["block"], r["bucket"], k, _pack(totals[own]), 0, 0, 0, 0))
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), _ANSWER_TYPES)], ["block", "bucket", "k", "totals", "n", "v", "n1", "n2"])
 
 
 # ---------------------------------------------------------------- the automaton
@@ -181,14 +181,14 @@ def _scorer(order: int, buckets: int, mu: float):
             return pa.table([[], [], [], [], [], [], []], schema=_SCORES)
         block = Block(group.column("text"), order)
         rows = answers.to_pylist()
-        n, v, n1, n2 = (sum(r[c] for r in rows if r["k"] == 0) for c in ("n", "v", "n1", "n2"))
+        n, v, n1, n2 = (rows[0][c] for c in ("n", "v", "n1", "n2"))
         counts = []
         for k, keys in enumerate(block.keys):
             by_key = np.zeros(len(keys))
-            order_, start = _dealt(keys, buckets)
-            for r in rows:
-                if r["k"] == k:
-                    by_key[order_[start[r["bucket"]] : start[r["bucket"] + 1]]] = _unpack(r["totals"], np.uint64)
+            by_bucket, parts = _dealt(keys, buckets)
+            totals = {r["bucket"]: r["totals"] for r in rows if r["k"] == k}
+            for b, i, j in parts:
+                by_key[by_bucket[i:j]] = _unpack(totals[b], np.uint64)
             here = np.zeros(len(block.whole[k]))
             here[block.whole[k]] = by_key[block.at[k]]
             counts.append(here)
@@ -224,6 +224,8 @@ def scored(rows: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int
     dealt = rows.select(block.alias("block"), F.col("doc_id").cast("long"), "text", "held_out", (~F.col("held_out")).cast("int").alias("train"))
     asks = dealt.groupBy("block").applyInArrow(_asker(order, n), _ASKS)
     answers = asks.groupBy("bucket").applyInArrow(_answer, _ANSWERS)
+    totals = answers.where("k < 0").agg(*(F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")))
+    answers = answers.where("k >= 0").drop("n", "v", "n1", "n2").crossJoin(F.broadcast(totals))  # one row
     return (
         dealt.groupBy("block")
         .cogroup(answers.groupBy("block"))
