@@ -88,3 +88,83 @@ def coverage_lines(reports: DataFrame) -> DataFrame:
 def latest(files: DataFrame) -> DataFrame:
     """files: path, mtime. The newest."""
     return files.agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+
+
+#: Suffixes that mark a technology alone, and names that do; fixed values.
+SUFFIXES = {
+    "python": (".py", ".pyi", ".pyw"),
+    "shell": (".sh", ".bash", ".zsh", ".ksh"),
+    "protobuf": (".proto",),
+    "sql": (".sql",),
+    "terraform": (".tf",),
+    "go": (".go",),
+    "rust": (".rs",),
+    "cpp": (".c", ".cc", ".cpp", ".cxx", ".h", ".hh", ".hpp", ".hxx", ".m", ".mm"),
+    "php": (".php",),
+    "javascript-typescript": (".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".mts", ".cts"),
+    "typescript": (".ts", ".tsx", ".mts", ".cts"),
+    "toml": (".toml",),
+    "yaml": (".yaml", ".yml"),
+}
+NAMES = {
+    "protobuf": ("buf.yaml", "buf.work.yaml"),
+    "docker": ("Dockerfile",),
+    "terraform": (".terraform.lock.hcl", ".tflint.hcl"),
+    "go": ("go.mod",),
+    "rust": ("Cargo.toml", "Cargo.lock"),
+    "cpp-compile-db": ("compile_commands.json",),
+    "php": ("composer.json",),
+    "javascript-typescript": ("package.json",),
+    "alembic": ("alembic.ini",),
+    "django": ("manage.py",),
+    "dotenv": (".env", ".env.example"),
+}
+#: What a path or the text of a file shows besides: path pattern (lower case), then text pattern. Fixed values.
+PATTERNS = {
+    "github-actions": ((r"^\.github/workflows/.*\.ya?ml$", None),),
+    "shell": ((r"(^|/)[^./]+$", r"^#!.*\b(?:ba|z|k)?sh\b"),),
+    "dotenv": ((r"(^|/)\.env\.[^/]*$", None), (r"\.(py|jsx?|mjs|cjs|tsx?|mts|cts)$", r"(?:os\.(?:getenv|environ)|process\.env|Deno\.env|getenv\s*\()")),
+    "openapi": ((r"(openapi|swagger)[^/]*\.(ya?ml|json)$", r"(?i)(?:^|[\n{,])\s*[\"']?(?:openapi|swagger)[\"']?\s*[:=]"),),
+    "docker": ((r"(^|/)dockerfile(\.[^/]*)?$", None),),
+    "typescript": ((r"(^|/)tsconfig[^/]*\.json$", None),),
+    "schema-ref": ((r"\.(json|ya?ml)$", r"\$schema"),),
+    "alembic": ((r"/alembic/(env\.py$|versions/)", None),),
+    "django": ((r"django.*\.py$", None),),
+    "benchmark-tests": ((r"\.py$", r"(?is)benchmark.*(def test_|@pytest\.mark\.benchmark)|(def test_|@pytest\.mark\.benchmark).*benchmark"),),
+    "asyncio": ((r"\.py$", r"(?i)async def |asyncio"),),
+    "pact": ((r"pact.*\.(json|py)$", None),),
+}
+#: Dependencies that show a technology where no file does; fixed values.
+DEPENDENCIES = {"react": ("react", "react-dom", "next"), "django": ("django",), "alembic": ("alembic",), "pact": ("pact-python",), "odoo": ("odoo",)}
+MIGRATION_PATH = r"(?i)(^|/)(migration|migrations|versions|alembic)/|(?:^|/)(?:v?\d{4,}|\d+[_-].*)\.sql$"
+
+
+def technologies() -> dict[str, Column]:
+    """A rule for each technology that files show, for classify()."""
+    low, name = F.lower("path"), F.element_at(F.split("path", "/"), -1)
+    text = F.coalesce("head", F.lit(""))
+    rules: dict[str, Column] = {}
+
+    def add(key: str, rule: Column) -> None:
+        rules[key] = rules[key] | rule if key in rules else rule
+
+    for key, suffixes in SUFFIXES.items():
+        for suffix in suffixes:
+            add(key, F.endswith(low, F.lit(suffix)))
+    for key, names in NAMES.items():
+        add(key, name.isin(*names))
+    for key, pairs in PATTERNS.items():
+        for path, pattern in pairs:
+            add(key, low.rlike(path) & text.rlike(pattern) if pattern else low.rlike(path))
+    return rules
+
+
+def inventory(files: DataFrame, dependencies: DataFrame) -> DataFrame:
+    """capability, files, evidence: what the files show, migrations where the SQL is PostgreSQL's, and what only the dependencies (name) show."""
+    found = classify(files, technologies())
+    sql = files.where(F.endswith(F.lower("path"), F.lit(".sql"))).select(F.lit(1).alias("all"), F.col("path"), F.col("head").alias("text"))
+    postgres = first_dialect(sql, "all").where("dialect = 'postgres'")
+    migrations = classify(sql.join(postgres, "all", "left_semi"), {"postgres-migrations": F.col("path").rlike(MIGRATION_PATH)})
+    table = F.create_map(*(F.lit(x) for key, names in DEPENDENCIES.items() for n in names for x in (n, key)))
+    named = dependencies.select(F.try_element_at(table, F.lower("name")).alias("capability")).where("capability IS NOT NULL").distinct().join(found, "capability", "left_anti")
+    return found.unionByName(migrations).unionByName(named.select("capability", F.lit(1).cast("long").alias("files"), F.array(F.lit("dependencies")).alias("evidence")))

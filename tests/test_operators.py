@@ -203,3 +203,15 @@ def test_liveness(spark):
     assert [got(3600), got(90_000), got(90_000, "a"), got(90_000, "now")] == ["near timeout", "slowing", "quiet", "active"]
     planned = spark.createDataFrame([("a",), ("b",)], "name string")
     assert values(live.interrupted(planned, planned.where("name = 'a'")), "name", "status") == [("b", "ERROR")]
+
+
+def test_technology_inventory(spark):
+    rows = [("src/a.py", "import asyncio\n"), ("b/x.ts", "process.env.A"), ("api/openapi.yaml", "openapi: 3.0\n"), ("api/swagger.yaml", "nothing"), ("db/migrations/0001_x.sql", "CREATE TABLE t (id serial)"), ("Dockerfile.dev", ""), ("run", "#!/bin/bash\n"), ("readme", "text"), (".github/workflows/ci.yml", ""), ("t.py", "def test_a(benchmark): ...")]
+    files = spark.createDataFrame([(p, len(h), h) for p, h in rows], "path string, size int, head string")
+    deps = spark.createDataFrame([("React",), ("left-pad",)], "name string")
+    got = {r.capability: r.evidence for r in inventory.inventory(files, deps).collect()}
+    assert got["python"] == ["src/a.py", "t.py"] and got["asyncio"] == ["src/a.py"] and got["dotenv"] == ["b/x.ts"]
+    assert got["openapi"] == ["api/openapi.yaml"] and got["docker"] == ["Dockerfile.dev"] and got["shell"] == ["run"]
+    assert got["postgres-migrations"] == ["db/migrations/0001_x.sql"] and got["react"] == ["dependencies"]
+    assert got["github-actions"] == [".github/workflows/ci.yml"] and got["benchmark-tests"] == ["t.py"]
+    assert "terraform" not in got and "php" not in got
