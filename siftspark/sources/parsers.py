@@ -199,3 +199,89 @@ for _name, _parser in {"text": text, "pydoclint": headed, "ruff": ruff, "pylint"
 
 def parse(runs: DataFrame, parser: str) -> DataFrame:
     return PARSERS[parser](runs)
+
+
+# ---------------------------------------------------------------- parsers told by where their fields are
+
+
+def _first(paths: tuple[str, ...], kind: str = "string") -> Column:
+    return F.coalesce(*(_get(p, kind) for p in paths)) if paths else F.lit(None).cast(kind)
+
+
+def _level(paths: tuple[str, ...], default: str) -> Column:
+    raw = F.lower(_first(paths))
+    known = F.when(raw.isin("error", "fatal", "critical", "high", "2"), "error").when(raw.isin("warning", "warn", "medium", "1"), "warning").when(raw.isin("note", "info", "style", "low", "convention", "refactor", "notice"), "note")
+    return F.coalesce(known, F.lit(default))
+
+
+def spec(items: tuple[str, ...], message: tuple[str, ...], default: str, path=(), line=(), column=(), code=(), severity=(), level: str = "error", inner: tuple[str, ...] = (), outer_path=(), code_prefix: str = "", when_empty: bool = True, quiet: str | None = None) -> Parser:
+    """A parser for JSON whose fields are at the given paths, the first that is there.
+
+    items: where the list is; inner: a list inside each item, whose path may be the outer item's (outer_path).
+    quiet: output with this text means that nothing was in scope.
+    """
+
+    def parser(runs: DataFrame) -> DataFrame:
+        if quiet:
+            runs = runs.where(~F.contains(F.concat("stdout", F.coalesce("stderr", F.lit(""))), F.lit(quiet)))
+        rows = _items(runs, *items).withColumn("place", _first(outer_path))
+        if inner:
+            nested = F.coalesce(*(_get(p, "array<variant>") for p in inner))
+            rows = rows.select("run", "tool", "place", F.col("pos").alias("outer"), F.posexplode(nested).alias("p", "item")).withColumn("pos", F.col("outer") * 10_000 + F.col("p"))
+        found = rows.select(
+            "run",
+            F.col("pos").cast("int").alias("pos"),
+            "tool",
+            F.coalesce(F.col("place"), _first(path)).alias("path"),
+            _first(line, "int").alias("line"),
+            _first(column, "int").alias("column"),
+            F.concat(F.lit(code_prefix), _first(code)).alias("code"),
+            F.coalesce(_first(message), F.lit(default)).alias("message"),
+            _level(severity, level).alias("severity") if severity else F.lit(level).alias("severity"),
+        )
+        return _with_fallback(runs, found, when_empty)
+
+    return parser
+
+
+register("shellcheck", spec(("$.comments",), ("$.message",), "ShellCheck finding", path=("$.file",), line=("$.line",), column=("$.column",), code=("$.code",), severity=("$.level",), level="warning", code_prefix="SC"))
+register("hadolint", spec((), ("$.message",), "Hadolint finding", path=("$.file",), line=("$.line",), column=("$.column",), code=("$.code",), severity=("$.level",), level="warning"))
+register("sqlfluff", spec((), ("$.description", "$.message"), "SQLFluff finding", line=("$.start_line_no", "$.line_no"), column=("$.start_line_pos", "$.line_pos"), code=("$.code",), inner=("$.violations",), outer_path=("$.filepath", "$.path")))
+register("golangci-lint", spec(("$.Issues", "$.issues"), ("$.Text", "$.text"), "Go correctness finding", path=("$.Pos.Filename", "$.pos.filename"), line=("$.Pos.Line", "$.pos.line"), column=("$.Pos.Column", "$.pos.column"), code=("$.FromLinter", "$.fromLinter", "$.linter")))
+register("bandit", spec(("$.results",), ("$.issue_text",), "Bandit finding", path=("$.filename",), line=("$.line_number",), column=("$.col_offset",), code=("$.test_id",), severity=("$.issue_severity",), when_empty=False))
+register("eslint", spec(("$.results", "$.diagnostics"), ("$.message", "$.description"), "eslint finding", line=("$.line", "$.start_line"), column=("$.column", "$.start_column"), code=("$.ruleId", "$.rule_id", "$.code"), severity=("$.severity",), level="warning", inner=("$.messages", "$.diagnostics"), outer_path=("$.filePath", "$.path", "$.filename")))
+register("deptry", spec((), ("$.error.message",), "dependency finding", path=("$.location.file",), line=("$.location.line",), column=("$.location.column",), code=("$.error.code",), when_empty=False))
+
+
+def phpstan(runs: DataFrame) -> DataFrame:
+    """Messages by file, then errors without a place."""
+    parsed = runs.withColumn("doc", F.try_parse_json("stdout")).where("doc IS NOT NULL")
+    files = parsed.select("run", "tool", F.posexplode(F.map_entries(F.try_variant_get("doc", "$.files", "map<string,variant>"))).alias("outer", "f"))
+    messages = files.select("run", "tool", "outer", F.col("f.key").alias("path"), F.posexplode(F.try_variant_get(F.col("f.value"), "$.messages", "array<variant>")).alias("p", "item"))
+    found = messages.select("run", (F.col("outer") * 10_000 + F.col("p")).alias("pos"), "tool", "path", _get("$.line", "int").alias("line"), _get("$.identifier").alias("code"), F.coalesce(_get("$.message"), F.lit("PHPStan finding")).alias("message"), F.lit("error").alias("severity"))
+    loose = parsed.select("run", "tool", F.posexplode(F.try_variant_get("doc", "$.errors", "array<string>")).alias("p", "message")).select("run", (F.col("p") + 1_000_000_000).alias("pos"), "tool", "message", F.lit("error").alias("severity"))
+    return _with_fallback(runs, _shaped(found).unionByName(_shaped(loose)))
+
+
+def clippy(runs: DataFrame) -> DataFrame:
+    """Compiler messages among JSON lines, at their primary span."""
+    rows = lines_of(runs).withColumn("item", F.try_parse_json("raw")).where(F.try_variant_get("item", "$.reason", "string") == "compiler-message")
+    spans = F.filter(_get("$.message.spans", "array<variant>"), lambda s: F.try_variant_get(s, "$.is_primary", "boolean"))
+    rows = rows.withColumn("span", F.get(spans, F.lit(0))).where(_get("$.message.level").isin("error", "warning"))
+    at = lambda p, k="string": F.try_variant_get("span", p, k)
+    return _shaped(rows.select("run", "pos", "tool", at("$.file_name").alias("path"), at("$.line_start", "int").alias("line"), at("$.column_start", "int").alias("column"), _get("$.message.code.code").alias("code"), _get("$.message.message").alias("message"), _get("$.message.level").alias("severity")))
+
+
+def cppcheck(runs: DataFrame) -> DataFrame:
+    """XML on stderr: each error at its first location."""
+    place = "struct<_file: string, _line: int, _column: int>"
+    schema = f"struct<errors: struct<error: array<struct<_id: string, _severity: string, _msg: string, location: array<{place}>>>>>"
+    xml = F.when(F.contains(F.coalesce("stderr", F.lit("")), F.lit("<results")), F.col("stderr")).otherwise(F.col("stdout"))
+    rows = runs.select("run", "tool", F.posexplode(F.from_xml(xml, schema, {"mode": "PERMISSIVE"}).getField("errors").getField("error")).alias("pos", "e"))
+    first = F.get("e.location", F.lit(0))
+    severity = F.when(F.col("e._severity") == "error", "error").when(F.col("e._severity").isin("warning", "performance", "portability"), "warning").otherwise("note")
+    return _shaped(rows.select("run", "pos", "tool", first.getField("_file").alias("path"), first.getField("_line").alias("line"), first.getField("_column").alias("column"), F.col("e._id").alias("code"), F.col("e._msg").alias("message"), severity.alias("severity")))
+
+
+for _name, _parser in {"phpstan": phpstan, "clippy": clippy, "cppcheck": cppcheck}.items():
+    register(_name, _parser)

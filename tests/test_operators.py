@@ -215,3 +215,23 @@ def test_technology_inventory(spark):
     assert got["postgres-migrations"] == ["db/migrations/0001_x.sql"] and got["react"] == ["dependencies"]
     assert got["github-actions"] == [".github/workflows/ci.yml"] and got["benchmark-tests"] == ["t.py"]
     assert "terraform" not in got and "php" not in got
+
+
+def test_more_parsers(spark):
+    def got(parser, out, *cols, stderr=""):
+        df = spark.createDataFrame([(1, parser, 1, out if isinstance(out, str) else json.dumps(out), stderr)], "run int, tool string, exit_code int, stdout string, stderr string")
+        return values(parsers.parse(df, parser), *cols)
+
+    assert got("shellcheck", [{"file": "a.sh", "line": 1, "column": 2, "code": 2086, "message": "m", "level": "info"}], "path", "code", "severity") == [("a.sh", "SC2086", "note")]
+    assert got("shellcheck", {"comments": [{"file": "b.sh", "code": 1}]}, "path", "code", "message") == [("b.sh", "SC1", "ShellCheck finding")]
+    assert got("hadolint", [{"file": "D", "line": 3, "code": "DL1", "message": "m", "level": "error"}], "path", "line", "severity") == [("D", 3, "error")]
+    assert got("sqlfluff", [{"filepath": "q.sql", "violations": [{"start_line_no": 2, "code": "LT01", "description": "d"}, {"line_no": 5, "code": "L2"}]}], "path", "line", "code") == [("q.sql", 2, "LT01"), ("q.sql", 5, "L2")]
+    assert got("golangci-lint", {"Issues": [{"FromLinter": "vet", "Text": "t", "Pos": {"Filename": "m.go", "Line": 4}}]}, "path", "line", "code", "message") == [("m.go", 4, "vet", "t")]
+    assert got("bandit", {"results": [{"filename": "a.py", "line_number": 7, "test_id": "B1", "issue_text": "t", "issue_severity": "HIGH"}]}, "line", "code", "severity") == [(7, "B1", "error")]
+    assert got("eslint", [{"filePath": "x.js", "messages": [{"line": 1, "ruleId": "r", "message": "m", "severity": 2}, {"line": 2, "ruleId": "s", "message": "n", "severity": 1}]}], "path", "code", "severity") == [("x.js", "r", "error"), ("x.js", "s", "warning")]
+    assert got("phpstan", {"files": {"a.php": {"messages": [{"message": "m", "line": 3}]}}, "errors": ["loose"]}, "path", "line", "message") == [("a.php", 3, "m"), (None, None, "loose")]
+    clippy = json.dumps({"reason": "compiler-message", "message": {"level": "warning", "message": "m", "code": {"code": "c"}, "spans": [{"is_primary": False, "file_name": "z"}, {"is_primary": True, "file_name": "m.rs", "line_start": 9}]}})
+    assert got("clippy", clippy + "\n" + json.dumps({"reason": "build-finished"}), "path", "line", "code") == [("m.rs", 9, "c")]
+    xml = '<?xml version="1.0"?><results version="2"><errors><error id="nullPointer" severity="error" msg="m"><location file="a.c" line="3" column="4"/><location file="b.c" line="9"/></error></errors></results>'
+    assert got("cppcheck", "", "path", "line", "code", "severity", stderr=xml) == [("a.c", 3, "nullPointer", "error")]
+    assert got("eslint", "x.js:1:2: error: plain", "path", "line") == [("x.js", 1)]
