@@ -178,7 +178,7 @@ def sort_buckets(rows: DataFrame, window: int = WINDOW) -> DataFrame:
 def repeats(rows: DataFrame, window: int = WINDOW, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """rows: as of keyed(). doc_id, th and spans array<struct<start, n, flags>>: windows that also start in a document with a smaller id; null flags: all n of them."""
     kmers = stored(scan(rows, window), "kmers")
-    shared = kmers.groupBy("mini").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mini")
+    shared = stored(kmers.groupBy("mini").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mini"), "shared-minimisers")
     kmers = stored(kmers.join(shared, "mini", "left_semi"), "shared-kmers")
     distinct = stored(kmers.groupBy("mini", "s").agg(F.min(F.struct("doc_id", "th", "start", "n")).alias("r")), "distinct-kmers")
     several = distinct.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1")
