@@ -179,3 +179,20 @@ def looks_secret(name: Column, value: Column) -> Column:
     harmless = low.isin(*PLACEHOLDERS) | low.rlike("^(example_|test_)") | F.contains(value, F.lit("${")) | value.rlike("^<.*>$")
     shaped = value.rlike(TOKEN_SHAPE) | F.contains(value, F.lit("PRIVATE KEY-----"))
     return ~harmless & (shaped | (name.rlike(SECRET_NAME) & value.rlike(r"^[A-Za-z0-9_./+=:@\-]{16,}$")))
+
+
+def is_public(name: Column, column: Column, path: Column) -> Column:
+    """Module-level names of the sources without a leading underscore."""
+    return ~F.startswith(name, F.lit("_")) & (column == 0) & F.startswith(path, F.lit("src/"))
+
+
+def name_without(name: Column, token: str) -> Column:
+    """A name in snake case without one of its words; null if it doesn't have it."""
+    words = F.split(name, "_")
+    return F.when(F.array_contains(words, token), F.array_join(F.array_remove(words, F.lit(token)), "_"))
+
+
+def name_with_swapped(name: Column, token: str, other: str) -> Column:
+    """A name in snake case with one word exchanged; null if it doesn't have it."""
+    words = F.split(name, "_")
+    return F.when(F.array_contains(words, token), F.array_join(F.transform(words, lambda w: F.when(w == token, F.lit(other)).otherwise(w)), "_"))

@@ -111,3 +111,17 @@ def inconsistent_predicates(checks: DataFrame) -> DataFrame:
     """checks: variable, place, value. Variables that different places accept different sets of values for."""
     sets = checks.groupBy("variable", "place").agg(F.array_join(F.array_sort(F.collect_set("value")), ",").alias("accepted"))
     return sets.groupBy("variable").agg(F.count_distinct("accepted").alias("variants"), F.count("*").alias("places")).where("variants > 1")
+
+
+def witnessed(contradictions: DataFrame, witnesses: DataFrame, least: float = 0.90) -> DataFrame:
+    """contradictions: path, function, confidence; witnesses: path, function. Those with a witness are at least so sure."""
+    hit = witnesses.select("path", "function").distinct().withColumn("witnessed", F.lit(True))
+    rows = contradictions.join(hit, ["path", "function"], "left")
+    return rows.withColumn("confidence", F.when(F.col("witnessed"), F.greatest("confidence", F.lit(least))).otherwise(F.col("confidence"))).withColumn("witnessed", F.coalesce("witnessed", F.lit(False)))
+
+
+def unguarded_uses(uses: DataFrame, guards: DataFrame) -> DataFrame:
+    """uses: scope, name, pos; guards: scope, name, pos. The first use of each name that may be null and that no guard comes before."""
+    first = guards.groupBy("scope", "name").agg(F.min("pos").alias("guarded_at"))
+    rows = uses.join(first, ["scope", "name"], "left").where(F.col("guarded_at").isNull() | (F.col("pos") < F.col("guarded_at")))
+    return rows.groupBy("scope", "name").agg(F.min("pos").alias("pos"))

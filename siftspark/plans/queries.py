@@ -752,3 +752,26 @@ def timeout_outcome(spark, d):
 def local_urls(spark, d):
     url = F.concat(F.lit("http://"), F.expr("CASE WHEN page_id % 3 = 0 THEN 'localhost:80/' WHEN page_id % 3 = 1 THEN '127.0.0.1' ELSE '' END"), "url")
     return a.table(spark, d, "pages").select("page_id", fx.is_local_url(url).alias("local"))
+
+
+@query("""WITH c AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'p' || (l_suppkey % 30) AS path, 'f' || (l_partkey % 50) AS function, round(1 - 4 * l_discount, 6) AS confidence FROM lineitem),
+w AS (SELECT DISTINCT 'p' || (p_size % 30) AS path, 'f' || (p_partkey % 50) AS function FROM part)
+SELECT id, c.path, c.function, CASE WHEN w.path IS NOT NULL THEN greatest(confidence, 0.9) ELSE confidence END AS confidence, w.path IS NOT NULL AS witnessed FROM c LEFT JOIN w ON w.path = c.path AND w.function = c.function""")
+def witness_upgrade(spark, d):
+    rows = a.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "concat('p', l_suppkey % 30) AS path", "concat('f', l_partkey % 50) AS function", "round(1 - 4 * l_discount, 6) AS confidence")
+    seen = a.table(spark, d, "part").selectExpr("concat('p', p_size % 30) AS path", "concat('f', p_partkey % 50) AS function")
+    return compare.witnessed(rows, seen).select("id", "path", "function", "confidence", "witnessed")
+
+
+@query(f"WITH {a.OPS_SQL} SELECT key AS scope, name, min(pos) AS pos FROM o u WHERE op = 'view' AND NOT EXISTS (SELECT 1 FROM o g WHERE g.key = u.key AND g.name = u.name AND g.op = 'click' AND g.pos <= u.pos) GROUP BY 1, 2")
+def nullable_dereference(spark, d):
+    ops = a.operations(spark, d).withColumnRenamed("key", "scope")
+    return compare.unguarded_uses(ops.where("op = 'view'"), ops.where("op = 'click'"))
+
+
+@query("""WITH n AS (SELECT p_partkey, ['load', '_load', 'fast_load', 'load_fast_all', 'import'][p_partkey % 5 + 1] AS name, CAST(p_size % 2 AS INTEGER) * 4 AS col, CASE WHEN p_size % 3 = 0 THEN 'tests/a.py' ELSE 'src/a.py' END AS path FROM part)
+SELECT p_partkey, name NOT LIKE '\\_%' ESCAPE '\\' AND col = 0 AND path LIKE 'src/%' AS public, CASE name WHEN 'fast_load' THEN 'load' WHEN 'load_fast_all' THEN 'load_all' END AS plain,
+       CASE name WHEN 'load' THEN 'dump' WHEN '_load' THEN '_dump' WHEN 'fast_load' THEN 'fast_dump' WHEN 'load_fast_all' THEN 'dump_fast_all' END AS inverse FROM n""")
+def naming_variants(spark, d):
+    n = a.table(spark, d, "part").selectExpr("p_partkey", "element_at(array('load', '_load', 'fast_load', 'load_fast_all', 'import'), cast(p_partkey % 5 + 1 AS INT)) AS name", "cast(p_size % 2 AS INT) * 4 AS col", "if(p_size % 3 = 0, 'tests/a.py', 'src/a.py') AS path")
+    return n.select("p_partkey", fx.is_public(F.col("name"), F.col("col"), F.col("path")).alias("public"), fx.name_without(F.col("name"), "fast").alias("plain"), fx.name_with_swapped(F.col("name"), "load", "dump").alias("inverse"))
