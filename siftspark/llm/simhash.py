@@ -8,7 +8,8 @@ sum passes the radius, the whole group below is left out.
 
 Buckets make the work spread: with radius r, two fingerprints within r bits agree in at least one of r + 1
 blocks of bits, so each fingerprint goes to one bucket for each block and no link is lost. A bucket over
-MAX_BUCKET rows is dealt out again by blocks of its remaining bits, under the same law.
+MAX_BUCKET rows is dealt out again by blocks of its remaining bits, under the same law. Near duplicates by
+similarity have no such law: their crowded buckets are cut into blocks that all meet (near_links).
 
 Only distinct fingerprints are indexed; links become components in Spark by alternating star contraction.
 
@@ -346,6 +347,34 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, th long, code binary, bands array<long>")
 
 
+def near_links(meeting: DataFrame, codes: DataFrame, shared: DataFrame, radius: int, max_bucket: int) -> DataFrame:
+    """meeting: bucket, n (its rows), node; codes: node, code; shared: bucket, n. Edges that connect each bucket's codes within the radius.
+
+    A bucket over max_bucket rows is cut into blocks without a condition on what meets. Links are first sought
+    inside the blocks, which are others in each bucket. Where a bucket then still has several components, the rows
+    outside its largest one meet every block: pairs of one component need no link, so no pair that does is left out.
+    """
+    if shared.where(F.col("n") > max_bucket).isEmpty():
+        return bucket_links(meeting.join(codes, "node"), radius)
+    half = max(1, max_bucket // 2)
+    block = lambda n: F.pmod(F.xxhash64("node", "bucket"), F.ceil(n / half))
+    meeting = stored(meeting, "meeting")
+    inside = F.when(F.col("n") > max_bucket, F.xxhash64("bucket", block(F.col("n")))).otherwise(F.col("bucket"))
+    edges = stored(bucket_links(meeting.select("node", inside.alias("bucket")).join(codes, "node"), radius), "inner-links")
+    crowded = meeting.where(F.col("n") > max_bucket).select("bucket", "node").join(components(edges), "node", "left")
+    crowded = stored(crowded.select("bucket", "node", F.coalesce("root", "node").alias("root")), "crowded")
+    held = crowded.groupBy("bucket", "root").agg(F.count("*").alias("m"))
+    split = held.groupBy("bucket").agg(F.max(F.struct("m", "root")).alias("main"), F.sum("m").alias("n")).where("n > main.m")
+    split = stored(split.select("bucket", F.col("main.root").alias("main"), F.ceil(F.col("main.m") / half).alias("mains"), F.ceil((F.col("n") - F.col("main.m")) / half).alias("others")), "split-buckets")
+    rows = crowded.join(split, "bucket")
+    own = F.when(F.col("root") == F.col("main"), F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.col("mains") + F.pmod(F.xxhash64("node"), F.col("others")))
+    # blocks of the largest component come first, and meet only the others
+    rows = rows.withColumn("own", own).withColumn("from", F.when(F.col("own") < F.col("mains"), F.col("mains")).otherwise(F.lit(0).cast("long")))
+    rows = rows.select("bucket", "node", "own", F.explode(F.sequence("from", F.col("mains") + F.col("others") - 1)).alias("with")).where("own <> with")
+    pairs = rows.select(F.xxhash64("bucket", F.least("own", "with"), F.greatest("own", "with")).alias("bucket"), "node")
+    return edges.unionByName(bucket_links(pairs.join(codes, "node"), radius))
+
+
 def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """doc_id, th (a hash of the text), and group of every row; equal groups are texts linked by their fingerprints.
 
@@ -360,7 +389,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, similarity: float = 0
     spread = distinct.select("node", F.explode("bands").alias("bucket"))
     shared = stored(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared-buckets")
     meeting = spread.join(shared, "bucket")
-    edges = bucket_links(meeting.join(distinct.select("node", "code"), "node"), allowed_bits(similarity))
+    edges = near_links(meeting, distinct.select("node", "code"), shared, allowed_bits(similarity), max_bucket)
     return made.select("doc_id", "th", "node").join(components(edges), "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("group"))
 
 

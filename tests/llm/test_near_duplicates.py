@@ -45,3 +45,24 @@ def test_cut_and_extended_copies_link_like_changed_ones(spark):
 def test_pairs_far_apart_stay_apart(spark):
     for kind in ("cut", "added"):
         assert linked(spark, copies(kind, 0.4, 0.6)) <= 0.02, kind
+
+
+def test_crowded_buckets_link_the_same_texts(spark):
+    rnd = random.Random(3)
+    base = [f"word{rnd.randint(0, 9999)}" for _ in range(300)]
+    texts = [" ".join(base)]
+    for _ in range(80):  # copies of one text near and far, so that crowded buckets hold several groups
+        b = [w if rnd.random() > 0.035 else f"other{rnd.randint(0, 9999)}" for w in base]
+        texts.append(" ".join(b[: rnd.randint(230, 300)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def groups(**kw):
+        found = {}
+        for r in simhash.near_duplicate_groups(df, **kw).collect():
+            found.setdefault(r.group, set()).add(r.doc_id)
+        return sorted(map(sorted, found.values()))
+
+    whole = groups()
+    assert 3 < len(whole) < 81
+    for size in (2, 5, 16):
+        assert groups(max_bucket=size) == whole
