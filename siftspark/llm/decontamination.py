@@ -4,20 +4,23 @@ A mask is laid over consecutive words and keeps the positions with a 1; the word
 items and documents are hashed at every position under every mask and joined on the hash, so a hit needs no run
 of equal words. Around the hits of one alignment of document and item, the aligned words are compared position
 by position: the item is found where a stretch of WINDOW item words (the whole item if shorter) has at least
-SIMILARITY of them equal. Any substitution of up to every fifth word is inside the reach of the two masks.
+SIMILARITY of them equal. Wherever the substitutions lie, one of the three masks fits between them; items under
+WINDOW words are sought by a run of words that is as sure to be left. Masks no item needs are not laid.
 
 The benchmark's seeds are broadcast only up to BROADCAST_SEEDS of them, else both sides are exchanged on the hash.
 The words a hit carries on are those aligned with the item, gathered once for each alignment on the map side.
 
 Words are runs of letters and digits, lower-cased.
 
-Defined results: null and empty texts, and items shorter than the shortest mask, match nothing; equal items are
-found each; rows that repeat an id and a text give one row for each item found; a null id is reported as null; an
+Defined results: null and empty texts match nothing; an item of a word or two is found wherever they stand; equal
+items are found each; rows that repeat an id and a text give one row for each item found; a null id is reported as null; an
 empty table on either side gives an empty result; further columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from siftspark.llm.common import stored
 
-MASKS = ("11011011", "1100110011")
+#: However two of WINDOW words are substituted, one of these fits on the others.
+MASKS = ("11011011", "1100110011", "11101010111")
 WINDOW = 13
 SIMILARITY = 0.8
 #: About 40 bytes each.
@@ -40,28 +44,42 @@ def _offsets(mask: str) -> list[int]:
     return [i for i, c in enumerate(mask) if c == "1"]
 
 
-def seeds(rows: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """rows: words and more. One row for each position and mask that fits: seed, at."""
+def surviving_run(n: int, similarity: float = SIMILARITY) -> str:
+    """The mask of the longest run of words that n words keep wherever so many are substituted that the similarity still holds."""
+    need = math.ceil(n * Decimal(str(similarity)))
+    return "1" * math.ceil(need / (n - need + 1))
+
+
+def seeds(rows: DataFrame, masks: tuple[str, ...], wanted: Column | None = None) -> DataFrame:
+    """rows: words and more. One row for each position and mask that fits: seed, at. wanted: the masks of a row, if not all."""
     n, k = F.size("words"), len(masks)
     shortest = min(map(len, masks))
     spread = rows.where(n >= shortest).select("*", F.explode(F.sequence(F.lit(0), (n - shortest + 1) * k - 1)).alias("place"))
     at, which = F.floor(F.col("place") / k).cast("int"), F.col("place") % k
     spread = spread.withColumn("at", at).withColumn("which", which)
     fits = reduce(lambda a, b: a | b, [(F.col("which") == i) & (F.col("at") + len(m) <= n) for i, m in enumerate(masks)])
-    code = lambda i, m: F.xxhash64(F.lit(i), *(F.get("words", F.col("at") + o) for o in _offsets(m)))
-    seed = reduce(lambda c, im: c.when(F.col("which") == im[0], code(*im)), list(enumerate(masks))[1:], F.when(F.col("which") == 0, code(0, masks[0])))
+    if wanted is not None:
+        fits = fits & F.array_contains(wanted, F.element_at(F.array(*map(F.lit, masks)), (F.col("which") + 1).cast("int")))
+    code = lambda m: F.xxhash64(F.lit(m), *(F.get("words", F.col("at") + o) for o in _offsets(m)))
+    seed = reduce(lambda c, im: c.when(F.col("which") == im[0], code(im[1])), list(enumerate(masks))[1:], F.when(F.col("which") == 0, code(masks[0])))
     return spread.where(fits).withColumn("seed", seed).drop("place", "which")
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS, window: int = WINDOW, similarity: float = SIMILARITY, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """doc_id, th (a hash of the text), item_id, item_words, matched (equal aligned words, of the best alignment) and windows (stretches that reach the similarity)."""
-    items = benchmark.select(F.col("item_id").cast("long"), tokens(F.col("text")).alias("words")).where(F.size("words") >= min(map(len, masks)))
+    items = benchmark.select(F.col("item_id").cast("long"), tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
     items = stored(items.withColumn("item_words", F.size("words")).withColumn("item", F.xxhash64("item_id", "words")).distinct(), "items")
-    known = stored(seeds(items, masks).select("seed", "item", F.col("at").alias("item_at"), "item_words").distinct(), "seeds")
+    # of each number of words, WINDOW for all from there on
+    by_width = {n: (surviving_run(n, similarity),) for n in range(1, window)} | {window: masks}
+    width = F.least(F.lit(window), F.col("item_words"))
+    present = [r.width for r in items.select(width.alias("width")).distinct().collect()]
+    laid = tuple(sorted({m for n in present for m in by_width[n]})) or masks
+    wanted = F.element_at(F.array(*(F.array(*map(F.lit, by_width[n])) for n in range(1, window + 1))), width)
+    known = stored(seeds(items, laid, wanted).select("seed", "item", F.col("at").alias("item_at"), "item_words").distinct(), "seeds")
     if known.count() <= broadcast_seeds:
         known = F.broadcast(known)
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("th"), tokens(F.col("text")).alias("words"))
-    hits = seeds(texts, masks).join(known, "seed")
+    hits = seeds(texts, laid).join(known, "seed")
     shift = F.col("at") - F.col("item_at")
     start = F.greatest(shift, F.lit(0))
     hits = hits.select("doc_id", "th", "item", shift.alias("shift"), F.slice("words", start + 1, F.col("item_words") - (start - shift)).alias("aligned"))
@@ -70,7 +88,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     ahead = F.greatest(-F.col("shift"), F.lit(0))
     equal = F.filter(F.sequence(F.lit(0), F.col("item_words") - 1), lambda i: F.get("aligned", i - ahead) == F.get("words", i))
     both = both.select("doc_id", "th", "item_id", "item_words", equal.alias("equal"))
-    width = F.least(F.lit(window), F.col("item_words"))
     need = F.ceil(width * F.lit(similarity).cast("decimal(4,3)"))
     inside = lambda i: F.size(F.filter("equal", lambda x: (x >= i) & (x < i + width)))
     windows = F.size(F.filter(F.sequence(F.lit(0), F.col("item_words") - width), lambda i: inside(i) >= need))
