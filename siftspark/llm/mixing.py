@@ -6,14 +6,15 @@ cap over weight the clamped sources come first, so prefix sums find that fixed p
 
 A target is whole epochs plus a part of one. Documents of the part are those whose seeded digest comes first:
 two histograms of digests for each source (4096 bins, then 4096 within the bin where the target falls) find the
-digest at which the part is full. So no source is ever sorted or gathered, and the words taken miss the target
-by half of the words that share one 24-bit digest at most.
+digest at which the part is full. The documents that share this digest of the id, as those without an id do, are
+split by one of the text in the same way. So no source is ever sorted or gathered, and the words taken miss the
+target by half of the words that share both 24-bit digests at most.
 
 Weights belong to sources in code point order, null last: WEIGHTS, repeating.
 
 Defined results: null text has size 0; a source of size 0 has target 0 and takes nothing; a null source is a
-source of its own; equal ids draw equal lots; a null id draws one lot too; rows that repeat count each; an empty
-table gives an empty result; mixed() keeps every column it gets, whatever its name.
+source of its own; equal ids draw equal lots; a null id draws one lot too; rows of one lot are told apart by their
+texts only, so rows equal in both win or lose together; rows that repeat count each; an empty table gives an empty result; mixed() keeps every column it gets, whatever its name.
 """
 
 from __future__ import annotations
@@ -34,6 +35,11 @@ def lot(seed: int) -> Column:
     return F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f":{seed}")).cast("binary")), 1, 6)
 
 
+def tie(seed: int) -> Column:
+    """24 seeded bits of the text, as 6 hex digits, for rows of one lot."""
+    return F.substring(F.lpad(F.hex(F.xxhash64(F.col("text").cast("string"), F.lit(seed))), 16, "0"), 1, 6)
+
+
 def source_key() -> Column:
     """The source as a key without nulls that sorts as sources do: by code point, null last."""
     return F.coalesce(F.concat(F.lit("a"), F.col("source").cast("string")), F.lit("b"))
@@ -64,10 +70,10 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int =
 
 
 def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
-    """sized: doc_id, sk, size. For each source its target, whole epochs, and the lots that win one more."""
+    """sized: doc_id, sk, size, tie. For each source its target, whole epochs, and the lots, and ties of the last one, that win one more."""
     whole = F.coalesce(F.least(F.lit(epochs), F.floor(F.col("target") / F.nullif("source_size", F.lit(0)))), F.lit(0)).cast("int")
     shares = stored(targets(sized, weights, epochs).withColumn("whole", whole).withColumn("part", F.col("target") - whole * F.col("source_size")), "targets")
-    drawn = sized.select("sk", "size", F.substring(lot(seed), 1, 3).alias("high"), lot(seed).alias("lot"))
+    drawn = sized.select("sk", "size", F.substring(lot(seed), 1, 3).alias("high"), lot(seed).alias("lot"), F.substring("tie", 1, 3).alias("high_tie"), "tie")
 
     def passed(bins: DataFrame, goals: DataFrame, digits: str) -> DataFrame:
         """The bin with which each source passes its goal; `ahead` is what the bins before it hold."""
@@ -78,27 +84,31 @@ def plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
 
     high = stored(passed(drawn.groupBy("sk", "high").agg(F.sum("size").alias("held")), shares.select("sk", "part"), "high"), "high-lots")
     near = drawn.join(high.select("sk", "high"), ["sk", "high"], "left_semi")
-    low = passed(near.groupBy("sk", "lot").agg(F.sum("size").alias("held")), high.select("sk", "part"), "lot")
-    low = low.select("sk", F.col("lot").alias("edge_lot"), (F.col("part") * 2 >= F.col("held")).alias("edge_wins"))
+    low = stored(passed(near.groupBy("sk", "lot").agg(F.sum("size").alias("held")), high.select("sk", "part"), "lot"), "low-lots")
+    edge_rows = stored(near.join(low.select("sk", "lot"), ["sk", "lot"], "left_semi").groupBy("sk", "high_tie", "tie").agg(F.sum("size").alias("held")), "edge-lots")
+    high_tie = passed(edge_rows.groupBy("sk", "high_tie").agg(F.sum("held").alias("held")), low.select("sk", "part"), "high_tie")
+    last = passed(edge_rows.join(high_tie.select("sk", "high_tie"), ["sk", "high_tie"], "left_semi"), high_tie.select("sk", "part"), "tie")
+    last = last.select("sk", F.col("tie").alias("edge_tie"), (F.col("part") * 2 >= F.col("held")).alias("edge_wins"))
+    low = low.select("sk", F.col("lot").alias("edge_lot")).join(last, "sk")
     # a source without a part takes no more than its whole epochs
     edge = F.when(F.col("part") > 0, F.coalesce("edge_lot", F.lit(""))).otherwise("")
-    return stored(shares.join(low, "sk", "left").select("sk", "source_size", "target", "whole", edge.alias("edge_lot"), F.coalesce("edge_wins", F.lit(False)).alias("edge_wins")), "mixing-plan")
+    return stored(shares.join(low, "sk", "left").select("sk", "source_size", "target", "whole", edge.alias("edge_lot"), F.coalesce("edge_tie", F.lit("")).alias("edge_tie"), F.coalesce("edge_wins", F.lit(False)).alias("edge_wins")), "mixing-plan")
 
 
 def with_copies(rows: DataFrame, shares: DataFrame, seed: int = SEED) -> DataFrame:
-    """rows: doc_id, sk and more. Adds copies, how often the mix takes the row, and its source's source_size and target."""
-    taken = F.col("whole") + ((lot(seed) < F.col("edge_lot")) | ((lot(seed) == F.col("edge_lot")) & F.col("edge_wins"))).cast("int")
-    return rows.join(shares, "sk").withColumn("copies", taken).drop("sk", "whole", "edge_lot", "edge_wins")
+    """rows: doc_id, sk, tie and more. Adds copies, how often the mix takes the row, and its source's source_size and target."""
+    taken = F.col("whole") + ((lot(seed) < F.col("edge_lot")) | ((lot(seed) == F.col("edge_lot")) & ((F.col("tie") < F.col("edge_tie")) | ((F.col("tie") == F.col("edge_tie")) & F.col("edge_wins"))))).cast("int")
+    return rows.join(shares, "sk").withColumn("copies", taken).drop("sk", "tie", "whole", "edge_lot", "edge_tie", "edge_wins")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), source_key().alias("sk"), word_count(F.col("text")).alias("size"))
+def sizes(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), source_key().alias("sk"), word_count(F.col("text")).alias("size"), tie(seed).alias("tie"))
 
 
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns it came with."""
-    shares = plan(stored(sizes(docs), "sizes"), weights, epochs, seed)
-    rows = docs.select("doc_id", source_key().alias("sk"), F.struct(*docs.columns).alias("row"))
+    shares = plan(stored(sizes(docs, seed), "sizes"), weights, epochs, seed)
+    rows = docs.select("doc_id", source_key().alias("sk"), tie(seed).alias("tie"), F.struct(*docs.columns).alias("row"))
     taken = with_copies(rows, shares, seed).select("row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("again"))
     return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
