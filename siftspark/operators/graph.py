@@ -52,18 +52,30 @@ def boundary_gaps(calls: DataFrame, failure_tests: DataFrame) -> DataFrame:
     return calls.select("symbol", "boundary").distinct().join(failure_tests.select("boundary").distinct(), "boundary", "left_anti")
 
 
-def chain_ends(forwards: DataFrame, most: int = 16) -> DataFrame:
+def chain_ends(forwards: DataFrame) -> DataFrame:
     """forwards: name, target (one each). Where forwarding ends; what runs in a circle ends nowhere.
 
-    Pointers double: after k rounds each name has gone 2^k steps, so `most` steps take log2(most) joins.
+    Pointers double: after k rounds each name has gone 2^k steps or to its end. A chain that goes on has names at
+    every distance from its end, so once a round brings no name to an end, only circles are left. Each round is
+    written to the shared folder.
     """
-    at = forwards.groupBy("name").agg(F.min("target").alias("target")).withColumn("steps", F.lit(1))
-    reach = 1
-    while reach < most:
+    spark = forwards.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+
+    def kept(df: DataFrame) -> DataFrame:
+        if not folder:
+            return df
+        path = f"{folder}/chains-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    at = kept(forwards.groupBy("name").agg(F.min("target").alias("target")).withColumn("steps", F.lit(1)))
+    names, before = at.select(F.col("name").alias("target")), None
+    while (left := at.join(names, "target", "left_semi").count()) and left != before:
+        before = left
         onward = at.select(F.col("name").alias("target"), F.col("target").alias("onward"), F.col("steps").alias("more"))
-        at = at.join(onward, "target", "left").select("name", F.coalesce("onward", "target").alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"))
-        reach *= 2
-    names = forwards.select(F.col("name").alias("target")).distinct()
+        moved = at.join(onward, "target", "left")
+        at = kept(moved.select("name", F.when(F.col("more").isNull(), F.col("target")).otherwise(F.col("onward")).alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
     return at.join(names, "target", "left_anti").select("name", F.col("target").alias("terminal"), "steps")
 
 

@@ -330,7 +330,7 @@ x(name, target, steps) AS (SELECT name, target, 1 FROM w UNION ALL SELECT x.name
 SELECT name, target AS terminal, CAST(steps AS INTEGER) AS steps FROM x WHERE target NOT IN (SELECT name FROM w)""")
 def chain_terminal(spark, d):
     forwards = a.table(spark, d, "supplier").where("s_nationkey % 3 <> 0").selectExpr("s_suppkey AS name", "s_suppkey + 1 + s_nationkey % 4 AS target")
-    return graph.chain_ends(forwards, 64)
+    return graph.chain_ends(forwards)
 
 
 @query()
