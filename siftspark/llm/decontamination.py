@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 from decimal import Decimal
-from functools import reduce
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,11 +57,13 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], wanted: Column | None = None)
     spread = rows.where(n >= shortest).select("*", F.explode(F.sequence(F.lit(0), (n - shortest + 1) * k - 1)).alias("place"))
     at, which = F.floor(F.col("place") / k).cast("int"), F.col("place") % k
     spread = spread.withColumn("at", at).withColumn("which", which)
-    fits = reduce(lambda a, b: a | b, [(F.col("which") == i) & (F.col("at") + len(m) <= n) for i, m in enumerate(masks)])
+    # one expression for all masks: code that grows with them is too large for the JVM to compile
+    of = lambda values: F.element_at(F.array(*(F.lit(v).cast("int") for v in values)), (F.col("which") + 1).cast("int"))
+    fits = F.col("at") + of(map(len, masks)) <= n
     if wanted is not None:
         fits = fits & F.array_contains(wanted, F.element_at(F.array(*map(F.lit, masks)), (F.col("which") + 1).cast("int")))
-    code = lambda m: F.xxhash64(F.lit(m), *(F.get("words", F.col("at") + o) for o in _offsets(m)))
-    seed = reduce(lambda c, im: c.when(F.col("which") == im[0], code(im[1])), list(enumerate(masks))[1:], F.when(F.col("which") == 0, code(masks[0])))
+    places = zip_longest(*map(_offsets, masks))  # a mask that keeps fewer words hashes nulls, which count for nothing
+    seed = F.xxhash64("which", *(F.get("words", F.col("at") + of(p)) for p in places))
     return spread.where(fits).withColumn("seed", seed).drop("place", "which")
 
 
