@@ -1,8 +1,9 @@
 """Main text of web pages by two passes of block rules.
 
 A page is cut into blocks at its block elements. What stands in menus, page headers, footers, sidebars, notices,
-adverts, forms, scripts, styles and reader comments, by element, role, or a word of its class or id, is decided
-against from the start. The first pass decides the other blocks that show what they are: mostly link text is
+adverts, forms, scripts, styles and reader comments, by element, role, or a name in its class or id, is decided
+against from the start; a name counts whole or joined with words of page furniture, so cookie-notice does and
+share-price does not, and names that an article's own parts may have need the looks of boilerplate there as well. The first pass decides the other blocks that show what they are: mostly link text is
 boilerplate; enough stop words, or mere length, is text. The second pass gives each block still undecided, such
 as headings and short lines, the label of the nearest decided block of its own region (the next one on a tie).
 A region is an article or main element, or else the page; where articles have text, the rest of the page has none.
@@ -44,15 +45,32 @@ BLOCKS = frozenset(
 DROPPED = frozenset("aside button dialog footer form head header iframe menu nav noscript object select svg template".split())
 RAW = "script|style|textarea|title|noscript|iframe|template|svg"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-#: Words of a class, id or role that mark what an element holds; fixed values.
+#: Names in a class, id or role that mark what an element holds; fixed values.
 MARKS = frozenset(
     """ad ads advert advertisement adverts adsense adbox banner banners breadcrumb breadcrumbs consent contentinfo cookie cookies disclaimer
-    footer gdpr login masthead menu menus menubar modal nav navbar navigation navigationbar newsletter notice notices overlay pagination paywall
-    popup promo promoted promotion related search share sharing sidebar signup skip social sponsor sponsored subscribe teaser toolbar topbar warning
-    widget widgets complementary alert""".split()
+    footer gdpr masthead menu menus menubar modal nav navbar navigation navigationbar newsletter notice notices pagination paywall
+    popup promo promoted promotion sidebar sponsor sponsored subscribe teaser toolbar topbar complementary""".split()
 )
-COMMENT_MARKS = frozenset("comment comments commentlist respond replies disqus discussion".split())
+#: Names that may be those of the article's own parts as well: inside an article, such a block must also look like boilerplate. Fixed values.
+WEAK_MARKS = frozenset("alert login overlay related search share sharing signup skip social warning widget widgets".split())
+COMMENT_MARKS = frozenset("comment comments commentlist respond replies disqus".split())
 HEADER_MARKS = frozenset("header site-header page-header siteheader pageheader".split())
+#: What a name that marks may be joined with and still say the same: cookie-notice, related-posts, but not share-price. Fixed values.
+FURNITURE = frozenset(
+    """area articles bar block bottom box button buttons col column container content cta dropdown fixed form global group header holder icon icons
+    inner input item items left link links list main menu message mobile module overlay page panel placeholder policy post posts primary reader
+    right row secondary section site slot stories sticky thread top unit user wrap wrapper""".split()
+)
+
+
+def marks_in(value: str, marks: frozenset[str]) -> bool:
+    """Whether a name in the value, as a whole or as a compound with nothing but FURNITURE and other marks, is one of the marks."""
+    for name in value.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        if any(w in marks for w in words) and all(w in marks or w in MARKS or w in WEAK_MARKS or w in COMMENT_MARKS or w in FURNITURE for w in words):
+            return True
+    return False
+
 
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -65,27 +83,31 @@ _SPACE = re.compile(r"\s+")
 
 
 def _holds_none(name: str, attrs: str, in_article: bool) -> str:
-    """Why an element holds no main text: "element", "mark", "comment", or nothing."""
+    """Why an element holds no main text: "element", "mark", "weak" (if it looks like it), "comment", or nothing."""
     if name in DROPPED and not (name == "header" and in_article):
         return "element"
     if name in ("html", "body") or not attrs.strip():
         return ""
+    found = ""
     for kind, a, b, c in _ATTR.findall(attrs):
         kind, value = kind.lower(), (a or b or c).lower()
         if kind == "hidden" or kind == "aria-hidden" and value == "true" or kind == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return "element"
         if kind in ("class", "id", "role"):
-            words = set(re.split(r"[^a-z0-9]+", value))
-            if words & COMMENT_MARKS:
+            if marks_in(value, COMMENT_MARKS):
                 return "comment"
-            if name not in ("article", "main") and (words & MARKS or not in_article and set(value.split()) & HEADER_MARKS):
-                return "mark"
-    return ""
+            if name in ("article", "main"):
+                continue
+            if marks_in(value, MARKS) or not in_article and (set(value.split()) & HEADER_MARKS or marks_in(value, WEAK_MARKS)):
+                found = "mark"
+            elif not found and marks_in(value, WEAK_MARKS):
+                found = "weak"
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, region, whether dropped, characters in links) in page order; region 0 is the page itself."""
-    out: list[tuple[str, int, bool, int]] = []
+def blocks(page: str) -> list[tuple[str, int, str, int]]:
+    """(text, region, why dropped, characters in links) in page order; region 0 is the page itself."""
+    out: list[tuple[str, int, str, int]] = []
     text: list[str] = []
     links: list[str] = []
     stack: list[tuple[str, int, str]] = []  # element, region, why it is dropped
@@ -94,7 +116,7 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     def end() -> None:
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if joined:
-            out.append((joined, region, bool(why), len(_SPACE.sub(" ", html.unescape("".join(links))).strip())))
+            out.append((joined, region, why, len(_SPACE.sub(" ", html.unescape("".join(links))).strip())))
         text.clear()
         links.clear()
 
@@ -139,8 +161,8 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
             if name in ("article", "main") and not own:
                 regions += 1
                 region = regions
-                why = "" if why == "mark" else why
-            why = why or own
+                why = "" if why in ("mark", "weak") else why
+            why = own if not why or why == "weak" and own else why
             stack.append((name, region, why))
     if tail := page[at:]:
         text.append(tail)
@@ -150,38 +172,50 @@ def blocks(page: str) -> list[tuple[str, int, bool, int]]:
     return out
 
 
+def nearest(labels: list[bool | None]) -> list[bool | None]:
+    """Labels, the undecided ones taken from the nearest decided one, the next on a tie; two sweeps."""
+    n = len(labels)
+    back: list[tuple[int, bool | None]] = []
+    last, label = -1, None
+    for i, own in enumerate(labels):
+        if own is not None:
+            last, label = i, own
+        back.append((i - last if label is not None else 2 * n, label))
+    out = list(labels)
+    ahead, label = 2 * n, None
+    for i in range(n - 1, -1, -1):
+        if labels[i] is not None:
+            ahead, label = i, labels[i]
+        elif back[i][1] is not None or label is not None:
+            out[i] = label if label is not None and ahead - i <= back[i][0] else back[i][1]
+    return out
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
     labels: list[bool | None] = []
-    for text, _, dropped, in_links in found:  # first pass
+    for text, _, why, in_links in found:  # first pass
         words = text.lower().split()
         stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words)
-        if dropped or in_links > LINK_DENSITY * len(text):
+        if why not in ("", "weak") or in_links > LINK_DENSITY * len(text):
             labels.append(False)
         elif len(text) >= LONG or len(text) >= STOP_LENGTH and stops >= STOP_DENSITY * len(words):
             labels.append(True)
         else:
-            labels.append(None)
-    own = [i for i, b in enumerate(found) if not b[2]]
-    articles = any(found[i][1] and labels[i] is not False for i in own)
-    decided: dict[int, list[int]] = {}
-    for i in own:
-        if labels[i] is not None:
-            decided.setdefault(found[i][1], []).append(i)
+            labels.append(False if why else None)
+    regions: dict[int, list[int]] = {}
+    for i, block in enumerate(found):
+        if block[2] in ("", "weak"):
+            regions.setdefault(block[1], []).append(i)
+    articles = any(labels[i] is not False for region, own in regions.items() if region for i in own)
     kept = []
-    for i in own:  # second pass
-        text, region, _, _ = found[i]
-        if articles and not region:
-            continue
-        label = labels[i]
-        if label is None:
-            near = decided.get(region)
-            label = labels[min(near, key=lambda j: (abs(j - i), j < i))] if near else True
-        if label:
-            kept.append(text)
-    return "\n".join(kept)
+    for region, own in regions.items():  # second pass
+        if not (articles and not region):
+            # in a region without a decided block everything is text
+            kept += [i for i, label in zip(own, nearest([labels[i] for i in own])) if label is not False]
+    return "\n".join(found[i][0] for i in sorted(kept))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

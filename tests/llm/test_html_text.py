@@ -1,10 +1,12 @@
 import html
+import random
 import re
+import time
 
 import pytest
 
 from siftspark.llm.common import table
-from siftspark.llm.html_text import main_text, op8_html
+from siftspark.llm.html_text import main_text, nearest, op8_html
 
 PROSE = "This is the first line of a story that is told in the way that stories are."
 
@@ -23,10 +25,40 @@ def test_pages(spark, sf):
     rows = pages.collect()
     assert len(got) == len(rows)
     for r in rows:
-        whole = r.html if "</article>" in r.html else None
-        if whole:
-            text = expected(r.html)
-            assert got[r.page_id] == (r.url, text, len(text))
+        text = expected(r.html)
+        assert got[r.page_id] == (r.url, text, len(text))
+
+
+def test_nearest_label_against_all_distances():
+    rnd = random.Random(4)
+    for n in (0, 1, 2, 5, 40, 90):
+        for share in (0.0, 0.05, 0.5, 1.0):
+            labels = [rnd.random() < 0.5 if rnd.random() < share else None for _ in range(n)]
+            decided = [i for i, x in enumerate(labels) if x is not None]
+            want = [x if x is not None or not decided else labels[min(decided, key=lambda j: (abs(j - i), j < i))] for i, x in enumerate(labels)]
+            assert nearest(labels) == want
+
+
+def test_many_blocks_take_linear_time():
+    began = time.perf_counter()
+    page = "<article>" + "<p>short</p>" * 50_000 + f"<p>{PROSE}</p>" + "<p>short</p>" * 50_000 + "</article>"
+    assert main_text(page).count("\n") == 100_000
+    assert time.perf_counter() - began < 15
+
+
+@pytest.mark.parametrize("name", ["share-price", "social-history", "search-results-study", "related-work", "discussion", "adventure", "social", "warning"])
+def test_prose_under_names_like_marks_stays(name):
+    assert main_text(f"<article><p>{PROSE}</p><div class='{name}'>{PROSE} More.</div></article>") == f"{PROSE}\n{PROSE} More."
+
+
+@pytest.mark.parametrize("name", ["ad", "ad-banner", "cookie-notice", "newsletter", "sidebar_left", "comments-area", "site-nav", "promo2"])
+def test_marked_blocks_go_even_with_prose(name):
+    assert main_text(f"<article><p>{PROSE}</p><div class='x {name}'>{PROSE} More.</div><p>{PROSE}</p></article>") == f"{PROSE}\n{PROSE}"
+
+
+def test_weak_marks_need_looks_inside_an_article_only():
+    assert main_text(f"<article><p>{PROSE}</p><div class='share-buttons'>Tweet this</div></article>") == PROSE
+    assert main_text(f"<p>{PROSE}</p><div class='related-posts'>{PROSE} More.</div>") == PROSE
 
 
 @pytest.mark.parametrize(
