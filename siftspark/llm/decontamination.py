@@ -7,8 +7,9 @@ by position: the item is found where a stretch of WINDOW item words (the whole i
 SIMILARITY of them equal. Wherever the substitutions lie, one of the three masks fits between them; items under
 WINDOW words are sought by a run of words that is as sure to be left. Masks no item needs are not laid.
 
-The benchmark's seeds are broadcast only up to BROADCAST_SEEDS of them, else both sides are exchanged on the hash.
-The words a hit carries on are those aligned with the item, gathered once for each alignment on the map side.
+The benchmark's seeds are broadcast only up to BROADCAST_SEEDS of them; the words a hit carries on are then those
+aligned with the item, gathered once for each alignment on the map side. Beyond that both sides are exchanged on the
+hash, with the place of each seed and nothing of the text; alignments meet their words again by document.
 
 Words are runs of letters and digits, lower-cased.
 
@@ -78,14 +79,19 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
     laid = tuple(sorted({m for n in present for m in by_width[n]})) or masks
     wanted = F.element_at(F.array(*(F.array(*map(F.lit, by_width[n])) for n in range(1, window + 1))), width)
     known = stored(seeds(items, laid, wanted).select("seed", "item", F.col("at").alias("item_at"), "item_words").distinct(), "seeds")
-    if known.count() <= broadcast_seeds:
-        known = F.broadcast(known)
     texts = docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")).alias("th"), tokens(F.col("text")).alias("words"))
-    hits = seeds(texts, laid).join(known, "seed")
     shift = F.col("at") - F.col("item_at")
-    start = F.greatest(shift, F.lit(0))
-    hits = hits.select("doc_id", "th", "item", shift.alias("shift"), F.slice("words", start + 1, F.col("item_words") - (start - shift)).alias("aligned"))
-    found = hits.groupBy("doc_id", "th", "item", "shift").agg(F.first("aligned").alias("aligned"))
+    start = F.greatest(F.col("shift"), F.lit(0))
+    aligned = F.slice("words", start + 1, F.col("item_words") - (start - F.col("shift"))).alias("aligned")
+    place = ["doc_id", "th", "item", "shift"]
+    if known.count() <= broadcast_seeds:
+        hits = seeds(texts, laid).join(F.broadcast(known), "seed").withColumn("shift", shift).select(*place, aligned)
+        found = hits.groupBy(*place).agg(F.first("aligned").alias("aligned"))
+    else:
+        hits = seeds(texts, laid).select("seed", "doc_id", "th", "at").join(known, "seed").withColumn("shift", shift)
+        hits = hits.select(*place, "item_words").distinct().withColumns({"k": F.coalesce("doc_id", F.lit(0)), "none": F.col("doc_id").isNull()})
+        own = texts.select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), "th", "words").dropDuplicates(["k", "none", "th"])
+        found = hits.join(own, ["k", "none", "th"]).select(*place, aligned)
     both = found.join(items, "item")
     ahead = F.greatest(-F.col("shift"), F.lit(0))
     equal = F.filter(F.sequence(F.lit(0), F.col("item_words") - 1), lambda i: F.get("aligned", i - ahead) == F.get("words", i))
@@ -98,12 +104,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MAS
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the rows in which an item was found."""
-    found = stored(overlaps(docs, benchmark).select("doc_id", "th").distinct(), "contaminated")
-    found = found.select(F.coalesce("doc_id", F.lit(0)).alias("_k"), F.col("doc_id").isNull().alias("_null"), F.col("th").alias("_th"))
+    """docs without the rows in which an item was found; every column stays, whatever its name."""
+    found = overlaps(docs, benchmark).select(F.coalesce("doc_id", F.lit(0)).alias("k"), F.col("doc_id").isNull().alias("none"), "th").distinct()
     own = F.col("doc_id").cast("long")
-    same = (F.coalesce(own, F.lit(0)) == F.col("_k")) & (own.isNull() == F.col("_null")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_th"))
-    return docs.join(found, same, "left_anti")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(own, F.lit(0)).alias("k"), own.isNull().alias("none"), F.xxhash64(F.col("text").cast("string")).alias("th"))
+    kept = rows.join(stored(found, "contaminated"), ["k", "none", "th"], "left_anti")
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def op3_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -111,20 +117,17 @@ def op3_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     return overlaps(docs, benchmark).select("doc_id", "item_id", "item_words", "matched", "windows")
 
 
+#: The law itself, without seeds: every alignment of a document and an item that share a word.
 OP3_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
 dw AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS pos FROM d),
-bw AS (SELECT item_id, len(w) AS item_words, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM b WHERE len(w) >= 8),
+bw AS (SELECT item_id, len(w) AS item_words, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS q FROM b),
 m AS (
-  SELECT doc_id, item_id, item_words, pos - q AS shift, list(q ORDER BY q) AS qs
-  FROM dw JOIN bw USING (word) GROUP BY doc_id, item_id, item_words, pos - q HAVING count(*) >= 6),
-s AS (
-  SELECT *, least(13, item_words) AS width, CAST(ceil(least(13, item_words) * 0.8) AS INTEGER) AS need FROM m
-  WHERE len(list_filter(qs, lambda x: list_has_all(qs, [x + 1, x + 3, x + 4, x + 6, x + 7]))) > 0
-     OR len(list_filter(qs, lambda x: list_has_all(qs, [x + 1, x + 4, x + 5, x + 8, x + 9]))) > 0),
+  SELECT doc_id, item_id, item_words, least(13, item_words) AS width, CAST(ceil(least(13, item_words) * 0.8) AS INTEGER) AS need, pos - q AS shift, list(q ORDER BY q) AS qs
+  FROM dw JOIN bw USING (word) GROUP BY doc_id, item_id, item_words, pos - q HAVING count(*) >= ceil(least(13, item_words) * 0.8)),
 v AS (
-  SELECT *, len(list_filter(range(0, item_words - width + 1), lambda i: len(list_filter(qs, lambda x: x >= i AND x < i + width)) >= need)) AS n FROM s)
+  SELECT *, len(list_filter(range(0, item_words - width + 1), lambda i: len(list_filter(qs, lambda x: x >= i AND x < i + width)) >= need)) AS n FROM m)
 SELECT doc_id, item_id, CAST(item_words AS INTEGER) AS item_words, CAST(max(len(qs)) AS INTEGER) AS matched, CAST(sum(n) AS BIGINT) AS windows
 FROM v WHERE n > 0 GROUP BY doc_id, item_id, item_words
 """
