@@ -6,7 +6,7 @@ state without its first word. A text is read from left to right in one traversal
 there is one, else add the failure arc's weight, fall back, and try again. The weights are smoothed by
 interpolation: with c counts and h the state,
 
-    P(w | h) = (c(h w) + MU * P(w | h without its first word)) / (c(h) + MU)
+    P(w | h) = (c(h w) + MU * P(w | h without its first word)) / (c(h) + MU), with a MU for each length of h,
 
 on an arc, and log10(MU / (c(h) + MU)) on the failure arc. At the empty state a known word has
 (c - D) / N and all unknown words together D * V / N, with D = n1 / (n1 + 2 * max(n2, 1)) from the words seen once and
@@ -15,9 +15,13 @@ twice. Each sums to one over the vocabulary and one unknown word, as the base sc
 No task holds the whole automaton. Documents are dealt into blocks of about BLOCK_BYTES. A block sends the hashes of
 its different n-grams, sorted and packed for each bucket, with how often its training documents have them; a bucket
 adds up all blocks and answers each one in its own order with counts alone. The block then has all arcs that its
-documents can meet, and traverses them. What travels grows with the corpus: there are as many buckets as blocks, and
-a block sends to a bucket only if it has keys for it, so rows are never more than n-grams. N, V, n1 and n2 are one
-row. The hashes have 64 bits.
+documents can meet, and traverses them. What travels grows with the corpus: there are as many buckets as blocks, a
+bucket has a range of hashes, and a block sends it one row for all orders, and only if it has keys for it, so rows
+are never more than n-grams. N, V, n1 and n2 are one row. Words have hashes of 64 bits; longer n-grams have so many
+that at most one absent n-gram in 2 ** SPARE_BITS is taken for one that is there.
+
+Rows with equal id and text that would overfill a block together are dealt out by their places in the input, which
+is written to the shared folder first.
 
 Tokens: A-Z lower-cased, words, and one end for each text.
 
@@ -37,11 +41,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.common import KNOWN_WORDS, WordHashes, fold
+from siftspark.llm.common import KNOWN_WORDS, WordHashes, fold, stored
 
-ORDER = 2
-MU = 1000.0
+ORDER = 3
+#: For states of one word, of two, and of more; chosen on held-out text.
+MU = (1000.0, 20.0)
 BLOCK_BYTES = 8_000_000
+#: Bits of a hash beyond those that count the bytes of the corpus.
+SPARE_BITS = 16
+LEAST_BITS = 48
 #: The end of a text; no word holds a line feed.
 END = xxhash.xxh64_intdigest(b"\n")
 
@@ -52,7 +60,7 @@ END = xxhash.xxh64_intdigest(b"\n")
 class Block:
     """The n-grams of a block of documents: `keys` are the different ones, one list for each order; `at` finds each position's."""
 
-    def __init__(self, texts: pa.ChunkedArray, order: int) -> None:
+    def __init__(self, texts: pa.ChunkedArray, order: int, bits: int = 64) -> None:
         hashes, words, ends = WordHashes(), [], []
         for text in texts.cast(pa.binary()):
             tokens = (text.as_py() or b"").lower().split()
@@ -69,7 +77,8 @@ class Block:
                 gram = np.concatenate(([np.uint64(0)], gram[:-1] * np.uint64(0x9E3779B97F4A7C15))) ^ grams
                 gram = (gram ^ (gram >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 gram ^= gram >> np.uint64(32)
-            keys, at = np.unique(gram[place >= k], return_inverse=True)
+            kept = gram[place >= k]
+            keys, at = np.unique(kept if k == 0 else kept & ~np.uint64((1 << 64 - bits) - 1), return_inverse=True)
             self.keys.append(keys)
             self.at.append(at)
             ends.append(place >= k)
@@ -92,53 +101,62 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-    """Order of the keys by bucket, ascending within, and (bucket, begin, end) of each bucket that gets any."""
-    bucket = keys % np.uint64(buckets)
-    order = np.argsort(bucket, kind="stable")
-    those, begin = np.unique(bucket[order], return_index=True)
-    return order, list(zip(those.tolist(), begin.tolist(), [*begin[1:].tolist(), len(keys)]))
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket begins among sorted keys, and the end: a bucket has a range of the upper half of the hash."""
+    firsts = np.array([-(-(b << 32) // buckets) << 32 for b in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(keys, firsts), len(keys))
 
 
-_ASKS = "bucket int, block int, k int, keys binary, counts binary"
-_ANSWERS = "block int, bucket int, k int, totals binary, n long, v long, n1 long, n2 long"
-_ANSWER_TYPES = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
+_ASKS = "bucket int, block int, sizes array<int>, keys binary, counts binary"
+_ANSWERS = "block int, bucket int, totals binary, n long, v long, n1 long, n2 long"
+_ANSWER_TYPES = (pa.int32(), pa.int32(), pa.binary(), *[pa.int64()] * 4)
 
 
-def _asker(order: int, buckets: int):
+def _asker(order: int, buckets: int, bits: int):
     def ask(group: pa.Table) -> pa.Table:
-        block, number = Block(group.column("text"), order), group.column("block")[0].as_py()
+        block, number = Block(group.column("text"), order, bits), group.column("block")[0].as_py()
+        counts = block.trained(group.column("train").to_numpy())
+        edges = [_edges(keys, buckets) for keys in block.keys]
+        # steps between sorted keys; the low bits that longer n-grams don't use are left out
+        steps = [np.diff(keys, prepend=np.uint64(0)) >> np.uint64(64 - bits if k else 0) for k, keys in enumerate(block.keys)]
+        for k, e in enumerate(edges):
+            first = np.unique(e[:-1][np.diff(e) > 0])
+            steps[k][first] = block.keys[k][first] >> np.uint64(64 - bits if k else 0)
+        sizes = np.diff(edges, axis=1)
         out = []
-        for k, (keys, counts) in enumerate(zip(block.keys, block.trained(group.column("train").to_numpy()))):
-            by_bucket, parts = _dealt(keys, buckets)
-            keys, counts = keys[by_bucket], counts[by_bucket]
-            out += [(b, number, k, _pack(np.diff(keys[i:j], prepend=np.uint64(0))), _pack(counts[i:j])) for b, i, j in parts]
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["bucket", "block", "k", "keys", "counts"])
+        for b in np.flatnonzero(sizes.sum(axis=0)).tolist():
+            mine = [(e[b], e[b + 1]) for e in edges]
+            out.append((b, number, sizes[:, b].tolist(), _pack(np.concatenate([x[i:j] for x, (i, j) in zip(steps, mine)])), _pack(np.concatenate([x[i:j] for x, (i, j) in zip(counts, mine)]))))
+        kinds = (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.binary(), pa.binary())
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["bucket", "block", "sizes", "keys", "counts"])
 
     return ask
 
 
 def _answer(group: pa.Table) -> pa.Table:
-    """Totals over all blocks for each key that a block has sent; with k = -1, N, V, n1 and n2 of the bucket's words."""
+    """Totals over all blocks for each key that a block has sent; in block -1, N, V, n1 and n2 of the bucket's words."""
     rows = group.to_pylist()
+    cuts = [np.cumsum(r["sizes"])[:-1] for r in rows]
+    steps = [np.split(_unpack(r["keys"], np.uint64), c) for r, c in zip(rows, cuts)]
+    counts = [np.split(_unpack(r["counts"], np.uint32), c) for r, c in zip(rows, cuts)]
+    totals: list[list[np.ndarray]] = [[] for _ in rows]
     out = []
-    for k in sorted({r["k"] for r in rows}):
-        mine = [r for r in rows if r["k"] == k]
-        keys = [np.cumsum(_unpack(r["keys"], np.uint64), dtype=np.uint64) for r in mine]
-        _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = np.bincount(at, np.concatenate([_unpack(r["counts"], np.uint32) for r in mine])).astype(np.uint64)
+    for k in range(len(rows[0]["sizes"])):
+        keys = np.concatenate([np.cumsum(s[k], dtype=np.uint64) for s in steps])
+        _, at = np.unique(keys, return_inverse=True)
+        total = np.bincount(at, np.concatenate([c[k] for c in counts])).astype(np.uint32)
         if k == 0:
-            out.append((-1, mine[0]["bucket"], -1, b"", int(totals.sum()), int((totals > 0).sum()), int((totals == 1).sum()), int((totals == 2).sum())))
-        for r, own in zip(mine, np.split(at, np.cumsum([len(x) for x in keys])[:-1])):
-            out.append((r["block"], r["bucket"], k, _pack(totals[own]), 0, 0, 0, 0))
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), _ANSWER_TYPES)], ["block", "bucket", "k", "totals", "n", "v", "n1", "n2"])
+            out.append((-1, rows[0]["bucket"], b"", int(total.sum(dtype=np.int64)), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())))
+        for own, part in zip(totals, np.split(at, np.cumsum([len(s[k]) for s in steps])[:-1])):
+            own.append(total[part])
+    out += [(r["block"], r["bucket"], _pack(np.concatenate(own)), 0, 0, 0, 0) for r, own in zip(rows, totals)]
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*out), _ANSWER_TYPES)], ["block", "bucket", "totals", "n", "v", "n1", "n2"])
 
 
 # ---------------------------------------------------------------- the automaton
 
 
-def weights(counts: list[np.ndarray], n: int, v: int, n1: int, n2: int, mu: float) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def weights(counts: list[np.ndarray], n: int, v: int, n1: int, n2: int, mu: tuple[float, ...]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """counts: by order, of the n-gram that ends at each position (0 where it would reach before the text).
 
     arcs[k]: log10 weight of the arc that the (k + 1)-gram is, not a number where there is none but at order 1.
@@ -151,9 +169,10 @@ def weights(counts: list[np.ndarray], n: int, v: int, n1: int, n2: int, mu: floa
         arcs, fails = [np.log10(p)], [np.zeros(len(c))]
         for k in range(1, len(counts)):
             before = np.concatenate(([0], counts[k - 1][:-1]))
-            p = (counts[k] + mu * p) / (before + mu)
+            m = mu[min(k, len(mu)) - 1]
+            p = (counts[k] + m * p) / (before + m)
             arcs.append(np.where(counts[k] > 0, np.log10(p), np.nan))
-            fails.append(np.log10(mu / (before + mu)))
+            fails.append(np.log10(m / (before + m)))
     return arcs, fails
 
 
@@ -175,20 +194,19 @@ def traverse(arcs: list[list[float]], fails: list[list[float]], known: list[bool
     return total
 
 
-def _scorer(order: int, buckets: int, mu: float):
+def _scorer(order: int, buckets: int, bits: int, mu: tuple[float, ...]):
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
         if not group.num_rows:
             return pa.table([[], [], [], [], [], [], []], schema=_SCORES)
-        block = Block(group.column("text"), order)
-        rows = answers.to_pylist()
+        block = Block(group.column("text"), order, bits)
+        rows = sorted(answers.to_pylist(), key=lambda r: r["bucket"])
         n, v, n1, n2 = (rows[0][c] for c in ("n", "v", "n1", "n2"))
+        # a bucket's answer has its keys of the first order, then of the second, and so on, as they were asked for
+        edges = np.array([_edges(keys, buckets) for keys in block.keys])
+        answered = {r["bucket"]: np.split(_unpack(r["totals"], np.uint32), np.cumsum(edges[:, r["bucket"] + 1] - edges[:, r["bucket"]])[:-1]) for r in rows}
         counts = []
-        for k, keys in enumerate(block.keys):
-            by_key = np.zeros(len(keys))
-            by_bucket, parts = _dealt(keys, buckets)
-            totals = {r["bucket"]: r["totals"] for r in rows if r["k"] == k}
-            for b, i, j in parts:
-                by_key[by_bucket[i:j]] = _unpack(totals[b], np.uint64)
+        for k in range(order):
+            by_key = np.concatenate([answered[b][k] for b in sorted(answered)]).astype(np.float64)
             here = np.zeros(len(block.whole[k]))
             here[block.whole[k]] = by_key[block.at[k]]
             counts.append(here)
@@ -216,20 +234,27 @@ def _scorer(order: int, buckets: int, mu: float):
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 
 
-def scored(rows: DataFrame, order: int = ORDER, mu: float = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def scored(rows: DataFrame, order: int = ORDER, mu: tuple[float, ...] = MU, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """rows: doc_id, text, held_out. Token counts, base score and model score of every row; rows that are not held out train."""
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, math.ceil(total / block_bytes))
-    block = F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(n)).cast("int")
-    dealt = rows.select(block.alias("block"), F.col("doc_id").cast("long"), "text", "held_out", (~F.col("held_out")).cast("int").alias("train"))
-    asks = dealt.groupBy("block").applyInArrow(_asker(order, n), _ASKS)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)) + 1
+    digest = F.xxhash64("doc_id", "text")
+    total, most = rows.groupBy(digest.alias("h")).agg(F.sum(size).alias("b")).agg(F.sum("b"), F.max("b")).first()
+    n = max(1, math.ceil((total or 0) / block_bytes))
+    bits = min(64, max(LEAST_BITS, (total or 1).bit_length() + SPARE_BITS))
+    rows = rows.select(F.col("doc_id").cast("long"), "text", "held_out", digest.alias("h"))
+    if (most or 0) > 2 * block_bytes:
+        crowded = rows.groupBy("h").agg(F.count("*").alias("rows"), F.sum(size).alias("b")).where((F.col("b") > 2 * block_bytes) & (F.col("rows") > 1))
+        crowded = F.broadcast(stored(crowded.select("h", F.ceil(F.col("b") / block_bytes).alias("parts")), "crowded"))  # at most total / (2 * block_bytes) rows
+        rows = stored(rows.join(crowded, "h", "left").withColumn("h", F.coalesce(F.xxhash64("h", F.pmod(F.monotonically_increasing_id(), "parts")), "h")).drop("parts"), "dealt")
+    dealt = rows.select(F.pmod("h", F.lit(n)).cast("int").alias("block"), "doc_id", "text", "held_out", (~F.col("held_out")).cast("int").alias("train"))
+    asks = dealt.groupBy("block").applyInArrow(_asker(order, n, bits), _ASKS)
     answers = asks.groupBy("bucket").applyInArrow(_answer, _ANSWERS)
-    totals = answers.where("k < 0").agg(*(F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")))
-    answers = answers.where("k >= 0").drop("n", "v", "n1", "n2").crossJoin(F.broadcast(totals))  # one row
+    totals = answers.where("block < 0").agg(*(F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")))
+    answers = answers.where("block >= 0").drop("n", "v", "n1", "n2").crossJoin(F.broadcast(totals))  # one row
     return (
         dealt.groupBy("block")
         .cogroup(answers.groupBy("block"))
-        .applyInArrow(_scorer(order, n, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        .applyInArrow(_scorer(order, n, bits, mu), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     )
 
 
