@@ -11,7 +11,8 @@ Parts are packed with those read in the same task, GROUP_TOKENS at a time: nothi
 and each group leaves a few rows unfilled at most. A lost task packs the same rows again.
 
 Defined results: null and empty texts are their end alone; null ids are allowed; rows that repeat are packed each;
-an empty table gives an empty result; further columns are not read.
+an empty table gives an empty result; further columns are not read; runs of white space of any length get the ids
+that the tokenizer's rule gives them, past the splitter's limit as well.
 """
 
 from __future__ import annotations
@@ -35,8 +36,10 @@ END_ID = 50256
 PAD_ID = 50256
 ROW = 2048
 GROUP_TOKENS = 4_000_000
-#: Runs of white space are encoded so many characters at a time; the splitter's stack ends at some hundred thousand.
+#: Runs of white space from here on bypass the splitter, whose stack ends at about a million.
 SPACES = 50_000
+#: White space as the splitter knows it; fixed value.
+_WHITE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class Fullest:
@@ -85,17 +88,26 @@ def pack(lengths: list[int], row: int) -> list[list[int]]:
     return rows
 
 
-@lru_cache(maxsize=1)
-def _encoding(ranks: bytes) -> tiktoken.Encoding:
+@lru_cache(maxsize=2)
+def _encoding(ranks: bytes, split: str = SPLIT) -> tiktoken.Encoding:
     table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
-    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=split, mergeable_ranks=table, special_tokens={})
 
 
-def encode(encoding: tiktoken.Encoding, text: str) -> list[int]:
-    """Ids of any text; special tokens' names are ordinary text."""
+def encode(encoding: tiktoken.Encoding, whole: tiktoken.Encoding, text: str) -> list[int]:
+    """Ids of any text; special tokens' names are ordinary text. whole: the same ranks without a splitter.
+
+    By the splitter's rule a run of white space is one piece, but for its last character where more text follows.
+    """
     if len(text) <= SPACES:
         return encoding.encode_ordinary(text)
-    return [i for piece in re.split(rf"(\s{{{SPACES}}})", text) if piece for i in encoding.encode_ordinary(piece)]
+    out, at = [], 0
+    for run in re.finditer(f"{_WHITE}{{{SPACES},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        out += encoding.encode_ordinary(text[at : run.start()])
+        out += whole.encode_ordinary(text[run.start() : end])
+        at = end
+    return out + encoding.encode_ordinary(text[at:])
 
 
 SCHEMA = "part int, number int, n_tokens int, ids binary, positions binary, cu_seqlens array<int>, doc_ids array<long>, pieces array<int>"
@@ -124,11 +136,11 @@ def packed(docs: DataFrame, row: int = ROW, ranks_path: str = RANKS, group_token
         return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoding = _encoding(ranks.value)
+        encoding, whole = _encoding(ranks.value), _encoding(ranks.value, r"[\s\S]+")
         parts, held, first = [], 0, 0
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                ids = np.array([*encode(encoding, text.as_py() or ""), END_ID], kind)
+                ids = np.array([*encode(encoding, whole, text.as_py() or ""), END_ID], kind)
                 parts += [(doc, i // row, ids[i : i + row]) for i in range(0, len(ids), row)]
                 held += len(ids)
                 if held >= group_tokens:

@@ -59,3 +59,12 @@ def test_best_fit_decreasing_equals_plain_search():
         got = packing.pack(lengths, row)
         sizes = sorted(row - sum(lengths[i] for i in members) for members in got)
         assert sorted(i for m in got for i in m) == list(range(len(lengths))) and len(got) == len(room) and sizes == sorted(room)
+
+
+def test_long_white_space_gets_the_ids_of_the_tokenizer():
+    with open(packing.RANKS, "rb") as f:
+        data = f.read()
+    plain, whole = packing._encoding(data), packing._encoding(data, r"[\s\S]+")
+    for n in (packing.SPACES - 1, packing.SPACES, packing.SPACES + 1, 200_000):
+        for text in (f"a{' ' * n}word", f"{' ' * n}", f"x \n{'\n' * n}end", f"{' ' * n}\t{' ' * n}!", f"a{'\n' * n}", f"a{' ' * n}\x1cb{' ' * n}c"):
+            assert packing.encode(plain, whole, text) == plain.encode_ordinary(text)
