@@ -1,17 +1,18 @@
 """Shards of near equal bytes by histogram sort.
 
-Rows are ordered by a key of 32 hex digits: 16 of the text's digest, then 16 of the id's, so equal texts are
-neighbours. Splitters between shards are found without sorting: each round counts, in all partitions at once,
-the exact bytes that lie below candidate boundaries (the 256 continuations of each open prefix), keeps the
-boundary if it is within TOLERANCE of a shard's bytes from its goal, and otherwise probes inside the interval
-where the goal falls. Early boundaries fall between texts, so equal texts stay in one shard unless keeping them
-together would miss the tolerance. The driver sees (shards - 1) * 256 counts a round at most. With the splitters
-known, rows are exchanged once, by key range; a place within the shard is the place within the partition plus
-what the partitions before hold, so no shard is gathered in a task.
+Rows are ordered by a key of 40 hex digits: 16 of the text's digest, 16 of the id's, so equal texts are neighbours,
+and 8 of the row's place in the input, which tell rows apart that are equal in both. Splitters between shards are
+found without sorting: each round counts, in all partitions at once, the exact bytes that lie below candidate
+boundaries (the 256 continuations of each open prefix), keeps the boundary if it is within TOLERANCE of a shard's
+bytes from its goal, and otherwise probes inside the interval where the goal falls. Early boundaries fall between
+texts, so equal texts stay in one shard unless keeping them together would miss the tolerance. The driver sees
+(shards - 1) * 256 counts a round at most. With the splitters known, rows are exchanged once, each to the partition
+of its shard; a shard over PART_ROWS rows has several, dealt by hash, so no shard is gathered in a task. A slot is
+the place within the partition plus what the shard's partitions before hold.
 
 Defined results: a null text counts no bytes; rows that repeat get places of their own, in either order; null ids
 are allowed; an empty table gives an empty result; further columns are not read by the digest query and are kept
-by sharded(), where a column named shard is replaced.
+by sharded() and write_shards(), where a column named shard is replaced.
 """
 
 from __future__ import annotations
@@ -26,13 +27,16 @@ SHARDS = 24
 #: Of a shard's mean bytes.
 TOLERANCE = 0.005
 OVERHEAD = 8
-DIGITS, PROBE = 32, 2
+DIGITS, PROBE = 40, 2
+#: Rows of a shard that one partition sorts.
+PART_ROWS = 4_000_000
 
 
 def sort_key() -> Column:
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     own = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    return F.concat(F.substring(text, 1, 16), F.substring(own, 1, 16))
+    place = F.lpad(F.lower(F.hex(F.xxhash64(F.monotonically_increasing_id()))), 16, "0")
+    return F.concat(F.substring(text, 1, 16), F.substring(own, 1, 16), F.substring(place, 1, 8))
 
 
 def row_bytes() -> Column:
@@ -86,24 +90,32 @@ def sharded(docs: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE)
     return docs.withColumn("shard", shard_of(sort_key(), bounds))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE, partitions: int | None = None) -> None:
-    """One folder for each shard, its rows in key order. More partitions than shards: several files a shard."""
-    rows = sharded(docs, shards, tolerance).withColumn("_key", sort_key())
-    rows = rows.repartitionByRange(partitions or shards, "shard", "_key").sortWithinPartitions("shard", "_key").drop("_key")
-    rows.write.partitionBy("shard").parquet(path)
+def exchanged(rows: DataFrame, n_rows: int, bounds: list[str], part_rows: int = PART_ROWS) -> DataFrame:
+    """rows: key and more. Adds shard and part; each part is one partition, in key order."""
+    shards = len(bounds) + 1
+    parts = max(1, -(-n_rows // (shards * part_rows)))
+    placed = rows.withColumn("shard", shard_of(F.col("key"), bounds))
+    placed = placed.withColumn("part", (F.col("shard") * parts + F.pmod(F.xxhash64("key"), F.lit(parts))).cast("int"))
+    return placed.repartitionById(shards * parts, "part").sortWithinPartitions("key")
 
 
-def places(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE) -> DataFrame:
+def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, tolerance: float = TOLERANCE, part_rows: int = PART_ROWS) -> None:
+    """One folder for each shard, its rows in key order; a shard over part_rows rows has several files, each in key order."""
+    keys = stored(docs.select(sort_key().alias("key"), row_bytes().alias("size")), "keys")
+    columns = [c for c in docs.columns if c != "shard"]
+    rows = docs.select(sort_key().alias("key"), F.struct(*columns).alias("row"))
+    placed = exchanged(rows, keys.count(), splitters(keys, shards, tolerance), part_rows)
+    placed.select(*(F.col("row").getField(c).alias(c) for c in columns), "shard").write.partitionBy("shard").parquet(path)
+
+
+def places(rows: DataFrame, shards: int = SHARDS, tolerance: float = TOLERANCE, part_rows: int = PART_ROWS) -> DataFrame:
     """rows: key, size and more. Adds shard and slot, the gapless place within the shard."""
-    bounds = splitters(rows, shards, tolerance)
-    others = [F.col(c) for c in rows.columns if c not in ("key", "size")]
-    ordered = rows.repartitionByRange("key", *others).sortWithinPartitions("key", *others)
-    row = F.monotonically_increasing_id()
-    dealt = stored(ordered.withColumn("row", row).withColumn("shard", shard_of(F.col("key"), bounds)), "exchanged")
-    dealt = dealt.withColumn("part", F.shiftright("row", 33)).withColumn("row", F.col("row").bitwiseAND((1 << 33) - 1))
-    counts = dealt.groupBy("shard", "part").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    placed = exchanged(rows, rows.count(), splitters(rows, shards, tolerance), part_rows)
+    # each partition is one part, so the place in the partition is the place in the part
+    dealt = stored(placed.withColumn("row", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "exchanged")
+    counts = dealt.groupBy("shard", "part").agg(F.count("*").alias("n"))
     ahead = F.coalesce(F.sum("n").over(W.partitionBy("shard").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    base = stored(counts.select("shard", "part", (ahead - F.col("first")).alias("base")), "bases")
+    base = stored(counts.select("shard", "part", ahead.alias("base")), "bases")
     return dealt.join(base, ["shard", "part"]).select(*rows.columns, "shard", (F.col("base") + F.col("row")).alias("slot"))
 
 

@@ -2,7 +2,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from siftspark.llm import sharding
-from siftspark.llm.common import table
+from siftspark.llm.common import stored, table
 
 
 def check(rows, got, shards=24, tolerance=0.005):
@@ -49,12 +49,27 @@ def test_groups_stay_whole_where_they_fit(spark):
 
 
 def test_written_shards(spark, tmp_path):
-    rows = [(i, "w " * (i % 50)) for i in range(500)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    sharding.write_shards(df, str(tmp_path / "out"), shards=5)
-    back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted((r.doc_id, r.text) for r in back.collect()) == rows
-    assert {r.shard for r in back.select("shard").distinct().collect()} == set(range(5))
+    rows = [(i, "w " * (i % 50), f"k{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _key string")
+    for part_rows in (1000, 40):
+        sharding.write_shards(df, str(tmp_path / f"out{part_rows}"), shards=5, part_rows=part_rows)
+        back = spark.read.parquet(str(tmp_path / f"out{part_rows}"))
+        assert sorted((r.doc_id, r.text, r._key) for r in back.collect()) == rows
+        assert {r.shard for r in back.select("shard").distinct().collect()} == set(range(5))
+
+
+def test_slots_of_shards_in_several_parts(spark):
+    rows = [(i, f"text {i}") for i in range(3000)]
+    keyed = stored(spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", sharding.sort_key().alias("key"), sharding.row_bytes().alias("size")), "keys")
+    slots = defaultdict(list)
+    for r in sharding.places(keyed, shards=4, part_rows=100).collect():
+        slots[r.shard].append(r.slot)
+    assert sorted(slots) == list(range(4)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_rows_equal_in_text_and_id_are_split_too(spark):
+    rows = [(7, "one row that comes again")] * 4000 + [(i, f"text {i}") for i in range(2000)]
+    check(rows, sharding.op9_sharding(spark.createDataFrame(rows, "doc_id long, text string")).collect())
 
 
 def test_no_rows(spark):
