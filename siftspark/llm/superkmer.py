@@ -181,7 +181,8 @@ def repeats(rows: DataFrame, window: int = WINDOW, max_bucket: int = MAX_BUCKET)
     shared = stored(kmers.groupBy("mini").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("mini"), "shared-minimisers")
     kmers = stored(kmers.join(shared, "mini", "left_semi"), "shared-kmers")
     distinct = stored(kmers.groupBy("mini", "s").agg(F.min(F.struct("doc_id", "th", "start", "n")).alias("r")), "distinct-kmers")
-    several = distinct.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1")
+    # stored, so that Spark can split a minimiser's rows in the joins with it: an aggregate beside a join keeps them together
+    several = stored(distinct.groupBy("mini").agg(F.count("*").alias("c")).where("c > 1"), "several")
     salts = F.ceil(F.col("c") / max_bucket)
     wanted = distinct.join(several, "mini").select(
         "r.doc_id", "r.th", F.struct("mini", "s", F.pmod("s", salts).cast("long").alias("salt"), salts.cast("long").alias("salts"), "r.doc_id", "r.start", "r.n").alias("w")
