@@ -247,15 +247,15 @@ def components(edges: DataFrame) -> DataFrame:
     """edges: a, b long. node and root, the smallest node it is connected with, for each node with an edge.
 
     Alternating stars: each round joins every node's neighbours to its smallest one; rounds grow with the
-    logarithm of the longest chain. The smallest neighbour is an aggregate with map-side combine and comes back
-    by a join, so that a node with very many neighbours is never gathered in one place.
+    logarithm of the longest chain. The smallest neighbour is an aggregate with map-side combine, stored before it
+    comes back by a join: both sides are then plain tables, and Spark splits the rows of a node with very many.
     """
     spark = edges.sparkSession
     now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     seen = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a")
