@@ -11,8 +11,9 @@ Parquet and reads it again for the next one. All but the last return the columns
 4. mix: sources are brought to their target weights; rows repeat as often as they are taken.
 5. tokens: the texts as packed rows of token ids.
 
-Nulls, empty and very long texts, repeated rows, empty tables and further columns are handled as the operators
-in siftspark.llm say.
+Nulls, empty and very long texts, repeated rows and empty tables are handled as the operators in siftspark.llm say:
+texts that are null, empty or without letters go with the first stage. All but the last stage keep every column of
+documents, whatever further columns there are and whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from siftspark.llm.common import stored, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return langid.identified(docs, langid.learn(docs)).where("accepted").select(*docs.columns)
+    return langid.accepted_rows(docs, langid.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
