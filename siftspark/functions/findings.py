@@ -18,6 +18,7 @@ DEFECT_CLASSES = (
     ("algorithm", ("complexity", "performance", "benchmark", "memory")),
     ("checking", ("type", "coverage", "test", "validation", "lint", "static")),
 )
+#: Order, weight and health of severities and statuses; fixed values.
 SEVERITY_RANKS = {"critical": 0, "high": 0, "error": 0, "warning": 1, "medium": 1, "note": 2, "low": 2, "info": 3}
 #: The repair queue ranks by a map without critical and info.
 QUEUE_RANKS = {k: v for k, v in SEVERITY_RANKS.items() if k not in ("critical", "info")}
@@ -68,16 +69,18 @@ def severity_weight(severity: Column) -> Column:
     return _mapped(severity, SEVERITY_WEIGHTS, 3)
 
 
-def parsed_severity(raw: Column) -> Column:
-    """Severity words of analyzers brought to the four in use."""
-    low = F.lower(F.trim(raw))
-    return (
-        F.when(low.isin("error", "fatal", "critical", "high", "blocker"), "error")
-        .when(low.isin("warning", "warn", "medium", "major"), "warning")
-        .when(low.isin("note", "low", "minor", "style", "convention", "refactor"), "note")
-        .when(low.isin("info", "information", "hint"), "info")
-        .otherwise("warning")
-    )
+#: Severity words of analyzers; any other word gives the parser's default. Fixed values.
+PARSED_SEVERITIES = (
+    ("error", ("fatal", "critical", "high", "error")),
+    ("warning", ("warn", "warning", "medium")),
+    ("note", ("info", "information", "note", "low", "style")),
+)
+
+
+def parsed_severity(raw: Column, default: str = "error") -> Column:
+    """Severity words of analyzers brought to the three in use; missing and unknown ones to the default."""
+    low = F.lower(raw)
+    return reduce(lambda c, kv: c.when(low.isin(*kv[1]), kv[0]), PARSED_SEVERITIES, F.when(F.lit(False), "")).otherwise(default)
 
 
 def threshold_severity(value: Column, warn: float, error: float) -> Column:

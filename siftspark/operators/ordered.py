@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftspark.session import stored
+
 
 def runs(lines: DataFrame) -> DataFrame:
     """lines: file, line. Maximal runs of neighbouring lines."""
@@ -73,3 +75,13 @@ def read_before_check(ops: DataFrame, check: str, read: str) -> DataFrame:
 def last_kept_first_placed(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:
     """One row for each key: the last value, at the place where the key first came."""
     return rows.groupBy(*keys).agg(F.max_by(value, order).alias(value), F.min(order).alias(order))
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with their place in the order, from 1: sorted by range, a place is the one in the partition plus what the partitions before hold."""
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
+    ranged = stored(ranged, "ordered").withColumn("_part", F.shiftright(name, 33))
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a partition
+    ahead = counts.select("_part", before.alias("_ahead"))
+    return ranged.join(F.broadcast(ahead), "_part").withColumn(name, F.col("_ahead") + F.col(name).bitwiseAND((1 << 33) - 1) + 1).drop("_part", "_ahead")

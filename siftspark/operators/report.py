@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspark.functions import findings as fx
+from siftspark.operators import ordered
 
 
 def live(findings: DataFrame) -> DataFrame:
@@ -155,8 +156,8 @@ def repair_queue(findings: DataFrame, results: DataFrame) -> DataFrame:
     Commands are looked up by result name, the last one of a name winning, else by tool; a tool is also known by
     what stands before the colon of a result's name, where the first one wins unless the full name is taken.
     """
-    rank = F.row_number().over(W.orderBy(F.desc("tool_count"), F.desc("finding_count"), "path", "line"))
-    places = correlated_locations(findings).select("path", "line", F.concat(F.lit("CORR-"), F.lpad(rank.cast("string"), 4, "0")).alias("correlation_id"))
+    ranked = ordered.numbered(correlated_locations(findings).select("path", "line", "tool_count", "finding_count"), [F.desc("tool_count"), F.desc("finding_count"), F.asc("path"), F.asc("line")], "rank")
+    places = ranked.select("path", "line", F.format_string("CORR-%04d", "rank").alias("correlation_id"))
     exact = results.groupBy("name").agg(F.max_by("command", "seq").alias("exact_command"))
     prefix = results.select(F.split_part("name", F.lit(":"), F.lit(1)).alias("prefix"), "command", "seq").groupBy("prefix").agg(F.min_by("command", "seq").alias("prefix_command"))
     known = exact.join(prefix, exact.name == prefix.prefix, "full").select(F.coalesce("name", "prefix").alias("key"), F.coalesce("exact_command", "prefix_command").alias("verify"))

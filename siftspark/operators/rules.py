@@ -12,19 +12,23 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.functions.findings import UNIT_SUFFIXES
+from siftspark.session import bucketed
+
 RULES: dict[str, str] = {}
 
-#: Magic methods that must not be coroutines; fixed values.
-SYNC_MAGIC = "'__init__', '__new__', '__del__', '__repr__', '__str__', '__bytes__', '__hash__', '__bool__', '__len__', '__iter__', '__next__', '__getitem__', '__setitem__', '__delitem__', '__contains__', '__enter__', '__exit__', '__eq__', '__lt__', '__le__', '__gt__', '__ge__', '__call__'"
-#: Magic methods that must return a value, so not yield; fixed values.
-VALUE_MAGIC = "'__init__', '__new__', '__del__', '__repr__', '__str__', '__bytes__', '__hash__', '__bool__', '__len__', '__next__', '__contains__', '__enter__', '__exit__', '__eq__', '__lt__', '__le__', '__gt__', '__ge__'"
-#: Binary magic methods, which return NotImplemented rather than raise; fixed values.
-BINARY_MAGIC = "'__add__', '__sub__', '__mul__', '__truediv__', '__floordiv__', '__mod__', '__pow__', '__and__', '__or__', '__xor__', '__lshift__', '__rshift__', '__eq__', '__ne__', '__lt__', '__le__', '__gt__', '__ge__', '__radd__', '__rsub__', '__rmul__'"
+#: Magic methods that may be coroutines, that may yield, and binary ones, which return NotImplemented rather than raise; fixed values.
+ASYNC_MAGIC = "'__aenter__', '__aexit__', '__aiter__', '__anext__'"
+GENERATOR_MAGIC = "'__iter__', '__await__'"
+REFLECTIVE_MAGIC = "'__eq__', '__ne__', '__lt__', '__le__', '__gt__', '__ge__', '__add__', '__radd__', '__sub__', '__mul__', '__rmul__', '__and__', '__rand__', '__or__', '__ror__', '__xor__'"
+MAGIC = "RLIKE '^__.+__$'"
+#: Calls that query a database, but for get, which is a dictionary's as well; fixed values.
+DB_CALLS = "'execute', 'executemany', 'query', 'filter', 'filter_by', 'select', 'scalars', 'scalar'"
 #: Names of operational settings, and of modules that may hold them; fixed values.
 CONFIG_NAME = "(?:^|_)(timeout|retries|retry|host|port|url|endpoint|threshold|limit|max|min|interval|ttl|workers|batch(?:_size)?|concurrency|rate|delay|buffer|cache)(?:_|$)"
-CONFIG_MODULE = "(?:^|[./_])(config|settings|constants|defaults|cli|options)(?:[./_]|$)"
+CONFIG_MODULE = "(?:^|[._/])(config|settings|constants|defaults|cli|options)(?:[._/]|$)"
 FUNCS = "('FunctionDef', 'AsyncFunctionDef')"
-LOOPS = "('For', 'AsyncFor', 'While', 'ListComp', 'SetComp', 'DictComp', 'GeneratorExp')"
+LOOPS = "('For', 'AsyncFor', 'While')"
 
 
 def register(code: str, sql: str) -> None:
@@ -44,14 +48,14 @@ register(
 )
 register(
     "BHPRT001",
-    """SELECT a.path, a.line, 'error' AS severity, 'assert message is an exception' AS message FROM {n} a JOIN {n} m ON m.path = a.path AND m.parent = a.lo AND m.field = 'msg'
-    WHERE a.kind = 'Assert' AND m.kind = 'Call' AND m.name RLIKE '(Error|Exception)$'""",
+    """SELECT a.path, a.line, 'error' AS severity, concat('assert message is the exception ', m.name) AS message FROM {n} a JOIN {n} m ON m.path = a.path AND m.parent = a.lo AND m.field = 'msg'
+    WHERE a.kind = 'Assert' AND m.kind IN ('Name', 'Attribute', 'Call') AND m.name RLIKE '(Error|Exception|Warning)$'""",
 )
-register("BHPRT002", f"SELECT path, line, 'error' AS severity, concat(name, ' must not be async') AS message FROM {{n}} WHERE kind = 'AsyncFunctionDef' AND cls >= 0 AND name IN ({SYNC_MAGIC})")
+register("BHPRT002", f"SELECT path, line, 'error' AS severity, concat(name, ' must not be async') AS message FROM {{n}} WHERE kind = 'AsyncFunctionDef' AND name {MAGIC} AND name NOT IN ({ASYNC_MAGIC})")
 register(
     "BHPRT003",
-    f"""SELECT f.path, min(y.line) AS line, 'error' AS severity, concat(f.name, ' yields, so it returns a generator') AS message
-    FROM {{n}} y JOIN {{n}} f ON f.path = y.path AND f.lo = y.func WHERE y.kind IN ('Yield', 'YieldFrom') AND f.cls >= 0 AND f.name IN ({VALUE_MAGIC}) GROUP BY f.path, f.lo, f.name""",
+    f"""SELECT f.path, min_by(y.line, y.bfs) AS line, 'error' AS severity, concat(f.name, ' yields, so it returns a generator') AS message
+    FROM {{n}} y JOIN {{n}} f ON {_inside('y', 'f')} WHERE y.kind IN ('Yield', 'YieldFrom') AND f.kind = 'FunctionDef' AND f.name {MAGIC} AND f.name NOT IN ({GENERATOR_MAGIC}) GROUP BY f.path, f.lo, f.name""",
 )
 register(
     "BHPRT004",
@@ -62,9 +66,9 @@ register(
 )
 register(
     "BHPRT007",
-    f"""SELECT r.path, r.line, 'error' AS severity, concat(f.name, ' raises NotImplementedError; return NotImplemented') AS message FROM {{n}} r
-    JOIN {{n}} f ON f.path = r.path AND f.lo = r.func JOIN {{n}} e ON e.path = r.path AND e.parent = r.lo AND e.field = 'exc'
-    WHERE r.kind = 'Raise' AND e.name = 'NotImplementedError' AND f.cls >= 0 AND f.name IN ({BINARY_MAGIC})""",
+    f"""SELECT f.path, min_by(r.line, r.bfs) AS line, 'error' AS severity, concat(f.name, ' raises NotImplementedError; return NotImplemented') AS message FROM {{n}} r
+    JOIN {{n}} f ON {_inside('r', 'f')} AND f.kind IN {FUNCS} JOIN {{n}} e ON e.path = r.path AND e.parent = r.lo AND e.field = 'exc'
+    WHERE r.kind = 'Raise' AND substring_index(e.name, '.', -1) = 'NotImplementedError' AND f.name IN ({REFLECTIVE_MAGIC}) GROUP BY f.path, f.lo, f.name""",
 )
 register(
     "BHPRT009",
@@ -85,8 +89,8 @@ register(
 )
 register(
     "BHDB001",
-    f"""SELECT DISTINCT c.path, c.line, 'warning' AS severity, concat(c.name, ' runs once for each turn of a loop') AS message FROM {{n}} c JOIN {{n}} l ON {_inside('c', 'l')} AND l.kind IN {LOOPS} AND l.func = c.func
-    WHERE c.kind = 'Call' AND c.name RLIKE '[.](execute|executemany|query|fetchone|fetchall|scalar|scalars)$'""",
+    f"""SELECT DISTINCT c.path, c.line, 'warning' AS severity, concat(c.name, ' runs once for each turn of a loop') AS message FROM {{n}} c JOIN {{n}} l ON {_inside('c', 'l')} AND l.kind IN {LOOPS} AND l.func >= 0
+    WHERE c.kind = 'Call' AND substring_index(c.name, '.', -1) IN ({DB_CALLS})""",
 )
 register(
     "BHEVID002",
@@ -95,12 +99,18 @@ register(
 register(
     "BHEVID003",
     f"""SELECT DISTINCT a.path, a.line, 'warning' AS severity, concat(t.name, ' is copied whole in each turn of the loop') AS message FROM {{n}} a
-    JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Name' JOIN {{n}} b ON b.path = a.path AND b.parent = a.lo AND b.field = 'value' AND b.kind = 'BinOp' AND b.name = 'Add'
-    JOIN {{n}} s ON s.path = a.path AND s.parent = b.lo AND s.field = 'left' AND s.kind = 'Name' AND s.name = t.name JOIN {{n}} r ON r.path = a.path AND r.parent = b.lo AND r.field = 'right' AND r.kind IN ('List', 'Tuple')
-    JOIN {{n}} l ON {_inside('a', 'l')} AND l.kind IN ('For', 'While') WHERE a.kind = 'Assign'""",
+    JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field IN ('targets', 'target') AND t.kind = 'Name' JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'value'
+    JOIN {{n}} x ON x.path = a.path AND x.parent = v.lo AND x.kind = 'Name' AND x.name = t.name JOIN {{n}} l ON {_inside('a', 'l')} AND l.kind IN {LOOPS} AND l.func >= 0
+    WHERE a.kind IN ('Assign', 'AugAssign') AND NOT EXISTS (SELECT 1 FROM {{n}} o WHERE o.path = a.path AND o.parent = a.lo AND o.field = 'targets' AND o.lo <> t.lo)
+      AND (v.kind = 'BinOp' AND v.name IN ('Add', 'BitOr') AND x.field IN ('left', 'right') OR v.kind = 'Dict' AND x.field = 'values'
+        OR v.kind = 'Call' AND v.name IN ('list', 'dict', 'set', 'tuple') AND x.field = 'args' AND NOT EXISTS (SELECT 1 FROM {{n}} y WHERE y.path = v.path AND y.parent = v.lo AND y.field = 'args' AND y.lo < x.lo))""",
 )
-register("BHARCH001", "SELECT path, line, 'warning' AS severity, concat('import of private module ', name) AS message FROM {n} WHERE kind IN ('ImportFrom', 'alias') AND name RLIKE '(^|[.])_[a-z]' AND path NOT LIKE 'tests/%' AND (kind = 'ImportFrom' OR name LIKE '%._%')")
-register("BHARCH002", "SELECT a.path, a.line, 'warning' AS severity, concat('import of private symbol ', a.name) AS message FROM {n} a JOIN {n} i ON i.path = a.path AND i.lo = a.parent AND i.kind = 'ImportFrom' WHERE a.kind = 'alias' AND a.name LIKE '\\\\_%' AND a.name NOT LIKE '\\\\_\\\\_%' AND a.path NOT LIKE 'tests/%'")
+#: Modules imported at the top of a file.
+_TOP_IMPORTS = """(SELECT path, line, lo, name FROM {n} WHERE kind = 'ImportFrom' AND parent = 0 AND name IS NOT NULL
+  UNION ALL SELECT a.path, i.line, i.lo, a.name FROM {n} a JOIN {n} i ON i.path = a.path AND i.lo = a.parent AND i.kind = 'Import' AND i.parent = 0 WHERE a.kind = 'alias')"""
+_PRIVATE = lambda c: f"({c} LIKE '\\\\_%' AND {c} NOT LIKE '\\\\_\\\\_%')"
+register("BHARCH001", f"SELECT path, line, 'warning' AS severity, concat('import of private module ', name) AS message FROM {_TOP_IMPORTS} WHERE path NOT LIKE 'tests/%' AND exists(split(name, '[.]'), p -> {_PRIVATE('p')})")
+register("BHARCH002", f"SELECT a.path, i.line, 'warning' AS severity, concat('import of private symbol ', a.name) AS message FROM {{n}} a JOIN {{n}} i ON i.path = a.path AND i.lo = a.parent AND i.kind = 'ImportFrom' AND i.parent = 0 WHERE a.kind = 'alias' AND {_PRIVATE('a.name')} AND a.path NOT LIKE 'tests/%'")
 register("BHTEST001", "SELECT a.path, a.line, 'warning' AS severity, concat('test imports private symbol ', a.name) AS message FROM {n} a JOIN {n} i ON i.path = a.path AND i.lo = a.parent AND i.kind = 'ImportFrom' WHERE a.kind = 'alias' AND a.name LIKE '\\\\_%' AND a.name NOT LIKE '\\\\_\\\\_%' AND a.path LIKE 'tests/%'")
 register("BHTEST002", "SELECT path, line, 'warning' AS severity, concat(name, ' pins the exact calls') AS message FROM {n} WHERE path LIKE 'tests/%' AND (kind = 'Call' AND name RLIKE '[.](assert_has_calls|assert_called_once_with|assert_called_with)$' OR kind = 'Attribute' AND name RLIKE '[.](mock_calls|call_args_list|method_calls)$')")
 register(
@@ -126,7 +136,7 @@ register(
       SELECT f.path, f.line, f.lo, sqrt(power(count_if(x.kind IN ('Assign', 'AugAssign', 'AnnAssign', 'NamedExpr')), 2) + power(count_if(x.kind = 'Call'), 2) + power(count_if(x.kind IN ('If', 'IfExp', 'Compare', 'ExceptHandler', 'While', 'BoolOp')), 2)) AS v
       FROM {{n}} f JOIN {{n}} x ON x.path = f.path AND x.func = f.lo WHERE f.kind IN {FUNCS} GROUP BY f.path, f.line, f.lo) WHERE v > 30""",
 )
-_UNITS = "(_ms|_millis|_milliseconds|_us|_ns|_s|_sec|_secs|_seconds|_min|_mins|_minutes|_hours|_b|_bytes|_kb|_mb|_gb|_tb|_percent|_percentage)"
+_UNITS = "(" + "|".join(suffix for suffix, _ in UNIT_SUFFIXES) + ")"
 register(
     "BHUNIT001",
     f"SELECT t.path, t.line, 'warning' AS severity, concat(t.name, ' is bound to a bare number') AS message FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field IN ('targets', 'target') AND t.kind = 'Name' JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'value' AND v.kind = 'Constant' AND v.value RLIKE '^-?[0-9.]+$' WHERE a.kind IN ('Assign', 'AnnAssign') AND lower(t.name) RLIKE '{_UNITS}$'",
@@ -141,21 +151,34 @@ register(
 )
 register("BHTIME002", "SELECT c.path, c.line, 'error' AS severity, 'local wall clock labelled UTC' AS message FROM {n} c JOIN {n} k ON k.path = c.path AND k.parent = c.lo AND k.kind = 'keyword' AND k.name = 'tzinfo' JOIN {n} v ON v.path = c.path AND v.parent = k.lo WHERE c.kind = 'Call' AND c.name RLIKE 'datetime[.]now[.]replace$' AND v.name RLIKE '(UTC|utc)$'")
 register("BHTIME001", "SELECT min_by(path, struct(path, line)) AS path, min_by(line, struct(path, line)) AS line, 'warning' AS severity, concat(count(*), ' wall-clock calls, none under control in tests') AS message FROM {n} WHERE kind = 'Call' AND name IN ('time.time', 'datetime.now', 'datetime.datetime.now', 'datetime.utcnow', 'date.today') AND path NOT LIKE 'tests/%' AND NOT EXISTS (SELECT 1 FROM {n} t WHERE t.path LIKE 'tests/%' AND t.name RLIKE 'freeze_time|time_machine|freezegun') HAVING count(*) > 0")
-register("BHCFG004", f"SELECT t.path, t.line, 'note' AS severity, concat(t.name, ' is an operational constant outside configuration') AS message FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Name' JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'value' AND v.kind = 'Constant' WHERE a.kind = 'Assign' AND a.parent = 0 AND lower(t.name) RLIKE '{CONFIG_NAME}' AND t.name <> upper(t.name) AND lower(a.path) NOT RLIKE '{CONFIG_MODULE}'")
-register("BHCFG005", "SELECT k.path, k.line, 'note' AS severity, concat('literal ', k.name, ' at a call') AS message FROM {n} k JOIN {n} v ON v.path = k.path AND v.parent = k.lo AND v.kind = 'Constant' WHERE k.kind = 'keyword' AND k.name IN ('timeout', 'retries', 'max_retries', 'interval', 'batch_size', 'max_workers') AND v.value RLIKE '^[0-9.]+$'")
+register("BHCFG004", f"SELECT t.path, a.line, 'note' AS severity, concat(t.name, ' is an operational constant outside configuration') AS message FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field IN ('targets', 'target') AND t.kind = 'Name' JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'value' AND v.kind = 'Constant' WHERE a.kind IN ('Assign', 'AnnAssign') AND a.parent = 0 AND lower(t.name) RLIKE '{CONFIG_NAME}' AND t.name <> upper(t.name) AND lower(a.path) NOT RLIKE '{CONFIG_MODULE}'")
+register(
+    "BHCFG005",
+    f"""SELECT k.path, k.line, 'note' AS severity, concat('literal ', k.name, ' at a call') AS message FROM {{n}} k JOIN {{n}} c ON c.path = k.path AND c.lo = k.parent AND c.kind = 'Call'
+    JOIN {{n}} v ON v.path = k.path AND v.parent = k.lo LEFT JOIN {{n}} u ON u.path = v.path AND u.parent = v.lo AND v.kind = 'UnaryOp' AND v.name IN ('USub', 'UAdd') AND u.vtype IN ('int', 'float')
+    WHERE k.kind = 'keyword' AND lower(k.name) RLIKE '{CONFIG_NAME}' AND lower(k.path) NOT RLIKE '{CONFIG_MODULE}' AND (v.vtype IN ('int', 'float', 'bool') OR v.vtype = 'str' AND v.value <> '' OR u.path IS NOT NULL)""",
+)
 register(
     "BHIMPL001",
-    f"SELECT f.path, f.line, 'warning' AS severity, concat(f.name, ' is a public stub') AS message FROM {{n}} f WHERE f.kind IN {FUNCS} AND f.name NOT LIKE '\\\\_%' AND f.path NOT LIKE 'tests/%' AND EXISTS (SELECT 1 FROM {{n}} r JOIN {{n}} e ON e.path = r.path AND e.parent = r.lo WHERE r.path = f.path AND r.parent = f.lo AND r.kind = 'Raise' AND e.name = 'NotImplementedError') AND (SELECT count(*) FROM {{n}} b WHERE b.path = f.path AND b.parent = f.lo AND b.field = 'body') <= 2",
+    f"SELECT f.path, f.line, 'warning' AS severity, concat(f.name, ' is a public stub') AS message FROM {{n}} f WHERE f.kind IN {FUNCS} AND f.name NOT LIKE '\\\\_%' AND f.path NOT LIKE 'tests/%' AND EXISTS (SELECT 1 FROM {{n}} r JOIN {{n}} e ON e.path = r.path AND e.parent = r.lo WHERE r.path = f.path AND r.parent = f.lo AND r.kind = 'Raise' AND e.name = 'NotImplementedError') AND (SELECT count(*) FROM {{n}} b WHERE b.path = f.path AND b.parent = f.lo AND b.field = 'body') <= 2 AND NOT EXISTS (SELECT 1 FROM {{n}} t WHERE t.path LIKE 'tests/%' AND t.kind IN ('Name', 'Attribute', 'alias') AND substring_index(t.name, '.', -1) = f.name)",
 )
 
 
 def run(nodes: DataFrame, codes: list[str] | None = None) -> DataFrame:
-    """Findings of the given rules, all of them by default: code, path, line, severity, message."""
-    spark = nodes.sparkSession
+    """Findings of the given rules, all of them by default: code, path, line, severity, message.
+
+    The nodes are written once, dealt out by path: every rule then joins them without an exchange.
+    """
+    spark, nodes = nodes.sparkSession, bucketed(nodes, "nodes", "path", "lo")
     found = [spark.sql(sql, n=nodes).withColumn("code", F.lit(code)).select("code", "path", "line", "severity", "message") for code, sql in RULES.items() if codes is None or code in codes]
     return reduce(DataFrame.unionByName, found)
 
 
+def in_order(findings: DataFrame) -> DataFrame:
+    """The order in which findings are shown."""
+    return findings.orderBy("path", "line", "code", "message")
+
+
 def env_uses(nodes: DataFrame) -> DataFrame:
     """name, path, line, required: environment variables read by subscript (required) or by get (not)."""
     return nodes.sparkSession.sql(
@@ -216,7 +239,17 @@ STORAGE = "sqlite|postgres|postgresql|mysql|sqlalchemy|peewee|orm|mongo|mongodb|
 QUANTITIES = "irradiance|radiation|dose|uv_index|uvi|_wm2|_j_m2|sed_|score|pigment|uva|uvb|vitamin|erythemal"
 INTEGRATORS = "integrate|trapz|cumtrapz|window_|_dose"
 
-register("BHPERS001", f"SELECT path, line, 'warning' AS severity, concat('upper layer imports storage implementation ', name) AS message FROM {{n}} i WHERE (kind = 'ImportFrom' OR kind = 'alias' AND EXISTS (SELECT 1 FROM {{n}} p WHERE p.path = i.path AND p.lo = i.parent AND p.kind = 'Import')) AND lower(path) RLIKE '(^|[/_.-])({UPPER_LAYER})([/_.-]|$)' AND lower(name) RLIKE '(^|[._-])({STORAGE})([._-]|$)'")
+register("BHPERS001", f"SELECT path, line, 'warning' AS severity, concat('upper layer imports storage implementation ', name) AS message FROM {_TOP_IMPORTS} WHERE lower(path) RLIKE '(^|[/_.-])({UPPER_LAYER})([/_.-]|$)' AND lower(name) RLIKE '(^|[._-])({STORAGE})([._-]|$)'")
+register(
+    "BHPERS002",
+    f"""WITH i AS (SELECT a.path, coalesce(a.value, CASE WHEN p.kind = 'Import' THEN substring_index(a.name, '.', 1) ELSE a.name END) AS alias FROM {{n}} a JOIN {{n}} p ON p.path = a.path AND p.lo = a.parent AND p.parent = 0
+      WHERE a.kind = 'alias' AND lower(CASE WHEN p.kind = 'Import' THEN a.name ELSE p.name END) RLIKE '(^|[._-])({STORAGE})([._-]|$)'),
+    s AS (SELECT t.path, t.line, f.name, t.value AS annotation FROM {{n}} f JOIN {{n}} t ON t.path = f.path AND t.field = 'returns' AND t.parent = f.lo WHERE f.kind IN {FUNCS} AND f.parent = 0 AND f.name NOT LIKE '\\\\_%'
+      UNION ALL SELECT g.path, g.line, f.name, t.value FROM {{n}} f JOIN {{n}} l ON l.path = f.path AND l.parent = f.lo AND l.kind = 'arguments' JOIN {{n}} g ON g.path = f.path AND g.parent = l.lo AND g.kind = 'arg' JOIN {{n}} t ON t.path = f.path AND t.parent = g.lo AND t.field = 'annotation'
+      WHERE f.kind IN {FUNCS} AND f.parent = 0 AND f.name NOT LIKE '\\\\_%')
+    SELECT DISTINCT s.path, s.line, 'warning' AS severity, concat('public function ', s.name, ' shows the storage type ', s.annotation) AS message FROM s JOIN i ON i.path = s.path AND s.annotation RLIKE concat('\\\\b\\\\Q', i.alias, '\\\\E\\\\b')
+    WHERE lower(s.path) RLIKE '(^|[/_.-])({UPPER_LAYER})([/_.-]|$)'""",
+)
 register(
     "BHSEAM005",
     """SELECT DISTINCT a.path, a.line, 'warning' AS severity, concat('HTTP JSON enters ', t.name, ' and is read by key without validation') AS message FROM {n} a
@@ -250,7 +283,7 @@ register(
     "BHDF001",
     """WITH s AS (SELECT a.path, a.func, a.lo, a.line, t.name AS base, k.value AS col, a.hi FROM {n} a JOIN {n} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Subscript' JOIN {n} k ON k.path = a.path AND k.parent = t.lo AND k.field = 'slice' AND k.kind = 'Constant' WHERE a.kind = 'Assign' AND a.func >= 0),
     r AS (SELECT s.*, q.value AS source FROM s JOIN {n} x ON x.path = s.path AND x.lo > s.lo AND x.lo <= s.hi AND x.kind = 'Subscript' AND x.name = s.base AND x.field <> 'targets' JOIN {n} q ON q.path = s.path AND q.parent = x.lo AND q.field = 'slice' AND q.kind = 'Constant' WHERE q.value <> s.col),
-    e AS (SELECT c.path, c.func, c.lo, c.line, regexp_extract(c.name, '^([A-Za-z_0-9]+)[.]', 1) AS base FROM {n} c WHERE c.kind = 'Call' AND c.name RLIKE '[.]to_(csv|parquet|json|excel|sql|pickle)$')
+    e AS (SELECT c.path, c.func, c.lo, c.line, regexp_extract(c.name, '^([A-Za-z_0-9]+)[.]', 1) AS base FROM {n} c WHERE c.kind = 'Call' AND c.name RLIKE '[.]to_(dict|csv|parquet|json)$')
     SELECT e.path, min(e.line) AS line, 'error' AS severity, concat(r.col, ' is exported after ', r.source, ' changed') AS message FROM r JOIN s m ON m.path = r.path AND m.func = r.func AND m.base = r.base AND m.col = r.source AND m.lo > r.lo
     JOIN e ON e.path = r.path AND e.func = r.func AND e.base = r.base AND e.lo > m.lo WHERE NOT EXISTS (SELECT 1 FROM s d WHERE d.path = r.path AND d.func = r.func AND d.base = r.base AND d.col = r.col AND d.lo > m.lo AND d.lo < e.lo) GROUP BY e.path, r.func, r.col, r.source""",
 )
@@ -258,3 +291,90 @@ register(
     "BHTEST005",
     f"SELECT DISTINCT v.path, v.line, 'warning' AS severity, 'long literal against generated text' AS message FROM {{n}} v JOIN {{n}} c ON c.path = v.path AND c.lo = v.parent AND c.kind = 'Compare' JOIN {{n}} a ON {_inside('c', 'a')} AND a.kind = 'Assert' JOIN {{n}} o ON {_inside('o', 'c')} AND lower(o.name) RLIKE '(source|generated|render|output|code)' WHERE v.kind = 'Constant' AND length(v.value) >= 200 AND v.path LIKE 'tests/%'",
 )
+
+# ---------------------------------------------------------------- seams, evidence, intervals, artifacts
+
+#: Calls that hand a dictionary over; fixed values.
+BOUNDARIES = "'json.dump', 'json.dumps', 'send', 'sendall', 'put', 'put_nowait', 'publish', 'emit', 'write', 'write_text', 'write_bytes', 'save'"
+register(
+    "BHSEAM001",
+    f"""WITH e AS (
+      SELECT a.path, a.func, t.name AS var, k.value AS key, 'write' AS op, a.lo, a.line FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field IN ('targets', 'target') AND t.kind = 'Name'
+        JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'value' AND v.kind = 'Dict' LEFT JOIN {{n}} k ON k.path = a.path AND k.parent = v.lo AND k.field = 'keys' AND k.vtype = 'str' WHERE a.kind IN ('Assign', 'AnnAssign')
+      UNION ALL SELECT s.path, s.func, b.name, k.value, CASE WHEN s.field IN ('targets', 'target') THEN 'write' ELSE 'read' END, s.lo, s.line FROM {{n}} s JOIN {{n}} b ON b.path = s.path AND b.parent = s.lo AND b.field = 'value' AND b.kind = 'Name'
+        JOIN {{n}} k ON k.path = s.path AND k.parent = s.lo AND k.field = 'slice' AND k.vtype = 'str' WHERE s.kind = 'Subscript'
+      UNION ALL SELECT c.path, c.func, b.name, k.value, CASE substring_index(c.name, '.', -1) WHEN 'setdefault' THEN 'write' WHEN 'get' THEN 'soft' ELSE 'read' END, c.lo, c.line FROM {{n}} c JOIN {{n}} m ON m.path = c.path AND m.parent = c.lo AND m.field = 'func' AND m.kind = 'Attribute'
+        JOIN {{n}} b ON b.path = c.path AND b.parent = m.lo AND b.kind = 'Name' JOIN {{n}} k ON k.path = c.path AND k.lo = m.hi + 1 AND k.parent = c.lo AND k.vtype = 'str'
+        WHERE c.kind = 'Call' AND substring_index(c.name, '.', -1) IN ('get', 'pop', 'setdefault') AND NOT (c.name LIKE '%.get' AND k.value LIKE '/%')),
+    d AS (SELECT path, func, var, min(lo) AS lo, min_by(line, lo) AS line, collect_set(CASE WHEN op = 'write' THEN key END) AS written, collect_set(CASE WHEN op = 'soft' THEN key END) AS soft, collect_set(CASE WHEN op = 'read' THEN key END) AS reads FROM e WHERE func >= 0 GROUP BY path, func, var),
+    m AS (SELECT *, array_sort(array_except(array_except(reads, soft), written)) AS missing FROM d)
+    SELECT path, line, 'error' AS severity, concat(var, ' is handed over, and its keys ', array_join(missing, ', '), ' are read but never written') AS message FROM m WHERE size(missing) > 0 AND EXISTS (
+      SELECT 1 FROM {{n}} x JOIN {{n}} c ON c.path = x.path AND c.lo = x.parent AND c.kind = 'Call' WHERE x.path = m.path AND x.func = m.func AND x.field = 'args' AND x.kind = 'Name' AND x.name = m.var AND c.lo > m.lo
+        AND (substring_index(c.name, '.', -1) IN ({BOUNDARIES}) OR c.name IN ({BOUNDARIES})))""",
+)
+_BROAD = lambda c: f"(replace({c}, ' ', '') IN ('Any', 'typing.Any', 'object', 'builtins.object') OR {c} LIKE '%Any%' AND replace({c}, ' ', '') RLIKE '^(dict|Mapping|MutableMapping)[\\\\[]')"
+register(
+    "BHEVID001",
+    f"""WITH k AS (
+      SELECT g.path, g.func, g.name AS var, t.value AS type, -1 AS bfs FROM {{n}} g JOIN {{n}} t ON t.path = g.path AND t.parent = g.lo AND t.field = 'annotation' WHERE g.kind = 'arg' AND g.field IN ('posonlyargs', 'args', 'kwonlyargs')
+      UNION ALL SELECT a.path, a.func, v.name, t.value, a.bfs FROM {{n}} a JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'target' AND v.kind = 'Name' JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'annotation' WHERE a.kind = 'AnnAssign' AND a.func >= 0),
+    w AS (SELECT a.path, a.func, a.bfs, v.name AS var, s.name AS source, max_by(k.type, k.bfs) AS type FROM {{n}} a JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'target' AND v.kind = 'Name' JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'annotation'
+      JOIN {{n}} s ON s.path = a.path AND s.parent = a.lo AND s.field = 'value' AND s.kind = 'Name' JOIN k ON k.path = a.path AND k.func = a.func AND k.var = s.name AND k.bfs < a.bfs WHERE a.kind = 'AnnAssign' AND {_BROAD('t.value')} GROUP BY a.path, a.func, a.bfs, v.name, s.name)
+    SELECT DISTINCT c.path, c.line, 'error' AS severity, concat(w.source, ' of type ', w.type, ' is widened into ', w.var, ' and cast back') AS message FROM {{n}} c JOIN {{n}} f ON f.path = c.path AND f.parent = c.lo AND f.field = 'func'
+    JOIN {{n}} t ON t.path = c.path AND t.lo = f.hi + 1 AND t.field = 'args' JOIN {{n}} x ON x.path = c.path AND x.lo = t.hi + 1 AND x.parent = c.lo AND x.field = 'args' AND x.kind = 'Name' JOIN w ON w.path = c.path AND w.func = c.func AND w.var = x.name AND w.bfs < c.bfs
+    WHERE c.kind = 'Call' AND substring_index(c.name, '.', -1) = 'cast' AND NOT {_BROAD('w.type')}""",
+)
+register(
+    "BHINT001",
+    f"""WITH m AS (SELECT a.path, a.func, t.name FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field IN ('targets', 'target') AND t.kind = 'Name' JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'value' AND (v.kind = 'BoolOp' AND v.name = 'And' OR v.kind = 'BinOp' AND v.name = 'BitAnd')
+      JOIN {{n}} c ON c.path = a.path AND c.lo > v.lo AND c.lo <= v.hi AND c.kind = 'Compare' WHERE a.kind IN ('Assign', 'NamedExpr') AND a.func >= 0 GROUP BY a.path, a.func, a.lo, t.name HAVING count_if(c.name IN ('GtE', 'Gt')) > 0 AND count_if(c.name = 'Lt') > 0)
+    SELECT c.path, min_by(c.line, c.bfs) AS line, 'error' AS severity, 'a half-open selection feeds an integrator of neighbouring samples' AS message FROM {{n}} c JOIN {{n}} f ON f.path = c.path AND f.parent = c.lo AND f.field = 'func'
+    JOIN {{n}} x ON x.path = c.path AND x.lo > f.hi AND x.lo <= c.hi AND x.kind = 'Name' JOIN m ON m.path = c.path AND m.func = c.func AND m.name = x.name WHERE c.kind = 'Call' AND lower(c.name) RLIKE '({INTEGRATORS})' GROUP BY c.path, c.func""",
+)
+#: Parts of names of values over the time before, and beginnings of names of the time ahead; fixed values.
+TRAILING = "trailing|tan_dose_30m"
+FORWARD_START = "best_|window_start"
+register(
+    "BHINT002",
+    f"""WITH t AS (
+      SELECT path, func, name, -1 AS bfs FROM {{n}} WHERE kind = 'arg' AND field IN ('args', 'kwonlyargs') AND lower(name) RLIKE '({TRAILING})'
+      UNION ALL SELECT a.path, a.func, v.name, a.bfs FROM {{n}} a JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'targets' AND v.kind = 'Name' WHERE a.kind = 'Assign' AND lower(v.name) RLIKE '({TRAILING})'),
+    u AS (SELECT a.path, a.func, a.bfs, a.line, s.name, concat(s.name, ', a value over the time before, starts ', v.name) AS message FROM {{n}} a JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'targets' AND v.kind = 'Name' AND lower(v.name) RLIKE '^({FORWARD_START})' AND lower(v.name) NOT RLIKE '({TRAILING})'
+        JOIN {{n}} s ON s.path = a.path AND s.parent = a.lo AND s.field = 'value' AND s.kind = 'Name' WHERE a.kind = 'Assign'
+      UNION ALL SELECT k.path, k.func, k.bfs, c.line, s.name, concat(s.name, ', a value over the time before, is passed as ', k.name) FROM {{n}} k JOIN {{n}} c ON c.path = k.path AND c.lo = k.parent AND c.kind = 'Call' JOIN {{n}} s ON s.path = k.path AND s.parent = k.lo AND s.kind = 'Name' WHERE k.kind = 'keyword' AND k.name IN ('start', 'begin', 'start_ts'))
+    SELECT DISTINCT u.path, u.line, 'error' AS severity, u.message FROM u JOIN t ON t.path = u.path AND t.func = u.func AND t.name = u.name AND t.bfs < u.bfs WHERE u.func >= 0""",
+)
+#: Suffixes of files that are kept, and parts of names that tell of freshness; fixed values.
+ARTIFACTS = "[.](parquet|pkl|pickle|npz|npy|joblib|onnx)"
+FRESHNESS = "exists|stat|mtime|fresh|stale|manifest|_version|version|valid"
+STATEMENTS = "('Assign', 'AugAssign', 'AnnAssign', 'Expr', 'Return', 'Delete', 'For', 'AsyncFor', 'While', 'If', 'With', 'AsyncWith', 'Raise', 'Try', 'TryStar', 'Assert', 'Import', 'ImportFrom', 'Global', 'Nonlocal', 'Pass', 'Break', 'Continue', 'Match')"
+register(
+    "BHART001",
+    f"""WITH s AS (SELECT f.path, f.lo AS f, s.lo, s.hi, s.bfs FROM {{n}} f JOIN {{n}} s ON {_inside('s', 'f')} AND s.kind IN {STATEMENTS} WHERE f.kind IN {FUNCS}),
+    fresh AS (SELECT path, lo FROM {{n}} WHERE kind = 'Call' AND lower(name) RLIKE '({FRESHNESS})'
+      UNION ALL SELECT c.path, c.lo FROM {{n}} c JOIN {{n}} k ON k.path = c.path AND k.parent = c.lo AND k.vtype = 'str' AND lower(k.value) RLIKE '({FRESHNESS})' WHERE c.kind = 'Compare'),
+    reads AS (SELECT c.path, c.lo, c.bfs, min(c.line) AS line FROM {{n}} c JOIN {{n}} g ON g.path = c.path AND g.parent = c.lo AND g.field = 'func' JOIN {{n}} k ON k.path = c.path AND k.lo > g.hi AND k.lo <= c.hi AND k.vtype = 'str' AND k.value RLIKE '({ARTIFACTS})$' WHERE c.kind = 'Call' GROUP BY c.path, c.lo, c.bfs),
+    r AS (SELECT s.path, s.f, min_by(x.line, struct(s.bfs, x.bfs)) AS line, min(s.bfs) AS bfs FROM s JOIN reads x ON x.path = s.path AND x.lo >= s.lo AND x.lo <= s.hi GROUP BY s.path, s.f),
+    v AS (SELECT s.path, s.f, min(s.bfs) AS bfs FROM s JOIN fresh x ON x.path = s.path AND x.lo >= s.lo AND x.lo <= s.hi GROUP BY s.path, s.f)
+    SELECT r.path, r.line, 'warning' AS severity, 'a kept file is read before it is checked for freshness' AS message FROM r LEFT JOIN v ON v.path = r.path AND v.f = r.f WHERE v.bfs IS NULL OR v.bfs > r.bfs""",
+)
+register(
+    "BHART002",
+    f"""WITH k AS (SELECT f.path, f.lo, f.name, f.line, collect_set(CASE WHEN x.kind = 'Name' THEN x.name ELSE x.value END) AS keys FROM {{n}} f JOIN {{n}} x ON {_inside('x', 'f')}
+      AND (x.kind = 'Name' AND x.name = upper(x.name) AND x.name RLIKE '[A-Z]' AND x.name LIKE '%\\\\_%' OR x.vtype = 'str' AND x.value = upper(x.value) AND x.value RLIKE '[A-Z]' AND x.value LIKE '%\\\\_%') WHERE f.kind IN {FUNCS} GROUP BY f.path, f.lo, f.name, f.line)
+    SELECT c.path, c.line, 'error' AS severity, concat(c.name, ' leaves out settings that ', b.name, ' reads: ', array_join(array_sort(array_except(b.keys, c.keys)), ', ')) AS message FROM k b JOIN k c ON c.path = b.path AND c.lo <> b.lo
+    WHERE lower(b.name) RLIKE '(build|compute|refresh|update|make)' AND size(b.keys) >= 2 AND lower(c.name) RLIKE '(fresh|valid|stale|manifest|version|check)' AND size(array_except(b.keys, c.keys)) > 0""",
+)
+#: Endings of names of what says how good a quantity is; fixed values.
+QUALITY_SUFFIXES = ("_complete", "_coverage", "_coverage_fraction", "_valid", "_stale", "_version", "_confidence", "_source")
+register(
+    "BHMETA002",
+    f"""WITH d AS (
+      SELECT path, func, name FROM {{n}} WHERE kind = 'arg' AND field IN ('args', 'kwonlyargs')
+      UNION SELECT a.path, a.func, t.name FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field IN ('targets', 'target') AND t.kind = 'Name' WHERE a.kind IN ('Assign', 'AnnAssign')
+      UNION SELECT a.path, a.func, k.value FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Subscript' JOIN {{n}} b ON b.path = a.path AND b.parent = t.lo AND b.field = 'value' AND b.kind = 'Name' JOIN {{n}} k ON k.path = a.path AND k.parent = t.lo AND k.field = 'slice' AND k.vtype = 'str' WHERE a.kind = 'Assign'),
+    r AS (SELECT DISTINCT x.path, x.func, x.lo, x.line, k.value AS key FROM {{n}} x JOIN {{n}} o ON o.path = x.path AND o.parent = x.lo AND o.kind = 'Dict' JOIN {{n}} k ON k.path = x.path AND k.parent = o.lo AND k.field = 'keys' AND k.vtype = 'str' WHERE x.kind = 'Return' AND x.func >= 0),
+    c AS (SELECT r.*, concat(CASE WHEN length(key) - length(replace(key, '_', '')) >= 2 THEN regexp_replace(key, '_[^_]*_[^_]*$', '') ELSE key END, s) AS wanted FROM r LATERAL VIEW explode(array('{"', '".join(QUALITY_SUFFIXES)}')) x AS s WHERE lower(key) NOT RLIKE '.({"|".join(QUALITY_SUFFIXES)})$')
+    SELECT c.path, c.line, 'warning' AS severity, concat(c.key, ' is returned without ', array_join(array_sort(collect_set(c.wanted)), ', ')) AS message FROM c JOIN d ON d.path = c.path AND d.func = c.func AND d.name = c.wanted
+    LEFT ANTI JOIN r ON r.path = c.path AND r.lo = c.lo AND r.key = c.wanted GROUP BY c.path, c.lo, c.line, c.key""",
+)

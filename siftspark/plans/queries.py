@@ -119,7 +119,7 @@ def defense_health(spark, d):
 
 @query(f"""WITH {FS}, {RS}, {KEYED_SQL},
 c AS (SELECT path, line, count(DISTINCT tool) AS t, count(*) AS n FROM f WHERE line <> 0 GROUP BY path, line HAVING count(DISTINCT tool) >= 2),
-i AS (SELECT path AS ip, line AS il, 'CORR-' || lpad(CAST(row_number() OVER (ORDER BY t DESC, n DESC, path, line) AS VARCHAR), 4, '0') AS correlation_id FROM c),
+i AS (SELECT path AS ip, line AS il, printf('CORR-%04d', row_number() OVER (ORDER BY t DESC, n DESC, path, line)) AS correlation_id FROM c),
 x AS (SELECT name, arg_max(command, seq) AS c FROM r GROUP BY name),
 y AS (SELECT split_part(name, ':', 1) AS name, arg_min(command, seq) AS c FROM r GROUP BY 1),
 v AS (SELECT coalesce(x.name, y.name) AS name, coalesce(x.c, y.c) AS c FROM x FULL JOIN y ON x.name = y.name)

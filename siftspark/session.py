@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -16,3 +18,30 @@ def importable(spark: SparkSession) -> SparkSession:
     if ROOT not in paths:
         environment["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share; a temporary one only where none is set and the executors are the driver."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="siftspark-"))
+        path = spark.sparkContext.getCheckpointDir()
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and losing an executor costs nothing."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def bucketed(df: DataFrame, name: str, key: str, *order: str) -> DataFrame:
+    """Like stored(), dealt out by the key, so that joins on it need no exchange."""
+    spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)

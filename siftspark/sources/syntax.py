@@ -2,7 +2,9 @@
 
 A node has its place in depth-first order (lo), the last place below it (hi), its place in breadth-first order (bfs),
 its parent's lo, and the field of the parent that holds it. `a` is an ancestor of `n` where the path is the same and
-a.lo < n.lo <= a.hi. `func` is the lo of the function around it, -1 for none. A source that is no Python gives no rows.
+a.lo < n.lo <= a.hi. `func` is the lo of the function around it, -1 for none. `value` and `vtype` are a literal's text
+and type; `value` is also the text of an annotation and the other name of an import. A source that is no Python gives
+no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql.functions import udtf
 
 from siftspark.session import importable
 
-SCHEMA = "path string, lo int, hi int, bfs int, parent int, field string, kind string, name string, value string, line int, end_line int, col int, func int, cls int"
+SCHEMA = "path string, lo int, hi int, bfs int, parent int, field string, kind string, name string, value string, vtype string, line int, end_line int, col int, func int, cls int"
 
 
 def dotted(node: ast.AST) -> str | None:
@@ -44,16 +46,27 @@ def _name(node: ast.AST) -> str | None:
         return dotted(node)
     if isinstance(node, ast.ImportFrom):
         return node.module
+    if isinstance(node, ast.Compare):
+        return ",".join(type(op).__name__ for op in node.ops)
     return type(node.op).__name__ if isinstance(node, (ast.BinOp, ast.BoolOp, ast.UnaryOp, ast.AugAssign)) else None
 
 
+def _value(node: ast.AST, field: str) -> str | None:
+    """The text of a literal or of an annotation, and the other name of an import."""
+    if field in ("annotation", "returns"):
+        return ast.unparse(node)
+    if isinstance(node, ast.alias):
+        return node.asname
+    return str(node.value) if isinstance(node, ast.Constant) else None
+
+
 def _below(node: ast.AST) -> list[tuple[str, ast.AST]]:
     """Field and child, without the nodes that only tell how a name is used or which operator stands there."""
     marks = (ast.expr_context, ast.operator, ast.cmpop, ast.boolop, ast.unaryop)
     return [(f, c) for f, v in ast.iter_fields(node) for c in (v if isinstance(v, list) else [v]) if isinstance(c, ast.AST) and not isinstance(c, marks)]
 
 
-@udtf(returnType=SCHEMA)
+@udtf(returnType=SCHEMA, useArrow=True)
 class SyntaxNodes:
     """syntax_nodes(path, source)"""
 
@@ -71,8 +84,8 @@ class SyntaxNodes:
         while stack:  # depth first; hi is filled in from the last row below
             node, parent, field, func, cls = stack.pop()
             lo = len(rows)
-            value = str(node.value) if isinstance(node, ast.Constant) else None
-            rows.append([path, lo, lo, order[id(node)], parent, field, type(node).__name__, _name(node), value, getattr(node, "lineno", None), getattr(node, "end_lineno", None), getattr(node, "col_offset", None), func, cls])
+            vtype = type(node.value).__name__ if isinstance(node, ast.Constant) else None
+            rows.append([path, lo, lo, order[id(node)], parent, field, type(node).__name__, _name(node), _value(node, field), vtype, getattr(node, "lineno", None), getattr(node, "end_lineno", None), getattr(node, "col_offset", None), func, cls])
             inner = lo if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)) else func
             owner = lo if isinstance(node, ast.ClassDef) else cls
             below = [(c, lo, f, inner, owner) for f, c in _below(node)]

@@ -46,6 +46,18 @@ CASES |= {
     "BHMETA001": ("x = {'dose': 0.0, 'complete': True}\n", "x = {'dose': 0.0, 'complete': False}\n"),
     "BHDF001": ("def f(df):\n df['b'] = df['a'] * 2\n df['a'] = 0\n df.to_csv(p)\n", "def f(df):\n df['a'] = 0\n df['b'] = df['a'] * 2\n df.to_csv(p)\n"),
 }
+CASES |= {
+    "BHSEAM001": ("def f(q):\n d = {'a': 1}\n q.put(d)\n return d['b']\n", "def f(q):\n d = {'a': 1}\n q.put(d)\n return d['a'], d.get('b')\n"),
+    "BHEVID001": ("def f(x: int):\n y: object = x\n return cast(int, y)\n", "def f(x: int):\n y: int = x\n return cast(int, y)\n"),
+    "BHINT001": ("def f(t, v):\n m = (t >= a) & (t < b)\n return integrate(v[m])\n", "def f(t, v):\n m = (t >= a) & (t <= b)\n return integrate(v[m])\n"),
+    "BHINT002": ("def f(trailing_dose):\n window_start = trailing_dose\n g(start=trailing_dose)\n", "def f(leading_dose):\n window_start = leading_dose\n g(start=leading_dose)\n"),
+    "BHART001": ("def f(p):\n x = load('a.parquet')\n if exists(p):\n  return x\n", "def f(p):\n if exists(p):\n  return load('a.parquet')\n"),
+    "BHART002": ("def build_it():\n return A_B, C_D\ndef is_fresh():\n return A_B\n", "def build_it():\n return A_B, C_D\ndef is_fresh():\n return A_B, C_D\n"),
+    "BHMETA002": ("def f(dose, dose_complete):\n return {'dose': dose}\n", "def f(dose, dose_complete):\n return {'dose': dose, 'dose_complete': dose_complete}\n"),
+}
+#: Members of the rules' tables, each of which must be known, and neighbours that must not.
+MAGIC = "__eq__ __ne__ __lt__ __le__ __gt__ __ge__ __add__ __radd__ __sub__ __mul__ __rmul__ __and__ __rand__ __or__ __ror__ __xor__".split()
+DB = "execute executemany query filter filter_by select scalars scalar".split()
 TEST_CASES = {
     "BHTEST001": ("from pkg import _thing\n", "from pkg import thing\n"),
     "BHTEST002": ("def test_a(m):\n m.assert_called_once_with(1)\n", "def test_a(m):\n assert m == 1\n"),
@@ -59,6 +71,13 @@ def found(spark):
     rows = [(f"src/{c}_{k}.py", s) for c, pair in CASES.items() for k, s in zip(("fires", "quiet"), pair)]
     rows += [(f"tests/{c}_{k}.py", s) for c, pair in TEST_CASES.items() for k, s in zip(("fires", "quiet"), pair)]
     rows += [("src/api/routes.py", "import sqlalchemy\n"), ("src/store/db.py", "import sqlalchemy\n"), ("src/http.py", "requests.get(u)\n")]
+    rows += [(f"src/reflective/{m}.py", f"class A:\n def {m}(self, o):\n  raise NotImplementedError()\n") for m in [*MAGIC, "__truediv__", "__rsub__"]]
+    rows += [(f"src/db/{m}.py", f"def f(xs):\n for x in xs:\n  s.{m}(x)\n") for m in [*DB, "get", "fetchone"]]
+    rows += [(f"src/magic/{m}.py", f"class A:\n async def {m}(self):\n  pass\n def {m}(self):\n  yield\n") for m in ("__add__", "__call__", "__aenter__", "__anext__", "__iter__", "__await__", "plain")]
+    rows += [(f"src/export/{m}.py", f"def f(df):\n df['b'] = df['a'] * 2\n df['a'] = 0\n df.{m}(p)\n") for m in ("to_dict", "to_csv", "to_parquet", "to_json", "to_excel", "to_sql")]
+    rows += [(f"src/knob/{i}.py", f"g({a})\n") for i, a in enumerate(("max_rate=-1", "db_host='x'", "cache=True", "host=''", "limit=n", "colour=3", "port=None"))]
+    rows += [("src/settings.py", "g(timeout=5)\n"), ("src/web/views.py", "from sqlalchemy.orm import Session as S\nimport redis\ndef f(s: S) -> int: pass\ndef _g(s: S): pass\ndef h(x: int) -> 'redis.Redis': pass\n")]
+    rows += [(f"src/loop/{i}.py", f"def f(xs):\n for x in xs:\n  {a}\n") for i, a in enumerate(("acc = x | acc", "acc = {**acc}", "acc = list(acc)", "acc += [acc]", "acc = list(x, acc)"))]
     rows += [("src/broken.py", "def f(:\n"), ("src/empty.py", None)]
     nodes = syntax.nodes(spark.createDataFrame(rows, "path string, source string")).cache()
     assert nodes.where("path = 'src/broken.py'").count() == 0
@@ -72,6 +91,21 @@ def test_rule_fires_and_is_quiet(found, code):
     assert (code, f"{top}/{code}_quiet.py") not in found
 
 
+def of(found, code, top):
+    return {p.removeprefix(f"src/{top}/").removesuffix(".py") for c, p in found if c == code and p.startswith(f"src/{top}/")}
+
+
+def test_members_of_the_tables(found):
+    assert of(found, "BHPRT007", "reflective") == set(MAGIC)
+    assert of(found, "BHDB001", "db") == set(DB)
+    assert of(found, "BHPRT002", "magic") == {"__add__", "__call__", "__iter__", "__await__"}
+    assert of(found, "BHPRT003", "magic") == {"__add__", "__call__", "__aenter__", "__anext__"}
+    assert of(found, "BHDF001", "export") == {"to_dict", "to_csv", "to_parquet", "to_json"}
+    assert of(found, "BHCFG005", "knob") == {"0", "1", "2"} and ("BHCFG005", "src/settings.py") not in found
+    assert of(found, "BHEVID003", "loop") == {"0", "1", "2"}
+    assert ("BHPERS002", "src/web/views.py") in found and ("BHPERS001", "src/web/views.py") in found
+
+
 def test_layers_and_recorded_payloads(found):
     assert ("BHPERS001", "src/api/routes.py") in found and ("BHPERS001", "src/store/db.py") not in found
     assert ("BHSEAM006", "src/http.py") in found
