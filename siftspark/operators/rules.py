@@ -31,6 +31,10 @@ FUNCS = "('FunctionDef', 'AsyncFunctionDef')"
 LOOPS = "('For', 'AsyncFor', 'While')"
 
 
+#: Rules that give one finding for all files together.
+PROJECT_RULES = ("BHTIME001", "BHSEAM006")
+
+
 def register(code: str, sql: str) -> None:
     RULES[code] = sql
 

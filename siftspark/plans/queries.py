@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siftspark.functions import findings as fx
 from siftspark.operators import compare, filters, graph, lattice, ledger, ordered, report
 from siftspark.plans import adapters as a
+from siftspark.plans import parser_runs, rule_sources
 from siftspark.sources import parsers
 from siftspark.streaming import live
 
@@ -615,10 +616,44 @@ def evidence_gate(spark, d):
 # ---------------------------------------------------------------- rules over source code
 
 
+def _rules(name: str, *prefixes: str) -> None:
+    def found(spark, d):
+        from siftspark.operators import rules
+        from siftspark.sources import syntax
+
+        codes = [c for c in rules.RULES if c.startswith(prefixes) and c not in rules.PROJECT_RULES]
+        return rules.run(syntax.nodes(rule_sources.sources(a.table(spark, d, "part"))), codes).select("code", "path", "line", "severity")
+
+    QUERIES[name], ORACLES[name] = found, rule_sources.findings_sql(*prefixes)
+
+
+for _name, _prefixes in {
+    "protocol_rules": ("BHPRT",),
+    "policy_rules": ("BHCTRL", "BHCFG", "BHPERS", "BHARCH", "BHIMPL"),
+    "unit_rules": ("BHUNIT", "BHCX"),
+    "test_rules": ("BHTEST",),
+    "seam_rules": ("BHSEAM", "BHDB", "BHEVID"),
+    "data_rules": ("BHMISS", "BHMETA", "BHDF", "BHINT", "BHART", "BHTIME"),
+}.items():
+    _rules(_name, *_prefixes)
+
+
+@query("""WITH p AS (SELECT 'src/t' || p_partkey || '.py' AS path FROM part)
+SELECT code, (SELECT min(path) FROM p) AS path, CAST(line AS INTEGER) AS line, 'warning' AS severity, (SELECT count(*) FROM p) || message AS message
+FROM (VALUES ('BHTIME001', 1, ' wall-clock calls, none under control in tests'), ('BHSEAM006', 2, ' HTTP calls without recorded payloads in tests')) v(code, line, message)""")
+def project_rules(spark, d):
+    from siftspark.operators import rules
+    from siftspark.sources import syntax
+
+    key = F.col("p_partkey").cast("string")
+    made = a.table(spark, d, "part").select(F.concat(F.lit("src/t"), key, F.lit(".py")).alias("path"), F.concat(F.lit("t = time.time()\nrequests.get(u"), key, F.lit(")\n")).alias("source"))
+    return rules.run(syntax.nodes(made), list(rules.PROJECT_RULES))
+
+
 @query("""WITH p AS (SELECT 'gen/p' || p_partkey || '.py' AS path, p_size, p_partkey FROM part)
 SELECT 'BHCTRL001' AS code, path, CAST(5 AS INTEGER) AS line, 'error' AS severity FROM p WHERE p_partkey % 3 = 0
 UNION ALL SELECT 'BHUNIT001', path, 6, 'warning' FROM p WHERE p_size % 2 = 0
-UNION ALL SELECT 'BHDB001', path, 8, 'warning' FROM p WHERE p_partkey % 5 = 1""")
+UNION ALL SELECT 'BHDB001', path, 9, 'warning' FROM p WHERE p_partkey % 5 = 1""")
 def syntax_rules(spark, d):
     """Sources made from the parts table, one a part, read by the node table and its rules."""
     from siftspark.operators import rules
@@ -632,13 +667,27 @@ def syntax_rules(spark, d):
         F.lit("    finally:"),
         F.when(F.expr("p_partkey % 3 = 0"), "        return 1").otherwise("        h()"),
         F.when(F.expr("p_size % 2 = 0"), F.concat(F.lit("wait_ms = "), F.col("p_size").cast("string"))).otherwise("wait = f(1)"),
-        F.when(F.expr("p_partkey % 5 = 1"), "for i in items:").otherwise("if items:"),
-        F.lit("    cur.execute(q, wait)"),
+        F.lit("def k(items, cur, q):"),
+        F.when(F.expr("p_partkey % 5 = 1"), "    for i in items:").otherwise("    if items:"),
+        F.lit("        cur.execute(q, wait)"),
     )
     nodes = syntax.nodes(a.table(spark, d, "part").select(F.concat(F.lit("gen/p"), F.col("p_partkey").cast("string"), F.lit(".py")).alias("path"), source.alias("source")))
     return rules.run(nodes, ["BHCTRL001", "BHUNIT001", "BHDB001"]).select("code", "path", "line", "severity")
 
 
+def _parser(name: str) -> None:
+    def found(spark, d):
+        made = parser_runs.runs(a.table(spark, d, "part"), name)
+        return parsers.parse(made, name).select(*parser_runs.OUTPUT)
+
+    key = "parse_" + name.replace("-", "_")
+    QUERIES[key], ORACLES[key] = found, parser_runs.findings_sql(name)
+
+
+for _name in parser_runs.SAMPLES:
+    _parser(_name)
+
+
 # ---------------------------------------------------------------- further joins and aggregates
 
 

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftspark.functions import findings as fx
+
 FIELDS = ("run", "pos", "tool", "path", "line", "column", "code", "message", "severity", "fixable", "fix_safety", "fix_preview")
 Parser = Callable[[DataFrame], DataFrame]
 PARSERS: dict[str, Parser] = {}
@@ -43,26 +45,36 @@ def lines_of(runs: DataFrame) -> DataFrame:
 
 def text(runs: DataFrame) -> DataFrame:
     """`path:line[:column]: [severity:] message [code]` lines of failed runs; without any, the last line that says something."""
-    rows = lines_of(runs.where("exit_code <> 0")).withColumn("s", F.trim(F.regexp_replace("raw", r"^\s+|\s+$", ""))).where("s <> ''")
-    placed = F.col("s").rlike(_PLACE)
-    part = lambda a, b: F.when(placed, F.regexp_extract("s", _PLACE, a)).otherwise(F.regexp_extract("s", _LINE, b))
-    rows = rows.withColumn("hit", placed | F.col("s").rlike(_LINE)).withColumn("last", F.max("pos").over(W.partitionBy("run"))).withColumn("any", F.max(F.col("hit")).over(W.partitionBy("run")))
-    message = F.trim(part(5, 4))
-    found = rows.where("hit").select(
+    rows = lines_of(runs.where("exit_code <> 0")).withColumn("s", fx.stripped(F.col("raw"))).where("s <> ''")
+    # each pattern is tried once: its groups come back as one string
+    placed = F.regexp_replace("s", _PLACE, "$1\x01$2\x01$3\x01$4\x01$5")
+    lined = F.regexp_replace("s", _LINE, "$1\x01$2\x01\x01$3\x01$4")
+    rows = rows.withColumn("p", placed).withColumn("p", F.when(F.col("p") != F.col("s"), F.col("p")).otherwise(lined))
+    rows = rows.withColumn("g", F.when(F.col("p") != F.col("s"), F.split("p", "\x01", 5))).drop("p")
+    part = lambda i: F.get("g", F.lit(i))
+    message = F.trim(part(4))
+    found = rows.where("g IS NOT NULL").select(
         "run",
         "pos",
         "tool",
-        part(1, 1).alias("path"),
-        part(2, 2).try_cast("int").alias("line"),
-        F.when(placed, F.regexp_extract("s", _PLACE, 3).try_cast("int")).alias("column"),
+        part(0).alias("path"),
+        part(1).try_cast("int").alias("line"),
+        part(2).try_cast("int").alias("column"),
         F.nullif(F.regexp_extract(message, _CODE, 1), F.lit("")).alias("code"),
         F.regexp_replace(message, _CODE, "").alias("message"),
-        F.lower(F.coalesce(F.nullif(part(4, 3), F.lit("")), F.lit("error"))).alias("severity"),
+        F.lower(F.coalesce(F.nullif(part(3), F.lit("")), F.lit("error"))).alias("severity"),
     )
-    rest = rows.where("NOT any AND pos = last").select("run", "pos", "tool", F.substring("s", 1, 1000).alias("message"), F.lit("error").alias("severity"))
+    last = rows.groupBy("run", "tool").agg(F.max_by("s", "pos").alias("s"), F.max("pos").alias("pos"), F.bool_or(F.col("g").isNotNull()).alias("any"))
+    rest = last.where("NOT any").select("run", "pos", "tool", F.substring("s", 1, 1000).alias("message"), F.lit("error").alias("severity"))
     return _shaped(found).unionByName(_shaped(rest))
 
 
+def _lines_or_text(runs: DataFrame, found: DataFrame, quiet_codes: tuple[int, ...] = ()) -> DataFrame:
+    """found, and the text parser's findings for runs that gave none and whose exit code is not quiet."""
+    none = runs.where(~F.col("exit_code").isin(*quiet_codes)) if quiet_codes else runs
+    return _shaped(found).unionByName(text(none.join(found.select("run").distinct(), "run", "left_anti")))
+
+
 def headed(runs: DataFrame) -> DataFrame:
     """File names on lines of their own, then `line: CODE: message` rows that belong to the last name."""
     rows = lines_of(runs).withColumn("s", F.trim("raw"))
@@ -70,7 +82,7 @@ def headed(runs: DataFrame) -> DataFrame:
     rows = rows.withColumn("path", F.last(header, ignorenulls=True).over(W.partitionBy("run").orderBy("pos").rowsBetween(W.unboundedPreceding, 0)))
     pattern = r"^(\d+):\s*(DOC\d{3}):\s*(.+)$"
     hit = rows.where(F.col("s").rlike(pattern) & F.col("path").isNotNull())
-    return _shaped(hit.select("run", "pos", "tool", "path", F.regexp_extract("s", pattern, 1).cast("int").alias("line"), F.regexp_extract("s", pattern, 2).alias("code"), F.regexp_extract("s", pattern, 3).alias("message"), F.lit("error").alias("severity")))
+    return _lines_or_text(runs, hit.select("run", "pos", "tool", "path", F.regexp_extract("s", pattern, 1).cast("int").alias("line"), F.regexp_extract("s", pattern, 2).alias("code"), F.regexp_extract("s", pattern, 3).alias("message"), F.lit("error").alias("severity")))
 
 
 def _get(path: str, kind: str = "string", of: str = "item") -> Column:
@@ -120,13 +132,17 @@ def pylint(runs: DataFrame) -> DataFrame:
 
 
 def semgrep(runs: DataFrame) -> DataFrame:
+    """A start without its runtime is one error, not a clean scan."""
+    banner = F.concat("stdout", F.lit("\n"), F.coalesce("stderr", F.lit(""))).rlike("No module named '?pkg_resources")
+    broken = runs.where(banner).select("run", F.lit(0).alias("pos"), "tool", F.lit("semgrep cannot start: pkg_resources is missing").alias("message"), F.lit("error").alias("severity"))
+    runs = runs.where(~banner)
     fix = _get("$.extra.fix")
     found = _items(runs, "$.results").select(
         "run", "pos", "tool", _get("$.path").alias("path"), _get("$.start.line", "int").alias("line"), _get("$.start.col", "int").alias("column"), _get("$.check_id").alias("code"),
         F.coalesce(_get("$.extra.message"), F.lit("Semgrep finding")).alias("message"), F.lower(F.coalesce(_get("$.extra.severity"), F.lit("error"))).alias("severity"),
         F.coalesce(fix != "", F.lit(False)).alias("fixable"), F.when(fix != "", "rule").alias("fix_safety"), F.substring(F.nullif(fix, F.lit("")), 1, 500).alias("fix_preview"),
     )
-    return _with_fallback(runs, found)
+    return _with_fallback(runs, found).unionByName(_shaped(broken))
 
 
 def basedpyright(runs: DataFrame) -> DataFrame:
@@ -171,10 +187,28 @@ def helper(runs: DataFrame) -> DataFrame:
     return _with_fallback(runs, found)
 
 
-def json_lines(runs: DataFrame) -> DataFrame:
-    """One JSON object a line; bad lines are left out."""
-    rows = lines_of(runs).withColumn("item", F.try_parse_json("raw")).where("item IS NOT NULL AND trim(raw) LIKE '{%'")
-    return _shaped(rows.select("run", "pos", "tool", F.coalesce(_get("$.path"), _get("$.filepath")).alias("path"), F.coalesce(_get("$.line", "int"), _get("$.start_line", "int")).alias("line"), F.coalesce(_get("$.column", "int"), _get("$.start_column", "int")).alias("column"), F.coalesce(_get("$.type"), _get("$.code")).alias("code"), F.coalesce(_get("$.message"), F.lit("finding")).alias("message"), F.lower(F.coalesce(_get("$.severity"), F.lit("error"))).alias("severity")))
+def json_lines(path=("$.path", "$.filepath"), line=("$.line", "$.start_line"), column=("$.column", "$.start_column"), code=("$.type", "$.code"), message=("$.message",), default: str = "finding") -> Parser:
+    """A parser for one JSON object a line; bad lines are left out."""
+
+    def parser(runs: DataFrame) -> DataFrame:
+        rows = lines_of(runs.withColumn("stderr", F.lit(""))).withColumn("item", F.try_parse_json("raw")).where("item IS NOT NULL AND trim(raw) LIKE '{%'")
+        found = rows.select("run", "pos", "tool", _first(path).alias("path"), _first(line, "int").alias("line"), _first(column, "int").alias("column"), _first(code).alias("code"), F.coalesce(_first(message), F.lit(default)).alias("message"), F.lit("error").alias("severity"))
+        return _lines_or_text(runs, found)
+
+    return parser
+
+
+def matched(pattern: str, path: int = 1, line: int | None = None, column: int | None = None, code=None, message=None, severity=None, quiet_codes: tuple[int, ...] = ()) -> Parser:
+    """A parser for lines that fit the pattern. path, line, column: groups; code, message, severity: columns of the group function it hands them."""
+
+    def parser(runs: DataFrame) -> DataFrame:
+        group = lambda i: F.nullif(F.regexp_extract("s", pattern, i), F.lit(""))
+        rows = lines_of(runs).withColumn("s", fx.stripped(F.col("raw"))).where(F.col("s").rlike(pattern))
+        number = lambda i: group(i).cast("int") if i else F.lit(None).cast("int")
+        found = rows.select("run", "pos", "tool", group(path).alias("path"), number(line).alias("line"), number(column).alias("column"), code(group).alias("code"), message(group).alias("message"), severity(group).alias("severity"))
+        return _lines_or_text(runs, found, quiet_codes)
+
+    return parser
 
 
 def surviving(runs: DataFrame) -> DataFrame:
@@ -193,7 +227,7 @@ def import_times(runs: DataFrame, budget_ms: int = 1000) -> DataFrame:
     return _shaped(last.where(ms > budget_ms).select("run", "pos", "tool", F.lit("BHPERF001").alias("code"), message.alias("message"), F.lit("warning").alias("severity")))
 
 
-for _name, _parser in {"text": text, "pydoclint": headed, "ruff": ruff, "pylint": pylint, "semgrep": semgrep, "basedpyright": basedpyright, "json": json_list, "sarif": sarif, "helper": helper, "json-lines": json_lines, "mutmut": surviving, "importtime": import_times}.items():
+for _name, _parser in {"text": text, "pydoclint": headed, "ruff": ruff, "pylint": pylint, "semgrep": semgrep, "basedpyright": basedpyright, "json": json_list, "sarif": sarif, "helper": helper, "mutmut": surviving, "importtime": import_times}.items():
     register(_name, _parser)
 
 
@@ -208,18 +242,14 @@ def _first(paths: tuple[str, ...], kind: str = "string") -> Column:
     return F.coalesce(*(_get(p, kind) for p in paths)) if paths else F.lit(None).cast(kind)
 
 
-def _level(paths: tuple[str, ...], default: str) -> Column:
-    raw = F.lower(_first(paths))
-    known = F.when(raw.isin("error", "fatal", "critical", "high", "2"), "error").when(raw.isin("warning", "warn", "medium", "1"), "warning").when(raw.isin("note", "info", "style", "low", "convention", "refactor", "notice"), "note")
-    return F.coalesce(known, F.lit(default))
-
-
-def spec(items: tuple[str, ...], message: tuple[str, ...], default: str, path=(), line=(), column=(), code=(), severity=(), level: str = "error", inner: tuple[str, ...] = (), outer_path=(), code_prefix: str = "", when_empty: bool = True, quiet: str | None = None) -> Parser:
+def spec(items: tuple[str, ...], message: tuple[str, ...], default: str, path=(), line=(), column=(), code=(), severity=(), level: str = "error", raw: bool = False, inner: tuple[str, ...] = (), outer_path=(), code_prefix: str = "", when_empty: bool = True, quiet: str | None = None, base: int = 0) -> Parser:
     """A parser for JSON whose fields are at the given paths, the first that is there.
 
     items: where the list is; inner: a list inside each item, whose path may be the outer item's (outer_path).
-    quiet: output with this text means that nothing was in scope.
+    quiet: output with this text means that nothing was in scope. base: added to lines and columns. raw: severities
+    stay as they are, in lower case.
     """
+    words = lambda: F.lower(F.coalesce(_first(severity), F.lit(level))) if raw else fx.parsed_severity(_first(severity), level)
 
     def parser(runs: DataFrame) -> DataFrame:
         if quiet:
@@ -233,11 +263,11 @@ def spec(items: tuple[str, ...], message: tuple[str, ...], default: str, path=()
             F.col("pos").cast("int").alias("pos"),
             "tool",
             F.coalesce(F.col("place"), _first(path)).alias("path"),
-            _first(line, "int").alias("line"),
-            _first(column, "int").alias("column"),
+            (_first(line, "int") + base).alias("line"),
+            (_first(column, "int") + base).alias("column"),
             F.concat(F.lit(code_prefix), _first(code)).alias("code"),
             F.coalesce(_first(message), F.lit(default)).alias("message"),
-            _level(severity, level).alias("severity") if severity else F.lit(level).alias("severity"),
+            words().alias("severity") if severity else F.lit(level).alias("severity"),
         )
         return _with_fallback(runs, found, when_empty)
 
@@ -248,9 +278,7 @@ register("shellcheck", spec(("$.comments",), ("$.message",), "ShellCheck finding
 register("hadolint", spec((), ("$.message",), "Hadolint finding", path=("$.file",), line=("$.line",), column=("$.column",), code=("$.code",), severity=("$.level",), level="warning"))
 register("sqlfluff", spec((), ("$.description", "$.message"), "SQLFluff finding", line=("$.start_line_no", "$.line_no"), column=("$.start_line_pos", "$.line_pos"), code=("$.code",), inner=("$.violations",), outer_path=("$.filepath", "$.path")))
 register("golangci-lint", spec(("$.Issues", "$.issues"), ("$.Text", "$.text"), "Go correctness finding", path=("$.Pos.Filename", "$.pos.filename"), line=("$.Pos.Line", "$.pos.line"), column=("$.Pos.Column", "$.pos.column"), code=("$.FromLinter", "$.fromLinter", "$.linter")))
-register("bandit", spec(("$.results",), ("$.issue_text",), "Bandit finding", path=("$.filename",), line=("$.line_number",), column=("$.col_offset",), code=("$.test_id",), severity=("$.issue_severity",), when_empty=False))
-register("eslint", spec(("$.results", "$.diagnostics"), ("$.message", "$.description"), "eslint finding", line=("$.line", "$.start_line"), column=("$.column", "$.start_column"), code=("$.ruleId", "$.rule_id", "$.code"), severity=("$.severity",), level="warning", inner=("$.messages", "$.diagnostics"), outer_path=("$.filePath", "$.path", "$.filename")))
-register("deptry", spec((), ("$.error.message",), "dependency finding", path=("$.location.file",), line=("$.location.line",), column=("$.location.column",), code=("$.error.code",), when_empty=False))
+register("bandit", spec(("$.results",), ("$.issue_text",), "Bandit finding", path=("$.filename",), line=("$.line_number",), column=("$.col_offset",), code=("$.test_id",), severity=("$.issue_severity",), raw=True, when_empty=False))
 
 
 def phpstan(runs: DataFrame) -> DataFrame:
@@ -283,5 +311,123 @@ def cppcheck(runs: DataFrame) -> DataFrame:
     return _shaped(rows.select("run", "pos", "tool", first.getField("_file").alias("path"), first.getField("_line").alias("line"), first.getField("_column").alias("column"), F.col("e._id").alias("code"), F.col("e._msg").alias("message"), severity.alias("severity")))
 
 
-for _name, _parser in {"phpstan": phpstan, "clippy": clippy, "cppcheck": cppcheck}.items():
+def eslint(runs: DataFrame) -> DataFrame:
+    """Messages by file, or a plain list of diagnostics; severity 2 is an error, and a fix wants review."""
+    rows = _items(runs, "$.results", "$.diagnostics")
+    nested = F.coalesce(_get("$.messages", "array<variant>"), _get("$.diagnostics", "array<variant>"), F.array("item"))
+    rows = rows.select("run", "tool", _first(("$.filePath", "$.path", "$.filename")).alias("place"), F.col("pos").alias("outer"), F.posexplode(nested).alias("p", "item"))
+    fix = _get("$.fix", "variant").isNotNull() & (F.schema_of_variant(_get("$.fix", "variant")) != "VOID")
+    found = rows.select(
+        "run", (F.col("outer") * 10_000 + F.col("p")).alias("pos"), "tool", F.coalesce("place", _first(("$.filePath", "$.path", "$.filename"))).alias("path"), _first(("$.line", "$.start_line"), "int").alias("line"), _first(("$.column", "$.start_column"), "int").alias("column"),
+        _first(("$.ruleId", "$.rule_id", "$.code")).alias("code"), F.coalesce(_first(("$.message", "$.description")), F.concat("tool", F.lit(" finding"))).alias("message"), F.when(_get("$.severity").isin("2", "error"), "error").otherwise("warning").alias("severity"),
+        F.coalesce(fix, F.lit(False)).alias("fixable"), F.when(fix, "review").alias("fix_safety"),
+    )
+    return _with_fallback(runs, found, when_empty=True)
+
+
+def oxlint(runs: DataFrame) -> DataFrame:
+    return eslint(runs.where(~F.contains("stdout", F.lit("No files found to lint"))))
+
+
+def radon(runs: DataFrame) -> DataFrame:
+    """Maintainability by file; up to 19 is reported, up to 9 as an error."""
+    parsed = runs.withColumn("doc", F.try_parse_json(F.coalesce(F.nullif(F.trim("stdout"), F.lit("")), F.lit("{}"))))
+    files = parsed.where("doc IS NOT NULL").select("run", "tool", F.posexplode(F.map_entries(F.try_variant_get("doc", "$", "map<string,variant>"))).alias("pos", "f"))
+    value = F.try_variant_get(F.col("f.value"), "$.mi", "double")
+    rank = F.coalesce(F.nullif(F.try_variant_get(F.col("f.value"), "$.rank", "string"), F.lit("")), F.lit("?"))
+    message = F.concat(F.lit("maintainability index is "), F.format_string("%.1f", value), F.lit(" (rank "), rank, F.lit(")"))
+    found = files.where(value <= 19).select("run", "pos", "tool", F.col("f.key").alias("path"), F.lit("RADON_MI").alias("code"), message.alias("message"), F.when(value <= 9, "error").otherwise("warning").alias("severity"))
+    return _with_fallback(runs, found)
+
+
+def nox(runs: DataFrame) -> DataFrame:
+    """A finding for each failed session, in order of name, with the last line that tells why."""
+    rows = runs.where("exit_code <> 0").withColumn("all", F.concat("stdout", F.lit("\n"), F.coalesce("stderr", F.lit(""))))
+    names = lambda p: F.array_distinct(F.regexp_extract_all("all", F.lit(p), F.lit(1)))
+    first, second = names(r"Session\s+(\S+?)\s+failed\."), names(r"\*\s+(\S+?):\s+failed")
+    why = r"unrecognized arguments|^FAILED|^(ERROR|error|E\s)|^=+.*(?i:fail|error)|^\d+\s+(failed|passed|error)"
+    lines = F.filter(F.transform(F.split("all", "\r\n|\n|\r"), fx.stripped), lambda x: x.rlike(why))
+    rows = rows.withColumn("failed", F.array_sort(F.when(F.size(first) > 0, first).otherwise(second)))
+    cause = F.coalesce(F.substring(F.get(lines, F.size(lines) - 1), 1, 300), F.lit("no failure detail captured"))
+    rows = rows.withColumn("cause", F.when(F.size(lines) > 0, cause).otherwise("no failure detail captured"))
+    found = rows.select("run", F.lit("python-matrix").alias("tool"), F.posexplode("failed").alias("pos", "session"), "cause")
+    found = found.select("run", "pos", "tool", F.concat(F.lit("nox session "), "session", F.lit(" failed: "), "cause").alias("message"), F.lit("error").alias("severity"))
+    return _shaped(found).unionByName(text(rows.where(F.size("failed") == 0).withColumn("tool", F.lit("python-matrix"))))
+
+
+def corpus(runs: DataFrame) -> DataFrame:
+    """Hits of detectors of past bugs; a scan that failed or can't be read is an error, never clean."""
+    parsed = runs.withColumn("doc", F.try_parse_json(F.coalesce(F.nullif(F.trim("stdout"), F.lit("")), F.lit("{}"))))
+    items = F.coalesce(F.try_variant_get("doc", "$.findings", "array<variant>"), F.array().cast("array<variant>"))
+    rows = parsed.where("doc IS NOT NULL").select("run", "tool", "exit_code", items.alias("items"))
+    hits = rows.select("run", "tool", F.posexplode("items").alias("pos", "item"))
+    detector, family = F.coalesce(_get("$.detector_id"), F.lit("?")), F.coalesce(_get("$.bug_family"), F.lit("?"))
+    message = F.concat(F.lit("["), family, F.lit("/"), detector, F.lit("] bug "), F.coalesce(_get("$.bug_cases[0]"), F.lit("?")), F.lit(": "), F.coalesce(_get("$.message"), F.lit("hit of a detector of past bugs")))
+    found = hits.select("run", "pos", "tool", _get("$.path").alias("path"), _get("$.start_line", "int").alias("line"), F.when(detector == "?", "BHBUGC002").otherwise(detector).alias("code"), message.alias("message"), F.coalesce(_get("$.severity"), F.lit("warning")).alias("severity"))
+    failed = rows.where("exit_code <> 0 AND size(items) = 0").select("run", F.lit(0).alias("pos"), "tool", F.lit("BHBUGC001").alias("code"), F.concat(F.lit("corpus scan failed (exit "), F.col("exit_code").cast("string"), F.lit(")")).alias("message"), F.lit("error").alias("severity"))
+    unread = parsed.where("doc IS NULL").select("run", F.lit(0).alias("pos"), "tool", F.lit("BHBUGC001").alias("code"), F.concat(F.lit("corpus scan gave no JSON: "), F.right("stdout", F.lit(500))).alias("message"), F.lit("error").alias("severity"))
+    return _shaped(found).unionByName(_shaped(failed)).unionByName(_shaped(unread))
+
+
+def traces(runs: DataFrame) -> DataFrame:
+    """Diagnostics of trace verification; exit codes but 0 and 1, and output that can't be read, are errors."""
+    parsed = runs.withColumn("doc", F.try_parse_json(F.coalesce(F.nullif(F.trim("stdout"), F.lit("")), F.lit("{}"))))
+    ran = F.col("exit_code").isin(0, 1)
+    hits = parsed.where(ran & F.col("doc").isNotNull()).select("run", "tool", F.posexplode(F.try_variant_get("doc", "$.diagnostics", "array<variant>")).alias("pos", "item"))
+    rule = F.coalesce(_get("$.rule"), F.lit("unknown"))
+    message = F.concat(F.lit("["), rule, F.lit("] "), F.coalesce(_get("$.message"), F.lit("trace diagnostic")), F.coalesce(F.concat(F.lit(" (trace_id="), F.nullif(_get("$.trace_id"), F.lit("")), F.lit(")")), F.lit("")))
+    found = hits.select("run", "pos", "tool", _get("$.path").alias("path"), _get("$.line", "int").alias("line"), F.concat(F.lit("trace:"), rule).alias("code"), message.alias("message"), F.lower(F.coalesce(_get("$.severity"), F.lit("error"))).alias("severity"))
+    why = F.when(~ran, F.concat(F.lit("trace verification failed to run (exit "), F.col("exit_code").cast("string"), F.lit(")"))).otherwise("trace verification gave no JSON")
+    broken = parsed.where(~ran | F.col("doc").isNull()).select("run", F.lit(0).alias("pos"), "tool", F.lit("BHVERIFY002").alias("code"), why.alias("message"), F.lit("error").alias("severity"))
+    return _shaped(found).unionByName(_shaped(broken))
+
+
+def trace_health(runs: DataFrame) -> DataFrame:
+    """Counts of broken and stale references, where there are any."""
+    rows = runs.where("exit_code = 0").withColumn("item", F.try_parse_json(F.coalesce(F.nullif(F.trim("stdout"), F.lit("")), F.lit("{}"))))
+    count = lambda p: F.coalesce(_get(p, "int"), F.lit(0))
+    of = lambda p, what: F.when(count(p) > 0, F.concat(F.lit("trace graph has "), count(p).cast("string"), F.lit(what)))
+    each = rows.select("run", "tool", F.posexplode(F.array(of("$.broken_refs", " broken reference(s)"), of("$.blocking_stale", " blocking stale trace(s)"))).alias("pos", "message"))
+    return _shaped(each.where("message IS NOT NULL").select("run", "pos", "tool", F.lit("BHVERIFY003").alias("code"), "message", F.lit("error").alias("severity")))
+
+
+def drift(runs: DataFrame) -> DataFrame:
+    """Structural drift of a graph; a failed run is an error."""
+    rows = _items(runs.where("exit_code = 0"))
+    message = F.concat(F.lit("[scc/"), F.coalesce(_get("$.id"), F.lit("?")), F.lit("] "), F.coalesce(_get("$.message"), F.lit("structural drift")))
+    found = rows.where(F.startswith(F.schema_of_variant(F.col("item")), F.lit("OBJECT"))).select("run", "pos", F.lit("scc").alias("tool"), F.concat(F.lit("scc:"), F.coalesce(_get("$.kind"), F.lit("drift"))).alias("code"), message.alias("message"), F.coalesce(_get("$.severity"), F.lit("warning")).alias("severity"))
+    failed = F.concat(F.lit("scc drift failed (exit "), F.col("exit_code").cast("string"), F.lit("): "), F.right(F.coalesce("stderr", F.lit("")), F.lit(500)))
+    return _shaped(found).unionByName(_shaped(runs.where("exit_code <> 0").select("run", F.lit(0).alias("pos"), F.lit("scc").alias("tool"), F.lit("BHGRAPH001").alias("code"), failed.alias("message"), F.lit("error").alias("severity"))))
+
+
+def invariants(runs: DataFrame) -> DataFrame:
+    """Each line of a failed check of declared invariants."""
+    rows = lines_of(runs.where("exit_code <> 0")).withColumn("s", fx.stripped(F.col("raw"))).where("s <> ''")
+    return _shaped(rows.select("run", "pos", F.lit("scc").alias("tool"), F.lit("BHGRAPH002").alias("code"), F.concat(F.lit("[scc/invariant] "), "s").alias("message"), F.lit("error").alias("severity")))
+
+
+def nothing(runs: DataFrame) -> DataFrame:
+    """For checks whose findings come from a second step."""
+    return _shaped(runs.limit(0).select("run", F.lit(0).alias("pos"), "tool", F.lit("").alias("message"), F.lit("error").alias("severity")))
+
+
+def _complexity(group) -> Column:
+    return F.concat(F.lit("`"), group(2), F.lit("` cognitive complexity is "), group(3).cast("int").cast("string"), F.lit(" (budget 10)"))
+
+
+_own = {"phpstan": phpstan, "clippy": clippy, "cppcheck": cppcheck, "eslint": eslint, "oxlint": oxlint, "radon": radon, "nox": nox, "corpus": corpus, "traces": traces, "trace-health": trace_health, "drift": drift, "invariants": invariants, "none": nothing}
+_own |= {
+    "pyrefly": spec(("$.errors", "$.diagnostics", "$.results", "$.messages"), ("$.message", "$.description", "$.name"), "Pyrefly finding", path=("$.path.path", "$.path.uri", "$.path", "$.file", "$.filename"), line=("$.line", "$.start.start.line", "$.start.line", "$.location.start.line", "$.location.line"), column=("$.column", "$.start.start.column", "$.start.column", "$.location.start.column", "$.location.column"), code=("$.name", "$.rule", "$.check_id", "$.code"), severity=("$.severity", "$.type"), raw=True),
+    "ast-grep": spec((), ("$.message", "$.text"), "ast-grep finding", path=("$.file",), line=("$.range.start.line",), column=("$.range.start.column",), code=("$.ruleId",), when_empty=False, base=1),
+    "tflint": spec(("$.issues",), ("$.message",), "TFLint finding", path=("$.range.filename", "$.filename"), line=("$.range.start.line",), column=("$.range.start.column",), code=("$.rule.name",), severity=("$.rule.severity",), level="warning"),
+    "squawk": json_list,
+    "json-lines": json_lines(),
+    "deal": json_lines(path=("$.filename", "$.path"), line=("$.row", "$.line"), column=("$.col", "$.column"), code=("$.code",), message=("$.text", "$.message", "$.value"), default="Deal contract finding"),
+    "actionlint": json_lines(path=("$.filepath", "$.file"), line=("$.line",), column=("$.column", "$.col"), code=("$.kind", "$.code"), default="GitHub Actions workflow problem"),
+    "buf": json_lines(path=("$.path", "$.filename"), line=("$.start_line", "$.line"), column=("$.start_column", "$.column"), code=("$.rule_id", "$.rule"), default="Buf schema finding"),
+    "complexipy": matched(r"^(.+?\.py)\s+(\S+)\s+(\d+)$", code=lambda g: F.lit("COG001"), message=_complexity, severity=lambda g: F.when(g(3).cast("int") <= 20, "warning").otherwise("error"), quiet_codes=(0, 1)),
+    "lizard": matched(r"(?i)^(.+?):(\d+):\s*warning:\s*(.+)$", line=2, code=lambda g: F.when(F.contains(g(3), F.lit("CCN")), "LIZARD_CCN").when(F.contains(g(3), F.lit("NLOC")), "LIZARD_NLOC").otherwise("LIZARD"), message=lambda g: g(3), severity=lambda g: F.lit("warning"), quiet_codes=(0, 1)),
+    "deptry": matched(r"^(.+?)(?::(\d+):(\d+))?:\s+(DEP\d{3})\s+(.+)$", line=2, column=3, code=lambda g: g(4), message=lambda g: g(5), severity=lambda g: F.lit("error")),
+}
+for _name, _parser in _own.items():
     register(_name, _parser)
