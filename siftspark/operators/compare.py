@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftspark.functions import semantic as sem
+
 
 def schema_drift(schema: DataFrame, model: DataFrame) -> DataFrame:
     """schema, model: name, field. Fields that only one of the two has, for the names that both have."""
@@ -125,3 +127,29 @@ def unguarded_uses(uses: DataFrame, guards: DataFrame) -> DataFrame:
     first = guards.groupBy("scope", "name").agg(F.min("pos").alias("guarded_at"))
     rows = uses.join(first, ["scope", "name"], "left").where(F.col("guarded_at").isNull() | (F.col("pos") < F.col("guarded_at")))
     return rows.groupBy("scope", "name").agg(F.min("pos").alias("pos"))
+
+
+def semantic_clashes(arguments: DataFrame, parameters: DataFrame) -> DataFrame:
+    """arguments: site, callee, position, actual; parameters: callee, position, wanted (facts, see functions.semantic). Arguments that contradict their parameter: site, code, severity.
+
+    Surely, or fairly surely with two sources of evidence on both sides together.
+    """
+    rows = arguments.join(parameters, ["callee", "position"]).withColumn("code", sem.nominal_code(F.col("actual"), F.col("wanted"))).where("code IS NOT NULL")
+    sure = F.least("actual.confidence", "wanted.confidence")
+    sources = sem.source_count(F.col("actual.provenance")) + sem.source_count(F.col("wanted.provenance"))
+    return rows.where((sure >= 0.70) | ((sure >= 0.45) & (sources >= 2))).select("site", "code", sem.severity(sure).alias("severity"))
+
+
+def sink_clashes(arguments: DataFrame, sinks: DataFrame) -> DataFrame:
+    """arguments: site, callee (dotted), actual; sinks: callee, wanted. First arguments that contradict what a sink wants; sinks go by their full name or its last part."""
+    short = F.element_at(F.split("callee", r"\."), -1)
+    wants = sinks.select(short.alias("short"), "wanted")
+    rows = arguments.withColumn("short", short).join(wants, "short").withColumn("code", sem.sink_code(F.col("actual"), F.col("wanted"))).where("code IS NOT NULL")
+    sure = F.least("actual.confidence", "wanted.confidence")
+    return rows.where(sem.reportable(sure, F.col("actual.provenance"))).select("site", "code", sem.severity(sure).alias("severity"))
+
+
+def tagged_contradictions(values: DataFrame) -> DataFrame:
+    """values: name, provenance, confidence. Contradictions that transfer rules have left in values' provenance."""
+    rows = values.withColumn("code", sem.tag_code(F.col("provenance"))).where(F.col("code").isNotNull() & sem.reportable(F.col("confidence"), F.col("provenance")))
+    return rows.select("name", "code", sem.severity(F.col("confidence")).alias("severity"))

@@ -25,6 +25,11 @@ def coverage_gaps(lines: DataFrame, most: int = 50, long: int = 25) -> DataFrame
     return rows.select(F.lit("BHCOV001").alias("code"), F.col("file").alias("path"), F.col("first_line").alias("line"), F.when(F.col("n_lines") >= long, "error").otherwise("warning").alias("severity"), message.alias("message"))
 
 
+def branch_gaps(branches: DataFrame, most: int = 50) -> DataFrame:
+    """branches: file, nth, line, target. The first `most` branch edges of each file that were never taken, in the report's order."""
+    return branches.withColumn("place", F.row_number().over(W.partitionBy("file").orderBy("nth"))).where(F.col("place") <= most).select("file", "line", "target")
+
+
 def first_per_group(rows: DataFrame, keys: list[str], order: list[str | Column], n: int) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("nth") <= n)
 

@@ -86,14 +86,14 @@ RESULTS_SQL = """r AS (
 
 
 def checkers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five tools as checks that ran, one of them failed."""
-    s = table(spark, sf_dir, "supplier").where("s_suppkey < 5")
-    return s.select(F.col("s_suppkey").alias("seq"), _pick(TOOLS, "s_suppkey").alias("name"), F.expr("if(s_suppkey = 3, 'ERROR', 'FINDINGS')").alias("status"))
+    """Runs of the five tools, one a supplier; those of one tool fail."""
+    s = table(spark, sf_dir, "supplier")
+    return s.select(F.col("s_suppkey").alias("seq"), _pick(TOOLS, "s_suppkey % 5").alias("name"), F.expr("if(s_suppkey % 5 = 3, 'ERROR', 'FINDINGS')").alias("status"))
 
 
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accepted debt: one entry for each nation; later entries overlap earlier ones."""
-    n = table(spark, sf_dir, "nation").where("n_nationkey < 12")
+    n = table(spark, sf_dir, "nation")
     return n.select(
         F.col("n_nationkey").alias("entry_ord"),
         F.expr("concat(element_at(array('ruff', 'mypy', 'basedpyright', 'pyrefly', 'ty'), n_nationkey % 5 + 1), ':F401')").alias("signal"),
@@ -105,7 +105,7 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEDGER_SQL = """l AS (
   SELECT n_nationkey AS entry_ord, ['ruff', 'mypy', 'basedpyright', 'pyrefly', 'ty'][n_nationkey % 5 + 1] || ':F401' AS signal,
          ['src/m' || (n_nationkey % 6) || '.py', 'src/m' || (n_nationkey % 6 + 5) || '.py', 'src/m3.py'] AS paths, 5 AS count
-  FROM nation WHERE n_nationkey < 12)"""
+  FROM nation)"""
 
 
 def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,12 +117,12 @@ def call_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 EDGES_SQL = "e AS (SELECT l_orderkey AS caller, l_partkey AS callee, round(1 - 10 * min(l_discount), 6) AS confidence FROM lineitem GROUP BY 1, 2)"
 
 
-def thin_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").where("l_discount <= 0.01 AND l_quantity <= 3")
-    return li.select(F.col("l_suppkey").alias("caller"), F.expr("l_partkey % 100 + 1").alias("callee")).distinct()
+def chained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """caller, callee: each part calls up to three with about half its number, as its line items' suppliers say."""
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("caller"), F.expr("l_partkey div 2 + l_suppkey % 3").alias("callee")).distinct()
 
 
-THIN_SQL = "e AS (SELECT DISTINCT l_suppkey AS caller, l_partkey % 100 + 1 AS callee FROM lineitem WHERE l_discount <= 0.01 AND l_quantity <= 3)"
+CHAINED_SQL = "e AS (SELECT DISTINCT l_partkey AS caller, l_partkey // 2 + l_suppkey % 3 AS callee FROM lineitem)"
 
 
 def covered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,8 +147,8 @@ def raw_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as files: path from the address, size and head."""
-    return table(spark, sf_dir, "pages").select(F.regexp_replace("url", r"^https?://", "").alias("path"), F.length("html").alias("size"), F.substring("html", 1, 512).alias("head"))
+    """Pages as files: path from the address, size and text."""
+    return table(spark, sf_dir, "pages").select(F.regexp_replace("url", r"^https?://", "").alias("path"), F.length("html").alias("size"), F.col("html").alias("head"))
 
 
-FILES_SQL = "p AS (SELECT regexp_replace(url, '^https?://', '') AS path, length(html) AS size, substr(html, 1, 512) AS head FROM pages)"
+FILES_SQL = "p AS (SELECT regexp_replace(url, '^https?://', '') AS path, length(html) AS size, html AS head FROM pages)"

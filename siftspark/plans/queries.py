@@ -286,12 +286,11 @@ def wanted_defenses(spark, d):
 # ---------------------------------------------------------------- graph
 
 
-@query(f"""WITH RECURSIVE {a.THIN_SQL}, x(root, node, depth) AS (
-  SELECT s_suppkey, s_suppkey, 0 FROM supplier UNION SELECT root, callee, depth + 1 FROM x JOIN e ON e.caller = x.node WHERE depth < 3)
+@query(f"""WITH RECURSIVE {a.CHAINED_SQL}, x(root, node, depth) AS (
+  SELECT p_partkey, p_partkey, 0 FROM part UNION SELECT root, callee, depth + 1 FROM x JOIN e ON e.caller = x.node WHERE depth < 3)
 SELECT root, node, CAST(min(depth) AS INTEGER) AS depth FROM x GROUP BY root, node""")
 def reachable_depth3(spark, d):
-    roots = a.table(spark, d, "supplier").select(F.col("s_suppkey").alias("root"))
-    return graph.reachable(a.thin_edges(spark, d), roots)
+    return graph.reachable(a.chained_edges(spark, d), a.table(spark, d, "part").select(F.col("p_partkey").alias("root")))
 
 
 @query(f"WITH {a.EDGES_SQL} SELECT caller, min(callee) AS callee FROM e WHERE confidence >= 0.5 GROUP BY caller HAVING count(DISTINCT callee) = 1")
@@ -299,9 +298,10 @@ def unique_callee(spark, d):
     return graph.unique_callees(a.call_edges(spark, d))
 
 
-@query("SELECT p_name AS name, min(p_brand) AS target FROM part GROUP BY p_name HAVING count(DISTINCT p_brand) = 1")
+@query("""WITH n AS (SELECT 'n' || (p_partkey % 700) AS name, CASE WHEN p_size % 10 = 0 THEN p_brand ELSE 't' || (p_partkey % 350) END AS target FROM part)
+SELECT name, min(target) AS target FROM n GROUP BY name HAVING count(DISTINCT target) = 1""")
 def unique_target(spark, d):
-    return graph.unambiguous(a.table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("target")))
+    return graph.unambiguous(a.table(spark, d, "part").selectExpr("concat('n', p_partkey % 700) AS name", "if(p_size % 10 = 0, p_brand, concat('t', p_partkey % 350)) AS target"))
 
 
 @query("""WITH w AS (SELECT 'f' || (l_suppkey % 25) AS file, l_partkey % 200 AS target, 'w' || l_linenumber AS function, l_orderkey AS line, l_returnflag = 'R' AS synchronized FROM lineitem)
@@ -310,20 +310,18 @@ def multi_writer(spark, d):
     return graph.multi_writers(a.table(spark, d, "lineitem").selectExpr("concat('f', l_suppkey % 25) AS file", "l_partkey % 200 AS target", "concat('w', l_linenumber) AS function", "l_orderkey AS line", "l_returnflag = 'R' AS synchronized"))
 
 
-@query(f"""WITH {a.THIN_SQL}, t AS (SELECT s_suppkey AS symbol FROM supplier WHERE s_suppkey % 3 = 0),
-g AS (SELECT s_suppkey AS symbol, callee, row_number() OVER (PARTITION BY s_suppkey ORDER BY callee) AS nth FROM supplier JOIN e ON caller = s_suppkey WHERE s_suppkey NOT IN (FROM t) AND callee IN (FROM t))
+@query(f"""WITH {a.CHAINED_SQL}, t AS (SELECT p_partkey AS symbol FROM part WHERE p_size > 20),
+g AS (SELECT p_partkey AS symbol, callee, row_number() OVER (PARTITION BY p_partkey ORDER BY callee) AS nth FROM part JOIN e ON caller = p_partkey WHERE p_partkey NOT IN (FROM t) AND callee IN (FROM t))
 SELECT symbol, count(*) AS tested_callees, list(callee ORDER BY callee) FILTER (nth <= 5) AS shown FROM g GROUP BY symbol""")
 def verification_gap(spark, d):
-    s = a.table(spark, d, "supplier").select(F.col("s_suppkey").alias("symbol"))
-    return graph.verification_gaps(s, s.where("symbol % 3 = 0"), a.thin_edges(spark, d))
+    p = a.table(spark, d, "part")
+    return graph.verification_gaps(p.select(F.col("p_partkey").alias("symbol")), p.where("p_size > 20").select(F.col("p_partkey").alias("symbol")), a.chained_edges(spark, d))
 
 
-@query("""SELECT DISTINCT l_suppkey AS symbol, 'b' || (l_partkey % 50) AS boundary FROM lineitem
-WHERE 'b' || (l_partkey % 50) NOT IN (SELECT 'b' || (p_partkey % 50) FROM part WHERE p_size > 48 AND p_partkey % 50 < 25)""")
+@query("""SELECT DISTINCT l_suppkey AS symbol, 'b' || (l_partkey % 50) AS boundary FROM lineitem WHERE 'b' || (l_partkey % 50) NOT IN (SELECT 'b' || (p_partkey % 25) FROM part)""")
 def boundary_gap(spark, d):
     calls = a.table(spark, d, "lineitem").selectExpr("l_suppkey AS symbol", "concat('b', l_partkey % 50) AS boundary")
-    tests = a.table(spark, d, "part").where("p_size > 48 AND p_partkey % 50 < 25").selectExpr("concat('b', p_partkey % 50) AS boundary")
-    return graph.boundary_gaps(calls, tests)
+    return graph.boundary_gaps(calls, a.table(spark, d, "part").selectExpr("concat('b', p_partkey % 25) AS boundary"))
 
 
 @query("""WITH RECURSIVE w AS (SELECT s_suppkey AS name, s_suppkey + 1 + s_nationkey % 4 AS target FROM supplier WHERE s_nationkey % 3 <> 0),
@@ -334,18 +332,22 @@ def chain_terminal(spark, d):
     return graph.chain_ends(forwards)
 
 
-@query()
+_PASS = """c{i} AS (SELECT e.callee AS name, max(struct_pack(c := round(confidence * 0.8, 9), v := value)) AS b FROM v{p} JOIN e ON e.caller = v{p}.name GROUP BY 1),
+v{i} AS (SELECT coalesce(v{p}.name, c{i}.name) AS name, CASE WHEN c{i}.b IS NOT NULL AND (confidence IS NULL OR c{i}.b.c > confidence) THEN c{i}.b.v ELSE value END AS value,
+  CASE WHEN c{i}.b IS NOT NULL AND (confidence IS NULL OR c{i}.b.c > confidence) THEN c{i}.b.c ELSE confidence END AS confidence FROM v{p} FULL JOIN c{i} ON v{p}.name = c{i}.name)"""
+
+
+@query(f"""WITH {a.CHAINED_SQL}, v0 AS (SELECT p_partkey AS name, 'unit' || (p_size % 3) AS value, CAST(0.95 AS DOUBLE) AS confidence FROM part WHERE p_brand LIKE '%1'),
+{", ".join(_PASS.format(i=i + 1, p=i) for i in range(5))} SELECT * FROM v5""")
 def value_propagation(spark, d):
-    s = a.table(spark, d, "supplier")
-    values = s.where("s_suppkey % 7 = 0").selectExpr("s_suppkey AS name", "concat('unit', s_nationkey % 3) AS value", "0.95D AS confidence")
-    flows = a.thin_edges(spark, d).selectExpr("caller AS source", "callee AS target", "0.8D AS factor")
-    return graph.strengthened(values, flows)
+    values = a.table(spark, d, "part").where("p_brand LIKE '%1'").selectExpr("p_partkey AS name", "concat('unit', p_size % 3) AS value", "0.95D AS confidence")
+    return graph.strengthened(values, a.chained_edges(spark, d).selectExpr("caller AS source", "callee AS target", "0.8D AS factor"))
 
 
 # ---------------------------------------------------------------- comparison
 
 
-_SCHEMA = "s AS (SELECT DISTINCT 'c' || (o_custkey % 300) AS name, o_orderpriority AS field FROM orders WHERE o_orderkey % 2 = 0), m AS (SELECT DISTINCT 'c' || (o_custkey % 300) AS name, o_orderpriority AS field FROM orders WHERE o_orderkey % 3 = 0)"
+_SCHEMA = "s AS (SELECT DISTINCT 'c' || o_custkey AS name, o_orderpriority AS field FROM orders), m AS (SELECT DISTINCT 'c' || o_custkey AS name, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority ELSE 'x' || o_orderstatus END AS field FROM orders)"
 
 
 @query(f"""WITH {_SCHEMA} SELECT coalesce(s.name, m.name) AS name, coalesce(s.field, m.field) AS field, CASE WHEN m.name IS NULL THEN 'schema' ELSE 'model' END AS only_in
@@ -353,19 +355,18 @@ FROM s FULL JOIN m ON s.name = m.name AND s.field = m.field WHERE (s.name IS NUL
   AND coalesce(s.name, m.name) IN (SELECT name FROM s) AND coalesce(s.name, m.name) IN (SELECT name FROM m)""")
 def schema_drift(spark, d):
     o = a.table(spark, d, "orders")
-    side = lambda k: o.where(f"o_orderkey % {k} = 0").selectExpr("concat('c', o_custkey % 300) AS name", "o_orderpriority AS field")
-    return compare.schema_drift(side(2), side(3))
+    return compare.schema_drift(o.selectExpr("concat('c', o_custkey) AS name", "o_orderpriority AS field"), o.selectExpr("concat('c', o_custkey) AS name", "if(o_orderstatus = 'O', o_orderpriority, concat('x', o_orderstatus)) AS field"))
 
 
-@query("""WITH p AS (SELECT 'p' || (o_custkey % 400) AS producer, o_orderstatus AS variant, o_orderpriority AS key FROM orders WHERE o_orderkey % 2 = 0),
-v AS (SELECT producer, variant, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM p GROUP BY 1, 2), s AS (SELECT producer FROM v GROUP BY 1 HAVING count(DISTINCT keys) = 1)
-SELECT DISTINCT 'p' || (o_custkey % 400) AS producer, 'c' || (o_orderkey % 10) AS consumer, o_orderpriority AS key FROM orders WHERE o_orderkey % 3 = 0
-  AND 'p' || (o_custkey % 400) IN (FROM s) AND NOT EXISTS (SELECT 1 FROM p WHERE p.producer = 'p' || (o_custkey % 400) AND p.key = o_orderpriority)""")
+@query("""WITH p AS (SELECT 'p' || (o_custkey % 400) AS producer, o_orderstatus AS variant, o_orderpriority AS key FROM orders),
+v AS (SELECT producer, variant, array_to_string(list_sort(list(DISTINCT key)), ',') AS keys FROM p GROUP BY 1, 2), s AS (SELECT producer FROM v GROUP BY 1 HAVING count(DISTINCT keys) = 1),
+r AS (SELECT DISTINCT 'p' || (o_custkey % 400) AS producer, 'c' || (o_orderkey % 10) AS consumer, CASE WHEN o_totalprice > 200000 THEN 'extra' ELSE o_orderpriority END AS key FROM orders)
+SELECT * FROM r WHERE producer IN (FROM s) AND NOT EXISTS (SELECT 1 FROM p WHERE p.producer = r.producer AND p.key = r.key)""")
 def producer_consumer_drift(spark, d):
     o = a.table(spark, d, "orders")
     return compare.unmet_reads(
-        o.where("o_orderkey % 2 = 0").selectExpr("concat('p', o_custkey % 400) AS producer", "o_orderstatus AS variant", "o_orderpriority AS key"),
-        o.where("o_orderkey % 3 = 0").selectExpr("concat('p', o_custkey % 400) AS producer", "concat('c', o_orderkey % 10) AS consumer", "o_orderpriority AS key"),
+        o.selectExpr("concat('p', o_custkey % 400) AS producer", "o_orderstatus AS variant", "o_orderpriority AS key"),
+        o.selectExpr("concat('p', o_custkey % 400) AS producer", "concat('c', o_orderkey % 10) AS consumer", "if(o_totalprice > 200000, 'extra', o_orderpriority) AS key"),
     )
 
 
@@ -541,11 +542,9 @@ def heartbeat_windows(spark, d):
     return live.heartbeats(events)
 
 
-@query("SELECT 'u' || user_id AS name, min(ts) AS started, max(ts) AS last_activity, count(*) AS lines, arg_max(event_type, event_id) AS last_line FROM events GROUP BY 1")
+@query("SELECT 'u' || user_id AS name, min(ts) AS started, max(ts) AS last_activity, count(*) AS lines, (max(struct_pack(t := ts, l := event_type))).l AS last_line FROM events GROUP BY 1")
 def run_progress(spark, d):
-    events = a.table(spark, d, "events")
-    last = F.max_by("event_type", "event_id").alias("last_line")
-    return events.groupBy(F.expr("concat('u', user_id)").alias("name")).agg(F.min("ts").alias("started"), F.max("ts").alias("last_activity"), F.count("*").alias("lines"), last)
+    return live.progress(a.table(spark, d, "events").select(F.expr("concat('u', user_id)").alias("name"), "ts", F.col("event_type").alias("line")))
 
 
 @query("""WITH n AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id, min(ts) AS a, max(ts) AS z FROM events GROUP BY 1)
@@ -725,10 +724,10 @@ def untested_boundaries(spark, d):
     return compare.untested_boundaries(words, a.table(spark, d, "documents").select(F.col("text").alias("body")), "that")
 
 
-@query("""WITH s AS (SELECT 'v' || (o_custkey % 90) AS variable, o_orderstatus AS place, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS accepted FROM orders GROUP BY 1, 2)
+@query("""WITH s AS (SELECT 'v' || o_custkey AS variable, o_orderstatus AS place, array_to_string(list_sort(list(DISTINCT o_orderpriority)), ',') AS accepted FROM orders GROUP BY 1, 2)
 SELECT variable, count(DISTINCT accepted) AS variants, count(*) AS places FROM s GROUP BY variable HAVING count(DISTINCT accepted) > 1""")
 def predicate_consistency(spark, d):
-    return compare.inconsistent_predicates(a.table(spark, d, "orders").selectExpr("concat('v', o_custkey % 90) AS variable", "o_orderstatus AS place", "o_orderpriority AS value"))
+    return compare.inconsistent_predicates(a.table(spark, d, "orders").selectExpr("concat('v', o_custkey) AS variable", "o_orderstatus AS place", "o_orderpriority AS value"))
 
 
 @query("""WITH f AS (SELECT split_part(regexp_replace(url, '^https?://', ''), '/', 1) AS root, url || CASE WHEN page_id % 2 = 0 THEN '.js' ELSE '.css' END AS path, length(html) AS bytes FROM pages)
@@ -758,14 +757,19 @@ def profile_tools(spark, d):
     return report.first_seen_union(configured, a.table(spark, d, "part").selectExpr("concat('t', p_partkey % 70) AS name", "p_partkey AS pos"))
 
 
-@query("SELECT doc_id % 5 AS grp, arg_max(source, n_chars * 1000000 + doc_id) AS path FROM documents GROUP BY 1")
+@query("SELECT doc_id % 5 AS grp, (max(struct_pack(m := n_chars, p := source || '/' || doc_id))).p AS path FROM documents GROUP BY 1")
 def latest_report(spark, d):
-    return a.table(spark, d, "documents").groupBy((F.col("doc_id") % 5).alias("grp")).agg(F.max_by("source", F.struct("n_chars", "doc_id")).alias("path"))
+    from siftspark.sources import inventory
 
+    return inventory.latest(a.table(spark, d, "documents").selectExpr("doc_id % 5 AS grp", "concat(source, '/', doc_id) AS path", "n_chars AS mtime"), "grp")
 
-@query("SELECT page_id, CASE WHEN length(html) < 3000 THEN substr(html, 1, 64) END AS head FROM pages")
+
+@query("SELECT url || '#' || page_id AS path, CAST(octet_length(encode(html)) AS BIGINT) AS size, CASE WHEN octet_length(encode(html)) < 3000 THEN substr(html, 1, 64) END AS head FROM pages")
 def limited_read(spark, d):
-    return a.table(spark, d, "pages").select("page_id", F.when(F.length("html") < 3000, F.substring("html", 1, 64)).alias("head"))
+    from siftspark.sources import inventory
+
+    raw = a.table(spark, d, "pages").select(F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("path"), F.octet_length("html").cast("long").alias("length"), F.encode("html", "UTF-8").alias("content"))
+    return inventory.heads(raw, 3000, 64)
 
 
 @query(f"WITH {RS}, n AS (SELECT * FROM r WHERE seq % 4 = 0) SELECT name, 'PASS' AS status FROM n UNION ALL SELECT name, status FROM r WHERE name NOT IN (SELECT name FROM n)")
@@ -774,11 +778,11 @@ def replaced_results(spark, d):
     return lattice.replaced(r.select("name", "status"), r.where("seq % 4 = 0").select("name", F.lit("PASS").alias("status")))
 
 
-@query(f"WITH {RS} SELECT name, CASE WHEN seq % 3 = 0 THEN 'N/A' WHEN seq % 7 = 0 THEN 'SKIPPED' ELSE 'PLANNED' END AS status FROM r WHERE name LIKE 'd%' AND seq % 2 = 0")
+@query(f"WITH {RS} SELECT name, CASE WHEN seq % 3 = 0 THEN 'N/A' WHEN seq % 7 = 0 THEN 'SKIPPED' ELSE 'PLANNED' END AS status FROM r WHERE name LIKE 'd%'")
 def registration(spark, d):
     r = a.results(spark, d)
     checks = r.select("name", (F.col("seq") % 3 == 0).alias("python_only"), F.when(F.col("seq") % 7 == 0, F.lit(None)).otherwise(F.col("command")).alias("command"))
-    return lattice.registered(checks, r.where("name LIKE 'd%' AND seq % 2 = 0"), has_python=False)
+    return lattice.registered(checks, r.where("name LIKE 'd%'"), has_python=False)
 
 
 @query(f"WITH {RS} SELECT name, status FROM r UNION ALL SELECT 'install:' || name, status FROM r WHERE status = 'ERROR'")

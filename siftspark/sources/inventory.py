@@ -21,7 +21,11 @@ DIALECTS = (
 
 def read_files(spark: SparkSession, root: str, glob: str = "*", most_bytes: int = 1_000_000, head: int = 65_536) -> DataFrame:
     """Files below root as path, size, head; larger ones than most_bytes are listed without their head. Names that begin with a dot are listed only when given as the root."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root)
+    return heads(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root), most_bytes, head)
+
+
+def heads(raw: DataFrame, most_bytes: int = 1_000_000, head: int = 65_536) -> DataFrame:
+    """raw: path, length, content. path, size, and the first `head` bytes as text of files below most_bytes."""
     text = F.when(F.col("length") < most_bytes, F.make_valid_utf8(F.substring("content", 1, head).cast("string")))
     return raw.select("path", F.col("length").alias("size"), text.alias("head"))
 
@@ -85,9 +89,33 @@ def coverage_lines(reports: DataFrame) -> DataFrame:
     return files.select("file", F.explode("f.missing_lines").alias("line")).where("line IS NOT NULL")
 
 
-def latest(files: DataFrame) -> DataFrame:
-    """files: path, mtime. The newest."""
-    return files.agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+def coverage_branches(reports: DataFrame) -> DataFrame:
+    """reports: text. file, nth, line and target of every missing branch edge of coverage reports, in their order."""
+    schema = "struct<files: map<string, struct<missing_branches: array<array<int>>>>>"
+    files = reports.select(F.explode(F.from_json("text", schema).getField("files")).alias("file", "f"))
+    edges = files.select("file", F.posexplode("f.missing_branches").alias("nth", "edge")).where(F.size("edge") >= 2)
+    return edges.select("file", "nth", F.get("edge", F.lit(0)).alias("line"), F.get("edge", F.lit(1)).alias("target"))
+
+
+def latest(files: DataFrame, *keys: str) -> DataFrame:
+    """files: path, mtime. The newest, of each value of the keys if any are given."""
+    return files.groupBy(*keys).agg(F.max_by("path", F.struct("mtime", "path")).alias("path"))
+
+
+def in_scope(files: DataFrame, roots: list[str], suffixes: tuple[str, ...] = ("*",), skipped: tuple[str, ...] = ()) -> DataFrame:
+    """files: path, size, head. Those below one of the roots with one of the suffixes (* for any) and without a skipped folder, each path once, in order."""
+    path = F.regexp_replace(F.regexp_replace("path", "/+", "/"), r"^(\./)+", "")
+    below = F.lit(False)
+    for root in roots:
+        root = root.strip("/")
+        below = below | (F.lit(root in ("", ".")) | (path == root) | F.startswith(path, F.lit(root + "/")))
+    fits = F.lit("*" in suffixes)
+    for suffix in suffixes:
+        fits = fits | F.endswith(path, F.lit(suffix))
+    rows = files.withColumn("path", path).where(below & fits)
+    if skipped:
+        rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped))))
+    return rows.groupBy("path").agg(F.min_by("size", "head").alias("size"), F.min("head").alias("head")).orderBy("path")
 
 
 #: Suffixes that mark a technology alone, and names that do; fixed values.
