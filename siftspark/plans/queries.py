@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.functions import findings as fx
-from siftspark.operators import compare, filters, graph, lattice, ledger, ordered, report
+from siftspark.operators import compare, emit, filters, graph, lattice, ledger, ordered, report
 from siftspark.plans import adapters as a
 from siftspark.plans import parser_runs, rule_sources
 from siftspark.sources import parsers
@@ -828,3 +828,202 @@ SELECT p_partkey, name NOT LIKE '\\_%' ESCAPE '\\' AND col = 0 AND path LIKE 'sr
 def naming_variants(spark, d):
     n = a.table(spark, d, "part").selectExpr("p_partkey", "element_at(array('load', '_load', 'fast_load', 'load_fast_all', 'import'), cast(p_partkey % 5 + 1 AS INT)) AS name", "cast(p_size % 2 AS INT) * 4 AS col", "if(p_size % 3 = 0, 'tests/a.py', 'src/a.py') AS path")
     return n.select("p_partkey", fx.is_public(F.col("name"), F.col("col"), F.col("path")).alias("public"), fx.name_without(F.col("name"), "fast").alias("plain"), fx.name_with_swapped(F.col("name"), "load", "dump").alias("inverse"))
+
+
+# ---------------------------------------------------------------- settings, coverage reports, meanings
+
+
+_ENV = """v AS (SELECT p_partkey AS line, ['API_KEY', 'DB_PASSWORD', 'timeout', 'AUTH_TOKEN'][p_partkey % 4 + 1] AS name, p_size % 6 AS k FROM part)"""
+
+
+@query(f"WITH {_ENV} SELECT name, '.env.example' AS path, CAST(line AS INTEGER) AS line FROM v WHERE k = 1 OR k = 2 AND name <> 'timeout'")
+def secret_values(spark, d):
+    """Only token shapes, and long plain values under names of secrets, look live."""
+    shown = "element_at(array('changeme', concat('sk-abcdefghijkl', p_partkey), concat('longplainvalue', lpad(p_partkey, 6, '0')), concat('$', '{HOME}/long/plain/value'), 'test_abcdefghijklmnopq', 'short'), cast(p_size % 6 AS INT) + 1)"
+    v = a.table(spark, d, "part").selectExpr("cast(p_partkey AS INT) AS line", "element_at(array('API_KEY', 'DB_PASSWORD', 'timeout', 'AUTH_TOKEN'), cast(p_partkey % 4 AS INT) + 1) AS name", f"{shown} AS value")
+    return v.where(fx.looks_secret(F.col("name"), F.col("value"))).select("name", F.lit(".env.example").alias("path"), "line")
+
+
+def _coverage_reports(spark, d):
+    """A coverage report for each order: its line items are missing lines and branch edges of one file."""
+    li = a.table(spark, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").cast("int").alias("n"), F.expr("cast(l_suppkey % 50 AS INT)").alias("t")).alias("e"))
+    edges = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    file = F.struct(F.transform("e", lambda x: x.n).alias("missing_lines"), F.transform("e", lambda x: F.array(x.n, x.t)).alias("missing_branches"))
+    return edges.select(F.concat(F.lit('{"files": {"src/o'), F.col("l_orderkey").cast("string"), F.lit('.py": '), F.to_json(file), F.lit("}}")).alias("text"))
+
+
+@query("SELECT 'src/o' || l_orderkey || '.py' AS file, CAST(l_linenumber AS INTEGER) AS line FROM lineitem")
+def coverage_json(spark, d):
+    from siftspark.sources import inventory
+
+    return inventory.coverage_lines(_coverage_reports(spark, d))
+
+
+@query("""WITH b AS (SELECT 'src/o' || l_orderkey || '.py' AS file, CAST(l_linenumber AS INTEGER) AS line, CAST(l_suppkey % 50 AS INTEGER) AS target, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey % 50) AS nth FROM lineitem)
+SELECT file, line, target FROM b WHERE nth <= 3""")
+def branch_gaps(spark, d):
+    from siftspark.sources import inventory
+
+    return ordered.branch_gaps(inventory.coverage_branches(_coverage_reports(spark, d)), 3)
+
+
+@query("""WITH r AS (SELECT s_suppkey AS run, s_nationkey % 5 = 0 AS failed, s_nationkey % 7 <> 0 AS measured FROM supplier),
+g AS (SELECT l_suppkey AS run, 'src/o' || l_orderkey || '.py' AS path, CAST(l_linenumber AS INTEGER) AS line FROM lineitem)
+SELECT run, 'BHCOV001' AS code, path, line, 'warning' AS severity, 'never run' AS message FROM g
+UNION ALL SELECT run, CASE WHEN measured THEN 'BHCOV003' ELSE 'BHCOV002' END, NULL, NULL, 'error', CASE WHEN measured THEN 'coverage was measured over a failing suite' ELSE 'coverage could not be measured' END FROM r WHERE failed OR NOT measured""")
+def measured_coverage(spark, d):
+    gaps = a.table(spark, d, "lineitem").selectExpr("l_suppkey AS run", "'BHCOV001' AS code", "concat('src/o', l_orderkey, '.py') AS path", "cast(l_linenumber AS INT) AS line", "'warning' AS severity", "'never run' AS message")
+    return emit.measured(gaps, a.table(spark, d, "supplier").selectExpr("s_suppkey AS run", "s_nationkey % 5 = 0 AS suite_failed", "s_nationkey % 7 <> 0 AS measured"))
+
+
+@query("""WITH u AS (SELECT 'V' || (l_partkey % 500) AS name, 'f' || l_suppkey AS path, CAST(l_linenumber AS INTEGER) AS line FROM lineitem)
+SELECT 'BHCFG001' AS code, (min(struct_pack(p := path, l := line))).p AS path, (min(struct_pack(p := path, l := line))).l AS line, 'warning' AS severity, count(DISTINCT name) || ' environment variable(s) are used and there is no .env.example' AS message
+FROM u HAVING count(*) > 0 AND NOT EXISTS (SELECT 1 FROM pages WHERE url LIKE '%/.env.example')""")
+def missing_example(spark, d):
+    uses = a.table(spark, d, "lineitem").selectExpr("concat('V', l_partkey % 500) AS name", "concat('f', l_suppkey) AS path", "cast(l_linenumber AS INT) AS line")
+    return emit.missing_example(uses, a.files(spark, d))
+
+
+_NOMINAL, _FRAME, _SCALE = "[NULL, 'user-id', 'instant', 'duration']", "[NULL, 'world', 'camera']", "['percent', 'fraction', 'ms']"
+_PROVEN = "['name:x', 'name:x+schema:y', 'guess']"
+
+
+def _sparked(values: str) -> str:
+    return values.replace("[", "array(").replace("]", ")")
+
+
+@query(f"""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS site, l_suppkey % 40 AS callee, l_linenumber % 3 AS position, {_NOMINAL}[l_partkey % 4 + 1] AS nominal, {_FRAME}[l_suppkey % 3 + 1] AS frame, {_SCALE}[l_orderkey % 3 + 1] AS unit,
+    CASE WHEN l_quantity < 25 THEN ['n', CAST(l_linenumber % 3 AS VARCHAR)] END AS shape, {_PROVEN}[l_partkey % 3 + 1] AS provenance, round(1 - 6 * l_tax, 6) AS confidence FROM lineitem),
+y AS (SELECT s_suppkey % 40 AS callee, s_nationkey % 3 AS position, {_NOMINAL}[s_suppkey % 4 + 1] AS nominal, {_FRAME}[s_nationkey % 3 + 1] AS frame, {_SCALE}[s_suppkey % 3 + 1] AS unit,
+    CASE s_suppkey % 4 WHEN 0 THEN ['?', '1'] WHEN 1 THEN ['n'] END AS shape, {_PROVEN}[s_suppkey % 3 + 1] AS provenance, CAST(0.8 AS DOUBLE) AS confidence FROM supplier),
+c AS (SELECT site, least(x.confidence, y.confidence) AS sure, len(list_filter(string_split(x.provenance, '+') || string_split(y.provenance, '+'), lambda t: t <> 'guess')) AS sources, CASE
+    WHEN x.nominal <> y.nominal THEN CASE WHEN x.nominal IN ('instant', 'duration') AND y.nominal IN ('instant', 'duration') THEN 'BHSEM002' ELSE 'BHSEM001' END
+    WHEN x.frame <> y.frame THEN 'BHSEM008' WHEN x.unit <> y.unit AND x.unit <> 'ms' AND y.unit <> 'ms' THEN 'BHSEM007'
+    WHEN len(x.shape) <> len(y.shape) OR x.shape[1] <> y.shape[1] AND x.shape[1] <> '?' AND y.shape[1] <> '?' OR x.shape[2] <> y.shape[2] THEN 'BHSEM006' END AS code FROM x JOIN y USING (callee, position))
+SELECT site, code, CASE WHEN sure >= 0.9 THEN 'error' ELSE 'warning' END AS severity FROM c WHERE code IS NOT NULL AND (sure >= 0.7 OR sure >= 0.45 AND sources >= 2)""")
+def semantic_clashes(spark, d):
+    pick = lambda values, i: f"element_at({_sparked(values)}, cast({i} AS INT) + 1)"
+    x = a.table(spark, d, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS site", "l_suppkey % 40 AS callee", "cast(l_linenumber % 3 AS INT) AS position",
+        f"named_struct('nominal', {pick(_NOMINAL, 'l_partkey % 4')}, 'frame', {pick(_FRAME, 'l_suppkey % 3')}, 'unit', {pick(_SCALE, 'l_orderkey % 3')}, 'shape', if(l_quantity < 25, array('n', cast(l_linenumber % 3 AS STRING)), null), 'provenance', {pick(_PROVEN, 'l_partkey % 3')}, 'confidence', round(1 - 6 * l_tax, 6)) AS actual",
+    )
+    y = a.table(spark, d, "supplier").selectExpr(
+        "s_suppkey % 40 AS callee", "cast(s_nationkey % 3 AS INT) AS position",
+        f"named_struct('nominal', {pick(_NOMINAL, 's_suppkey % 4')}, 'frame', {pick(_FRAME, 's_nationkey % 3')}, 'unit', {pick(_SCALE, 's_suppkey % 3')}, 'shape', CASE s_suppkey % 4 WHEN 0 THEN array('?', '1') WHEN 1 THEN array('n') END, 'provenance', {pick(_PROVEN, 's_suppkey % 3')}, 'confidence', 0.8D) AS wanted",
+    )
+    return compare.semantic_clashes(x, y)
+
+
+@query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS site, 'f' || (l_suppkey % 25) AS short, CASE l_partkey % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'latin-1' END AS encoding, l_linenumber % 3 - 1 AS time, ['ms', 's'][l_suppkey % 2 + 1] AS unit,
+    CASE WHEN l_partkey % 50 = 7 THEN 'bad-divisor:x' ELSE 'name:x' END AS provenance, round(1 - 6 * l_tax, 6) AS confidence FROM lineitem),
+y AS (SELECT 'f' || n_nationkey AS short, CASE WHEN n_regionkey = 1 THEN 'utf-8' END AS encoding, n_regionkey % 3 - 1 AS time, 's' AS unit FROM nation),
+c AS (SELECT site, least(confidence, 0.98) AS sure, CASE WHEN x.encoding <> y.encoding THEN 'BHSEM009' WHEN x.time <> 0 AND y.time <> 0 AND (provenance LIKE 'bad%' OR x.time <> y.time OR x.unit <> y.unit) THEN 'BHUNIT004' END AS code FROM x JOIN y USING (short))
+SELECT site, code, CASE WHEN sure >= 0.9 THEN 'error' ELSE 'warning' END AS severity FROM c WHERE code IS NOT NULL AND sure >= 0.7""")
+def sink_clashes(spark, d):
+    dimension = lambda power: f"if({power} = 0, map_from_arrays(cast(array() AS ARRAY<STRING>), cast(array() AS ARRAY<INT>)), map('time', cast({power} AS INT)))"
+    x = a.table(spark, d, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber AS site", "concat('mod.sub.f', l_suppkey % 25) AS callee",
+        f"named_struct('encoding', CASE l_partkey % 3 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'latin-1' END, 'dimension', {dimension('(l_linenumber % 3 - 1)')}, 'unit', if(l_suppkey % 2 = 0, 'ms', 's'), 'provenance', if(l_partkey % 50 = 7, 'bad-divisor:x', 'name:x'), 'confidence', round(1 - 6 * l_tax, 6)) AS actual",
+    )
+    y = a.table(spark, d, "nation").selectExpr("concat('lib.f', n_nationkey) AS callee", f"named_struct('encoding', if(n_regionkey = 1, 'utf-8', null), 'dimension', {dimension('(n_regionkey % 3 - 1)')}, 'unit', 's', 'confidence', 0.98D) AS wanted")
+    return compare.sink_clashes(x, y)
+
+
+@query("""WITH v AS (SELECT l_orderkey * 10 + l_linenumber AS name, ['dimension-clash:a+name:b', 'instant-clash:', 'tz-clash:x', 'narrow:f', 'promotion-risk:', 'shape-clash:', 'name:x'][l_partkey % 7 + 1] AS p, round(1 - 6 * l_tax, 6) AS c FROM lineitem)
+SELECT name, CASE split_part(p, ':', 1) WHEN 'dimension-clash' THEN 'BHUNIT004' WHEN 'instant-clash' THEN 'BHSEM002' WHEN 'tz-clash' THEN 'BHSEM003' WHEN 'narrow' THEN 'BHSEM004' WHEN 'promotion-risk' THEN 'BHSEM005' ELSE 'BHSEM006' END AS code,
+       CASE WHEN c >= 0.9 THEN 'error' ELSE 'warning' END AS severity FROM v WHERE p <> 'name:x' AND c >= 0.7""")
+def tagged_contradictions(spark, d):
+    tags = "array('dimension-clash:a+name:b', 'instant-clash:', 'tz-clash:x', 'narrow:f', 'promotion-risk:', 'shape-clash:', 'name:x')"
+    return compare.tagged_contradictions(a.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS name", f"element_at({tags}, cast(l_partkey % 7 AS INT) + 1) AS provenance", "round(1 - 6 * l_tax, 6) AS confidence"))
+
+
+# ---------------------------------------------------------------- technologies
+
+
+#: Files by what they show: path (@ for a number), text, technologies.
+_FILES = (
+    ("src/a@.py", "x = 1", "python"),
+    ("src/b@.py", "async def f(): pass", "python asyncio"),
+    ("src/c@.py", "os.getenv('X')", "python dotenv"),
+    ("src/django_@.py", "x", "python django"),
+    ("bin/run@", "#!/bin/bash\ntrue", "shell"),
+    ("bin/run@.zsh", "", "shell"),
+    ("api/p@.proto", "", "protobuf"),
+    ("db/q@.sql", "select 1", "sql"),
+    ("db/migrations/r@.sql", "select '{}'::jsonb", "sql"),
+    ("infra/m@.tf", "", "terraform"),
+    ("go/g@.go", "", "go"),
+    ("rs/r@.rs", "", "rust"),
+    ("c/x@.hpp", "", "cpp"),
+    ("php/x@.php", "", "php"),
+    ("web/x@.jsx", "", "javascript-typescript"),
+    ("web/y@.tsx", "process.env.X", "javascript-typescript typescript dotenv"),
+    ("etc/t@.toml", "", "toml"),
+    ("etc/y@.yaml", "$schema: x", "yaml schema-ref"),
+    ("api/openapi@.json", '{"openapi": "3.1"}', "openapi"),
+    ("pact_@.json", "{}", "pact"),
+    ("docs/readme@.md", "nothing", ""),
+)
+
+
+@query(f"""WITH f AS (SELECT replace(path, '@', CAST(p_partkey AS VARCHAR)) AS path, caps FROM part JOIN (VALUES {", ".join(str((k, f[0], f[2])) for k, f in enumerate(_FILES))}) v(k, path, caps) ON p_partkey % {len(_FILES)} = k),
+c AS (SELECT path, unnest(string_split(caps, ' ')) AS capability FROM f WHERE caps <> '' UNION ALL SELECT path, 'postgres-migrations' FROM f WHERE path LIKE '%/migrations/%')
+SELECT capability, count(*) AS files, list_sort(list(DISTINCT path))[1:100] AS evidence FROM c GROUP BY capability
+UNION ALL SELECT 'react', 1, ['dependencies']""")
+def technologies(spark, d):
+    from siftspark.sources import inventory
+
+    samples = F.broadcast(spark.createDataFrame([(k, *f[:2]) for k, f in enumerate(_FILES)], "k int, path string, head string"))
+    parts = a.table(spark, d, "part")
+    files = parts.select(F.col("p_partkey").cast("string").alias("key"), (F.col("p_partkey") % len(_FILES)).cast("int").alias("k")).join(samples, "k").select(F.replace("path", F.lit("@"), "key").alias("path"), "head", F.length("head").alias("size"))
+    names = parts.select(F.expr("element_at(array('React', 'left-pad', 'Django', 'lodash'), cast(p_size % 4 AS INT) + 1)").alias("name"))
+    return inventory.inventory(files, names)
+
+
+_DIALECTS = "['PsycoPG pool', 'ENGINE=InnoDB', 'import aiosqlite', 'google.cloud.bigquery', 'Snowflake', 'duckdb', 'select 1', 'select 2']"
+
+
+@query(f"""WITH t AS (SELECT p_partkey // 3 AS grp, list(p_size % 8) AS ks FROM part GROUP BY 1)
+SELECT grp, CASE WHEN list_contains(ks, 0) THEN 'postgres' WHEN list_contains(ks, 1) THEN 'mysql' WHEN list_contains(ks, 2) THEN 'sqlite' WHEN list_contains(ks, 3) THEN 'bigquery' WHEN list_contains(ks, 4) THEN 'snowflake' WHEN list_contains(ks, 5) THEN 'duckdb' ELSE 'ansi' END AS dialect FROM t""")
+def sql_dialects(spark, d):
+    from siftspark.sources import inventory
+
+    return inventory.first_dialect(a.table(spark, d, "part").selectExpr("p_partkey div 3 AS grp", f"element_at({_sparked(_DIALECTS)}, cast(p_size % 8 AS INT) + 1) AS text"), "grp")
+
+
+@query("""SELECT DISTINCT 'pkg/' || p_partkey || '/package.json' AS path, lower(n) AS name FROM part, unnest(['React' || (p_size % 3), 'Jest', 'peer' || p_size]) x(n)""")
+def manifest_dependencies(spark, d):
+    from siftspark.sources import inventory
+
+    text = "concat('{\"dependencies\": {\"React', p_size % 3, '\": \"1\"}, \"devDependencies\": {\"Jest\": \"2\"}, \"peerDependencies\": {\"peer', p_size, '\": \"*\"}, \"scripts\": {\"no\": \"x\"}}')"
+    return inventory.manifest_dependencies(a.table(spark, d, "part").selectExpr("concat('pkg/', p_partkey, '/package.json') AS path", f"{text} AS head"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber, ['calls', 'tested_by'][l_linenumber % 2 + 1] AS predicate, 's' || l_suppkey AS subject, CASE WHEN l_returnflag = 'R' THEN NULL ELSE 'p' || l_partkey END AS object,
+  CASE l_linestatus WHEN 'F' THEN NULL ELSE round(1 - l_tax, 2) END AS confidence, l_quantity = 7 AS odd FROM lineitem)
+SELECT predicate, subject, object, coalesce(confidence, 1.0) AS confidence FROM c WHERE object IS NOT NULL AND NOT odd""")
+def graph_export(spark, d):
+    """An export for each order, with relationships that lack a name or have a confidence that is no number."""
+    from siftspark.sources import inventory
+
+    text = """concat('{"predicate": "', element_at(array('calls', 'tested_by'), cast(l_linenumber % 2 AS INT) + 1), '", "subject": "s', l_suppkey, '"', if(l_returnflag = 'R', '', concat(', "object": "p', l_partkey, '"')),
+      CASE WHEN l_quantity = 7 THEN ', "confidence": "odd"' WHEN l_linestatus = 'F' THEN '' ELSE concat(', "confidence": ', cast(round(1 - l_tax, 2) AS STRING)) END, '}')"""
+    edges = a.table(spark, d, "lineitem").selectExpr("l_orderkey", f"{text} AS r").groupBy("l_orderkey").agg(F.array_join(F.collect_list("r"), ", ").alias("rs"))
+    return inventory.call_graph(edges.select(F.concat(F.lit('{"relationships": ['), "rs", F.lit("]}")).alias("text")))
+
+
+# ---------------------------------------------------------------- findings by code
+
+
+def _emitted(code: str, name: str, where: str = "TRUE") -> None:
+    path, line, severity, message = emit.FINDINGS[code]
+    QUERIES[f"emit_{code}"] = lambda spark, d: emit.findings(QUERIES[name](spark, d).where(where), code)
+    ORACLES[f"emit_{code}"] = f"SELECT '{code}' AS code, CAST({path} AS VARCHAR) AS path, CAST({line} AS INTEGER) AS line, {severity} AS severity, {message} AS message FROM ({ORACLES[name]}) WHERE {where}"
+
+
+for _code, *_source in (
+    ("BHCFG002", "env_missing"), ("BHCFG003", "secret_values"), ("BHCONC001", "multi_writer"), ("BHCOV002", "branch_gaps"), ("BHDIFF001", "version_diff"), ("BHDIS001", "checker_disagreement"), ("BHFAULT001", "untested_boundaries"),
+    ("BHINV001", "predicate_consistency"), ("BHPLC001", "contradictory_checks"), ("BHRT001", "uncovered_pairs"), ("BHRT002", "naming_pairs", "partner IS NULL"), ("BHSEAM002", "forwarding_mismatch"), ("BHSEAM003", "producer_consumer_drift"),
+    ("BHSEAM004", "schema_drift"), ("BHSEM010", "nullable_dereference"), ("BHUNIT004", "contract_clash"), ("BHVERIFY001", "verification_gap"), ("BHVERIFY002", "boundary_gap"),
+):
+    _emitted(_code, *_source)
