@@ -1012,6 +1012,164 @@ def graph_export(spark, d):
     return inventory.call_graph(edges.select(F.concat(F.lit('{"relationships": ['), "rs", F.lit("]}")).alias("text")))
 
 
+# ---------------------------------------------------------------- symbols, evidence, documents
+
+
+@query("""SELECT DISTINCT 'code://function/main/src/pkg' || (l_partkey % 40) || '/m' || l_linenumber || '.py/f' || l_suppkey AS uri, 'src/pkg' || (l_partkey % 40) || '/m' || l_linenumber || '.py' AS file, 'f' || l_suppkey AS name,
+  'pkg' || (l_partkey % 40) || '.m' || l_linenumber AS module FROM lineitem UNION ALL SELECT 's://short/' || s_suppkey, '', 's://short/' || s_suppkey, '' FROM supplier""")
+def symbol_parts(spark, d):
+    from siftspark.functions import symbols
+
+    uris = a.table(spark, d, "lineitem").selectExpr("concat('code://function/main/src/pkg', l_partkey % 40, '/m', l_linenumber, '.py/f', l_suppkey) AS uri").distinct().unionByName(a.table(spark, d, "supplier").selectExpr("concat('s://short/', s_suppkey) AS uri"))
+    file = symbols.symbol_file(F.col("uri"))
+    return uris.select("uri", file.alias("file"), symbols.symbol_name(F.col("uri")).alias("name"), symbols.module_of(file).alias("module"))
+
+
+@query("""SELECT l_orderkey * 10 + l_linenumber AS id, CASE WHEN l_suppkey % 5 < 3 THEN 'mod' || (l_suppkey % 5) || '.real' ELSE 'a' || (l_suppkey % 5) END || CASE WHEN l_linenumber % 2 = 0 THEN '.sub.f' || l_partkey ELSE '' END AS name FROM lineitem""")
+def alias_expansion(spark, d):
+    from siftspark.functions import symbols
+
+    aliases = a.table(spark, d, "nation").where("n_nationkey % 5 < 3").selectExpr("concat('a', n_nationkey % 5) AS head", "concat('mod', n_nationkey % 5, '.real') AS target").distinct()
+    names = a.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "concat('a', l_suppkey % 5, if(l_linenumber % 2 = 0, concat('.sub.f', l_partkey), '')) AS dotted").withColumn("head", F.split_part("dotted", F.lit("."), F.lit(1)))
+    return names.join(F.broadcast(aliases), "head", "left").select("id", symbols.expanded(F.col("dotted"), F.col("target")).alias("name"))
+
+
+#: Name endings or whole names, and what they say.
+_SAYS = (
+    ("wait@_ms", "unit", "ms", "time:1"), ("turn@_deg", "unit", "deg", "angle:1"), ("load@_pct", "unit", "percent", ""), ("start@_at", "nominal", "instant", ""), ("net@_delay", "nominal", "duration", ""), ("x@_user_id", "nominal", "user", ""), ("pos@_camera", "frame", "camera", ""),
+    ("hit@_ratio", "unit", "fraction", ""), ("wall@x", "time_basis", "local_wall", ""), ("utc@x", "time_basis", "utc", ""), ("trailing@x", "interval_alignment", "trailing", ""), ("best_@", "interval_alignment", "leading", ""), ("dose@x", "missingness", "unknown", ""), ("plain@", None, None, None), ("_id", None, None, None),
+)
+
+
+def _sql_rows(rows) -> str:
+    return ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in row) + ")" for row in rows)
+
+
+def _made(spark, d, texts) -> DataFrame:
+    """key and text, one a part: the texts in turn, with the key in place of @."""
+    samples = F.broadcast(spark.createDataFrame(list(enumerate(texts)), "k int, text string"))
+    return a.table(spark, d, "part").select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % len(texts)).cast("int").alias("k")).join(samples, "k").select("key", F.replace("text", F.lit("@"), F.col("key").cast("string")).alias("text"))
+
+
+@query(f"""SELECT p_partkey AS key, facet, value, dimension, CASE WHEN facet IS NOT NULL THEN 'name:' || replace(name, '@', CAST(p_partkey AS VARCHAR)) END AS provenance, CASE WHEN facet IS NOT NULL THEN CAST(0.8 AS DOUBLE) END AS confidence
+FROM part JOIN (VALUES {_sql_rows([(k, *r) for k, r in enumerate(_SAYS)])}) v(k, name, facet, value, dimension) ON p_partkey % {len(_SAYS)} = k""")
+def name_evidence(spark, d):
+    from siftspark.functions import evidence
+
+    return _made(spark, d, [r[0] for r in _SAYS]).select("key", evidence.name_evidence(F.col("text")).alias("e")).select("key", "e.*")
+
+
+_ANNOTATIONS = (("datetime.timedelta", "nominal", "duration", "time:1"), ("datetime", "nominal", "instant", ""), ("bytes", "encoding", "bytes", ""), ("str", "encoding", "utf8", ""), ('Float[Tensor, "batch c@"]', "shape", "batch c@", ""), ("'Int[Array, \"n@\"]'", "shape", "n@", ""), ("list[str]", None, None, None), ("Other@", None, None, None))
+
+
+@query(f"""SELECT p_partkey AS key, facet, replace(value, '@', CAST(p_partkey AS VARCHAR)) AS value, dimension, CASE WHEN facet IS NOT NULL THEN 'annotation:' || replace(text, '@', CAST(p_partkey AS VARCHAR)) END AS provenance, CASE WHEN facet IS NOT NULL THEN CAST(1 AS DOUBLE) END AS confidence
+FROM part JOIN (VALUES {_sql_rows([(k, *r) for k, r in enumerate(_ANNOTATIONS)])}) v(k, text, facet, value, dimension) ON p_partkey % {len(_ANNOTATIONS)} = k""")
+def annotation_evidence(spark, d):
+    from siftspark.functions import evidence
+
+    return _made(spark, d, [r[0] for r in _ANNOTATIONS]).select("key", evidence.annotation_evidence(F.col("text")).alias("e")).select("key", "e.*")
+
+
+@query("""WITH n AS (SELECT p_partkey AS key, 'q' || p_partkey AS base, ['_complete', '_coverage_fraction', '_Version', '_source', '_other', ''][p_partkey % 6 + 1] AS e FROM part)
+SELECT key, CASE WHEN e NOT IN ('_other', '') THEN base END AS base FROM n""")
+def quality_bases(spark, d):
+    from siftspark.functions import evidence
+
+    return _made(spark, d, ["q@_complete", "q@_coverage_fraction", "q@_Version", "q@_source", "q@_other", "q@"]).select("key", evidence.quality_base(F.col("text")).alias("base"))
+
+
+_TYPES = (
+    ("int", "st.integers()"), ("str | None", "st.one_of(st.none(), st.text())"), ("Optional[bytes]", "st.one_of(st.none(), st.binary())"), ("list[set[int]]", "st.lists(st.sets(st.integers(), max_size=32), max_size=32)"), ("dict[str, bool]", "st.dictionaries(st.text(), st.booleans(), max_size=32)"),
+    ("tuple[int, float]", "st.tuples(st.integers(), st.floats(allow_nan=False, allow_infinity=False))"), ("tuple[int]", None), ("list[Thing@]", None), ("Thing@", None), ("not a type", None),
+)
+
+
+@query(f"SELECT p_partkey AS key, strategy FROM part JOIN (VALUES {_sql_rows([(k, r[1]) for k, r in enumerate(_TYPES)])}) v(k, strategy) ON p_partkey % {len(_TYPES)} = k")
+def type_strategies(spark, d):
+    from siftspark.functions import symbols
+    from siftspark.session import importable
+
+    importable(spark)
+    return _made(spark, d, [r[0] for r in _TYPES]).select("key", symbols.strategy_of("text").alias("strategy"))
+
+
+_DOCUMENTS = (
+    ("s/@.json", '{"title": "T@", "properties": {"a": {}, "b@": {}}, "$defs": {"D": {"properties": {"x": {}}}}, "definitions": {"No": {"properties": {"no": {}}}}}'),
+    ("s/@.json", '{"components": {"schemas": {"C@": {"properties": {"c": {}}}, "Empty": {}}}, "definitions": {"E": {"properties": {"y": {}}}}}'),
+    ("s/@.json", '{"consumer": {"name": "a@"}, "provider": {"name": "b"}, "interactions": []}'),
+    ("s/@.json", '{"consumer": "a", "provider": {"name": "b"}, "interactions": []}'),
+    ("s/@.json", '{"$schema": "../base/one.json"}'),
+    ("s/@.json", '{"$schema": "https://example.org/x.json"}'),
+    ("s/@.json", "no json @"),
+    ("s/@.yaml", "$schema: ./none@.json"),
+    ("base/one.json", "{}"),
+    ("s/deep/@.yaml", "  $schema : '../../base/one.json'  # here"),
+    ("s/@.json", '{"$schema": "../../../out.json"}'),
+)
+
+
+def _documents(spark, d) -> DataFrame:
+    paths, texts = _made(spark, d, [p for p, _ in _DOCUMENTS]), _made(spark, d, [t for _, t in _DOCUMENTS])
+    return paths.withColumnRenamed("text", "path").join(texts, "key").select("path", "text")
+
+
+_DOC_SQL = f"k AS (SELECT CAST(p_partkey AS VARCHAR) AS key, p_partkey % {len(_DOCUMENTS)} AS k FROM part)"
+
+
+@query(f"""WITH {_DOC_SQL} SELECT 's/' || key || '.json' AS path, replace(name, '@', key) AS name, replace(field, '@', key) AS field FROM k JOIN (VALUES (0, 'T@', 'a'), (0, 'T@', 'b@'), (0, 'D', 'x'), (1, 'C@', 'c'), (1, 'E', 'y')) v(k, name, field) USING (k)""")
+def schema_fields(spark, d):
+    from siftspark.sources import documents
+
+    return documents.schema_fields(_documents(spark, d))
+
+
+@query(f"WITH {_DOC_SQL} SELECT 's/' || key || '.json' AS path FROM k WHERE k = 2")
+def pact_files(spark, d):
+    from siftspark.sources import documents
+
+    return documents.pact_files(_documents(spark, d))
+
+
+@query(f"WITH {_DOC_SQL} SELECT CASE k WHEN 4 THEN 's/' || key || '.json' ELSE 's/deep/' || key || '.yaml' END AS path, 'base/one.json' AS schema FROM k WHERE k IN (4, 9)")
+def local_schemas(spark, d):
+    from siftspark.sources import documents
+
+    return documents.local_schemas(_documents(spark, d))
+
+
+@query("""WITH n AS (SELECT p_partkey, 'debt' || p_partkey || '.toml' AS path FROM part WHERE p_partkey % 5 <> 4)
+SELECT path, CAST(0 AS BIGINT) AS entry_ord, 'ruff:F' || p_partkey AS signal, ['src/a.py', 'src/b.py'] AS paths, CAST(p_partkey % 7 AS INTEGER) AS count FROM n
+UNION ALL SELECT path, 2, 'mypy:misc', ['src/c.py'], 1 FROM n""")
+def ledger_files(spark, d):
+    """Ledgers whose second entry lacks its paths; every fifth one is no TOML."""
+    from siftspark.sources import documents
+
+    key = F.col("p_partkey").cast("string")
+    good = F.concat(F.lit('[[debt]]\nsignal = "ruff:F'), key, F.lit('"\npaths = ["src/a.py", "src/b.py"]\ncount = '), (F.col("p_partkey") % 7).cast("string"), F.lit('\n[[debt]]\nsignal = "x"\ncount = 2\n[[debt]]\nsignal = "mypy:misc"\npaths = ["src/c.py"]\ncount = 1\n'))
+    files = a.table(spark, d, "part").select(F.concat(F.lit("debt"), key, F.lit(".toml")).alias("path"), F.when(F.expr("p_partkey % 5 = 4"), "[[debt\nbroken").otherwise(good).alias("text"))
+    return documents.ledger_entries(files)
+
+
+@query("""WITH b AS (SELECT 's' || s_suppkey || '.limit' AS key, 'base' AS value FROM supplier UNION ALL SELECT 's' || s_suppkey || '.table.a', 'base' FROM supplier UNION ALL SELECT 's' || s_suppkey || '.plain', 'base' FROM supplier),
+o AS (SELECT 's' || s_suppkey || CASE s_nationkey % 3 WHEN 0 THEN '.limit' WHEN 1 THEN '.table' ELSE '.plain.deep' END AS key, 'own' AS value FROM supplier)
+SELECT key, value FROM o UNION ALL SELECT key, value FROM b WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.key = b.key OR starts_with(b.key, o.key || '.') OR starts_with(o.key, b.key || '.'))""")
+def settings_overlay(spark, d):
+    from siftspark.sources import documents
+
+    sup = a.table(spark, d, "supplier")
+    base = sup.select(F.explode(F.array(*(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(e)) for e in (".limit", ".table.a", ".plain")))).alias("key"), F.lit("base").alias("value"))
+    own = sup.select(F.expr("concat('s', s_suppkey, element_at(array('.limit', '.table', '.plain.deep'), s_nationkey % 3 + 1))").alias("key"), F.lit("own").alias("value"))
+    return documents.overlaid(base, own)
+
+
+@query("SELECT DISTINCT regexp_replace(url, '^https?://', '') || '.html' AS path, max(length(html)) OVER (PARTITION BY url) AS size FROM pages WHERE regexp_replace(url, '^https?://', '') LIKE '%/en/%'")
+def scoped_files(spark, d):
+    from siftspark.sources import inventory
+
+    files = a.files(spark, d).select(F.concat(F.lit("./"), "path", F.lit(".html")).alias("path"), "size", "head")
+    return inventory.in_scope(files, ["."], (".html",)).where(F.contains("path", F.lit("/en/"))).select("path", "size")
+
+
 # ---------------------------------------------------------------- findings by code
 
 
