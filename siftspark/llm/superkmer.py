@@ -33,7 +33,7 @@ from siftspark.llm.common import KNOWN_WORDS, WordHashes, stored
 WINDOW = 50
 MINIMISER = 8
 RUN = 64
-MAX_BUCKET = 512
+MAX_BUCKET = 4096
 
 
 def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
