@@ -34,8 +34,11 @@ from siftspark.llm.common import stored
 FANOUT = 8
 MAX_BUCKET = 20_000
 SEED = 42
-#: Pairs of (query, node) looked at together; bounds memory.
+#: Words of codes of the pairs of (query, node) looked at together; bounds memory.
 FRONTIER = 1_000_000
+FRONTIER_WORDS = 4_000_000
+#: Hashes of shingles taken at once; bounds memory.
+ROWS = 4096
 
 _BITS = ((np.arange(256)[:, None] >> np.arange(7, -1, -1)) & 1).astype(np.int64)
 
@@ -58,14 +61,23 @@ def shingle_hashes(text: bytes | None, words: int) -> np.ndarray:
     return np.array([h(flat[a:b], SEED) for a, b in spans], np.uint64)
 
 
-def majority_bits(hashes: np.ndarray) -> bytes:
-    """hashes: (n, k) unsigned. A bit is 1 if set in over half the rows. Big-endian bytes."""
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """hashes: (n, k) unsigned. In how many rows each bit is set."""
     n, k = hashes.shape
-    if not n:
-        return bytes(8 * k)
     data = hashes.astype(">u8").view(np.uint8).reshape(n, 8 * k)
     counts = np.bincount((data + np.arange(8 * k, dtype=np.int64) * 256).ravel(), minlength=2048 * k).reshape(8 * k, 256)
-    return np.packbits(counts @ _BITS * 2 > n).tobytes()
+    return counts @ _BITS
+
+
+def majority_bits(hashes: np.ndarray, words: int = 1) -> bytes:
+    """A bit for each of 64 * words is 1 if set in over half of the hashes, widened to so many words. Big-endian bytes.
+
+    Hashes are taken ROWS at a time, so that long texts need no more memory than short ones.
+    """
+    if not len(hashes):
+        return bytes(8 * words)
+    counts = sum(bit_counts(part.reshape(-1, 1) if words == 1 else _widened(part, words)) for part in (hashes[i : i + ROWS] for i in range(0, len(hashes), ROWS)))
+    return np.packbits(counts * 2 > len(hashes)).tobytes()
 
 
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
@@ -74,7 +86,7 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.binary())
-            prints = b"".join(majority_bits(shingle_hashes(t.as_py(), words).reshape(-1, 1)) for t in texts)
+            prints = b"".join(majority_bits(shingle_hashes(t.as_py(), words)) for t in texts)
             codes = np.frombuffer(prints, ">i8").astype(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(codes)], ["doc_id", "fp"])
 
@@ -172,7 +184,8 @@ def link_codes(buckets: np.ndarray, codes: np.ndarray, radius: int) -> tuple[np.
     sizes = np.diff(np.append(starts, len(codes)))
     work = np.cumsum(np.repeat(sizes, sizes))
     alone = np.repeat(sizes == 1, sizes)
-    for part in np.split(np.arange(len(codes)), np.searchsorted(work, np.arange(FRONTIER, work[-1], FRONTIER))):
+    most = min(FRONTIER, FRONTIER_WORDS // codes.shape[1])
+    for part in np.split(np.arange(len(codes)), np.searchsorted(work, np.arange(most, work[-1], most))):
         a, b = index.later(part[~alone[part]], radius, label)
         while len(a):
             la, lb = label[a], label[b]
@@ -303,8 +316,6 @@ def op7_simhash(docs: DataFrame) -> DataFrame:
 CODE_WORDS = 16
 #: Candidates agree in one of BANDS bands of BAND_ROWS minima each: all but 0.003 % of pairs at Jaccard 0.8.
 BANDS, BAND_ROWS = 20, 4
-#: Shingles whose minima are taken at once; bounds memory.
-MINIMA_ROWS = 4096
 #: Spreads added to the expected distance at the similarity asked for, to keep links that chance puts beyond it.
 SLACK = 1.6
 
@@ -326,8 +337,8 @@ def allowed_bits(similarity: float, bits: int = 64 * CODE_WORDS) -> int:
 def band_keys(hashes: np.ndarray) -> np.ndarray:
     """hashes of a set of shingles. A signed 64-bit key for each band of MinHash values; equal for empty sets."""
     least = np.full(BANDS * BAND_ROWS, 0xFFFFFFFF, np.uint32)
-    for at in range(0, len(hashes), MINIMA_ROWS):
-        least = np.minimum(least, _widened(hashes[at : at + MINIMA_ROWS], BANDS * BAND_ROWS // 2).view(np.uint32).min(axis=0))
+    for at in range(0, len(hashes), ROWS):
+        least = np.minimum(least, _widened(hashes[at : at + ROWS], BANDS * BAND_ROWS // 2).view(np.uint32).min(axis=0))
     return np.array([xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(least.reshape(BANDS, -1))], np.uint64).view(np.int64)
 
 
@@ -339,7 +350,7 @@ def sketches(rows: DataFrame, words: int) -> DataFrame:
             codes, bands = [], []
             for text in batch.column("text").cast(pa.binary()):
                 hashes = np.unique(shingle_hashes((text.as_py() or b"").lower(), words))
-                codes.append(majority_bits(_widened(hashes, CODE_WORDS)))
+                codes.append(majority_bits(hashes, CODE_WORDS))
                 bands.append(band_keys(hashes))
             lists = pa.array(bands, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), pa.array(codes, pa.binary()), lists], ["doc_id", "th", "code", "bands"])
