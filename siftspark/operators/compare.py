@@ -153,3 +153,34 @@ def tagged_contradictions(values: DataFrame) -> DataFrame:
     """values: name, provenance, confidence. Contradictions that transfer rules have left in values' provenance."""
     rows = values.withColumn("code", sem.tag_code(F.col("provenance"))).where(F.col("code").isNotNull() & sem.reportable(F.col("confidence"), F.col("provenance")))
     return rows.select("name", "code", sem.severity(F.col("confidence")).alias("severity"))
+
+
+def sample_cases(parameters: DataFrame, samples: DataFrame, most: int = 256) -> DataFrame:
+    """parameters: fn, position, type; samples: type, nth (from 0), value. The first `most` combinations of samples for each function, in the order in which the last parameter changes fastest: fn, case_no, position, value. Functions with a parameter of a type without samples have none.
+
+    A case's number, written with one digit for each parameter, says which sample each takes, so nothing is multiplied out that isn't used.
+    """
+    sizes = samples.groupBy("type").agg(F.count("*").alias("n"))
+    rows = parameters.join(sizes, "type", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    after = W.partitionBy("fn").orderBy(F.desc("position")).rowsBetween(W.unboundedPreceding, -1)
+    whole = W.partitionBy("fn")
+    capped = lambda w: F.aggregate(F.collect_list("n").over(w), F.lit(1).cast("long"), lambda x, y: F.least(x * y, F.lit(1 << 31)))
+    rows = rows.withColumn("step", capped(after)).withColumn("cases", F.least(capped(whole), F.lit(most))).where("cases > 0")
+    each = rows.select("fn", "position", "type", "step", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cases") - 1)).alias("case_no"))
+    return each.withColumn("nth", F.expr("case_no div step % n")).join(samples, ["type", "nth"]).select("fn", "case_no", "position", "value")
+
+
+#: Boundaries that are looked up in every body at once; about 50 bytes each.
+BROADCAST_BOUNDARIES = 100_000
+
+
+def unnamed_boundaries(calls: DataFrame, bodies: DataFrame, marker: str) -> DataFrame:
+    """calls: boundary; bodies: body. Boundaries whose name stands nowhere, not even inside a word, in a test body with the marker."""
+    names = calls.select("boundary").distinct()
+    tests = bodies.where(F.col("body").rlike(marker))
+    if names.count() <= BROADCAST_BOUNDARIES:
+        listed = F.broadcast(names.agg(F.collect_list("boundary").alias("names")))  # one row
+        hit = tests.crossJoin(listed).select(F.explode(F.filter("names", lambda n: F.contains("body", n))).alias("boundary")).distinct()
+    else:
+        hit = names.join(tests, F.contains("body", "boundary"), "left_semi")
+    return names.join(hit, "boundary", "left_anti")

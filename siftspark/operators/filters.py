@@ -53,3 +53,13 @@ def confident(confidence: Column, tokens: Column) -> Column:
 def profile_allows(run: Column, required: Column) -> Column:
     rank = lambda c: F.array_position(F.array(*map(F.lit, PROFILES)), c)
     return rank(run) >= rank(F.coalesce(required, F.lit("deep")))
+
+
+def existing_paths(findings: DataFrame, files: DataFrame) -> DataFrame:
+    """findings: path, plain (see functions.findings.plain_path). A path that is no file becomes src/ and the path where that is one."""
+    here = files.select("path").distinct()
+    rows = findings.join(here.withColumn("as_is", F.lit(True)), "path", "left")
+    below = here.where(F.startswith("path", F.lit("src/"))).select(F.substring("path", 5, 1 << 20).alias("path"), F.lit(True).alias("in_src"))
+    rows = rows.join(below, "path", "left")
+    path = F.when(F.col("as_is").isNull() & F.col("in_src") & ~F.startswith("path", F.lit("/")), F.concat(F.lit("src/"), "path")).otherwise(F.col("path"))
+    return rows.withColumn("path", path).drop("as_is", "in_src")

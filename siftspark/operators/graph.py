@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from siftspark.functions import symbols
+
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     """roots: root. root, node and the least number of calls, up to depth; one join a level, seen nodes not taken again."""
@@ -108,3 +110,24 @@ def unresolved_summary(lines: DataFrame) -> DataFrame:
     """lines: text. Edges that an export could not resolve, by kind, as its log reports them."""
     pattern = r"unresolved (\w+): (\d+)"
     return lines.where(F.col("text").rlike(pattern)).groupBy(F.regexp_extract("text", pattern, 1).alias("kind")).agg(F.sum(F.regexp_extract("text", pattern, 2).cast("long")).alias("edges"))
+
+
+def typed(relationships: DataFrame) -> DataFrame:
+    """relationships: predicate, subject, object, confidence (see sources.inventory.call_graph). Calls and links to tests, with file and name of both ends."""
+    kind = F.when(F.col("predicate") == "calls", "call").when(F.col("predicate") == "tested_by", "test")
+    ends = [f(F.col(e)).alias(f"{e}_{n}") for e in ("subject", "object") for n, f in (("file", symbols.symbol_file), ("name", symbols.symbol_name))]
+    return relationships.withColumn("kind", kind).where("kind IS NOT NULL").select("kind", "subject", "object", "confidence", *ends)
+
+
+def adjacency(calls: DataFrame) -> DataFrame:
+    """calls: caller, callee. symbol, how many it calls and how many call it."""
+    out = calls.groupBy(F.col("caller").alias("symbol")).agg(F.count_distinct("callee").alias("calls"))
+    into = calls.groupBy(F.col("callee").alias("symbol")).agg(F.count_distinct("caller").alias("callers"))
+    return out.join(into, "symbol", "full").select("symbol", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("callers", F.lit(0)).alias("callers"))
+
+
+def unmentioned(symbols_: DataFrame, exports: DataFrame, mentions: DataFrame) -> DataFrame:
+    """symbols: symbol, module, name; exports: module, name, symbol (other names under which a symbol is given out); mentions: module, name. Symbols that no mention reaches under any of their names."""
+    keys = symbols_.select("symbol", "module", "name").unionByName(exports.select("symbol", "module", "name"))
+    reached = keys.join(mentions.select("module", "name").distinct(), ["module", "name"], "left_semi").select("symbol").distinct()
+    return symbols_.join(reached, "symbol", "left_anti").select("symbol").distinct()

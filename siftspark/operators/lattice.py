@@ -40,8 +40,10 @@ def first_note(findings: DataFrame) -> DataFrame:
     return first.select("result_name", F.substring(F.trim(F.concat(place, "f.message")), 1, 500).alias("note"))
 
 
-def exit_code(results: DataFrame, policy: str = "findings") -> DataFrame:
-    """2 with an error, 1 with findings where those count, else 0."""
+def exit_code(results: DataFrame, policy: str = "findings", interrupted: bool = False) -> DataFrame:
+    """2 with an error, 1 with findings where those count, else 0; 130 for a run that was stopped."""
+    if interrupted:
+        return results.agg(F.lit(130).alias("exit_code"))
     if policy == "never":
         return results.agg(F.lit(0).alias("exit_code"))
     code = F.when(F.col("status") == "ERROR", 2).when((F.col("status") == "FINDINGS") & F.lit(policy == "findings"), 1).otherwise(0)

@@ -226,3 +226,19 @@ def first_seen_union(*parts: DataFrame) -> DataFrame:
         part = part.select("name", "pos").withColumn("part", F.lit(i))
         rows = part if rows is None else rows.unionByName(part)
     return rows.groupBy("name").agg(F.min(F.struct("part", "pos")).alias("o")).select("name", "o.part", "o.pos")
+
+
+def signal_members(findings: DataFrame) -> DataFrame:
+    """key, seq and id of each finding of a signal group."""
+    return live(findings).select(fx.signal_key(F.col("tool"), F.col("code"), F.col("message")).alias("key"), "seq", fx.finding_id(_mark()).alias("id"))
+
+
+def autofix_members(findings: DataFrame) -> DataFrame:
+    """tool, seq and id of each finding that can be fixed."""
+    return live(findings).where("fixable").select("tool", "seq", fx.finding_id(_mark()).alias("id"))
+
+
+def task_groups(queue: DataFrame, most: int = 500) -> DataFrame:
+    """queue: as of repair_queue(). The first signals, by their most urgent finding, then by number, with the queue rows of each."""
+    top = queue.groupBy("signal_key").agg(F.min("rank").alias("first_rank"), F.count("*").alias("findings")).orderBy("first_rank", F.desc("findings"), "signal_key").limit(most)
+    return queue.join(top, "signal_key").withColumn("task", F.substring(F.sha2("signal_key", 256), 1, 12))

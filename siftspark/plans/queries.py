@@ -1170,6 +1170,170 @@ def scoped_files(spark, d):
     return inventory.in_scope(files, ["."], (".html",)).where(F.contains("path", F.lit("/en/"))).select("path", "size")
 
 
+# ---------------------------------------------------------------- revisions, cases, gates
+
+
+@query("""WITH h AS (SELECT s_suppkey AS repo, 'c' || (s_suppkey % 7) AS commit, CASE WHEN s_nationkey % 4 > 0 THEN 'p' || s_suppkey END AS parent FROM supplier),
+r AS (SELECT DISTINCT l_suppkey AS repo, l_linenumber AS place, 'c' || (l_partkey % 7) AS base FROM lineitem WHERE l_linenumber <= 4 AND l_quantity = 50),
+g AS (SELECT r.repo, place, max(base) AS base FROM r GROUP BY 1, 2)
+SELECT h.repo, coalesce((SELECT arg_min(base, place) FROM g WHERE g.repo = h.repo AND base <> commit), parent) AS revision FROM h WHERE coalesce((SELECT arg_min(base, place) FROM g WHERE g.repo = h.repo AND base <> commit), parent) IS NOT NULL""")
+def baselines(spark, d):
+    from siftspark.sources import revisions
+
+    heads = a.table(spark, d, "supplier").selectExpr("s_suppkey AS repo", "concat('c', s_suppkey % 7) AS commit", "if(s_nationkey % 4 > 0, concat('p', s_suppkey), null) AS parent")
+    names = "array('origin/main', 'origin/master', 'main', 'master', 'topic', 'topic', 'topic')"
+    refs = a.table(spark, d, "lineitem").where("l_quantity = 50").groupBy(F.col("l_suppkey").alias("repo"), F.expr(f"element_at({names}, cast(l_linenumber AS INT))").alias("ref")).agg(F.max(F.expr("concat('c', l_partkey % 7)")).alias("merge_base"))
+    return revisions.baseline(refs, heads, "repo")
+
+
+@query("""WITH f AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN 'old' ELSE 'new' END AS revision, 'f' || (p_partkey // 2) AS path, p_size % 3 AS content FROM part)
+SELECT x.path FROM f x JOIN f y ON x.path = y.path AND x.revision = 'old' AND y.revision = 'new' AND x.content <> y.content""")
+def changed_files(spark, d):
+    from siftspark.sources import revisions
+
+    return revisions.changed(a.table(spark, d, "part").selectExpr("if(p_partkey % 2 = 0, 'old', 'new') AS revision", "concat('f', p_partkey div 2) AS path", "cast(p_size % 3 AS STRING) AS content"), "old", "new")
+
+
+@query("""WITH f AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN 'src/m' || p_size || '.py' ELSE 'm' || p_size || '.py' END AS path FROM part WHERE p_size % 2 = 0 OR p_partkey % 3 = 0),
+g AS (SELECT l_orderkey * 10 + l_linenumber AS id, 'm' || CAST(l_quantity AS INTEGER) || '.py' AS path FROM lineitem)
+SELECT id, CASE WHEN path NOT IN (SELECT path FROM f) AND 'src/' || path IN (SELECT path FROM f) THEN 'src/' || path ELSE path END AS path FROM g""")
+def existing_paths(spark, d):
+    files = a.table(spark, d, "part").where("p_size % 2 = 0 OR p_partkey % 3 = 0").selectExpr("if(p_partkey % 3 = 0, concat('src/m', p_size, '.py'), concat('m', p_size, '.py')) AS path")
+    return filters.existing_paths(a.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "concat('m', cast(l_quantity AS INT), '.py') AS path"), files)
+
+
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS fn, l_linenumber AS position, 't' || (l_linenumber % 3) AS type FROM lineitem WHERE l_linenumber <= 3),
+v AS (SELECT 't' || n_regionkey AS type, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS nth, n_name AS value FROM nation WHERE n_regionkey < 3 AND n_nationkey < 20),
+n AS (SELECT type, count(*) AS n FROM v GROUP BY type),
+x AS (SELECT p.fn, p.position, p.type, n.n, product(n.n) OVER (PARTITION BY fn) AS total, coalesce(product(n.n) OVER (PARTITION BY fn ORDER BY position DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS step FROM p JOIN n USING (type)),
+c AS (SELECT *, unnest(range(CAST(least(total, 20) AS BIGINT))) AS case_no FROM x)
+SELECT fn, case_no, position, value FROM c JOIN v ON v.type = c.type AND v.nth = (case_no // CAST(step AS BIGINT)) % n""")
+def sample_cases(spark, d):
+    parameters = a.table(spark, d, "lineitem").where("l_linenumber <= 3").selectExpr("l_orderkey AS fn", "l_linenumber AS position", "concat('t', l_linenumber % 3) AS type").distinct()
+    nations = a.table(spark, d, "nation").where("n_regionkey < 3 AND n_nationkey < 20").withColumn("nth", F.expr("row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1").cast("long"))
+    return compare.sample_cases(parameters, nations.selectExpr("concat('t', n_regionkey) AS type", "nth", "n_name AS value"), 20)
+
+
+@query("""WITH n AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS boundary FROM benchmark), b AS (SELECT text FROM documents WHERE regexp_matches(text, 'that'))
+SELECT boundary FROM n WHERE NOT EXISTS (SELECT 1 FROM b WHERE contains(text, boundary))""")
+def unnamed_boundaries(spark, d):
+    words = a.table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("boundary"))
+    return compare.unnamed_boundaries(words, a.table(spark, d, "documents").select(F.col("text").alias("body")), "that")
+
+
+@query("""SELECT DISTINCT CASE l_linenumber % 3 WHEN 0 THEN 'call' ELSE 'test' END AS kind, 'x://f/main/src/m' || (l_partkey % 9) || '.py/f' || l_suppkey AS subject, 'f' || l_linenumber AS object, 1.0 AS confidence,
+  'src/m' || (l_partkey % 9) || '.py' AS subject_file, 'f' || l_suppkey AS subject_name, '' AS object_file, 'f' || l_linenumber AS object_name FROM lineitem WHERE l_linenumber % 3 < 2""")
+def typed_edges(spark, d):
+    rows = a.table(spark, d, "lineitem").selectExpr("element_at(array('calls', 'tested_by', 'mentions'), cast(l_linenumber % 3 AS INT) + 1) AS predicate", "concat('x://f/main/src/m', l_partkey % 9, '.py/f', l_suppkey) AS subject", "concat('f', l_linenumber) AS object", "1.0D AS confidence").distinct()
+    return graph.typed(rows)
+
+
+@query(f"""WITH {a.CHAINED_SQL}, o AS (SELECT caller AS symbol, count(DISTINCT callee) AS calls FROM e GROUP BY 1), i AS (SELECT callee AS symbol, count(DISTINCT caller) AS callers FROM e GROUP BY 1)
+SELECT coalesce(o.symbol, i.symbol) AS symbol, coalesce(calls, 0) AS calls, coalesce(callers, 0) AS callers FROM o FULL JOIN i ON o.symbol = i.symbol""")
+def adjacency(spark, d):
+    return graph.adjacency(a.chained_edges(spark, d))
+
+
+@query("""WITH s AS (SELECT p_partkey AS symbol, 'm' || (p_size % 5) AS module, 'n' || p_partkey AS name FROM part), x AS (SELECT 'pub' AS module, 'n' || p_partkey AS name, p_partkey AS symbol FROM part WHERE p_brand LIKE '%1'),
+m AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'pub' ELSE 'm' || (l_suppkey % 5) END AS module, 'n' || l_partkey AS name FROM lineitem WHERE l_quantity < 4)
+SELECT symbol FROM s WHERE symbol NOT IN (SELECT symbol FROM s JOIN m USING (module, name) UNION SELECT symbol FROM x JOIN m USING (module, name))""")
+def unmentioned_symbols(spark, d):
+    p, li = a.table(spark, d, "part"), a.table(spark, d, "lineitem")
+    exports = p.where("p_brand LIKE '%1'").selectExpr("'pub' AS module", "concat('n', p_partkey) AS name", "p_partkey AS symbol")
+    mentions = li.where("l_quantity < 4").selectExpr("if(l_linenumber = 1, 'pub', concat('m', l_suppkey % 5)) AS module", "concat('n', l_partkey) AS name")
+    return graph.unmentioned(p.selectExpr("p_partkey AS symbol", "concat('m', p_size % 5) AS module", "concat('n', p_partkey) AS name"), exports, mentions)
+
+
+@query("SELECT o_custkey AS run, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS running, greatest(0, count(*) - count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderstatus = 'P')) AS queued FROM orders GROUP BY 1")
+def queued_checks(spark, d):
+    counts = a.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("run")).agg(F.count("*").alias("total"), F.count_if(F.col("o_orderstatus") == "F").alias("done"), F.count_if(F.col("o_orderstatus") == "P").alias("running"))
+    return live.queued(counts)
+
+
+@query("""WITH c AS (SELECT 'o' || l_orderkey AS name, string_agg('part ' || l_partkey || CASE WHEN l_returnflag = 'R' THEN '' ELSE chr(10) || 'x' END, '' ORDER BY l_linenumber, l_partkey, l_returnflag) AS text FROM lineitem GROUP BY 1)
+SELECT name, unnest(string_split(text, chr(10))) AS line FROM c""")
+def chunked_output(spark, d):
+    chunk = F.concat(F.lit("part "), F.col("l_partkey").cast("string"), F.when(F.col("l_returnflag") == "R", "").otherwise("\nx"))
+    pieces = a.table(spark, d, "lineitem").select(F.expr("concat('o', l_orderkey)").alias("name"), F.struct("l_linenumber", "l_partkey", "l_returnflag").alias("seq"), chunk.alias("chunk"))
+    return live.whole_lines(pieces)
+
+
+@query("""WITH e AS (SELECT DISTINCT 'e' || (l_partkey % 60) AS name, 'c' || (l_partkey % 60 // 2 + l_linenumber % 3) AS capability FROM lineitem), c AS (SELECT 'c' || (s_suppkey % 50) AS capability FROM supplier WHERE s_nationkey < 4)
+SELECT DISTINCT name, 'N/A' AS status FROM e WHERE name NOT IN (SELECT name FROM e WHERE capability IN (FROM c))""")
+def capability_gate(spark, d):
+    engines = a.table(spark, d, "lineitem").selectExpr("concat('e', l_partkey % 60) AS name", "concat('c', l_partkey % 60 div 2 + l_linenumber % 3) AS capability").distinct()
+    return filters.capability_gate(engines, a.table(spark, d, "supplier").selectExpr("concat('c', s_suppkey % 50) AS capability", "s_nationkey < 4 AS detected"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size % 4 AS run, CASE WHEN p_partkey % 5 < 4 THEN p_partkey % 5 ELSE 2 END AS need FROM part) SELECT p_partkey, run >= need AS allowed FROM p""")
+def profile_gate(spark, d):
+    names = "array('fast', 'pr', 'deep', 'all')"
+    rows = a.table(spark, d, "part").selectExpr("p_partkey", f"element_at({names}, cast(p_size % 4 AS INT) + 1) AS run", f"if(p_partkey % 5 < 4, element_at({names}, cast(p_partkey % 5 AS INT) + 1), null) AS need")
+    return rows.select("p_partkey", filters.profile_allows(F.col("run"), F.col("need")).alias("allowed"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_size > 40 THEN 'error' WHEN p_size > 20 THEN 'warning' END AS severity,
+  CASE p_partkey % 11 WHEN 0 THEN 'error' WHEN 1 THEN 'error' WHEN 2 THEN 'error' WHEN 3 THEN 'error' WHEN 4 THEN 'warning' WHEN 5 THEN 'warning' WHEN 6 THEN 'note' WHEN 7 THEN 'note' WHEN 8 THEN 'note' ELSE 'warning' END AS parsed FROM part""")
+def severities(spark, d):
+    words = "array('FATAL', 'critical', 'High', 'error', 'warn', 'Medium', 'info', 'information', 'style', 'refactor', null)"
+    rows = a.table(spark, d, "part").selectExpr("p_partkey", "p_size", f"element_at({words}, cast(p_partkey % 11 AS INT) + 1) AS raw")
+    return rows.select("p_partkey", fx.threshold_severity(F.col("p_size"), 20, 40).alias("severity"), fx.parsed_severity(F.col("raw"), "warning").alias("parsed"))
+
+
+@query("""WITH x AS (SELECT l_orderkey * 10 + l_linenumber AS id, l_partkey % 2 AS t, ['ms', 's'][l_suppkey % 2 + 1] AS u, round(1 - 6 * l_tax, 6) AS c FROM lineitem)
+SELECT id, CASE WHEN u = 'ms' THEN 'ms' END AS unit, CASE WHEN t = 1 THEN 'time:1' ELSE '' END AS dimension, greatest(0.1, least(c, 0.5)) AS confidence, 'name:a+name:b' AS provenance FROM x""")
+def combined_facts(spark, d):
+    from siftspark.functions import semantic as sem
+
+    fact = lambda t, unit, conf, who: f"named_struct('dimension', if({t} = 1, map('time', 1), map_from_arrays(cast(array() AS ARRAY<STRING>), cast(array() AS ARRAY<INT>))), 'unit', {unit}, 'dtype', cast(null AS STRING), 'timezone', 'aware', 'nominal', 'instant', 'dependencies', array('x'), 'nullable', false, 'provenance', 'name:{who}', 'confidence', {conf})"
+    rows = a.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", f"{fact('l_partkey % 2', 'if(l_suppkey % 2 = 0, `ms`, `s`)'.replace('`', chr(39)), 'round(1 - 6 * l_tax, 6)', 'a')} AS p", f"{fact('l_partkey % 2', repr('ms'), '0.5D', 'b')} AS q")
+    c = rows.select("id", sem.combined(F.col("p"), F.col("q")).alias("c"))
+    return c.select("id", "c.unit", sem.dimension_text(F.col("c.dimension")).alias("dimension"), "c.confidence", "c.provenance")
+
+
+@query("SELECT p_partkey, sha256('root' || chr(31) || p_brand || chr(31) || CASE WHEN p_size > 25 THEN CAST(p_size AS VARCHAR) ELSE '' END) AS key FROM part")
+def cache_keys(spark, d):
+    from siftspark.sources import sinks
+
+    return a.table(spark, d, "part").select("p_partkey", sinks.cache_key(F.lit("root"), F.col("p_brand"), F.expr("if(p_size > 25, p_size, null)")).alias("key"))
+
+
+@query("""SELECT ['calls', 'imports', 'reads'][p_partkey % 4 + 1] AS kind, CAST(sum(p_size) AS BIGINT) AS edges FROM part WHERE p_partkey % 4 < 3 GROUP BY 1""")
+def unresolved_edges(spark, d):
+    line = F.expr("if(p_partkey % 4 = 3, concat('resolved calls: ', p_size), concat('log: unresolved ', element_at(array('calls', 'imports', 'reads'), cast(p_partkey % 4 AS INT) + 1), ': ', p_size, ' left'))")
+    return graph.unresolved_summary(a.table(spark, d, "part").select(line.alias("text")))
+
+
+@query(f"WITH {FS}, {KEYED_SQL} SELECT key, seq, 'BH-' || upper({a.MARK_SQL}) AS id FROM k")
+def signal_members(spark, d):
+    return report.signal_members(a.findings(spark, d))
+
+
+@query(f"WITH {FS} SELECT tool, seq, 'BH-' || upper({a.MARK_SQL}) AS id FROM f WHERE fixable")
+def autofix_members(spark, d):
+    return report.autofix_members(a.findings(spark, d))
+
+
+@query(f"""WITH {FS}, {KEYED_SQL}, g AS (SELECT key, min(CASE severity WHEN 'error' THEN 0 WHEN 'note' THEN 2 ELSE 1 END) AS first_rank, count(*) AS findings FROM k GROUP BY key ORDER BY 2, 3 DESC, 1 LIMIT 12)
+SELECT seq, k.key AS signal_key, CAST(first_rank AS INTEGER) AS first_rank, findings, substr(sha256(k.key), 1, 12) AS task FROM k JOIN g ON g.key = k.key""")
+def task_groups(spark, d):
+    return report.task_groups(report.repair_queue(a.findings(spark, d), a.results(spark, d)), 12).select("seq", "signal_key", "first_rank", "findings", "task")
+
+
+@query("""WITH m AS (SELECT DISTINCT 'M' || (p_partkey % 90) AS name, p_brand AS field, 'f' || p_size AS path FROM part), f AS (SELECT name, min(path) AS path FROM m GROUP BY 1) SELECT DISTINCT name, field FROM m JOIN f USING (name, path)""")
+def first_models(spark, d):
+    from siftspark.sources import documents
+
+    return documents.first_of_name(a.table(spark, d, "part").selectExpr("concat('M', p_partkey % 90) AS name", "p_brand AS field", "concat('f', p_size) AS path"))
+
+
+@query("SELECT DISTINCT '{\"schema_version\":2,\"name\":\"' || name || '\",\"path\":\"src/' || name || '.py\"}' AS value FROM (SELECT 't' || (s_suppkey % 40) AS name FROM supplier)")
+def target_registry(spark, d):
+    from siftspark.sources import sinks
+
+    return sinks.registry(a.table(spark, d, "supplier").selectExpr("concat('t', s_suppkey % 40) AS name").distinct().withColumn("path", F.concat(F.lit("src/"), "name", F.lit(".py"))))
+
+
 # ---------------------------------------------------------------- findings by code
 
 

@@ -48,8 +48,7 @@ def write_report(findings: DataFrame, results: DataFrame, path: str) -> dict[str
 
 def write_tasks(queue: DataFrame, path: str, most: int = 500) -> None:
     """One folder for each of the first signals, with its queue rows."""
-    top = queue.groupBy("signal_key").agg(F.min("rank").alias("r"), F.count("*").alias("n")).orderBy("r", F.desc("n"), "signal_key").limit(most).select("signal_key")
-    rows = queue.join(top, "signal_key").withColumn("task", F.substring(F.sha2("signal_key", 256), 1, 12))
+    rows = report.task_groups(queue, most).drop("first_rank", "findings")
     rows.write.mode("overwrite").partitionBy("task").json(path)
 
 
@@ -68,3 +67,13 @@ def cached(df: DataFrame, folder: str, key: str) -> DataFrame:
             raise
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def registry(rows: DataFrame, version: int = 2) -> DataFrame:
+    """Targets, capabilities, settings or models as one JSON value a row, with the version of their form."""
+    return rows.select(F.to_json(F.struct(F.lit(version).alias("schema_version"), *rows.columns)).alias("value"))
+
+
+def write_registry(rows: DataFrame, path: str, order: list[str], version: int = 2) -> None:
+    """registry(), in order, as JSON lines."""
+    registry(rows.orderBy(*order), version).write.mode("overwrite").text(path)

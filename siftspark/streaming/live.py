@@ -5,6 +5,9 @@ The same functions work on batches, where they answer for the time of the last e
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,3 +43,35 @@ def interrupted(planned: DataFrame, finished: DataFrame) -> DataFrame:
 def recent(finished: DataFrame, n: int = 8) -> DataFrame:
     """finished: name, ended. The last n that ended."""
     return finished.orderBy(F.desc("ended"), F.desc("name")).limit(n)
+
+
+def queued(counts: DataFrame) -> DataFrame:
+    """counts: total, done, running. With how many checks still wait."""
+    return counts.withColumn("queued", F.greatest(F.lit(0).cast("long"), F.col("total") - F.col("done") - F.col("running")))
+
+
+def whole_lines(chunks: DataFrame) -> DataFrame:
+    """chunks: name, seq, chunk: output in pieces that end anywhere. name and line, once a line is whole; what is left at the end is a line of its own.
+
+    In a stream the unfinished line of each name is the state; a piece that is null ends the output, and what is left
+    comes out. In a batch the pieces of a name, which a run keeps up to a bound, are put together in order.
+    """
+    if not chunks.isStreaming:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda x: x.chunk), "")
+        lines = chunks.groupBy("name").agg(F.split(joined, "\n").alias("lines"))
+        kept = F.when(F.element_at("lines", -1) == "", F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines"))
+        return lines.select("name", F.explode(kept).alias("line"))
+    return chunks.groupBy("name").applyInPandasWithState(_carry, "name string, line string", "rest string", "append", "NoTimeout")
+
+
+def _carry(key: tuple, pieces: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    came = pd.concat(list(pieces)).sort_values("seq")["chunk"]
+    lines = ((state.get[0] if state.exists else "") + "".join(came.dropna())).split("\n")
+    if came.isna().any():
+        if state.exists:
+            state.remove()
+        if not lines[-1]:
+            lines.pop()
+    else:
+        state.update((lines.pop(),))
+    yield pd.DataFrame({"name": [key[0]] * len(lines), "line": lines})

@@ -2,9 +2,11 @@ import json
 
 from pyspark.sql import functions as F
 
+from siftspark.functions import evidence, symbols
 from siftspark.functions import semantic as sem
-from siftspark.operators import compare, graph, report
+from siftspark.operators import compare, graph, lattice, report
 from siftspark.sources import sinks
+from siftspark.streaming import live
 
 
 def test_dimension_algebra(spark):
@@ -67,3 +69,54 @@ def test_joins_and_aggregates(spark):
     assert report.missing_evidence(sites, sites).count() == 0
     log = rows("text string", ("unresolved calls: 3",), ("unresolved calls: 4",), ("fine",))
     assert [tuple(r) for r in graph.unresolved_summary(log).collect()] == [("calls", 7)]
+
+
+def test_correlation_ids_stay_distinct_beyond_four_digits(spark):
+    columns = "concat('m', id div 7, '.py') AS path", "cast(id % 7 + 1 AS INT) AS line", "'E1' AS code", "'error' AS severity", "'lint' AS category", "concat('odd ', id) AS message", "false AS accepted"
+    places = spark.range(12_000)
+    findings = places.selectExpr("id * 2 AS seq", "'ruff' AS tool", "'ruff' AS result_name", *columns).unionByName(places.selectExpr("id * 2 + 1 AS seq", "'mypy' AS tool", "'mypy' AS result_name", *columns))
+    results = spark.createDataFrame([(0, "ruff", "x")], "seq int, name string, command string")
+    queue = report.repair_queue(findings, results)
+    ids = [r.correlation_id for r in queue.where("tool = 'ruff'").select("correlation_id").collect()]
+    assert len(set(ids)) == len(ids) == 12_000
+    assert {"CORR-0001", "CORR-9999", "CORR-12000"} <= set(ids)
+    assert queue.where("path = 'm0.py' AND line = 1").select("correlation_id").distinct().first()[0] == "CORR-0001"
+
+
+def test_registry_and_stopped_runs(spark, tmp_path):
+    rows = spark.createDataFrame([("b", 2), ("a", 1)], "name string, n int")
+    sinks.write_registry(rows, str(tmp_path / "registry"), ["name"])
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "registry")).collect()] == [{"schema_version": 2, "name": "a", "n": 1}, {"schema_version": 2, "name": "b", "n": 2}]
+    done = spark.createDataFrame([("ERROR",)], "status string")
+    assert [lattice.exit_code(done, **kw).first()[0] for kw in ({}, {"policy": "never"}, {"interrupted": True})] == [2, 0, 130]
+
+
+def test_lines_of_pieces_in_a_stream(spark, tmp_path):
+    pieces = [[("a", 1, "one\ntw"), ("b", 1, "x")], [("a", 2, "o\nthree"), ("b", 2, "y\n")], [("a", 3, None), ("b", 3, "z")]]
+    schema = "name string, seq int, chunk string"
+    (tmp_path / "in").mkdir()
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for i, rows in enumerate(pieces):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    query = live.whole_lines(source).writeStream.format("memory").queryName("lines_seen").outputMode("append").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("lines_seen").collect())) == [("a", "one"), ("a", "three"), ("a", "two"), ("b", "xy")]
+    batch = spark.createDataFrame(sum(pieces, []), schema)
+    assert sorted(map(tuple, live.whole_lines(batch).collect())) == [("a", "one"), ("a", "three"), ("a", "two"), ("b", "xy"), ("b", "z")]
+
+
+def test_boundaries_inside_words_count_as_named(spark):
+    calls = spark.createDataFrame([("open",), ("socket",), ("a.b(",)], "boundary string")
+    bodies = spark.createDataFrame([("raises reopened",), ("socket but no marker",), ("raises a.b(c)",)], "body string")
+    assert [r[0] for r in compare.unnamed_boundaries(calls, bodies, "raises").collect()] == ["socket"]
+
+
+def test_name_and_annotation_evidence(spark):
+    df = spark.createDataFrame([("user_id",), ("id",), ("rate_Pct",), ("begin_x",), ("x_begin",), ("quiet",)], "n string")
+    got = {r.n: r.e and (r.e.facet, r.e.value) for r in df.select("n", evidence.name_evidence(F.col("n")).alias("e")).collect()}
+    assert got == {"user_id": ("nominal", "user"), "id": None, "rate_Pct": ("unit", "percent"), "begin_x": None, "x_begin": ("interval_alignment", "leading"), "quiet": None}
+
+
+def test_strategies():
+    assert symbols.strategy("None | list[int]") == "st.one_of(st.none(), st.lists(st.integers(), max_size=32))"
+    assert [symbols.strategy(x) for x in (None, "", "int | str", "dict[int, Foo]", "list[")] == [None] * 5

@@ -37,9 +37,14 @@ def test_query_equals_its_sql(spark, db, sf, name):
     assert ours == theirs
 
 
-def test_queries_without_sql_run(spark, sf):
-    for name in set(catalog.queries()) - set(catalog.oracle_sql()):
-        assert catalog.queries()[name](spark, sf).count() >= 0
+#: Queries that may rightly give no rows on the smallest tables.
+MAY_BE_EMPTY = {"contradictory_checks", "emit_BHPLC001", "env_missing", "emit_BHCFG002", "reference_pairs"}
+
+
+def test_every_query_has_sql_and_sql_has_rows(db):
+    assert set(catalog.queries()) == set(catalog.oracle_sql())
+    empty = {name for name, sql in catalog.oracle_sql().items() if db.execute(sql).fetchone() is None}
+    assert empty <= MAY_BE_EMPTY, empty
 
 
 def test_entry(spark):
