@@ -31,7 +31,7 @@ CASES = {
     "BHTIME001": ("t = time.time()\n", "t = clock()\n"),
     "BHCFG004": ("timeout = 5\n", "TIMEOUT = 5\n"),
     "BHCFG005": ("get(url, timeout=5)\n", "get(url, timeout=limit)\n"),
-    "BHIMPL001": ("def f():\n raise NotImplementedError\n", "def f():\n return 1\n"),
+    "BHIMPL001": ("def stub_untested():\n raise NotImplementedError\n", "def stub_tested():\n raise NotImplementedError\n"),
 }
 CASES |= {
     "BHPRT005": ("def f(s):\n s.close()\n s.read()\n", "def f(s):\n s.read()\n s.close()\n"),
@@ -59,7 +59,7 @@ CASES |= {
 MAGIC = "__eq__ __ne__ __lt__ __le__ __gt__ __ge__ __add__ __radd__ __sub__ __mul__ __rmul__ __and__ __rand__ __or__ __ror__ __xor__".split()
 DB = "execute executemany query filter filter_by select scalars scalar".split()
 TEST_CASES = {
-    "BHTEST001": ("from pkg import _thing\n", "from pkg import thing\n"),
+    "BHTEST001": ("from pkg import _thing, stub_tested\n", "from pkg import thing\n"),
     "BHTEST002": ("def test_a(m):\n m.assert_called_once_with(1)\n", "def test_a(m):\n assert m == 1\n"),
     "BHTEST003": (f"def test_a():\n assert f() == '{'x' * 1200}'\n", "def test_a():\n assert f() == 'x'\n"),
     "BHTEST004": ("def test_a(m):\n" + " with patch('a.b'): pass\n" * 5 + " m.assert_called()\n" * 2, "def test_a(m):\n with patch('a.b'): pass\n m.assert_called()\n"),
