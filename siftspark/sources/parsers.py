@@ -21,6 +21,7 @@ PARSERS: dict[str, Parser] = {}
 
 _PLACE = r"(?i)^(.+?):(\d+):(\d+):\s*(?:(error|warning|note):\s*)?(.+)$"
 _LINE = r"(?i)^(.+?):(\d+):\s*(?:(error|warning|note):\s*)?(.+)$"
+_WHITE = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 _CODE = r"\s+\[([A-Za-z0-9_.-]+)\]$"
 
 
@@ -45,11 +46,11 @@ def lines_of(runs: DataFrame) -> DataFrame:
 
 def text(runs: DataFrame) -> DataFrame:
     """`path:line[:column]: [severity:] message [code]` lines of failed runs; without any, the last line that says something."""
-    rows = lines_of(runs.where("exit_code <> 0")).withColumn("s", fx.stripped(F.col("raw"))).where("s <> ''")
-    # each pattern is tried once: its groups come back as one string
+    rows = lines_of(runs.where("exit_code <> 0")).withColumn("s", F.btrim("raw", F.lit(_WHITE))).where("s <> ''")
+    # each pattern is tried once, and only where a number stands between colons: its groups come back as one string
     placed = F.regexp_replace("s", _PLACE, "$1\x01$2\x01$3\x01$4\x01$5")
     lined = F.regexp_replace("s", _LINE, "$1\x01$2\x01\x01$3\x01$4")
-    rows = rows.withColumn("p", placed).withColumn("p", F.when(F.col("p") != F.col("s"), F.col("p")).otherwise(lined))
+    rows = rows.withColumn("p", F.when(F.col("s").rlike(r":\d+:"), placed)).withColumn("p", F.when(F.col("p") != F.col("s"), F.col("p")).when(F.col("p").isNotNull(), lined))
     rows = rows.withColumn("g", F.when(F.col("p") != F.col("s"), F.split("p", "\x01", 5))).drop("p")
     part = lambda i: F.get("g", F.lit(i))
     message = F.trim(part(4))
