@@ -227,7 +227,7 @@ def test_more_parsers(spark):
     assert got("hadolint", [{"file": "D", "line": 3, "code": "DL1", "message": "m", "level": "error"}], "path", "line", "severity") == [("D", 3, "error")]
     assert got("sqlfluff", [{"filepath": "q.sql", "violations": [{"start_line_no": 2, "code": "LT01", "description": "d"}, {"line_no": 5, "code": "L2"}]}], "path", "line", "code") == [("q.sql", 2, "LT01"), ("q.sql", 5, "L2")]
     assert got("golangci-lint", {"Issues": [{"FromLinter": "vet", "Text": "t", "Pos": {"Filename": "m.go", "Line": 4}}]}, "path", "line", "code", "message") == [("m.go", 4, "vet", "t")]
-    assert got("bandit", {"results": [{"filename": "a.py", "line_number": 7, "test_id": "B1", "issue_text": "t", "issue_severity": "HIGH"}]}, "line", "code", "severity") == [(7, "B1", "error")]
+    assert got("bandit", {"results": [{"filename": "a.py", "line_number": 7, "test_id": "B1", "issue_text": "t", "issue_severity": "HIGH"}]}, "line", "code", "severity") == [(7, "B1", "high")]
     assert got("eslint", [{"filePath": "x.js", "messages": [{"line": 1, "ruleId": "r", "message": "m", "severity": 2}, {"line": 2, "ruleId": "s", "message": "n", "severity": 1}]}], "path", "code", "severity") == [("x.js", "r", "error"), ("x.js", "s", "warning")]
     assert got("phpstan", {"files": {"a.php": {"messages": [{"message": "m", "line": 3}]}}, "errors": ["loose"]}, "path", "line", "message") == [("a.php", 3, "m"), (None, None, "loose")]
     clippy = json.dumps({"reason": "compiler-message", "message": {"level": "warning", "message": "m", "code": {"code": "c"}, "spans": [{"is_primary": False, "file_name": "z"}, {"is_primary": True, "file_name": "m.rs", "line_start": 9}]}})
