@@ -144,7 +144,7 @@ def _answer(group: pa.Table) -> pa.Table:
     for k in range(len(rows[0]["sizes"])):
         keys = np.concatenate([np.cumsum(s[k], dtype=np.uint64) for s in steps])
         _, at = np.unique(keys, return_inverse=True)
-        total = np.bincount(at, np.concatenate([c[k] for c in counts])).astype(np.uint32)
+        total = np.bincount(at, np.concatenate([c[k] for c in counts])).astype(np.uint64)  # a corpus has more than 2 ** 32 of a word
         if k == 0:
             out.append((-1, rows[0]["bucket"], b"", int(total.sum(dtype=np.int64)), int((total > 0).sum()), int((total == 1).sum()), int((total == 2).sum())))
         for own, part in zip(totals, np.split(at, np.cumsum([len(s[k]) for s in steps])[:-1])):
@@ -203,7 +203,7 @@ def _scorer(order: int, buckets: int, bits: int, mu: tuple[float, ...]):
         n, v, n1, n2 = (rows[0][c] for c in ("n", "v", "n1", "n2"))
         # a bucket's answer has its keys of the first order, then of the second, and so on, as they were asked for
         edges = np.array([_edges(keys, buckets) for keys in block.keys])
-        answered = {r["bucket"]: np.split(_unpack(r["totals"], np.uint32), np.cumsum(edges[:, r["bucket"] + 1] - edges[:, r["bucket"]])[:-1]) for r in rows}
+        answered = {r["bucket"]: np.split(_unpack(r["totals"], np.uint64), np.cumsum(edges[:, r["bucket"] + 1] - edges[:, r["bucket"]])[:-1]) for r in rows}
         counts = []
         for k in range(order):
             by_key = np.concatenate([answered[b][k] for b in sorted(answered)]).astype(np.float64)

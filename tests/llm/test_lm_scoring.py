@@ -2,6 +2,8 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftspark.llm import lm_scoring as lm
@@ -82,3 +84,12 @@ def test_texts_that_training_saw_twice_score_higher(spark):
     edge = once[int(len(once) * 0.9)]
     twice = [s for s, n in rows if n == 2]
     assert len(twice) > 100 and sum(s > edge for s in twice) > 0.28 * len(twice)
+
+
+def test_totals_beyond_four_billion():
+    """Two blocks whose counts of one word add up to more than 2 ** 32, and a word of one block."""
+    ask = lambda block, keys, counts: {"bucket": 0, "block": block, "sizes": [len(keys)], "keys": lm._pack(np.diff(np.array(keys, np.uint64), prepend=np.uint64(0))), "counts": lm._pack(np.array(counts, np.uint32))}
+    answer = lm._answer(pa.Table.from_pylist([ask(0, [7, 9], [3_000_000_000, 1]), ask(1, [7], [2_000_000_000])])).to_pylist()
+    totals = {r["block"]: lm._unpack(r["totals"], np.uint64).tolist() for r in answer if r["block"] >= 0}
+    assert totals == {0: [5_000_000_000, 1], 1: [5_000_000_000]}
+    assert [(r["n"], r["v"], r["n1"]) for r in answer if r["block"] < 0] == [(5_000_000_001, 2, 1)]
