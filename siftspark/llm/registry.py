@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from siftspark.llm import codebooks, decontamination, html_text, langid, lm_scoring, merkle, mixing, orchard, packing, sharding, simhash, superkmer
+from siftspark.llm import codebooks, decontamination, html_text, langid, lm_scoring, merkle, minhash, mixing, orchard, packing, sharding, simhash, superkmer
 from siftspark.llm.common import table
 
 
@@ -25,9 +25,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_substring_dedup": lambda spark, sf_dir: superkmer.op10_substring_dedup(table(spark, sf_dir, "documents")),
         "op11_orchard": lambda spark, sf_dir: orchard.op11_orchard(table(spark, sf_dir, "embeddings")),
         "op12_codebooks": lambda spark, sf_dir: codebooks.op12_codebooks(table(spark, sf_dir, "embeddings")),
+        "op13_minhash": lambda spark, sf_dir: minhash.op13_minhash(table(spark, sf_dir, "documents")),
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontamination": decontamination.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op6_merkle": merkle.OP6_SQL, "op11_orchard": orchard.OP11_SQL, "op12_codebooks": codebooks.OP12_SQL}
+    return {"op3_decontamination": decontamination.OP3_SQL, "op5_mixing": mixing.OP5_SQL, "op6_merkle": merkle.OP6_SQL, "op11_orchard": orchard.OP11_SQL, "op12_codebooks": codebooks.OP12_SQL, "op13_minhash": minhash.OP13_SQL}
