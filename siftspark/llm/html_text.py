@@ -8,7 +8,11 @@ boilerplate; enough stop words, or mere length, is text. The second pass gives e
 as headings and short lines, the label of the nearest decided block of its own region (the next one on a tie).
 A region is an article or main element, or else the page; where articles have text, the rest of the page has none.
 
-Defined results: null and empty pages, and pages without main text, give the empty string; unclosed elements end
+End tags that HTML lets out are implied: what can't stand in a head ends it; list items, terms, rows, cells, row groups,
+options, headings and paragraphs end at their next sibling or where their list or table does, and an end tag reaches
+no further than its table cell. A form that holds an article, or page furniture, is the page's frame and drops nothing.
+
+Defined results: null and empty pages, and pages without main text, give the empty string; other unclosed elements end
 with the page, unclosed tags and comments at its end are dropped; a char reference cut short stays as it is; rows
 that repeat and null ids each give a row; an empty table gives an empty result; further columns are not read.
 """
@@ -45,6 +49,33 @@ BLOCKS = frozenset(
 DROPPED = frozenset("aside button dialog footer form head header iframe menu nav noscript object select svg template".split())
 RAW = "script|style|textarea|title|noscript|iframe|template|svg"
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+#: What a head may hold; anything else ends it.
+HEAD_PARTS = frozenset("base link meta noscript script style template title head html".split())
+#: Which open elements a start tag ends, and inside which it seeks them: the optional end tags of HTML. Fixed values.
+_ITEM_SCOPE = (BLOCKS | DROPPED) - frozenset("address div p li dd dt".split())
+_TABLE = frozenset(["table", "template", "html"])
+IMPLIED_ENDS = {
+    "li": (frozenset(["li"]), _ITEM_SCOPE),
+    "dd": (frozenset(["dd", "dt"]), _ITEM_SCOPE),
+    "dt": (frozenset(["dd", "dt"]), _ITEM_SCOPE),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
+    "td": (frozenset(["td", "th"]), _TABLE | {"tr"}),
+    "th": (frozenset(["td", "th"]), _TABLE | {"tr"}),
+    "tr": (frozenset(["tr", "td", "th", "caption"]), _TABLE | {"thead", "tbody", "tfoot"}),
+    **dict.fromkeys(["thead", "tbody", "tfoot"], (frozenset(["thead", "tbody", "tfoot", "tr", "caption"]), _TABLE)),
+}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: These start tags end an open paragraph.
+ENDS_P = frozenset(
+    """address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr
+    main menu nav ol p pre section summary table ul li dd dt""".split()
+)
+P_SCOPE = frozenset("button caption html object table td template th".split())
+#: An end tag reaches no further than these.
+CELLS = frozenset("td th caption table template object html".split())
+#: Parts of a page's frame: a form that holds one is no form of the text.
+FRAME = frozenset("article aside footer header main nav".split())
 #: Names in a class, id or role that mark what an element holds; fixed values.
 MARKS = frozenset(
     """ad ads advert advertisement adverts adsense adbox banner banners breadcrumb breadcrumbs consent contentinfo cookie cookies disclaimer
@@ -83,7 +114,9 @@ _SPACE = re.compile(r"\s+")
 
 
 def _holds_none(name: str, attrs: str, in_article: bool) -> str:
-    """Why an element holds no main text: "element", "mark", "weak" (if it looks like it), "comment", or nothing."""
+    """Why an element holds no main text: "element", "form", "mark", "weak" (if it looks like it), "comment", or nothing."""
+    if name == "form":
+        return "form"
     if name in DROPPED and not (name == "header" and in_article):
         return "element"
     if name in ("html", "body") or not attrs.strip():
@@ -111,7 +144,8 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
     text: list[str] = []
     links: list[str] = []
     stack: list[tuple[str, int, str]] = []  # element, region, why it is dropped
-    region, why, regions, in_link = 0, "", 0, False
+    region, why, regions, in_link, forms = 0, "", 0, False, 0
+    frames: set[str] = set()  # forms around parts of the page
 
     def end() -> None:
         joined = _SPACE.sub(" ", html.unescape("".join(text))).strip()
@@ -120,10 +154,42 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
         text.clear()
         links.clear()
 
+    def cut(i: int) -> None:
+        """End the i-th open element and what is in it."""
+        nonlocal region, why
+        del stack[i:]
+        region, why = stack[-1][1:] if stack else (0, "")
+
+    def implied(name: str) -> None:
+        """End what a start tag of this name ends."""
+        ends, scope = IMPLIED_ENDS.get(name, (frozenset(), frozenset()))
+        last = -1
+        for i in range(len(stack) - 1, -1, -1) if ends else ():
+            if stack[i][0] in ends:
+                last = i
+                if name not in ("tr", "thead", "tbody", "tfoot", "optgroup"):
+                    break
+            elif stack[i][0] in scope:
+                break
+        if last >= 0:
+            cut(last)
+        if name in ENDS_P:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == "p":
+                    cut(i)
+                    break
+                if stack[i][0] in P_SCOPE:
+                    break
+        if name in HEADINGS and stack and stack[-1][0] in HEADINGS:
+            cut(len(stack) - 1)
+
     at = 0
     for m in _TOKEN.finditer(page):
         piece = page[at : m.start()]
         at = m.end()
+        if stack and stack[-1][0] == "head" and (piece.strip() or (m["name"] or "head").lower() not in HEAD_PARTS):
+            end()
+            cut(len(stack) - 1)
         if piece:
             text.append(piece)
             if in_link:
@@ -150,26 +216,34 @@ def blocks(page: str) -> list[tuple[str, int, str, int]]:
         if m["close"]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    del stack[i:]
-                    region, why = stack[-1][1:] if stack else (0, "")
+                    cut(i)
                     break
+                if stack[i][0] in CELLS and name not in CELLS | {"tr", "thead", "tbody", "tfoot"}:
+                    break
+        elif name in BLOCKS and name in VOID:
+            implied(name)
         elif name not in VOID and not m["attrs"].endswith("/"):
-            if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-                region, why = stack[-1][1:] if stack else (0, "")
+            implied(name)
             own = _holds_none(name, m["attrs"], region > 0)
+            if name in FRAME:
+                frames.update(w for _, _, w in stack if w.startswith("form"))
+            if own == "form":
+                forms += 1
+                own = f"form{forms}"
             if name in ("article", "main") and not own:
                 regions += 1
                 region = regions
-                why = "" if why in ("mark", "weak") else why
-            why = own if not why or why == "weak" and own else why
+                why = "" if why in ("mark", "weak") or why.startswith("form") else why
+            why = own if not why or own and (why == "weak" or why.startswith("form")) else why
             stack.append((name, region, why))
+    if stack and stack[-1][0] == "head" and page[at:].strip():
+        cut(len(stack) - 1)
     if tail := page[at:]:
         text.append(tail)
         if in_link:
             links.append(tail)
     end()
-    return out
+    return [(t, r, ("" if w in frames else "element") if w.startswith("form") else w, n) for t, r, w, n in out]
 
 
 def nearest(labels: list[bool | None]) -> list[bool | None]:

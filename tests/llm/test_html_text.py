@@ -87,6 +87,81 @@ def test_cases(page, text):
     assert main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        (f"<html><head><title>T</title><meta charset=utf-8><body><p>{PROSE}</p>", PROSE),
+        (f"<html><head><title>T</title><p>{PROSE}", PROSE),
+        (f"<head><title>T</title>{PROSE}", PROSE),
+        (f"<article><ul><li class=ad>{PROSE} Buy.<li>{PROSE}</ul><p>{PROSE}</article>", f"{PROSE}\n{PROSE}"),
+        (f"<article><ul><li class=ad><div>{PROSE} Buy.</div><ul><li>{PROSE} In.</ul><li>{PROSE}</ul></article>", PROSE),
+        (f"<table><tr><td class=sidebar>{PROSE} Side.<td>{PROSE}<tr class=ad><td>{PROSE} Ad.<tr><td>{PROSE}</table>", f"{PROSE}\n{PROSE}"),
+        (f"<table><thead class=nav><tr><th>{PROSE} Head.<tbody><tr><td>{PROSE}</table>", PROSE),
+        (f"<dl><dt class=ad>{PROSE} Ad.<dd>{PROSE}<dt>{PROSE}</dl>", f"{PROSE}\n{PROSE}"),
+        (f"<p class=ad>{PROSE} Ad.<div>{PROSE}</div>", PROSE),
+        (f"<div class=ad><table><tr><td>{PROSE} Ad.</div>{PROSE} Ad.</table></div><p>{PROSE}", PROSE),
+        (f"<form action=x><nav>Home</nav><article><p>{PROSE}</p></article></form>", PROSE),
+        (f"<form id=all><header>Top</header><div><p>{PROSE}</p></div><footer>End</footer></form>", PROSE),
+        (f"<article><p>{PROSE}</p><form><p>{PROSE} Sign up.</p><select><option>a<option>b</select></form></article>", PROSE),
+        (f"<form><article><p>{PROSE}</p><div class=ad>{PROSE} Ad.</div></article></form>", PROSE),
+    ],
+)
+def test_end_tags_left_out_and_forms_around_pages(page, text):
+    assert main_text(page) == text
+
+
+#: What may stand in what; a leaf is a paragraph of prose. For pages whose text a walk over their tree gives.
+INSIDE = {"body": ["div", "ul", "dl", "table", "section", "p"], "div": ["ul", "dl", "table", "p", "div"], "section": ["ul", "p", "table", "dl"], "ul": ["li"], "li": ["p", "ul", "div", "text"], "dl": ["dt", "dd"], "dt": ["text"], "dd": ["p", "ul", "text"], "table": ["tbody"], "tbody": ["tr"], "tr": ["td", "th"], "td": ["p", "ul", "table", "text"], "th": ["text"], "p": ["text"]}
+MAY_BE_LEFT_OUT = {"li", "dt", "dd", "tbody", "tr", "td", "th", "p", "body", "head", "html"}
+
+
+def tree(rnd, name, depth=0):
+    if name == "text":
+        return f"{PROSE} Number {rnd.randint(0, 10**6)}."
+    marked = name != "body" and rnd.random() < 0.15
+    inside = [k for k in INSIDE[name] if depth < 7 or k not in ("ul", "dl", "table", "div")] or ["text"]
+    return name, marked, [tree(rnd, rnd.choice(inside), depth + 1) for _ in range(1 if inside == ["text"] else rnd.randint(1, 4))]
+
+
+def written(node, leave_out, last=True):
+    if isinstance(node, str):
+        return node
+    name, marked, inside = node
+    # text between two blocks would join the first one, if that ends only where the text does: items of text are alone in their element
+    parts = "".join(written(c, leave_out, i == len(inside) - 1) for i, c in enumerate(inside))
+    end = "" if leave_out and name in MAY_BE_LEFT_OUT else f"</{name}>"
+    return f"<{name}{' class=sidebar' if marked else ''}>{parts}{end}"
+
+
+def walked(node):
+    if isinstance(node, str):
+        return [node]
+    return [] if node[1] else [t for c in node[2] for t in walked(c)]
+
+
+def alone(node):
+    """The tree with text only where nothing stands beside it."""
+    if isinstance(node, str):
+        return node
+    name, marked, inside = node
+    if len(inside) > 1:
+        inside = [c if not isinstance(c, str) else ("p", False, [c]) for c in inside]
+    if name == "dt":
+        inside = inside[:1]
+    return name, marked, [alone(c) for c in inside]
+
+
+def test_pages_give_what_a_walk_over_their_tree_gives_with_and_without_optional_end_tags():
+    rnd = random.Random(9)
+    for _ in range(400):
+        body = alone(tree(rnd, "body"))
+        want = "\n".join(walked(body))
+        for leave_out in (False, True):
+            head = "<html><head><title>T</title>" + ("" if leave_out else "</head>")
+            page = head + written(body, leave_out)
+            assert main_text(page) == want, page
+
+
 def test_rows_that_repeat_and_clash(spark):
     rows = [(1, "u", f"<p>{PROSE}</p>", "t"), (1, "u", f"<p>{PROSE}</p>", "t"), (None, None, None, None)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
