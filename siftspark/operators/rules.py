@@ -1,8 +1,9 @@
 """Rules over syntax nodes: code -> SQL that gives path, line, severity and message of each finding.
 
-{n} stands for the node table (see siftspark.sources.syntax). Ancestors are found by an equality join on the path
-with the interval as the rest of the condition, so nodes of different files never meet. Users add rules of their
-own with register().
+{n} stands for the node table (see siftspark.sources.syntax), {a} for nodes with what they stand in: a row for each node
+and each of its ancestors that rules ask for (AROUND), with the ancestor's columns and the node's place as `below`. It
+comes from one merge over each file (siftspark.operators.structure), so all joins are on equal keys. Users add rules
+of their own with register().
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.functions.findings import UNIT_SUFFIXES
+from siftspark.operators.structure import enclosing
 from siftspark.session import bucketed
 
 RULES: dict[str, str] = {}
@@ -27,6 +29,9 @@ DB_CALLS = "'execute', 'executemany', 'query', 'filter', 'filter_by', 'select',
 #: Names of operational settings, and of modules that may hold them; fixed values.
 CONFIG_NAME = "(?:^|_)(timeout|retries|retry|host|port|url|endpoint|threshold|limit|max|min|interval|ttl|workers|batch(?:_size)?|concurrency|rate|delay|buffer|cache)(?:_|$)"
 CONFIG_MODULE = "(?:^|[._/])(config|settings|constants|defaults|cli|options)(?:[._/]|$)"
+#: Parts of names of quantities and of functions that integrate; fixed values.
+QUANTITIES = "irradiance|radiation|dose|uv_index|uvi|_wm2|_j_m2|sed_|score|pigment|uva|uvb|vitamin|erythemal"
+INTEGRATORS = "integrate|trapz|cumtrapz|window_|_dose"
 FUNCS = "('FunctionDef', 'AsyncFunctionDef')"
 LOOPS = "('For', 'AsyncFor', 'While')"
 
@@ -40,15 +45,16 @@ def register(code: str, sql: str) -> None:
 
 
 def _inside(child: str, parent: str) -> str:
-    return f"{parent}.path = {child}.path AND {parent}.lo < {child}.lo AND {child}.lo <= {parent}.hi"
+    """parent, a row of {a}, is an ancestor of child."""
+    return f"{parent}.path = {child}.path AND {parent}.below = {child}.lo AND {parent}.lo < {child}.lo"
 
 
 register(
     "BHCTRL001",
     f"""SELECT DISTINCT x.path, x.line, 'error' AS severity, concat(lower(x.kind), ' in a finally body hides the exception under way') AS message
-    FROM {{n}} x JOIN {{n}} b ON {_inside('x', 'b').replace('b.lo < x.lo', 'b.lo <= x.lo')} AND b.field = 'finalbody' AND b.func = x.func
+    FROM {{n}} x JOIN {{a}} b ON {_inside('x', 'b').replace('b.lo < x.lo', 'b.lo <= x.lo')} AND b.field = 'finalbody' AND b.func = x.func
     WHERE x.kind IN ('Return', 'Break', 'Continue') AND NOT EXISTS (
-      SELECT 1 FROM {{n}} l WHERE {_inside('x', 'l')} AND l.kind IN ('For', 'While', 'AsyncFor') AND x.kind <> 'Return' AND l.lo >= b.lo)""",
+      SELECT 1 FROM {{a}} l WHERE {_inside('x', 'l')} AND l.kind IN ('For', 'While', 'AsyncFor') AND x.kind <> 'Return' AND l.lo >= b.lo)""",
 )
 register(
     "BHPRT001",
@@ -59,19 +65,25 @@ register("BHPRT002", f"SELECT path, line, 'error' AS severity, concat(name, ' mu
 register(
     "BHPRT003",
     f"""SELECT f.path, min_by(y.line, y.bfs) AS line, 'error' AS severity, concat(f.name, ' yields, so it returns a generator') AS message
-    FROM {{n}} y JOIN {{n}} f ON {_inside('y', 'f')} WHERE y.kind IN ('Yield', 'YieldFrom') AND f.kind = 'FunctionDef' AND f.name {MAGIC} AND f.name NOT IN ({GENERATOR_MAGIC}) GROUP BY f.path, f.lo, f.name""",
+    FROM {{n}} y JOIN {{a}} f ON {_inside('y', 'f')} WHERE y.kind IN ('Yield', 'YieldFrom') AND f.kind = 'FunctionDef' AND f.name {MAGIC} AND f.name NOT IN ({GENERATOR_MAGIC}) GROUP BY f.path, f.lo, f.name""",
 )
+#: Handlers that catch the end of an iterator; fixed values.
+CATCHES_STOP = "'StopIteration', 'RuntimeError', 'Exception', 'BaseException'"
 register(
     "BHPRT004",
-    f"""SELECT c.path, c.line, 'error' AS severity, 'next() without a default ends the generator with an error' AS message FROM {{n}} c
-    JOIN (SELECT DISTINCT path, func FROM {{n}} WHERE kind IN ('Yield', 'YieldFrom')) g ON g.path = c.path AND g.func = c.func
-    WHERE c.kind = 'Call' AND c.name = 'next' AND (SELECT count(*) FROM {{n}} a WHERE a.path = c.path AND a.parent = c.lo AND a.field = 'args') = 1
-      AND NOT EXISTS (SELECT 1 FROM {{n}} t WHERE {_inside('c', 't')} AND t.kind = 'Try' AND t.func = c.func)""",
+    f"""WITH guards AS (SELECT h.path, h.parent AS lo FROM {{n}} h LEFT JOIN {{n}} t ON t.path = h.path AND t.parent = h.lo AND t.field = 'type' WHERE h.kind = 'ExceptHandler' AND (t.path IS NULL OR t.kind = 'Name' AND t.name IN ({CATCHES_STOP})) GROUP BY h.path, h.parent),
+    -- calls in a guarded try that stands in the function itself, not in one within it; their lines are safe
+    safe AS (SELECT DISTINCT c.path, t.func, c.line FROM {{n}} c JOIN {{a}} t ON {_inside('c', 't')} AND t.kind = 'Try' JOIN guards g ON g.path = t.path AND g.lo = t.lo WHERE c.kind = 'Call'),
+    yields AS (SELECT DISTINCT f.path, f.lo FROM {{n}} y JOIN {{a}} f ON {_inside('y', 'f')} AND f.kind IN {FUNCS} WHERE y.kind IN ('Yield', 'YieldFrom'))
+    SELECT DISTINCT c.path, c.line, 'error' AS severity, 'next() without a default ends the generator with an error' AS message FROM {{n}} c JOIN {{a}} f ON {_inside('c', 'f')} AND f.kind IN {FUNCS}
+    JOIN yields y ON y.path = f.path AND y.lo = f.lo JOIN {{n}} n ON n.path = c.path AND n.parent = c.lo AND n.field = 'func' AND n.kind = 'Name' AND n.name = 'next'
+    LEFT JOIN safe s ON s.path = c.path AND s.func = f.lo AND s.line = c.line
+    WHERE c.kind = 'Call' AND s.path IS NULL AND (SELECT count(*) FROM {{n}} a WHERE a.path = c.path AND a.parent = c.lo AND a.field = 'args') = 1""",
 )
 register(
     "BHPRT007",
     f"""SELECT f.path, min_by(r.line, r.bfs) AS line, 'error' AS severity, concat(f.name, ' raises NotImplementedError; return NotImplemented') AS message FROM {{n}} r
-    JOIN {{n}} f ON {_inside('r', 'f')} AND f.kind IN {FUNCS} JOIN {{n}} e ON e.path = r.path AND e.parent = r.lo AND e.field = 'exc'
+    JOIN {{a}} f ON {_inside('r', 'f')} AND f.kind IN {FUNCS} JOIN {{n}} e ON e.path = r.path AND e.parent = r.lo AND e.field = 'exc'
     WHERE r.kind = 'Raise' AND substring_index(e.name, '.', -1) = 'NotImplementedError' AND f.name IN ({REFLECTIVE_MAGIC}) GROUP BY f.path, f.lo, f.name""",
 )
 register(
@@ -93,7 +105,7 @@ register(
 )
 register(
     "BHDB001",
-    f"""SELECT DISTINCT c.path, c.line, 'warning' AS severity, concat(c.name, ' runs once for each turn of a loop') AS message FROM {{n}} c JOIN {{n}} l ON {_inside('c', 'l')} AND l.kind IN {LOOPS} AND l.func >= 0
+    f"""SELECT DISTINCT c.path, c.line, 'warning' AS severity, concat(c.name, ' runs once for each turn of a loop') AS message FROM {{n}} c JOIN {{a}} l ON {_inside('c', 'l')} AND l.kind IN {LOOPS} AND l.func >= 0
     WHERE c.kind = 'Call' AND substring_index(c.name, '.', -1) IN ({DB_CALLS})""",
 )
 register(
@@ -104,7 +116,7 @@ register(
     "BHEVID003",
     f"""SELECT DISTINCT a.path, a.line, 'warning' AS severity, concat(t.name, ' is copied whole in each turn of the loop') AS message FROM {{n}} a
     JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field IN ('targets', 'target') AND t.kind = 'Name' JOIN {{n}} v ON v.path = a.path AND v.parent = a.lo AND v.field = 'value'
-    JOIN {{n}} x ON x.path = a.path AND x.parent = v.lo AND x.kind = 'Name' AND x.name = t.name JOIN {{n}} l ON {_inside('a', 'l')} AND l.kind IN {LOOPS} AND l.func >= 0
+    JOIN {{n}} x ON x.path = a.path AND x.parent = v.lo AND x.kind = 'Name' AND x.name = t.name JOIN {{a}} l ON {_inside('a', 'l')} AND l.kind IN {LOOPS} AND l.func >= 0
     WHERE a.kind IN ('Assign', 'AugAssign') AND NOT EXISTS (SELECT 1 FROM {{n}} o WHERE o.path = a.path AND o.parent = a.lo AND o.field = 'targets' AND o.lo <> t.lo)
       AND (v.kind = 'BinOp' AND v.name IN ('Add', 'BitOr') AND x.field IN ('left', 'right') OR v.kind = 'Dict' AND x.field = 'values'
         OR v.kind = 'Call' AND v.name IN ('list', 'dict', 'set', 'tuple') AND x.field = 'args' AND NOT EXISTS (SELECT 1 FROM {{n}} y WHERE y.path = v.path AND y.parent = v.lo AND y.field = 'args' AND y.lo < x.lo))""",
@@ -119,11 +131,11 @@ register("BHTEST001", "SELECT a.path, a.line, 'warning' AS severity, concat('tes
 register("BHTEST002", "SELECT path, line, 'warning' AS severity, concat(name, ' pins the exact calls') AS message FROM {n} WHERE path LIKE 'tests/%' AND (kind = 'Call' AND name RLIKE '[.](assert_has_calls|assert_called_once_with|assert_called_with)$' OR kind = 'Attribute' AND name RLIKE '[.](mock_calls|call_args_list|method_calls)$')")
 register(
     "BHTEST003",
-    f"SELECT DISTINCT v.path, v.line, 'warning' AS severity, 'asserted literal of 1000 characters or more' AS message FROM {{n}} v JOIN {{n}} a ON {_inside('v', 'a')} AND a.kind = 'Assert' WHERE v.kind = 'Constant' AND length(v.value) >= 1000 AND v.path LIKE 'tests/%'",
+    f"SELECT DISTINCT v.path, v.line, 'warning' AS severity, 'asserted literal of 1000 characters or more' AS message FROM {{n}} v JOIN {{a}} a ON {_inside('v', 'a')} AND a.kind = 'Assert' WHERE v.kind = 'Constant' AND length(v.value) >= 1000 AND v.path LIKE 'tests/%'",
 )
 register(
     "BHTEST004",
-    f"""SELECT f.path, f.line, 'warning' AS severity, concat(f.name, ' patches much and checks the mocks') AS message FROM {{n}} f JOIN {{n}} c ON {_inside('c', 'f')} AND c.kind = 'Call'
+    f"""SELECT f.path, f.line, 'warning' AS severity, concat(f.name, ' patches much and checks the mocks') AS message FROM {{a}} f JOIN {{n}} c ON {_inside('c', 'f')} AND c.kind = 'Call'
     WHERE f.kind IN {FUNCS} AND f.name LIKE 'test%' AND f.path LIKE 'tests/%' GROUP BY f.path, f.line, f.name HAVING count_if(c.name RLIKE '(^|[.])patch([.]|$)|setattr$') >= 5 AND count_if(c.name RLIKE '[.]assert_') >= 2""",
 )
 register(
@@ -168,13 +180,21 @@ register(
 )
 
 
+#: Ancestors that rules ask for, as a condition on nodes.
+AROUND = f"kind IN {FUNCS} OR kind IN {LOOPS} OR kind IN ('Try', 'Assert', 'Assign', 'Compare') OR field = 'finalbody' OR kind = 'Call' AND lower(name) RLIKE '({QUANTITIES}|{INTEGRATORS})'"
+
+
 def run(nodes: DataFrame, codes: list[str] | None = None) -> DataFrame:
     """Findings of the given rules, all of them by default: code, path, line, severity, message.
 
-    The nodes are written once, dealt out by path: every rule then joins them without an exchange.
+    The nodes are written once, dealt out by path, and what stands around each is found once, in a pass over them.
     """
     spark, nodes = nodes.sparkSession, bucketed(nodes, "nodes", "path", "lo")
-    found = [spark.sql(sql, n=nodes).withColumn("code", F.lit(code)).select("code", "path", "line", "severity", "message") for code, sql in RULES.items() if codes is None or code in codes]
+    rules = {code: sql for code, sql in RULES.items() if codes is None or code in codes}
+    around = nodes.where(AROUND).select("path", F.col("lo").alias("start"), F.col("hi").alias("stop"), "lo", "hi", "bfs", "field", "kind", "name", "line", "func")
+    if any("{a}" in sql for sql in rules.values()):
+        around = bucketed(enclosing(nodes.select("path", F.col("lo").alias("place")), around).drop("start", "stop").withColumnRenamed("place", "below"), "around", "path", "below")
+    found = [spark.sql(sql, n=nodes, a=around).withColumn("code", F.lit(code)).select("code", "path", "line", "severity", "message") for code, sql in rules.items()]
     return reduce(DataFrame.unionByName, found)
 
 
@@ -239,9 +259,6 @@ register("BHPRT015", f"SELECT b.path, b.line, 'warning' AS severity, concat(k.na
 #: Words of module paths; fixed values.
 UPPER_LAYER = "api|apis|route|routes|web|ui|service|services|domain|core|application|usecase|usecases|handler|handlers|controller|controllers"
 STORAGE = "sqlite|postgres|postgresql|mysql|sqlalchemy|peewee|orm|mongo|mongodb|redis"
-#: Parts of names of quantities and of functions that integrate; fixed values.
-QUANTITIES = "irradiance|radiation|dose|uv_index|uvi|_wm2|_j_m2|sed_|score|pigment|uva|uvb|vitamin|erythemal"
-INTEGRATORS = "integrate|trapz|cumtrapz|window_|_dose"
 
 register("BHPERS001", f"SELECT path, line, 'warning' AS severity, concat('upper layer imports storage implementation ', name) AS message FROM {_TOP_IMPORTS} WHERE lower(path) RLIKE '(^|[/_.-])({UPPER_LAYER})([/_.-]|$)' AND lower(name) RLIKE '(^|[._-])({STORAGE})([._-]|$)'")
 register(
@@ -270,8 +287,8 @@ register(
 register(
     "BHMISS001",
     f"""WITH z AS (SELECT c.* FROM {{n}} c JOIN {{n}} v ON v.path = c.path AND v.parent = c.lo AND v.field = 'args' AND v.value IN ('0', '0.0') WHERE c.kind = 'Call' AND c.name RLIKE '[.]fillna$|^fillna$' AND c.func >= 0),
-    u AS (SELECT z.path, z.func, t.name FROM z JOIN {{n}} a ON {_inside('z', 'a')} AND a.kind = 'Assign' AND a.func = z.func JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Name'),
-    h AS (SELECT k.path, k.func, k.line, k.name, k.lo FROM {{n}} k JOIN {{n}} x ON {_inside('x', 'k')} LEFT JOIN u ON u.path = x.path AND u.func = x.func AND u.name = x.name AND x.kind = 'Name' LEFT JOIN z ON z.path = x.path AND z.lo = x.lo
+    u AS (SELECT z.path, z.func, t.name FROM z JOIN {{a}} a ON {_inside('z', 'a')} AND a.kind = 'Assign' AND a.func = z.func JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Name'),
+    h AS (SELECT k.path, k.func, k.line, k.name, k.lo FROM {{a}} k JOIN {{n}} x ON {_inside('x', 'k')} LEFT JOIN u ON u.path = x.path AND u.func = x.func AND u.name = x.name AND x.kind = 'Name' LEFT JOIN z ON z.path = x.path AND z.lo = x.lo
       WHERE k.kind = 'Call' AND lower(k.name) RLIKE '({QUANTITIES}|{INTEGRATORS})' AND (u.name IS NOT NULL OR z.lo IS NOT NULL))
     SELECT path, min(line) AS line, 'error' AS severity, concat('zero put for a missing value flows into ', min_by(name, lo)) AS message FROM h GROUP BY path, func""",
 )
@@ -293,7 +310,7 @@ register(
 )
 register(
     "BHTEST005",
-    f"SELECT DISTINCT v.path, v.line, 'warning' AS severity, 'long literal against generated text' AS message FROM {{n}} v JOIN {{n}} c ON c.path = v.path AND c.lo = v.parent AND c.kind = 'Compare' JOIN {{n}} a ON {_inside('c', 'a')} AND a.kind = 'Assert' JOIN {{n}} o ON {_inside('o', 'c')} AND lower(o.name) RLIKE '(source|generated|render|output|code)' WHERE v.kind = 'Constant' AND length(v.value) >= 200 AND v.path LIKE 'tests/%'",
+    f"SELECT DISTINCT v.path, v.line, 'warning' AS severity, 'long literal against generated text' AS message FROM {{n}} v JOIN {{a}} c ON c.path = v.path AND c.lo = v.parent AND c.kind = 'Compare' JOIN {{a}} a ON {_inside('c', 'a')} AND a.kind = 'Assert' JOIN {{n}} o ON {_inside('o', 'c')} AND lower(o.name) RLIKE '(source|generated|render|output|code)' WHERE v.kind = 'Constant' AND length(v.value) >= 200 AND v.path LIKE 'tests/%'",
 )
 
 # ---------------------------------------------------------------- seams, evidence, intervals, artifacts
@@ -354,7 +371,7 @@ FRESHNESS = "exists|stat|mtime|fresh|stale|manifest|_version|version|valid"
 STATEMENTS = "('Assign', 'AugAssign', 'AnnAssign', 'Expr', 'Return', 'Delete', 'For', 'AsyncFor', 'While', 'If', 'With', 'AsyncWith', 'Raise', 'Try', 'TryStar', 'Assert', 'Import', 'ImportFrom', 'Global', 'Nonlocal', 'Pass', 'Break', 'Continue', 'Match')"
 register(
     "BHART001",
-    f"""WITH s AS (SELECT f.path, f.lo AS f, s.lo, s.hi, s.bfs FROM {{n}} f JOIN {{n}} s ON {_inside('s', 'f')} AND s.kind IN {STATEMENTS} WHERE f.kind IN {FUNCS}),
+    f"""WITH s AS (SELECT f.path, f.lo AS f, s.lo, s.hi, s.bfs FROM {{a}} f JOIN {{n}} s ON {_inside('s', 'f')} AND s.kind IN {STATEMENTS} WHERE f.kind IN {FUNCS}),
     fresh AS (SELECT path, lo FROM {{n}} WHERE kind = 'Call' AND lower(name) RLIKE '({FRESHNESS})'
       UNION ALL SELECT c.path, c.lo FROM {{n}} c JOIN {{n}} k ON k.path = c.path AND k.parent = c.lo AND k.vtype = 'str' AND lower(k.value) RLIKE '({FRESHNESS})' WHERE c.kind = 'Compare'),
     reads AS (SELECT c.path, c.lo, c.bfs, min(c.line) AS line FROM {{n}} c JOIN {{n}} g ON g.path = c.path AND g.parent = c.lo AND g.field = 'func' JOIN {{n}} k ON k.path = c.path AND k.lo > g.hi AND k.lo <= c.hi AND k.vtype = 'str' AND k.value RLIKE '({ARTIFACTS})$' WHERE c.kind = 'Call' GROUP BY c.path, c.lo, c.bfs),
@@ -364,7 +381,7 @@ register(
 )
 register(
     "BHART002",
-    f"""WITH k AS (SELECT f.path, f.lo, f.name, f.line, collect_set(CASE WHEN x.kind = 'Name' THEN x.name ELSE x.value END) AS keys FROM {{n}} f JOIN {{n}} x ON {_inside('x', 'f')}
+    f"""WITH k AS (SELECT f.path, f.lo, f.name, f.line, collect_set(CASE WHEN x.kind = 'Name' THEN x.name ELSE x.value END) AS keys FROM {{a}} f JOIN {{n}} x ON {_inside('x', 'f')}
       AND (x.kind = 'Name' AND x.name = upper(x.name) AND x.name RLIKE '[A-Z]' AND x.name LIKE '%\\\\_%' OR x.vtype = 'str' AND x.value = upper(x.value) AND x.value RLIKE '[A-Z]' AND x.value LIKE '%\\\\_%') WHERE f.kind IN {FUNCS} GROUP BY f.path, f.lo, f.name, f.line)
     SELECT c.path, c.line, 'error' AS severity, concat(c.name, ' leaves out settings that ', b.name, ' reads: ', array_join(array_sort(array_except(b.keys, c.keys)), ', ')) AS message FROM k b JOIN k c ON c.path = b.path AND c.lo <> b.lo
     WHERE lower(b.name) RLIKE '(build|compute|refresh|update|make)' AND size(b.keys) >= 2 AND lower(c.name) RLIKE '(fresh|valid|stale|manifest|version|check)' AND size(array_except(b.keys, c.keys)) > 0""",

@@ -3,8 +3,9 @@
 A node has its place in depth-first order (lo), the last place below it (hi), its place in breadth-first order (bfs),
 its parent's lo, and the field of the parent that holds it. `a` is an ancestor of `n` where the path is the same and
 a.lo < n.lo <= a.hi. `func` is the lo of the function around it, -1 for none. `value` and `vtype` are a literal's text
-and type; `value` is also the text of an annotation and the other name of an import. A source that is no Python gives
-no rows.
+and type; `value` is also the text of an annotation, the other name of an import, and the dots of a relative one. `ctx`
+tells whether a name, attribute, subscript, list or tuple is loaded, stored or deleted. A source that is no Python
+gives no rows.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql.functions import udtf
 
 from siftspark.session import importable
 
-SCHEMA = "path string, lo int, hi int, bfs int, parent int, field string, kind string, name string, value string, vtype string, line int, end_line int, col int, func int, cls int"
+SCHEMA = "path string, lo int, hi int, bfs int, parent int, field string, kind string, name string, value string, vtype string, line int, end_line int, col int, func int, cls int, ctx string"
 
 
 def dotted(node: ast.AST) -> str | None:
@@ -36,8 +37,12 @@ def dotted(node: ast.AST) -> str | None:
 
 
 def _name(node: ast.AST) -> str | None:
-    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.alias)):
+    if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.alias, ast.ExceptHandler, ast.MatchAs, ast.MatchStar)):
         return node.name
+    if isinstance(node, ast.MatchMapping):
+        return node.rest
+    if isinstance(node, (ast.Global, ast.Nonlocal)):
+        return ",".join(node.names)
     if isinstance(node, (ast.arg, ast.keyword)):
         return node.arg
     if isinstance(node, ast.Call):
@@ -52,11 +57,13 @@ def _name(node: ast.AST) -> str | None:
 
 
 def _value(node: ast.AST, field: str) -> str | None:
-    """The text of a literal or of an annotation, and the other name of an import."""
+    """The text of a literal or of an annotation, the other name of an import, the dots of a relative one."""
     if field in ("annotation", "returns"):
         return ast.unparse(node)
     if isinstance(node, ast.alias):
         return node.asname
+    if isinstance(node, ast.ImportFrom):
+        return "." * node.level or None
     return str(node.value) if isinstance(node, ast.Constant) else None
 
 
@@ -85,7 +92,7 @@ class SyntaxNodes:
             node, parent, field, func, cls = stack.pop()
             lo = len(rows)
             vtype = type(node.value).__name__ if isinstance(node, ast.Constant) else None
-            rows.append([path, lo, lo, order[id(node)], parent, field, type(node).__name__, _name(node), _value(node, field), vtype, getattr(node, "lineno", None), getattr(node, "end_lineno", None), getattr(node, "col_offset", None), func, cls])
+            rows.append([path, lo, lo, order[id(node)], parent, field, type(node).__name__, _name(node), _value(node, field), vtype, getattr(node, "lineno", None), getattr(node, "end_lineno", None), getattr(node, "col_offset", None), func, cls, type(node.ctx).__name__ if hasattr(node, "ctx") else None])
             inner = lo if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda)) else func
             owner = lo if isinstance(node, ast.ClassDef) else cls
             below = [(c, lo, f, inner, owner) for f, c in _below(node)]
