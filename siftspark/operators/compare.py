@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspark.functions import semantic as sem
+from siftspark.operators.patterns import MOST, occurring
 
 
 def schema_drift(schema: DataFrame, model: DataFrame) -> DataFrame:
@@ -170,17 +171,8 @@ def sample_cases(parameters: DataFrame, samples: DataFrame, most: int = 256) ->
     return each.withColumn("nth", F.expr("case_no div step % n")).join(samples, ["type", "nth"]).select("fn", "case_no", "position", "value")
 
 
-#: Boundaries that are looked up in every body at once; about 50 bytes each.
-BROADCAST_BOUNDARIES = 100_000
-
-
-def unnamed_boundaries(calls: DataFrame, bodies: DataFrame, marker: str) -> DataFrame:
-    """calls: boundary; bodies: body. Boundaries whose name stands nowhere, not even inside a word, in a test body with the marker."""
-    names = calls.select("boundary").distinct()
-    tests = bodies.where(F.col("body").rlike(marker))
-    if names.count() <= BROADCAST_BOUNDARIES:
-        listed = F.broadcast(names.agg(F.collect_list("boundary").alias("names")))  # one row
-        hit = tests.crossJoin(listed).select(F.explode(F.filter("names", lambda n: F.contains("body", n))).alias("boundary")).distinct()
-    else:
-        hit = names.join(tests, F.contains("body", "boundary"), "left_semi")
-    return names.join(hit, "boundary", "left_anti")
+def unnamed_boundaries(calls: DataFrame, bodies: DataFrame, marker: str, most: int = MOST) -> DataFrame:
+    """calls: boundary; bodies: body. Boundaries whose name stands nowhere, not even inside a word, in a test body with the marker, whatever the case."""
+    names = calls.select("boundary", F.lower("boundary").alias("name")).distinct()
+    tests = bodies.select(F.lower("body").alias("text")).where(F.col("text").rlike(marker))
+    return names.join(occurring(names.select("name"), tests, most), "name", "left_anti").select("boundary")

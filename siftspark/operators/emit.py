@@ -13,7 +13,7 @@ FINDINGS = {
     "BHCOV002": ("file", "line", "'warning'", "concat('branch edge ', line, ' -> ', target, ' is never taken')"),
     "BHDIFF001": ("NULL", "NULL", "'warning'", "concat(fn, ' gives another result than before in ', differences, ' case(s), first in ', case_no)"),
     "BHDIS001": ("path", "line", "'warning'", "concat('reported by ', loud, ', not by ', silent)"),
-    "BHFAULT001": ("NULL", "NULL", "'warning'", "concat('no test makes ', boundary, ' fail')"),
+    "BHFAULT001": ("path", "line", "'warning'", "concat('external boundary ', boundary, ' in ', function, ' has no test that makes it fail')"),
     "BHINV001": ("NULL", "NULL", "'error'", "concat(places, ' places accept ', variants, ' different sets of values for ', variable)"),
     "BHPLC001": ("NULL", "NULL", "'warning'", "concat(a, ' and ', b, ' exclude each other and are both on')"),
     "BHRT001": ("NULL", "NULL", "'warning'", "concat('no one test calls both ', a, ' and ', b)"),

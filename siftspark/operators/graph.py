@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftspark.functions import symbols
+from siftspark.session import stored
 
 
 def reachable(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
@@ -61,23 +60,13 @@ def chain_ends(forwards: DataFrame) -> DataFrame:
     every distance from its end, so once a round brings no name to an end, only circles are left. Each round is
     written to the shared folder.
     """
-    spark = forwards.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-
-    def kept(df: DataFrame) -> DataFrame:
-        if not folder:
-            return df
-        path = f"{folder}/chains-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
-
-    at = kept(forwards.groupBy("name").agg(F.min("target").alias("target")).withColumn("steps", F.lit(1)))
+    at = stored(forwards.groupBy("name").agg(F.min("target").alias("target")).withColumn("steps", F.lit(1)), "chains")
     names, before = at.select(F.col("name").alias("target")), None
     while (left := at.join(names, "target", "left_semi").count()) and left != before:
         before = left
         onward = at.select(F.col("name").alias("target"), F.col("target").alias("onward"), F.col("steps").alias("more"))
         moved = at.join(onward, "target", "left")
-        at = kept(moved.select("name", F.when(F.col("more").isNull(), F.col("target")).otherwise(F.col("onward")).alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        at = stored(moved.select("name", F.when(F.col("more").isNull(), F.col("target")).otherwise(F.col("onward")).alias("target"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")), "chains")
     return at.join(names, "target", "left_anti").select("name", F.col("target").alias("terminal"), "steps")
 
 
@@ -87,8 +76,6 @@ def strengthened(values: DataFrame, flows: DataFrame, passes: int = 5) -> DataFr
     In each pass a name takes the surest value that flows to it, if that is strictly surer than its own; it ends
     when nothing changes, after `passes` at most. Each pass is written to the shared folder.
     """
-    spark = values.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     best = F.max_by(F.struct("value", "confidence"), F.struct("confidence", "value"))
     now = values.groupBy("name").agg(best.alias("b")).select("name", "b.*")
     for _ in range(passes):
@@ -96,20 +83,18 @@ def strengthened(values: DataFrame, flows: DataFrame, passes: int = 5) -> DataFr
         came = came.groupBy("name").agg(best.alias("c"))
         joined = now.join(came, "name", "full").withColumn("changes", F.col("c").isNotNull() & (F.col("confidence").isNull() | (F.col("c.confidence") > F.col("confidence"))))
         out = joined.select("name", F.when(F.col("changes"), F.col("c.value")).otherwise(F.col("value")).alias("value"), F.when(F.col("changes"), F.col("c.confidence")).otherwise(F.col("confidence")).alias("confidence"), "changes")
-        if folder:
-            path = f"{folder}/facts-{uuid.uuid4().hex}"
-            out.write.parquet(path)
-            out = spark.read.schema(out.schema).parquet(path)
+        out = stored(out, "facts")
         now = out.drop("changes")
         if out.where("changes").isEmpty():
             break
     return now
 
 
-def unresolved_summary(lines: DataFrame) -> DataFrame:
-    """lines: text. Edges that an export could not resolve, by kind, as its log reports them."""
-    pattern = r"unresolved (\w+): (\d+)"
-    return lines.where(F.col("text").rlike(pattern)).groupBy(F.regexp_extract("text", pattern, 1).alias("kind")).agg(F.sum(F.regexp_extract("text", pattern, 2).cast("long")).alias("edges"))
+def unresolved_summary(statuses: DataFrame) -> DataFrame:
+    """statuses: run, text (what an index says of itself). run, edges and resolved: references that are likely internal and were left unresolved, where there are any, beside the calls that were resolved."""
+    number = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
+    rows = statuses.select("run", number(r"likely_internal_unresolved=(\d+)").cast("long").alias("edges"), F.coalesce(number(r"calls:\s*resolved=(\d+)"), F.lit("unknown")).alias("resolved"))
+    return rows.where("edges > 0")
 
 
 def typed(relationships: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.operators.patterns import MOST, occurring
 from siftspark.operators.scopes import FUNCTIONS, absolute, imports, module_of, regions, resolved
 from siftspark.operators.structure import enclosing
 from siftspark.session import stored
@@ -38,6 +39,15 @@ FAILURE_NAMES = (
     "fail error timeout retr unavailable refus reject broken interrupt cancel degrade fallback raise denied exhaust partial missing without absent none "
     "empty invalid malformed incomplete unsupported unset disabled stale conflict corrupt"
 ).split()
+#: Beginnings of names of calls that leave the process, and what in a test's text shows that it makes something fail; fixed values.
+BOUNDARY_PREFIXES = (
+    "open pathlib.Path.open pathlib.Path.read_text pathlib.Path.read_bytes pathlib.Path.write_text pathlib.Path.write_bytes requests. httpx. "
+    "aiohttp. urllib.request. socket. subprocess. os.system os.remove os.unlink os.replace os.rename os.mkdir os.makedirs shutil. sqlite3.connect boto3."
+).split()
+FAULT_MARKERS = (
+    "monkeypatch", "patch(", "patch.object", "side_effect", "pytest.raises", "raises(", "oserror", "ioerror", "timeouterror", "timeout",
+    "connectionerror", "connection_error", "permissionerror", "filenotfounderror",
+)
 #: Decorators under which an empty body is a contract; fixed values.
 CONTRACTS = "abstractmethod overload abstractproperty".split()
 
@@ -79,14 +89,19 @@ def names_of(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
     return own.unionByName(own.join(given, ["module", "name"]).select("symbol", F.col("other").alias("module"), "name")).distinct()
 
 
+def _text(nodes: DataFrame, sources: DataFrame) -> DataFrame:
+    """nodes with `text`: their lines of the source."""
+    lines = F.slice(F.split("source", "\n"), F.col("line"), F.col("end_line") - F.col("line") + 1)
+    return nodes.join(sources.select("path", "source"), "path").withColumn("text", F.array_join(lines, "\n")).drop("source")
+
+
 def failure_places(sources: DataFrame, nodes: DataFrame) -> DataFrame:
     """path, lo: nodes in test functions whose name or text shows that they test a failure."""
     tests = nodes.where(F.col("kind").isin(*FUNCTIONS) & F.col("path").like("tests/%")).select("path", "lo", "hi", "line", "end_line", "name")
-    text = F.array_join(F.slice(F.split("source", "\n"), F.col("line"), F.col("end_line") - F.col("line") + 1), "\n")
     shows = F.col("name").rlike("|".join(FAILURE_NAMES))
     for marker in FAILURE_MARKERS:
-        shows = shows | F.contains(text, F.lit(marker))
-    failing = tests.join(sources.select("path", "source"), "path").where(shows).select("path", F.col("lo").alias("start"), F.col("hi").alias("stop"))
+        shows = shows | F.contains("text", F.lit(marker))
+    failing = _text(tests, sources).where(shows).select("path", F.col("lo").alias("start"), F.col("hi").alias("stop"))
     places = nodes.where(F.col("path").like("tests/%") & F.col("kind").isin("Name", "Attribute")).select("path", F.col("lo").alias("place"))
     return enclosing(places, failing, nearest=True).select("path", F.col("place").alias("lo")).distinct()
 
@@ -151,3 +166,25 @@ def gaps(sources: DataFrame, nodes: DataFrame) -> DataFrame:
         .otherwise(F.concat("name", F.lit(" leaves the process without a test of failure: "), first("boundaries", 4)))
     )
     return all_.withColumn("code", code).where("code IS NOT NULL").select("code", "path", "line", F.lit("warning").alias("severity"), message.alias("message"))
+
+
+def fault_boundaries(sources: DataFrame, nodes: DataFrame, most: int = MOST) -> DataFrame:
+    """path, line, function, boundary: calls over a boundary in a function at the top of a module in src/ whose name no test that makes something fail contains, in any case."""
+    top = nodes.where(F.col("kind").isin(*FUNCTIONS) & (F.col("parent") == 0) & F.col("path").like("src/%"))
+    top = top.select("path", F.col("lo").alias("start"), F.col("hi").alias("stop"), "name", F.concat_ws(".", module_of(F.col("path")), "name").alias("function"))
+    made = nodes.where("kind = 'Call'").select("path", F.col("lo").alias("parent"), "line")
+    # of a.b().c the name is c alone
+    pure = F.col("hi") - F.col("lo") == F.size(F.split("name", "[.]")) - 1
+    callee = nodes.where("field = 'func' AND kind IN ('Name', 'Attribute')").select("path", "parent", "lo", F.when(pure, F.col("name")).otherwise(F.element_at(F.split("name", "[.]"), -1)).alias("boundary"))
+    beyond = F.lit(False)
+    for prefix in BOUNDARY_PREFIXES:
+        beyond = beyond | F.startswith(F.lower("boundary"), F.lit(prefix.lower()))
+    leaving = made.join(callee, ["path", "parent"]).where(beyond)
+    held = enclosing(leaving.select("path", F.col("parent").alias("place")), top, nearest=True).withColumnRenamed("place", "parent")
+    rows = stored(leaving.join(held, ["path", "parent"]).select("path", "line", "function", "boundary", F.lower("name").alias("name")), "boundaries")
+    tests = nodes.where(F.col("kind").isin(*FUNCTIONS) & F.col("path").rlike("^tests?/") & F.col("name").like("test%"))
+    fails = F.lit(False)
+    for marker in FAULT_MARKERS:
+        fails = fails | F.contains("text", F.lit(marker))
+    bodies = _text(tests, sources).select(F.lower("text").alias("text")).where(fails)
+    return rows.join(occurring(rows.select("name"), bodies, most), "name", "left_anti").select("path", "line", "function", "boundary")

@@ -33,9 +33,13 @@ def hollow@():
 
 def local@(r):
     return r.get(seen), forward(load@, r)
+
+def run@(c):
+    import subprocess
+    return subprocess.run(c)
 """
 TEST = "from shop.s@ import send@\n\ndef test_send():\n    assert send@('u', 1)\n"
-FAILING = "import shop.s@ as m\n\ndef test_send_refused():\n    assert m.send@('u', 1) is m.hollow@()\n"
+FAILING = "import shop.s@ as m\n\ndef test_send_refused():\n    assert m.send@('u', 1) is m.hollow@()\n    with pytest.raises(OSError):\n        m.Run@(1), m.run@(2)\n"
 
 
 def sources(supplier: DataFrame) -> DataFrame:
@@ -56,6 +60,7 @@ USES = (
     (17, "LIMIT", 5, "variable", None), (18, "LIMIT", 17, "variable", None), (20, "LIMIT", 5, "variable", None), (21, "calc@", 13, "function", None), (21, "size", 18, "parameter", None),
     (24, "NotImplementedError", None, None, None),
     (27, "r", 26, "parameter", None), (27, "seen", 20, "variable", None), (27, "forward", 2, "import", "shop.s$.send$"), (27, "load@", 7, "function", None), (27, "r", 26, "parameter", None),
+    (31, "subprocess", 30, "import", "subprocess"), (31, "c", 29, "parameter", None),
 )
 _RING = "WITH ring AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 10 = 9 THEN s_suppkey - 9 ELSE s_suppkey + 1 END AS n FROM supplier)"
 
@@ -72,4 +77,9 @@ GAPS_SQL = f"""{_RING}, t AS (SELECT k, n, k % 2 = 0 OR k % 3 = 0 AS own, (n % 2
 SELECT 'BHVERIFY001' AS code, 'src/shop/s' || k || '.py' AS path, 7 AS line, 'warning' AS severity, 'load' || k || ' is tested through others only: send' || n AS message FROM t WHERE other
 UNION ALL SELECT 'BHVERIFY001', 'src/shop/s' || k || '.py', 26, 'warning', 'local' || k || ' is tested through others only: send' || n FROM t WHERE other
 UNION ALL SELECT 'BHIMPL001', 'src/shop/s' || k || '.py', 23, 'warning', 'hollow' || k || ' is a public stub without a test' FROM t WHERE k % 3 <> 0
-UNION ALL SELECT 'BHVERIFY002', 'src/shop/s' || k || '.py', 10, 'warning', 'send' || k || ' leaves the process without a test of failure: requests.get' FROM t WHERE k % 3 <> 0"""
+UNION ALL SELECT 'BHVERIFY002', 'src/shop/s' || k || '.py', 10, 'warning', 'send' || k || ' leaves the process without a test of failure: requests.get' FROM t WHERE k % 3 <> 0
+UNION ALL SELECT 'BHVERIFY002', 'src/shop/s' || k || '.py', 29, 'warning', 'run' || k || ' leaves the process without a test of failure: subprocess.run' FROM t WHERE k % 3 <> 0"""
+
+#: A test of failure names run and its supplier's key, which may begin with another key: run12 has run1 in it.
+FAULTS_SQL = f"""{_RING} SELECT 'src/shop/s' || k || '.py' AS path, 31 AS line, 'shop.s' || k || '.run' || k AS function, 'subprocess.run' AS boundary
+FROM ring WHERE NOT EXISTS (SELECT 1 FROM ring t WHERE t.k % 3 = 0 AND contains('run' || t.k, 'run' || ring.k))"""

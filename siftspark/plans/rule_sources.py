@@ -60,6 +60,8 @@ CASES = (
     ("tests", f"def test_@():\n assert f() == '{'x' * 1200}'\n", "def test_@():\n assert f() == 'x'\n"),
     ("tests", "def test_@(m):\n" + " with patch('a.b'):\n  pass\n" * 5 + " m.assert_called()\n" * 2, "def test_@(m):\n with patch('a.b'):\n  pass\n m.assert_called()\n"),
     ("tests", f"def test_@():\n assert render() == '{'y' * 300}'\n", f"def test_@():\n assert total() == '{'y' * 300}'\n"),
+    ("src", "def g@(it):\n try:\n  yield next(it)\n except ValueError:\n  return\n", "def g@(it):\n try:\n  yield next(it)\n except ValueError:\n  pass\n except Exception:\n  return\n"),
+    ("src", "def g@(it):\n def h():\n  try:\n   yield next(it)\n  except StopIteration:\n   pass\n yield h, next(it)\n", "def g@(it):\n try:\n  yield next(it)\n except:\n  x.next(it)\n"),
 )
 
 
@@ -125,9 +127,11 @@ EXPECTED = (
     ("BHTEST003", 2, "warning"),
     ("BHTEST004", 1, "warning"),
     ("BHTEST005", 2, "warning"),
+    ("BHPRT004", 3, "error"),
+    ("BHPRT004", 7, "error"),
 )
-#: What else a case gives: case, whether odd, code, line, severity. Ninety assignments are over the ABC budget too, and the storage import is there in both.
-BESIDES = ((23, 1, "BHCX004", 1, "error"), (23, 0, "BHCX004", 1, "error"), (34, 1, "BHPERS001", 1, "warning"), (34, 0, "BHPERS001", 1, "warning"))
+#: What else a case gives: case, whether odd, code, line, severity. Ninety assignments are over the ABC budget too, the storage import is there in both, and what a function within guards the one around it does not.
+BESIDES = ((23, 1, "BHCX004", 1, "error"), (23, 0, "BHCX004", 1, "error"), (34, 1, "BHPERS001", 1, "warning"), (34, 0, "BHPERS001", 1, "warning"), (51, 1, "BHPRT004", 4, "error"))
 
 
 def findings_sql(*prefixes: str) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from siftspark.operators import scopes, verification
 from siftspark.plans import adapters as a
 from siftspark.plans import project_sources
-from siftspark.plans.queries import query
+from siftspark.plans.queries import emitted, query
 from siftspark.session import stored
 from siftspark.sources import syntax
 
@@ -20,3 +20,12 @@ def name_uses(spark, d):
 def verification_gaps(spark, d):
     sources = project_sources.sources(a.table(spark, d, "supplier"))
     return verification.gaps(sources, stored(syntax.nodes(sources), "nodes"))
+
+
+@query(project_sources.FAULTS_SQL)
+def fault_boundaries(spark, d):
+    sources = project_sources.sources(a.table(spark, d, "supplier"))
+    return verification.fault_boundaries(sources, stored(syntax.nodes(sources), "nodes"))
+
+
+emitted("BHFAULT001", "fault_boundaries")

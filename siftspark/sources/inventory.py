@@ -103,7 +103,10 @@ def latest(files: DataFrame, *keys: str) -> DataFrame:
 
 
 def in_scope(files: DataFrame, roots: list[str], suffixes: tuple[str, ...] = ("*",), skipped: tuple[str, ...] = ()) -> DataFrame:
-    """files: path, size, head. Those below one of the roots with one of the suffixes (* for any) and without a skipped folder, each path once, in order."""
+    """files: path, size, head. Those below one of the roots with one of the suffixes (* for any) and without a skipped folder, each path once, in order.
+
+    Of rows that repeat a path the largest size counts; a head may be null, as it is for files too large to read.
+    """
     path = F.regexp_replace(F.regexp_replace("path", "/+", "/"), r"^(\./)+", "")
     below = F.lit(False)
     for root in roots:
@@ -115,7 +118,7 @@ def in_scope(files: DataFrame, roots: list[str], suffixes: tuple[str, ...] = ("*
     rows = files.withColumn("path", path).where(below & fits)
     if skipped:
         rows = rows.where(~F.arrays_overlap(F.split("path", "/"), F.array(*map(F.lit, skipped))))
-    return rows.groupBy("path").agg(F.min_by("size", "head").alias("size"), F.min("head").alias("head")).orderBy("path")
+    return rows.groupBy("path").agg(F.max("size").alias("size"), F.min("head").alias("head")).orderBy("path")
 
 
 #: Suffixes that mark a technology alone, and names that do; fixed values.

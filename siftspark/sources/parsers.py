@@ -90,18 +90,34 @@ def _get(path: str, kind: str = "string", of: str = "item") -> Column:
     return F.try_variant_get(F.col(of), path, kind)
 
 
+def _json(empty: str | None = "[]") -> Column:
+    """stdout as VARIANT, null where it is no JSON. empty: what an output without a word stands for; None if that is no JSON either."""
+    said = F.nullif(F.trim("stdout"), F.lit(""))
+    return F.try_parse_json(said if empty is None else F.coalesce(said, F.lit(empty)))
+
+
 def _items(runs: DataFrame, *paths: str) -> DataFrame:
-    """One row for each item of the first of the arrays that is there; `json` tells whether the output was JSON at all."""
-    parsed = runs.withColumn("doc", F.try_parse_json(F.coalesce(F.nullif(F.trim("stdout"), F.lit("")), F.lit("[]"))))
+    """One row for each item of the first of the arrays that is there."""
+    parsed = runs.withColumn("doc", _json())
     array = F.coalesce(*(F.try_variant_get("doc", p, "array<variant>") for p in (*paths, "$")))
     return parsed.where("doc IS NOT NULL").select("run", "tool", "exit_code", F.posexplode(array).alias("pos", "item"))
 
 
-def _with_fallback(runs: DataFrame, found: DataFrame, when_empty: bool = False) -> DataFrame:
+def _nested(runs: DataFrame, paths: tuple[str, ...], inner: tuple[str, ...], place: tuple[str, ...], alone: bool = False) -> DataFrame:
+    """One row for each inner item of all items, numbered through; place is the outer item's. alone: an item without inner ones is one itself."""
+    at = lambda of, names, kind: F.coalesce(*(F.try_variant_get(of, p, kind) for p in names)) if names else F.lit(None).cast(kind)
+    array = F.coalesce(*(F.try_variant_get("doc", p, "array<variant>") for p in (*paths, "$")))
+    within = lambda i: F.coalesce(at(i, inner, "array<variant>"), *([F.array(i)] if alone else []))
+    flat = F.flatten(F.transform(array, lambda i: F.coalesce(F.transform(within(i), lambda x: F.struct(at(i, place, "string").alias("place"), x.alias("item"))), F.array())))
+    parsed = runs.withColumn("doc", _json()).where("doc IS NOT NULL")
+    return parsed.select("run", "tool", "exit_code", F.posexplode(flat).alias("pos", "x")).select("run", "tool", "exit_code", "pos", "x.*")
+
+
+def _with_fallback(runs: DataFrame, found: DataFrame, when_empty: bool = False, empty: str | None = "[]") -> DataFrame:
     """found, and the text parser's findings for runs whose output is no JSON (or, if asked, that gave nothing)."""
-    bad = runs.where(F.try_parse_json(F.coalesce(F.nullif(F.trim("stdout"), F.lit("")), F.lit("[]"))).isNull())
+    bad = runs.where(_json(empty).isNull())
     if when_empty:
-        bad = bad.unionByName(runs.where(F.try_parse_json(F.coalesce(F.nullif(F.trim("stdout"), F.lit("")), F.lit("[]"))).isNotNull()).join(found.select("run").distinct(), "run", "left_anti"))
+        bad = bad.unionByName(runs.where(_json(empty).isNotNull()).join(found.select("run").distinct(), "run", "left_anti"))
     return _shaped(found).unionByName(text(bad))
 
 
@@ -143,7 +159,7 @@ def semgrep(runs: DataFrame) -> DataFrame:
         F.coalesce(_get("$.extra.message"), F.lit("Semgrep finding")).alias("message"), F.lower(F.coalesce(_get("$.extra.severity"), F.lit("error"))).alias("severity"),
         F.coalesce(fix != "", F.lit(False)).alias("fixable"), F.when(fix != "", "rule").alias("fix_safety"), F.substring(F.nullif(fix, F.lit("")), 1, 500).alias("fix_preview"),
     )
-    return _with_fallback(runs, found).unionByName(_shaped(broken))
+    return _with_fallback(runs, found, empty=None).unionByName(_shaped(broken))
 
 
 def basedpyright(runs: DataFrame) -> DataFrame:
@@ -152,7 +168,7 @@ def basedpyright(runs: DataFrame) -> DataFrame:
         "run", "pos", "tool", _get("$.file").alias("path"), (_get("$.range.start.line", "int") + 1).alias("line"), (_get("$.range.start.character", "int") + 1).alias("column"), _get("$.rule").alias("code"),
         F.coalesce(_get("$.message"), F.lit("type error")).alias("message"), F.coalesce(_get("$.severity"), F.lit("error")).alias("severity"),
     )
-    return _with_fallback(runs, found)
+    return _with_fallback(runs, found, empty=None)
 
 
 def json_list(runs: DataFrame) -> DataFrame:
@@ -219,13 +235,18 @@ def surviving(runs: DataFrame) -> DataFrame:
 
 
 def import_times(runs: DataFrame, budget_ms: int = 1000) -> DataFrame:
-    """The cumulative microseconds of the last row of an import-time table, where over budget."""
-    rows = lines_of(runs).where(F.col("raw").rlike(r"^import time:\s*\d+ \|\s*\d+ \|"))
+    """The cumulative microseconds of the last row of an import-time table, where over budget; a failed import with what it said beside the table."""
+    timed = r"^import time:\s*\d+ \|\s*\d+ \|"
+    rows = lines_of(runs.where("exit_code = 0")).where(F.col("raw").rlike(timed))
     last = rows.groupBy("run", "tool").agg(F.max_by("raw", "pos").alias("raw"), F.max("pos").alias("pos"))
     parts = F.split("raw", r"\|")
     ms = F.floor(F.trim(parts[1]).try_cast("long") / 1000)
     message = F.concat(F.lit("importing "), F.trim(parts[2]), F.lit(" takes "), ms.cast("string"), F.lit(" ms"))
-    return _shaped(last.where(ms > budget_ms).select("run", "pos", "tool", F.lit("BHPERF001").alias("code"), message.alias("message"), F.lit("warning").alias("severity")))
+    slow = last.where(ms > budget_ms).select("run", "pos", "tool", F.lit("BHPERF001").alias("code"), message.alias("message"), F.lit("warning").alias("severity"))
+    said = F.filter(F.split(F.coalesce("stderr", F.lit("")), "\r\n|\n|\r"), lambda line: ~F.startswith(line, F.lit("import time:")))
+    detail = F.coalesce(F.nullif(F.btrim(F.array_join(said, "\n"), F.lit(_WHITE)), F.lit("")), F.btrim("stderr", F.lit(_WHITE)), F.lit(""))
+    failed = runs.where("exit_code <> 0").select("run", F.lit(0).alias("pos"), "tool", F.lit("BHPERF001").alias("code"), F.concat(F.lit("import failed: "), F.right(detail, F.lit(1000))).alias("message"), F.lit("warning").alias("severity"))
+    return _shaped(slow).unionByName(_shaped(failed))
 
 
 for _name, _parser in {"text": text, "pydoclint": headed, "ruff": ruff, "pylint": pylint, "semgrep": semgrep, "basedpyright": basedpyright, "json": json_list, "sarif": sarif, "helper": helper, "mutmut": surviving, "importtime": import_times}.items():
@@ -243,22 +264,19 @@ def _first(paths: tuple[str, ...], kind: str = "string") -> Column:
     return F.coalesce(*(_get(p, kind) for p in paths)) if paths else F.lit(None).cast(kind)
 
 
-def spec(items: tuple[str, ...], message: tuple[str, ...], default: str, path=(), line=(), column=(), code=(), severity=(), level: str = "error", raw: bool = False, inner: tuple[str, ...] = (), outer_path=(), code_prefix: str = "", when_empty: bool = True, quiet: str | None = None, base: int = 0) -> Parser:
+def spec(items: tuple[str, ...], message: tuple[str, ...], default: str, path=(), line=(), column=(), code=(), severity=(), level: str = "error", raw: bool = False, inner: tuple[str, ...] = (), outer_path=(), code_prefix: str = "", when_empty: bool = True, quiet: str | None = None, base: int = 0, empty: str | None = "[]") -> Parser:
     """A parser for JSON whose fields are at the given paths, the first that is there.
 
     items: where the list is; inner: a list inside each item, whose path may be the outer item's (outer_path).
     quiet: output with this text means that nothing was in scope. base: added to lines and columns. raw: severities
-    stay as they are, in lower case.
+    stay as they are, in lower case. empty: what an output without a word stands for.
     """
     words = lambda: F.lower(F.coalesce(_first(severity), F.lit(level))) if raw else fx.parsed_severity(_first(severity), level)
 
     def parser(runs: DataFrame) -> DataFrame:
         if quiet:
             runs = runs.where(~F.contains(F.concat("stdout", F.coalesce("stderr", F.lit(""))), F.lit(quiet)))
-        rows = _items(runs, *items).withColumn("place", _first(outer_path))
-        if inner:
-            nested = F.coalesce(*(_get(p, "array<variant>") for p in inner))
-            rows = rows.select("run", "tool", "place", F.col("pos").alias("outer"), F.posexplode(nested).alias("p", "item")).withColumn("pos", F.col("outer") * 10_000 + F.col("p"))
+        rows = _nested(runs, items, inner, outer_path) if inner else _items(runs, *items).withColumn("place", _first(outer_path))
         found = rows.select(
             "run",
             F.col("pos").cast("int").alias("pos"),
@@ -270,7 +288,7 @@ def spec(items: tuple[str, ...], message: tuple[str, ...], default: str, path=()
             F.coalesce(_first(message), F.lit(default)).alias("message"),
             words().alias("severity") if severity else F.lit(level).alias("severity"),
         )
-        return _with_fallback(runs, found, when_empty)
+        return _with_fallback(runs, found, when_empty, empty)
 
     return parser
 
@@ -279,47 +297,51 @@ register("shellcheck", spec(("$.comments",), ("$.message",), "ShellCheck finding
 register("hadolint", spec((), ("$.message",), "Hadolint finding", path=("$.file",), line=("$.line",), column=("$.column",), code=("$.code",), severity=("$.level",), level="warning"))
 register("sqlfluff", spec((), ("$.description", "$.message"), "SQLFluff finding", line=("$.start_line_no", "$.line_no"), column=("$.start_line_pos", "$.line_pos"), code=("$.code",), inner=("$.violations",), outer_path=("$.filepath", "$.path")))
 register("golangci-lint", spec(("$.Issues", "$.issues"), ("$.Text", "$.text"), "Go correctness finding", path=("$.Pos.Filename", "$.pos.filename"), line=("$.Pos.Line", "$.pos.line"), column=("$.Pos.Column", "$.pos.column"), code=("$.FromLinter", "$.fromLinter", "$.linter")))
-register("bandit", spec(("$.results",), ("$.issue_text",), "Bandit finding", path=("$.filename",), line=("$.line_number",), column=("$.col_offset",), code=("$.test_id",), severity=("$.issue_severity",), raw=True, when_empty=False))
+register("bandit", spec(("$.results",), ("$.issue_text",), "Bandit finding", path=("$.filename",), line=("$.line_number",), column=("$.col_offset",), code=("$.test_id",), severity=("$.issue_severity",), raw=True, when_empty=False, empty=None))
 
 
 def phpstan(runs: DataFrame) -> DataFrame:
-    """Messages by file, then errors without a place."""
-    parsed = runs.withColumn("doc", F.try_parse_json("stdout")).where("doc IS NOT NULL")
-    files = parsed.select("run", "tool", F.posexplode(F.map_entries(F.try_variant_get("doc", "$.files", "map<string,variant>"))).alias("outer", "f"))
-    messages = files.select("run", "tool", "outer", F.col("f.key").alias("path"), F.posexplode(F.try_variant_get(F.col("f.value"), "$.messages", "array<variant>")).alias("p", "item"))
-    found = messages.select("run", (F.col("outer") * 10_000 + F.col("p")).alias("pos"), "tool", "path", _get("$.line", "int").alias("line"), _get("$.identifier").alias("code"), F.coalesce(_get("$.message"), F.lit("PHPStan finding")).alias("message"), F.lit("error").alias("severity"))
-    loose = parsed.select("run", "tool", F.posexplode(F.try_variant_get("doc", "$.errors", "array<string>")).alias("p", "message")).select("run", (F.col("p") + 1_000_000_000).alias("pos"), "tool", "message", F.lit("error").alias("severity"))
-    return _with_fallback(runs, _shaped(found).unionByName(_shaped(loose)))
+    """Messages by file, then errors without a place, numbered through."""
+    parsed = runs.withColumn("doc", _json("{}")).where("doc IS NOT NULL")
+    files = F.coalesce(F.map_entries(F.try_variant_get("doc", "$.files", "map<string,variant>")), F.array())
+    of_file = lambda f: F.coalesce(F.transform(F.try_variant_get(f["value"], "$.messages", "array<variant>"), lambda m: F.struct(f["key"].alias("path"), m.alias("item"), F.lit(None).cast("string").alias("loose"))), F.array())
+    loose = F.transform(F.coalesce(F.try_variant_get("doc", "$.errors", "array<string>"), F.array()), lambda e: F.struct(F.lit(None).cast("string").alias("path"), F.lit(None).cast("variant").alias("item"), e.alias("loose")))
+    rows = parsed.select("run", "tool", F.posexplode(F.concat(F.flatten(F.transform(files, of_file)), loose)).alias("pos", "x")).select("run", "tool", "pos", "x.*")
+    found = rows.select("run", "pos", "tool", "path", _get("$.line", "int").alias("line"), _get("$.identifier").alias("code"), F.coalesce("loose", _get("$.message"), F.lit("PHPStan finding")).alias("message"), F.lit("error").alias("severity"))
+    return _with_fallback(runs, found, when_empty=True, empty="{}")
 
 
 def clippy(runs: DataFrame) -> DataFrame:
-    """Compiler messages among JSON lines, at their primary span."""
-    rows = lines_of(runs).withColumn("item", F.try_parse_json("raw")).where(F.try_variant_get("item", "$.reason", "string") == "compiler-message")
+    """Compiler messages among JSON lines, at their primary span; a failed run without any speaks for itself."""
+    rows = lines_of(runs.withColumn("stderr", F.lit(""))).withColumn("item", F.try_parse_json("raw")).where(F.try_variant_get("item", "$.reason", "string") == "compiler-message")
     spans = F.filter(_get("$.message.spans", "array<variant>"), lambda s: F.try_variant_get(s, "$.is_primary", "boolean"))
     rows = rows.withColumn("span", F.get(spans, F.lit(0))).where(_get("$.message.level").isin("error", "warning"))
     at = lambda p, k="string": F.try_variant_get("span", p, k)
-    return _shaped(rows.select("run", "pos", "tool", at("$.file_name").alias("path"), at("$.line_start", "int").alias("line"), at("$.column_start", "int").alias("column"), _get("$.message.code.code").alias("code"), _get("$.message.message").alias("message"), _get("$.message.level").alias("severity")))
+    message = F.coalesce(F.nullif(_get("$.message.message"), F.lit("")), F.lit("Clippy finding"))
+    return _lines_or_text(runs, rows.select("run", "pos", "tool", at("$.file_name").alias("path"), at("$.line_start", "int").alias("line"), at("$.column_start", "int").alias("column"), _get("$.message.code.code").alias("code"), message.alias("message"), _get("$.message.level").alias("severity")))
 
 
 def cppcheck(runs: DataFrame) -> DataFrame:
-    """XML on stderr: each error at its first location."""
-    place = "struct<_file: string, _line: int, _column: int>"
-    schema = f"struct<errors: struct<error: array<struct<_id: string, _severity: string, _msg: string, location: array<{place}>>>>>"
-    xml = F.when(F.contains(F.coalesce("stderr", F.lit("")), F.lit("<results")), F.col("stderr")).otherwise(F.col("stdout"))
-    rows = runs.select("run", "tool", F.posexplode(F.from_xml(xml, schema, {"mode": "PERMISSIVE"}).getField("errors").getField("error")).alias("pos", "e"))
+    """XML on stderr: each error at its first location. What is no XML there is read as text."""
+    place = "struct<_file: string, _line: string, _column: string>"
+    schema = f"struct<errors: struct<error: array<struct<_id: string, _severity: string, _msg: string, _verbose: string, location: array<{place}>>>>, broken: string>"
+    parsed = runs.withColumn("x", F.from_xml(F.trim("stderr"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
+    whole = F.coalesce(F.trim("stderr").like("<%") & F.col("x").isNotNull() & F.col("x.broken").isNull(), F.lit(False))
+    rows = parsed.where(whole).select("run", "tool", F.posexplode("x.errors.error").alias("pos", "e"))
     first = F.get("e.location", F.lit(0))
-    severity = F.when(F.col("e._severity") == "error", "error").when(F.col("e._severity").isin("warning", "performance", "portability"), "warning").otherwise("note")
-    return _shaped(rows.select("run", "pos", "tool", first.getField("_file").alias("path"), first.getField("_line").alias("line"), first.getField("_column").alias("column"), F.col("e._id").alias("code"), F.col("e._msg").alias("message"), severity.alias("severity")))
+    number = lambda f: F.when(first.getField(f).rlike("^[0-9]+$"), first.getField(f).try_cast("int"))
+    severity = fx.parsed_severity(F.col("e._severity"), "warning")
+    message = F.coalesce(F.nullif("e._verbose", F.lit("")), F.nullif("e._msg", F.lit("")), F.lit("Cppcheck finding"))
+    found = rows.select("run", "pos", "tool", first.getField("_file").alias("path"), number("_line").alias("line"), number("_column").alias("column"), F.col("e._id").alias("code"), message.alias("message"), severity.alias("severity"))
+    return _shaped(found).unionByName(text(parsed.where(~whole).drop("x")))
 
 
 def eslint(runs: DataFrame) -> DataFrame:
     """Messages by file, or a plain list of diagnostics; severity 2 is an error, and a fix wants review."""
-    rows = _items(runs, "$.results", "$.diagnostics")
-    nested = F.coalesce(_get("$.messages", "array<variant>"), _get("$.diagnostics", "array<variant>"), F.array("item"))
-    rows = rows.select("run", "tool", _first(("$.filePath", "$.path", "$.filename")).alias("place"), F.col("pos").alias("outer"), F.posexplode(nested).alias("p", "item"))
+    rows = _nested(runs, ("$.results", "$.diagnostics"), ("$.messages", "$.diagnostics"), ("$.filePath", "$.path", "$.filename"), alone=True)
     fix = _get("$.fix", "variant").isNotNull() & (F.schema_of_variant(_get("$.fix", "variant")) != "VOID")
     found = rows.select(
-        "run", (F.col("outer") * 10_000 + F.col("p")).alias("pos"), "tool", F.coalesce("place", _first(("$.filePath", "$.path", "$.filename"))).alias("path"), _first(("$.line", "$.start_line"), "int").alias("line"), _first(("$.column", "$.start_column"), "int").alias("column"),
+        "run", "pos", "tool", F.coalesce("place", _first(("$.filePath", "$.path", "$.filename"))).alias("path"), _first(("$.line", "$.start_line"), "int").alias("line"), _first(("$.column", "$.start_column"), "int").alias("column"),
         _first(("$.ruleId", "$.rule_id", "$.code")).alias("code"), F.coalesce(_first(("$.message", "$.description")), F.concat("tool", F.lit(" finding"))).alias("message"), F.when(_get("$.severity").isin("2", "error"), "error").otherwise("warning").alias("severity"),
         F.coalesce(fix, F.lit(False)).alias("fixable"), F.when(fix, "review").alias("fix_safety"),
     )

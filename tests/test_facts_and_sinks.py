@@ -1,11 +1,12 @@
 import json
+import random
 
 from pyspark.sql import functions as F
 
 from siftspark.functions import evidence, symbols
 from siftspark.functions import semantic as sem
-from siftspark.operators import compare, graph, lattice, report
-from siftspark.sources import sinks
+from siftspark.operators import compare, graph, lattice, patterns, report
+from siftspark.sources import inventory, parsers, sinks
 from siftspark.streaming import live
 
 
@@ -67,8 +68,8 @@ def test_joins_and_aggregates(spark):
     sites = rows("path string, line int", ("b", 1), ("a", 2))
     assert [tuple(r) for r in report.missing_evidence(sites, sites.limit(0)).collect()] == [("a", 2, 2)]
     assert report.missing_evidence(sites, sites).count() == 0
-    log = rows("text string", ("unresolved calls: 3",), ("unresolved calls: 4",), ("fine",))
-    assert [tuple(r) for r in graph.unresolved_summary(log).collect()] == [("calls", 7)]
+    log = rows("run string, text string", ("a", "nodes: 3\ncalls: resolved=12 open=1\nlikely_internal_unresolved=4\n"), ("b", "likely_internal_unresolved=0"), ("c", "fine, unresolved=3"), ("d", "likely_internal_unresolved=2"), ("e", None))
+    assert sorted(tuple(r) for r in graph.unresolved_summary(log).collect()) == [("a", 4, "12"), ("d", 2, "unknown")]
 
 
 def test_correlation_ids_stay_distinct_beyond_four_digits(spark):
@@ -107,8 +108,40 @@ def test_lines_of_pieces_in_a_stream(spark, tmp_path):
 
 def test_boundaries_inside_words_count_as_named(spark):
     calls = spark.createDataFrame([("open",), ("socket",), ("a.b(",)], "boundary string")
-    bodies = spark.createDataFrame([("raises reopened",), ("socket but no marker",), ("raises a.b(c)",)], "body string")
-    assert [r[0] for r in compare.unnamed_boundaries(calls, bodies, "raises").collect()] == ["socket"]
+    bodies = spark.createDataFrame([("raises reOpened",), ("socket but no marker",), ("Raises a.b(c)",), (None,)], "body string")
+    for most in (100, 0):
+        assert [r[0] for r in compare.unnamed_boundaries(calls, bodies, "raises", most).collect()] == ["socket"]
+
+
+def test_names_in_texts_both_ways(spark):
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choice("abcé.") for _ in range(n))
+    names = sorted({word(rnd.randint(1, 9)) for _ in range(300)})
+    texts = [word(rnd.randint(0, 60)) for _ in range(40)] + ["a", "", None] + ["abc" * 40] * 3
+    n, t = spark.createDataFrame([*((x,) for x in names), (None,), ("",), (names[0],)], "name string"), spark.createDataFrame([(x,) for x in texts], "text string")
+    want = [x for x in names if any(x in t for t in texts if t)]
+    assert 20 < len(want) < len(names) - 20
+    for most in (1000, 0):
+        assert sorted(r.name for r in patterns.occurring(n, t, most).collect()) == want
+        assert patterns.occurring(n.limit(0), t, most).collect() == [] and patterns.occurring(n, t.limit(0), most).collect() == []
+
+
+def test_sizes_stay_where_heads_are_missing(spark):
+    files = spark.createDataFrame([("./a/x.py", 5_000_000, None), ("a//x.py", 3, "h"), ("b/y.py", 7_000_000, None), ("a/.git/z.py", 1, "z"), ("a/w.txt", 1, "w")], "path string, size long, head string")
+    assert [tuple(r) for r in inventory.in_scope(files, ["."], (".py",), (".git",)).collect()] == [("a/x.py", 5_000_000, "h"), ("b/y.py", 7_000_000, None)]
+
+
+def test_more_than_ten_thousand_messages_of_a_file_keep_their_places(spark):
+    out = json.dumps({"files": {f: {"messages": [{"line": i, "message": f"m{i}"} for i in range(10_002)]} for f in ("a.php", "b.php")}, "errors": ["loose"]})
+    runs = spark.createDataFrame([("r", "phpstan", 1, out, "")], "run string, tool string, exit_code int, stdout string, stderr string")
+    rows = parsers.parse(runs, "phpstan").collect()
+    assert len(rows) == 20_005 == len({r.pos for r in rows})
+
+
+def test_broken_xml_is_read_as_text(spark):
+    runs = spark.createDataFrame([("r", "cppcheck", 1, "a.c:3: error: bad", "<results><errors><error id="), ("s", "cppcheck", 0, "", "<results><errors/></results>"), ("t", "cppcheck", 1, "", None)], "run string, tool string, exit_code int, stdout string, stderr string")
+    rows = {(r.run, r.path, r.line, r.message) for r in parsers.parse(runs, "cppcheck").collect()}
+    assert ("r", "a.c", 3, "bad") in rows and not [r for r in rows if r[0] == "s"]
 
 
 def test_name_and_annotation_evidence(spark):
