@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from siftspark.operators import scopes, verification
+from siftspark.operators import scopes, values, verification
 from siftspark.plans import adapters as a
-from siftspark.plans import project_sources
+from siftspark.plans import project_sources, value_sources
 from siftspark.plans.queries import emitted, query
 from siftspark.session import stored
 from siftspark.sources import syntax
@@ -29,3 +29,8 @@ def fault_boundaries(spark, d):
 
 
 emitted("BHFAULT001", "fault_boundaries")
+
+
+@query(value_sources.findings_sql())
+def value_contradictions(spark, d):
+    return values.contradictions(syntax.nodes(value_sources.sources(a.table(spark, d, "part")))).drop("message")
