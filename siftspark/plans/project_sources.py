@@ -83,3 +83,40 @@ UNION ALL SELECT 'BHVERIFY002', 'src/shop/s' || k || '.py', 29, 'warning', 'run'
 #: A test of failure names run and its supplier's key, which may begin with another key: run12 has run1 in it.
 FAULTS_SQL = f"""{_RING} SELECT 'src/shop/s' || k || '.py' AS path, 31 AS line, 'shop.s' || k || '.run' || k AS function, 'subprocess.run' AS boundary
 FROM ring WHERE NOT EXISTS (SELECT 1 FROM ring t WHERE t.k % 3 = 0 AND contains('run' || t.k, 'run' || ring.k))"""
+
+#: Threads of a supplier's module: @ stands for its key. Two functions write one name and one file; what guards them and what starts them depends on the key.
+THREADS = """import threading
+total = 0
+def add@():
+    global total
+    total = total + 1
+    log = open('log@', 'w')
+
+def reset@():
+    global total
+    %guard%
+        total = 0
+
+def tidy@():
+    log = open('log@', 'a')
+
+def go@():
+    reset@()
+
+def start@(pool):
+    threading.Thread(target=add@)
+    pool.%start%(go@, tidy@)
+    pool.run(tidy@)
+"""
+
+
+def threads(supplier: DataFrame) -> DataFrame:
+    """path and source: a lock guards the second writer of every second supplier, its thread starts for every third."""
+    key = F.col("s_suppkey").cast("string")
+    guard = F.when(F.col("s_suppkey") % 2 == 0, "with self.write_lock:").otherwise("if pool:")
+    start = F.when(F.col("s_suppkey") % 3 == 0, "submit").otherwise("map")
+    text = F.replace(F.replace(F.replace(F.lit(THREADS), F.lit("@"), key), F.lit("%guard%"), guard), F.lit("%start%"), start)
+    return supplier.select(F.concat(F.lit("src/run"), key, F.lit(".py")).alias("path"), text.alias("source"))
+
+
+THREADS_SQL = """SELECT 'src/run' || s_suppkey || '.py' AS file, 'global:total' AS target, ['add' || s_suppkey, 'reset' || s_suppkey] AS functions, 5 AS line FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 3 = 0"""

@@ -1350,7 +1350,7 @@ def emitted(code: str, name: str, where: str = "TRUE") -> None:
 
 
 for _code, *_source in (
-    ("BHCFG002", "env_missing"), ("BHCFG003", "secret_values"), ("BHCONC001", "multi_writer"), ("BHCOV002", "branch_gaps"), ("BHDIFF001", "version_diff"), ("BHDIS001", "checker_disagreement"), 
+    ("BHCFG002", "env_missing"), ("BHCFG003", "secret_values"), ("BHCOV002", "branch_gaps"), ("BHDIFF001", "version_diff"), ("BHDIS001", "checker_disagreement"), 
     ("BHINV001", "predicate_consistency"), ("BHPLC001", "contradictory_checks"), ("BHRT001", "uncovered_pairs"), ("BHRT002", "naming_pairs", "partner IS NULL"), ("BHSEAM002", "forwarding_mismatch"), ("BHSEAM003", "producer_consumer_drift"),
     ("BHSEAM004", "schema_drift"), ("BHSEM010", "nullable_dereference"), ("BHUNIT004", "contract_clash"), ("BHVERIFY001", "verification_gap"), ("BHVERIFY002", "boundary_gap"),
 ):

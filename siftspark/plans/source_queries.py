@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftspark.operators import scopes, values, verification
+from siftspark.operators import concurrency, scopes, values, verification
 from siftspark.plans import adapters as a
 from siftspark.plans import project_sources, value_sources
 from siftspark.plans.queries import emitted, query
@@ -34,3 +34,11 @@ emitted("BHFAULT001", "fault_boundaries")
 @query(value_sources.findings_sql())
 def value_contradictions(spark, d):
     return values.contradictions(syntax.nodes(value_sources.sources(a.table(spark, d, "part")))).drop("message")
+
+
+@query(project_sources.THREADS_SQL)
+def unsynchronized_writers(spark, d):
+    return concurrency.unsynchronized(stored(syntax.nodes(project_sources.threads(a.table(spark, d, "supplier"))), "nodes"))
+
+
+emitted("BHCONC001", "unsynchronized_writers")

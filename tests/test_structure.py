@@ -8,7 +8,7 @@ import time
 
 import pytest
 
-from siftspark.operators import rules, scopes, structure, verification
+from siftspark.operators import concurrency, rules, scopes, structure, verification
 from siftspark.sources import syntax
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -219,3 +219,16 @@ def test_gaps_of_a_project(spark):
     sources = spark.createDataFrame(list(happy.items()), "path string, source string")
     got = {(r.code, r.path, r.line, r.message.split(": ")[-1]) for r in verification.gaps(sources, syntax.nodes(sources).cache()).collect() if r.code == "BHVERIFY002"}
     assert got == {("BHVERIFY002", "src/p/a.py", 4, "subprocess.run"), ("BHVERIFY002", "src/p/a.py", 23, "cur.execute")}
+
+
+def test_writers_that_run_at_once(spark):
+    sources = {
+        "src/a.py": "import threading\nfrom b import far as near\ndef one():\n    global n\n    n = 1\ndef two():\n    def deep():\n        global n\n        n = 2\n    deep()\ndef far():\n    global n\n    n, m = 3, 4\ndef start():\n    threading.Thread(target=one)\n    create_task(two)\n    near()\n",
+        "src/b.py": "def w():\n    f = open('x', mode)\n    f = p.open('w')\ndef v():\n    f = p.open('ab')\n    lock.acquire()\ndef u():\n    f = p.open('x')\ndef go():\n    submit(w)\n    submit(v)\n    gather(u)\n",
+        "src/c.py": "def w():\n    global n\n    n = 1\ndef v():\n    global n\n    n = 2\n",
+        "broken.py": "def",
+    }
+    nodes = syntax.nodes(spark.createDataFrame(list(sources.items()), "path string, source string")).cache()
+    got = {(r.file, r.target, tuple(r.functions), r.line) for r in concurrency.unsynchronized(nodes).collect()}
+    # the function within counts for both; nothing is started in the third file
+    assert got == {("src/a.py", "global:n", ("deep", "one", "two"), 5), ("src/b.py", "file:method:p.open", ("u", "w"), 3)}
