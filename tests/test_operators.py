@@ -146,7 +146,7 @@ def test_json_parsers_and_fallback(spark):
     assert values(parsers.parse(runs(spark, '{"path": "p", "message": "ok"}\nbad\n'), "json-lines"), "path", "message") == [("p", "ok")]
     assert values(parsers.parse(runs(spark, json.dumps({"findings": [{"code": "C", "message": "m"}]})), "helper"), "code", "severity") == [("C", "warning")]
     assert values(parsers.parse(runs(spark, "src/a.py\n 12: DOC101: bad\nsrc/b.py\n 3: DOC202: worse\n"), "pydoclint"), "path", "line", "code") == [("src/a.py", 12, "DOC101"), ("src/b.py", 3, "DOC202")]
-    assert values(parsers.parse(runs(spark, "import time: 5 | 10 | a\nimport time: 5 | 2500000 | pkg\n"), "importtime"), "code", "message") == [("BHPERF001", "importing pkg takes 2500 ms")]
+    assert values(parsers.parse(runs(spark, "import time: 5 | 10 | a\nimport time: 5 | 2500000 | pkg\n", 0), "importtime"), "code", "message") == [("BHPERF001", "importing pkg takes 2500 ms")]
     assert values(parsers.parse(runs(spark, "m1 survived\nm2 killed"), "mutmut"), "message") == [("m1 survived",)]
 
 
