@@ -2,7 +2,7 @@
 
 A set's signature has KEYS coordinates: the least of its shingles' hashes under each of as many hash functions. A
 coordinate and its value are one key, so two sets share as many keys as coordinates agree: of two at Jaccard
-similarity 0.8, 51 of 64 on average, and fewer than SHARED (32) once in some ten million pairs. Pairs above that
+similarity 0.8, 51 of 64 on average, and fewer than SHARED (32) once in some fifty million pairs. Pairs above that
 threshold are found as follows.
 
 1. Prefix: keys are ordered by how many sets have them, rare ones first. Of two sets that share SHARED keys, the
