@@ -41,8 +41,8 @@ TRAILING = ("trailing", "tan_dose_30m", "_30m", "trailing_")
 FORWARD_START = ("best_", "_start", "_begin", "window_start")
 QUANTITY = ("irradiance", "radiation", "dose", "uv_index", "uvi", "_wm2", "_j_m2", "sed_", "score", "pigment", "uva", "uvb", "vitamin", "erythemal")
 QUALITY = ("_complete", "_coverage", "_coverage_fraction", "_valid", "_stale", "_version", "_confidence", "_source")
-#: How sure the kinds of evidence are; fixed values.
-RANKS = {"annotation": 1.00, "api-contract": 0.98, "schema": 0.95, "docstring": 0.85, "name": 0.80, "comment": 0.75, "conversion": 0.70, "magnitude": 0.20}
+#: How sure the two kinds of evidence are; fixed values.
+RANKS = {"annotation": 1.00, "name": 0.80}
 
 
 def _any(test, words: tuple[str, ...]) -> Column:

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.functions.evidence import QUALITY
 from siftspark.functions.findings import UNIT_SUFFIXES
 from siftspark.operators.structure import enclosing
 from siftspark.session import bucketed
@@ -386,8 +387,6 @@ register(
     SELECT c.path, c.line, 'error' AS severity, concat(c.name, ' leaves out settings that ', b.name, ' reads: ', array_join(array_sort(array_except(b.keys, c.keys)), ', ')) AS message FROM k b JOIN k c ON c.path = b.path AND c.lo <> b.lo
     WHERE lower(b.name) RLIKE '(build|compute|refresh|update|make)' AND size(b.keys) >= 2 AND lower(c.name) RLIKE '(fresh|valid|stale|manifest|version|check)' AND size(array_except(b.keys, c.keys)) > 0""",
 )
-#: Endings of names of what says how good a quantity is; fixed values.
-QUALITY_SUFFIXES = ("_complete", "_coverage", "_coverage_fraction", "_valid", "_stale", "_version", "_confidence", "_source")
 register(
     "BHMETA002",
     f"""WITH d AS (
@@ -395,7 +394,7 @@ register(
       UNION SELECT a.path, a.func, t.name FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field IN ('targets', 'target') AND t.kind = 'Name' WHERE a.kind IN ('Assign', 'AnnAssign')
       UNION SELECT a.path, a.func, k.value FROM {{n}} a JOIN {{n}} t ON t.path = a.path AND t.parent = a.lo AND t.field = 'targets' AND t.kind = 'Subscript' JOIN {{n}} b ON b.path = a.path AND b.parent = t.lo AND b.field = 'value' AND b.kind = 'Name' JOIN {{n}} k ON k.path = a.path AND k.parent = t.lo AND k.field = 'slice' AND k.vtype = 'str' WHERE a.kind = 'Assign'),
     r AS (SELECT DISTINCT x.path, x.func, x.lo, x.line, k.value AS key FROM {{n}} x JOIN {{n}} o ON o.path = x.path AND o.parent = x.lo AND o.kind = 'Dict' JOIN {{n}} k ON k.path = x.path AND k.parent = o.lo AND k.field = 'keys' AND k.vtype = 'str' WHERE x.kind = 'Return' AND x.func >= 0),
-    c AS (SELECT r.*, concat(CASE WHEN length(key) - length(replace(key, '_', '')) >= 2 THEN regexp_replace(key, '_[^_]*_[^_]*$', '') ELSE key END, s) AS wanted FROM r LATERAL VIEW explode(array('{"', '".join(QUALITY_SUFFIXES)}')) x AS s WHERE lower(key) NOT RLIKE '.({"|".join(QUALITY_SUFFIXES)})$')
+    c AS (SELECT r.*, concat(CASE WHEN length(key) - length(replace(key, '_', '')) >= 2 THEN regexp_replace(key, '_[^_]*_[^_]*$', '') ELSE key END, s) AS wanted FROM r LATERAL VIEW explode(array('{"', '".join(QUALITY)}')) x AS s WHERE lower(key) NOT RLIKE '.({"|".join(QUALITY)})$')
     SELECT c.path, c.line, 'warning' AS severity, concat(c.key, ' is returned without ', array_join(array_sort(collect_set(c.wanted)), ', ')) AS message FROM c JOIN d ON d.path = c.path AND d.func = c.func AND d.name = c.wanted
     LEFT ANTI JOIN r ON r.path = c.path AND r.lo = c.lo AND r.key = c.wanted GROUP BY c.path, c.lo, c.line, c.key""",
 )

@@ -1178,7 +1178,7 @@ def scoped_files(spark, d):
 
 
 @query("""WITH h AS (SELECT s_suppkey AS repo, 'c' || (s_suppkey % 7) AS commit, CASE WHEN s_nationkey % 4 > 0 THEN 'p' || s_suppkey END AS parent FROM supplier),
-r AS (SELECT DISTINCT l_suppkey AS repo, l_linenumber AS place, 'c' || (l_partkey % 7) AS base FROM lineitem WHERE l_linenumber <= 4 AND l_quantity = 50),
+r AS (SELECT DISTINCT l_suppkey AS repo, l_linenumber AS place, 'c' || (l_partkey % 7) AS base FROM lineitem WHERE l_linenumber <= 4),
 g AS (SELECT r.repo, place, max(base) AS base FROM r GROUP BY 1, 2)
 SELECT h.repo, coalesce((SELECT arg_min(base, place) FROM g WHERE g.repo = h.repo AND base <> commit), parent) AS revision FROM h WHERE coalesce((SELECT arg_min(base, place) FROM g WHERE g.repo = h.repo AND base <> commit), parent) IS NOT NULL""")
 def baselines(spark, d):
@@ -1186,7 +1186,7 @@ def baselines(spark, d):
 
     heads = a.table(spark, d, "supplier").selectExpr("s_suppkey AS repo", "concat('c', s_suppkey % 7) AS commit", "if(s_nationkey % 4 > 0, concat('p', s_suppkey), null) AS parent")
     names = "array('origin/main', 'origin/master', 'main', 'master', 'topic', 'topic', 'topic')"
-    refs = a.table(spark, d, "lineitem").where("l_quantity = 50").groupBy(F.col("l_suppkey").alias("repo"), F.expr(f"element_at({names}, cast(l_linenumber AS INT))").alias("ref")).agg(F.max(F.expr("concat('c', l_partkey % 7)")).alias("merge_base"))
+    refs = a.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("repo"), F.expr(f"element_at({names}, cast(l_linenumber AS INT))").alias("ref")).agg(F.max(F.expr("concat('c', l_partkey % 7)")).alias("merge_base"))
     return revisions.baseline(refs, heads, "repo")
 
 
@@ -1206,15 +1206,15 @@ def existing_paths(spark, d):
     return filters.existing_paths(a.table(spark, d, "lineitem").selectExpr("l_orderkey * 10 + l_linenumber AS id", "concat('m', cast(l_quantity AS INT), '.py') AS path"), files)
 
 
-@query("""WITH p AS (SELECT DISTINCT l_orderkey AS fn, l_linenumber AS position, 't' || (l_linenumber % 3) AS type FROM lineitem WHERE l_linenumber <= 3),
-v AS (SELECT 't' || n_regionkey AS type, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS nth, n_name AS value FROM nation WHERE n_regionkey < 3 AND n_nationkey < 20),
+@query("""WITH p AS (SELECT DISTINCT l_orderkey AS fn, l_linenumber AS position, 't' || (l_linenumber % 3) AS type FROM lineitem),
+v AS (SELECT 't' || n_regionkey AS type, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS nth, n_name AS value FROM nation WHERE n_regionkey < 3),
 n AS (SELECT type, count(*) AS n FROM v GROUP BY type),
 x AS (SELECT p.fn, p.position, p.type, n.n, product(n.n) OVER (PARTITION BY fn) AS total, coalesce(product(n.n) OVER (PARTITION BY fn ORDER BY position DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS step FROM p JOIN n USING (type)),
 c AS (SELECT *, unnest(range(CAST(least(total, 20) AS BIGINT))) AS case_no FROM x)
 SELECT fn, case_no, position, value FROM c JOIN v ON v.type = c.type AND v.nth = (case_no // CAST(step AS BIGINT)) % n""")
 def sample_cases(spark, d):
-    parameters = a.table(spark, d, "lineitem").where("l_linenumber <= 3").selectExpr("l_orderkey AS fn", "l_linenumber AS position", "concat('t', l_linenumber % 3) AS type").distinct()
-    nations = a.table(spark, d, "nation").where("n_regionkey < 3 AND n_nationkey < 20").withColumn("nth", F.expr("row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1").cast("long"))
+    parameters = a.table(spark, d, "lineitem").selectExpr("l_orderkey AS fn", "l_linenumber AS position", "concat('t', l_linenumber % 3) AS type").distinct()
+    nations = a.table(spark, d, "nation").where("n_regionkey < 3").withColumn("nth", F.expr("row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1").cast("long"))
     return compare.sample_cases(parameters, nations.selectExpr("concat('t', n_regionkey) AS type", "nth", "n_name AS value"), 20)
 
 
@@ -1238,14 +1238,14 @@ def adjacency(spark, d):
     return graph.adjacency(a.chained_edges(spark, d))
 
 
-@query("""WITH s AS (SELECT p_partkey AS symbol, 'm' || (p_size % 5) AS module, 'n' || p_partkey AS name FROM part), x AS (SELECT 'pub' AS module, 'n' || p_partkey AS name, p_partkey AS symbol FROM part WHERE p_brand LIKE '%1'),
-m AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'pub' ELSE 'm' || (l_suppkey % 5) END AS module, 'n' || l_partkey AS name FROM lineitem WHERE l_quantity < 4)
+@query("""WITH s AS (SELECT p_partkey AS symbol, 'm' || (p_size % 50) AS module, 'n' || p_partkey AS name FROM part), x AS (SELECT 'pub' AS module, 'n' || p_partkey AS name, p_partkey AS symbol FROM part WHERE p_brand LIKE '%1'),
+m AS (SELECT DISTINCT CASE WHEN l_linenumber = 1 THEN 'pub' ELSE 'm' || (l_suppkey % 50) END AS module, 'n' || l_partkey AS name FROM lineitem)
 SELECT symbol FROM s WHERE symbol NOT IN (SELECT symbol FROM s JOIN m USING (module, name) UNION SELECT symbol FROM x JOIN m USING (module, name))""")
 def unmentioned_symbols(spark, d):
     p, li = a.table(spark, d, "part"), a.table(spark, d, "lineitem")
     exports = p.where("p_brand LIKE '%1'").selectExpr("'pub' AS module", "concat('n', p_partkey) AS name", "p_partkey AS symbol")
-    mentions = li.where("l_quantity < 4").selectExpr("if(l_linenumber = 1, 'pub', concat('m', l_suppkey % 5)) AS module", "concat('n', l_partkey) AS name")
-    return graph.unmentioned(p.selectExpr("p_partkey AS symbol", "concat('m', p_size % 5) AS module", "concat('n', p_partkey) AS name"), exports, mentions)
+    mentions = li.selectExpr("if(l_linenumber = 1, 'pub', concat('m', l_suppkey % 50)) AS module", "concat('n', l_partkey) AS name")
+    return graph.unmentioned(p.selectExpr("p_partkey AS symbol", "concat('m', p_size % 50) AS module", "concat('n', p_partkey) AS name"), exports, mentions)
 
 
 @query("SELECT o_custkey AS run, count(*) AS total, count(*) FILTER (o_orderstatus = 'F') AS done, count(*) FILTER (o_orderstatus = 'P') AS running, greatest(0, count(*) - count(*) FILTER (o_orderstatus = 'F') - count(*) FILTER (o_orderstatus = 'P')) AS queued FROM orders GROUP BY 1")

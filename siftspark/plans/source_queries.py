@@ -7,7 +7,7 @@ from siftspark.plans import adapters as a
 from siftspark.plans import project_sources, value_sources
 from siftspark.plans.queries import emitted, query
 from siftspark.session import stored
-from siftspark.sources import syntax
+from siftspark.sources import inventory, syntax
 
 
 @query(project_sources.uses_sql())
@@ -42,3 +42,12 @@ def unsynchronized_writers(spark, d):
 
 
 emitted("BHCONC001", "unsynchronized_writers")
+
+
+@query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'src/.git' WHEN 1 THEN 'src/lib/node_modules/m' WHEN 2 THEN 'src/git' ELSE 'docs' END || '/f' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '.txt' ELSE '.py' END AS path, p_size AS size FROM part)
+SELECT path, CAST(size AS BIGINT) AS size FROM f WHERE path LIKE 'src/git/%.py'""")
+def pruned_walk(spark, d):
+    """Files below a root, without those in folders that a walk doesn't enter; a folder whose name only ends like one stays."""
+    folder = "CASE p_partkey % 4 WHEN 0 THEN 'src/.git' WHEN 1 THEN './src/lib/node_modules/m' WHEN 2 THEN 'src//git' ELSE 'docs' END"
+    files = a.table(spark, d, "part").selectExpr(f"concat({folder}, '/f', p_partkey, if(p_size % 3 = 0, '.txt', '.py')) AS path", "CAST(p_size AS BIGINT) AS size", "CAST(NULL AS STRING) AS head")
+    return inventory.in_scope(files, ["src"], (".py",), (".git", "node_modules")).select("path", "size")
