@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from siftspark.operators import concurrency, scopes, values, verification
+from siftspark.operators import concurrency, scopes, seams, values, verification
 from siftspark.plans import adapters as a
-from siftspark.plans import project_sources, value_sources
+from siftspark.plans import project_sources, seam_sources, value_sources
 from siftspark.plans.queries import emitted, query
 from siftspark.session import stored
-from siftspark.sources import inventory, syntax
+from siftspark.sources import documents, inventory, syntax
 
 
 @query(project_sources.uses_sql())
@@ -44,6 +44,30 @@ def unsynchronized_writers(spark, d):
 emitted("BHCONC001", "unsynchronized_writers")
 
 
+def _seams(spark, d):
+    return stored(syntax.nodes(seam_sources.sources(a.table(spark, d, "supplier"))), "nodes")
+
+
+@query(seam_sources.FORWARDING_SQL)
+def rejected_keywords(spark, d):
+    return seams.rejected_keywords(_seams(spark, d))
+
+
+@query(seam_sources.SHAPES_SQL)
+def unmet_keys(spark, d):
+    return seams.unmet_keys(_seams(spark, d))
+
+
+@query(seam_sources.MODELS_SQL)
+def drifted_models(spark, d):
+    return seams.drifted_models(_seams(spark, d), documents.schemas(seam_sources.schema_files(a.table(spark, d, "supplier"))))
+
+
+@query(seam_sources.DOMAINS_SQL)
+def inconsistent_rejections(spark, d):
+    return seams.inconsistent_rejections(_seams(spark, d))
+
+
 @query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'src/.git' WHEN 1 THEN 'src/lib/node_modules/m' WHEN 2 THEN 'src/git' ELSE 'docs' END || '/f' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '.txt' ELSE '.py' END AS path, p_size AS size FROM part)
 SELECT path, CAST(size AS BIGINT) AS size FROM f WHERE path LIKE 'src/git/%.py'""")
 def pruned_walk(spark, d):

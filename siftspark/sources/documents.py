@@ -20,8 +20,8 @@ def _parsed(files: DataFrame) -> DataFrame:
     return files.where(F.endswith(F.lower("path"), F.lit(".json"))).withColumn("v", F.try_parse_json("text")).where("v IS NOT NULL")
 
 
-def schema_fields(files: DataFrame) -> DataFrame:
-    """path, name and field of every property of the schemas in JSON documents: the document itself if it has a title, components.schemas, and $defs or else definitions."""
+def schemas(files: DataFrame) -> DataFrame:
+    """path, name and fields of the schemas in JSON documents: the document itself if it has a title, components.schemas, and $defs or else definitions. Properties that are no object make no schema."""
     docs = _parsed(files)
     as_map = lambda p: F.try_variant_get("v", p, "map<string,variant>")
     none = F.array().cast("array<struct<key:string,value:variant>>")
@@ -30,7 +30,12 @@ def schema_fields(files: DataFrame) -> DataFrame:
     own = F.when(title.isNotNull() & as_map("$.properties").isNotNull(), F.array(F.struct(title.alias("key"), F.col("v").alias("value")))).otherwise(none)
     named = docs.select("path", F.explode(F.concat(own, entries(as_map("$.components.schemas")), entries(F.coalesce(as_map('$["$defs"]'), as_map("$.definitions"))))).alias("s"))
     fields = F.map_keys(F.try_variant_get(F.col("s.value"), "$.properties", "map<string,variant>"))
-    return named.select("path", F.col("s.key").alias("name"), F.explode(fields).alias("field"))
+    return named.select("path", F.col("s.key").alias("name"), fields.alias("fields")).where("fields IS NOT NULL")
+
+
+def schema_fields(files: DataFrame) -> DataFrame:
+    """path, name and field of every property of the schemas in JSON documents."""
+    return schemas(files).select("path", "name", F.explode("fields").alias("field"))
 
 
 def first_of_name(models: DataFrame) -> DataFrame:
