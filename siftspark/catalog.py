@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftspark.plans import queries as plans
-from siftspark.plans import source_queries  # noqa: F401 - registers its queries
+from siftspark.plans import source_queries, view_queries  # noqa: F401 - register their queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
