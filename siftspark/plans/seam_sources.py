@@ -93,3 +93,38 @@ MODELS_SQL = f"""WITH {_K} SELECT 'src/shop/c' || k || '.py' AS path, 'Box' || k
 #: The check that returns its argument rejects nothing. A complement differs from any finite set.
 DOMAINS_SQL = f"""WITH {_K} SELECT 'src/shop/c' || k || '.py' AS path, 43 AS line, 'tier' AS name, 37 AS first_line, ['low'] AS first_set,
 CASE WHEN k % 4 <> 3 THEN [lit] WHEN lit = 'low' THEN [] ELSE ['low'] END AS set FROM k WHERE lit <> 'low' OR k % 4 = 3"""
+
+_TRIPS = """import json
+def export_@(path):
+    return path
+def import_@(text):
+    return text
+class Store@:
+    def backup_@(self, n):
+        return json.dumps(n)
+    def restore_@(self):
+        return 1
+    def export_%(self, data):
+        return data
+def restore_x(n):
+    return n
+def read_backup(n):
+    return [open(x) for x in n]
+"""
+_TRIP_TESTS = "def test_trip():\n    assert import_@(export_@(1)) == 1\n"
+_TRIP_STORES = "class TestStore:\n    def test_store(self):\n        s.back.restore_@(), s.backup_@(1)\ndef test_one():\n    export_@(1)\ndef test_other():\n    import_@(1)\n"
+
+
+def trips(supplier: DataFrame) -> DataFrame:
+    """path and source: a module for each supplier; every second has a test of one round trip, every third one of the other; of every fifth the export is of a module."""
+    k = F.col("s_suppkey").cast("int")
+    filled = lambda text: F.replace(F.replace(F.lit(text), F.lit("%"), F.when(k % 5 == 0, "module").otherwise("rows")), F.lit("@"), k.cast("string"))
+    of = lambda rows, head, text: rows.select(F.concat(F.lit(head), k.cast("string"), F.lit(".py")).alias("path"), filled(text).alias("source"))
+    return of(supplier, "src/trip", _TRIPS).unionByName(of(supplier.where(k % 2 == 0), "tests/test_trip", _TRIP_TESTS)).unionByName(of(supplier.where(k % 3 == 0), "tests/test_store", _TRIP_STORES))
+
+
+TRIPS_SQL = f"""WITH {_K}, p AS (SELECT *, 'src/trip' || k || '.py' AS path FROM k)
+SELECT 'BHRT001' AS code, path, 2 AS line, 'export_' || k AS name, 'import_' || k AS partner FROM p WHERE k % 2 = 1
+UNION ALL SELECT 'BHRT001', path, 7, 'Store' || k || '.backup_' || k, 'Store' || k || '.restore_' || k FROM p WHERE k % 3 <> 0
+UNION ALL SELECT 'BHRT002', path, 11, 'Store' || k || '.export_rows', 'Store' || k || '.import_rows' FROM p WHERE k % 5 <> 0
+UNION ALL SELECT 'BHRT002', path, 15, 'read_backup', 'read_restore' FROM p"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from siftspark.operators import concurrency, scopes, seams, values, verification
+from siftspark.operators import concurrency, inverses, scopes, seams, values, verification
 from siftspark.plans import adapters as a
 from siftspark.plans import project_sources, seam_sources, value_sources
 from siftspark.plans.queries import emitted, query
@@ -68,6 +68,11 @@ def inconsistent_rejections(spark, d):
     return seams.inconsistent_rejections(_seams(spark, d))
 
 
+@query(seam_sources.TRIPS_SQL)
+def round_trips(spark, d):
+    return inverses.round_trips(stored(syntax.nodes(seam_sources.trips(a.table(spark, d, "supplier"))), "nodes"))
+
+
 @query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'src/.git' WHEN 1 THEN 'src/lib/node_modules/m' WHEN 2 THEN 'src/git' ELSE 'docs' END || '/f' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '.txt' ELSE '.py' END AS path, p_size AS size FROM part)
 SELECT path, CAST(size AS BIGINT) AS size FROM f WHERE path LIKE 'src/git/%.py'""")
 def pruned_walk(spark, d):

@@ -3,7 +3,7 @@
 import ast
 import random
 
-from siftspark.operators import seams
+from siftspark.operators import inverses, seams
 from siftspark.sources import documents, syntax
 
 DEFS = (ast.FunctionDef, ast.AsyncFunctionDef)
@@ -184,3 +184,20 @@ def test_no_nodes(spark):
     nodes = nodes_of(spark, {"a.py": "def", "b.py": None, "c.py": ""})
     schemas = documents.schemas(spark.createDataFrame([], "path string, text string"))
     assert all(df.isEmpty() for df in (seams.rejected_keywords(nodes), seams.unmet_keys(nodes), seams.drifted_models(nodes, schemas), seams.inconsistent_rejections(nodes)))
+
+
+def test_round_trips(spark):
+    files = {
+        "src/a.py": "def export_all_rows(n): pass\ndef import_all_rows(n): pass\ndef export_x(File): pass\ndef export_y(n):\n    def deep(): return p.Read_Text()\ndef import_z(n): return n\ndef backup_plugin(path): pass\ndef exported(path): pass\ndef export_import(data): pass\nasync def db_backup_now(*data, **path):\n    return toml\n",
+        "src/b.py": "class A:\n    def export(self, stream): pass\nclass A:\n    def restore(self): x.encode()\n    class In:\n        def export(self, data): pass\ndef import_it(self): pass\ndef backup(): pass\ndef f():\n    def export_q(data): pass\n",
+        "tests/test_a.py": "def test_out(): export_all_rows(1)\ndef helper(): export_all_rows(import_all_rows(1))\ndef export_t(path): pass\n",
+        "src/c.py": "def",
+    }
+    got = {(r.code, r.path, r.line, r.name, r.partner) for r in inverses.round_trips(nodes_of(spark, files)).collect()}
+    assert got == {
+        ("BHRT001", "src/a.py", 1, "export_all_rows", "import_all_rows"), ("BHRT002", "src/a.py", 3, "export_x", "import_x"), ("BHRT002", "src/a.py", 4, "export_y", "import_y"),
+        ("BHRT002", "src/a.py", 9, "export_import", "import_import"), ("BHRT002", "src/b.py", 4, "A.restore", "A.backup"),
+    }
+    files["tests/test_b.py"] = "class T:\n    def test_it(self):\n        def go(): m.export_all_rows(1)\n        return go, self.import_all_rows\n    def test_both(self): x(m.import_all_rows(), export_all_rows)(), m.export_all_rows(2)\n"
+    assert "BHRT001" not in {r.code for r in inverses.round_trips(nodes_of(spark, files)).collect()}
+    assert inverses.round_trips(nodes_of(spark, {"a.py": ""})).isEmpty()
