@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from siftspark.operators import compare
 from siftspark.sources import inventory
 
 
@@ -9,3 +10,13 @@ def test_files_of_one_path_count_each_and_show_once(spark):
     files = spark.createDataFrame([("a.py",), ("a.py",), ("b.py",)], "path string")
     got = inventory.classify(files, {"python": F.endswith("path", F.lit(".py"))}).collect()
     assert [tuple(r) for r in got] == [("python", 3, ["a.py", "b.py"])]
+
+
+def test_parameters_that_want_the_same_are_compared_once_and_all_reported(spark):
+    fact = "nominal string, frame string, unit string, shape array<string>, provenance string, confidence double"
+    arguments = spark.createDataFrame([(s, 1, 0, ("id" if s % 2 else "url", None, None, None, "a+b", 0.95)) for s in range(4)], f"site long, callee int, position int, actual struct<{fact.replace(' ', ':').replace(',:', ',')}>")
+    parameters = spark.range(2501).crossJoin(arguments.where("site = 0").select("callee", "position", F.col("actual").alias("wanted"))).drop("id")
+    clashes = compare.semantic_clashes(arguments, parameters)
+    assert sorted(map(tuple, clashes.groupBy("site", "code", "severity").count().collect())) == [(1, "BHSEM001", "error", 2501), (3, "BHSEM001", "error", 2501)]
+    join = clashes._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert "Aggregate" in join
