@@ -190,11 +190,11 @@ def run(nodes: DataFrame, codes: list[str] | None = None) -> DataFrame:
 
     The nodes are written once, dealt out by path, and what stands around each is found once, in a pass over them.
     """
-    spark, nodes = nodes.sparkSession, bucketed(nodes, "nodes", "path", "lo")
+    spark, nodes = nodes.sparkSession, bucketed(nodes, "nodes", "path", "kind", "field", "path", "lo")
     rules = {code: sql for code, sql in RULES.items() if codes is None or code in codes}
     around = nodes.where(AROUND).select("path", F.col("lo").alias("start"), F.col("hi").alias("stop"), "lo", "hi", "bfs", "field", "kind", "name", "line", "func")
     if any("{a}" in sql for sql in rules.values()):
-        around = bucketed(enclosing(nodes.select("path", F.col("lo").alias("place")), around).drop("start", "stop").withColumnRenamed("place", "below"), "around", "path", "below")
+        around = bucketed(enclosing(nodes.select("path", F.col("lo").alias("place")), around).drop("start", "stop").withColumnRenamed("place", "below"), "around", "path", "kind", "path", "below")
     found = [spark.sql(sql, n=nodes, a=around).withColumn("code", F.lit(code)).select("code", "path", "line", "severity", "message") for code, sql in rules.items()]
     return reduce(DataFrame.unionByName, found)
 

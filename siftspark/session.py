@@ -40,10 +40,10 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, name: str, key: str, *order: str) -> DataFrame:
-    """Like stored(), dealt out by the key, so that joins on it need no exchange. The catalogue entry that the writer needs goes again; the files stay."""
+    """Like stored(), dealt out by the key, so that joins on it need no exchange, and sorted by `order`, so that filters on its first columns skip pages. The catalogue entry that the writer needs goes again; the files stay."""
     spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key, *order).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(*(order or (key,))).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     table.schema  # resolved here, while the entry is there
     spark.sql(f"DROP TABLE {name}")

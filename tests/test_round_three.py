@@ -3,7 +3,15 @@
 from pyspark.sql import functions as F
 
 from siftspark.operators import compare
-from siftspark.sources import inventory
+from siftspark.sources import inventory, syntax
+
+
+def test_sources_of_one_partition_are_parsed_by_several_tasks(spark):
+    sources = spark.range(400).coalesce(1).select(F.concat(F.lit("p"), "id").alias("path"), F.concat(F.lit("x = "), "id").alias("source"))
+    nodes = syntax.nodes(sources)
+    assert nodes.groupBy(F.spark_partition_id()).count().count() > 1
+    assert nodes.count() == 4 * 400
+    assert sorted(map(tuple, nodes.collect())) == sorted(map(tuple, spark.sql("SELECT n.* FROM {s} s, LATERAL syntax_nodes(s.path, s.source) n", s=sources).collect()))
 
 
 def test_files_of_one_path_count_each_and_show_once(spark):
