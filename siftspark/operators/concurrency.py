@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siftspark.operators.graph import multi_writers, reachable
 from siftspark.operators.scopes import FUNCTIONS, resolved
 from siftspark.operators.structure import enclosing
-from siftspark.session import stored
+from siftspark.session import stored_wide
 
 DEPTH = 3
 #: Calls that start functions, and the keywords by which they take them; fixed values.
@@ -56,11 +56,11 @@ def synchronized(held: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def writers(nodes: DataFrame) -> DataFrame:
     """file, target, function, line, synchronized: assignments to global names, and of files opened to be written."""
-    held = stored(_held(nodes), "held-by-functions")
+    held = stored_wide(_held(nodes), "held-by-functions")
     sent = held.where("kind = 'Global'").select("path", "owner", F.explode(F.split("name", ",")).alias("name")).distinct()
     assigns = held.where("kind = 'Assign'").select("path", "owner", "lo", "line")
     target = nodes.where("field = 'targets'").groupBy("path", F.col("parent").alias("lo")).agg(F.count("*").alias("n"), F.first(F.struct("kind", "name")).alias("t")).where("n = 1 AND t.kind = 'Name'").select("path", "lo", "t.name")
-    single = stored(assigns.join(target, ["path", "lo"]), "single-targets")
+    single = stored_wide(assigns.join(target, ["path", "lo"]), "single-targets")
     to_global = single.join(sent, ["path", "owner", "name"], "left_semi").select("path", "owner", "line", F.concat(F.lit("global:"), "name").alias("target"))
     call = nodes.where("field = 'value' AND kind = 'Call'").select("path", F.col("parent").alias("lo"), F.col("lo").alias("call"))
     by = nodes.where("field = 'func' AND kind IN ('Name', 'Attribute')").where(_short() == "open").select("path", F.col("parent").alias("call"), F.col("kind").alias("by"), F.col("name").alias("called"))
@@ -90,7 +90,7 @@ def call_names(nodes: DataFrame) -> DataFrame:
 
 def unsynchronized(nodes: DataFrame) -> DataFrame:
     """nodes (read several times: store them first). file, target, functions, line where two functions or more that run at once write a target without a lock."""
-    roots = stored(started(nodes), "started")
+    roots = stored_wide(started(nodes), "started")
     run = reachable(call_names(nodes), roots.select(F.col("name").alias("root")).distinct(), DEPTH).select("root", "node")
     runs = roots.join(run, F.col("name") == F.col("root")).select(F.col("path").alias("file"), F.col("node").alias("function")).distinct()
     return multi_writers(writers(nodes).join(runs, ["file", "function"], "left_semi"))

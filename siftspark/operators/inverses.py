@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftspark.operators.compare import uncovered_pairs
 from siftspark.operators.scopes import FUNCTIONS
 from siftspark.operators.structure import enclosing
-from siftspark.session import stored
+from siftspark.session import stored_wide
 
 # Words that are inverse to each other, parameters and calls of operations on a user's data, words of names that have nothing to do with it.
 PAIRS = (("export", "import"), ("backup", "restore"))
@@ -56,7 +56,7 @@ def round_trips(nodes: DataFrame, tests: str = "tests/") -> DataFrame:
     speak of the program's own parts need no inverse. Files that are no Python have no nodes; empty tables give nothing.
     """
     of_tests = F.startswith("path", F.lit(tests))
-    found = stored(operations(nodes.where(~of_tests)), "operations")
+    found = stored_wide(operations(nodes.where(~of_tests)), "operations")
     full = lambda c: F.when(F.col("owner") == "", F.col(c)).otherwise(F.concat("owner", F.lit("."), c)).alias(c)
     # the partner has a word of the list too, so it is among the operations
     beside = found.select("path", "owner", F.col("name").alias("partner")).distinct()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siftspark.operators.graph import chain_ends
 from siftspark.operators.scopes import FUNCTIONS, imports, module_of
 from siftspark.operators.structure import enclosing
-from siftspark.session import stored
+from siftspark.session import stored_wide
 
 
 def _leaf(name: str = "name") -> Column:
@@ -69,11 +69,11 @@ def rejected_keywords(nodes: DataFrame) -> DataFrame:
     takes all; a call that reaches a function of its own file directly is left to type checkers. Keys are what the call
     names, itself or in a dict that is written out behind **; a parameter of a function in between doesn't take a key away.
     """
-    functions = stored(signatures(nodes), "signatures")
+    functions = stored_wide(signatures(nodes), "signatures")
     known = functions.select("path", F.col("name").alias("leaf"), F.lit(True).alias("own"))
     called = calls(nodes).join(known, ["path", "leaf"], "left").join(links(nodes, functions), ["path", "name"], "left")
     called = called.withColumn("target", F.when(F.col("own"), _id("path", "leaf")).otherwise(F.col("target"))).where("target IS NOT NULL")
-    called = stored(called.select("path", "call", "line", "bfs", "leaf", "own", "target"), "called")
+    called = stored_wide(called.select("path", "call", "line", "bfs", "leaf", "own", "target"), "called")
 
     given = nodes.where("kind = 'keyword'").select("path", F.col("parent").alias("call"), F.col("lo").alias("parent"), F.col("name").alias("key"))
     behind = given.where("key IS NULL").drop("key")
@@ -86,7 +86,7 @@ def rejected_keywords(nodes: DataFrame) -> DataFrame:
     takers = nodes.where(F.col("kind").isin(*FUNCTIONS)).select("path", "lo", "hi", "name", F.col("bfs").alias("order")).join(rests, ["path", "lo"])
     around = enclosing(handed.select("path", F.col("call").alias("place")), takers.select("path", F.col("lo").alias("start"), F.col("hi").alias("stop"), "name", "order", "rest")).withColumnRenamed("place", "call")
     forwards = handed.join(around, ["path", "call"]).where("var = rest").groupBy(_id().alias("name")).agg(F.max_by("target", F.struct("order", "bfs")).alias("target"))
-    forwards = stored(forwards, "forwards")
+    forwards = stored_wide(forwards, "forwards")
     ends = forwards.select("name").join(chain_ends(forwards).select("name", "terminal"), "name", "left").withColumn("moves", F.lit(True))
 
     passed = called.join(keys, ["path", "call"]).join(ends.withColumnRenamed("name", "target"), "target", "left")
@@ -124,15 +124,15 @@ def unmet_keys(nodes: DataFrame) -> DataFrame:
 
     Of a function's assignments to a name from such functions the last counts, at its line. What stands in a function within counts for both; equal rows are one.
     """
-    made = stored(shapes(nodes), "shapes")
+    made = stored_wide(shapes(nodes), "shapes")
     value = _child(nodes, "value", "kind = 'Call'", F.col("lo").alias("call"))
     assigns = nodes.where("kind = 'Assign'").select("path", F.col("lo").alias("parent"), "line", "bfs").join(value, ["path", "parent"])
     assigns = assigns.join(calls(nodes).select("path", "call", F.col("leaf").alias("producer")), ["path", "call"]).join(made, ["path", "producer"])
     assigns = assigns.join(_child(nodes, "targets", "kind = 'Name'", F.col("name").alias("var")), ["path", "parent"]).withColumnRenamed("parent", "place")
     functions = nodes.where(F.col("kind").isin(*FUNCTIONS)).select("path", F.col("lo").alias("start"), F.col("hi").alias("stop"), F.col("lo").alias("owner"))
     taken = reads(nodes).join(assigns.select("path", "var").distinct(), ["path", "var"], "left_semi")
-    assigns, taken = stored(assigns, "assigned"), stored(taken, "reads")
-    around = stored(enclosing(assigns.select("path", "place").unionByName(taken.select("path", "place")), functions), "around").select("path", "place", "owner")
+    assigns, taken = stored_wide(assigns, "assigned"), stored_wide(taken, "reads")
+    around = stored_wide(enclosing(assigns.select("path", "place").unionByName(taken.select("path", "place")), functions), "around").select("path", "place", "owner")
     last = assigns.join(around, ["path", "place"]).groupBy("path", "owner", "var").agg(F.max_by(F.struct("line", "producer", "keys"), "bfs").alias("a"))
     read = taken.join(around, ["path", "place"]).join(last, ["path", "owner", "var"]).where(~F.array_contains("a.keys", F.col("key")))
     rows = read.groupBy("path", "owner", "var", "a.line", "a.producer").agg(F.array_sort(F.collect_set("key")).alias("keys"))
@@ -182,7 +182,7 @@ def inconsistent_rejections(nodes: DataFrame) -> DataFrame:
 
     `==` stands for the set of its literal, `!=` for all but it: two sets that are written alike are equal, a finite one and a complement never are. first_set and set show both among the literals that the file's checks of the name hold.
     """
-    checks = stored(rejections(nodes), "rejections")
+    checks = stored_wide(rejections(nodes), "rejections")
     whole = checks.groupBy("path", "name").agg(F.min_by(F.struct("op", "literal", "line"), "place").alias("f"), F.collect_set("literal").alias("domain"))
     differ = checks.join(whole, ["path", "name"]).where("op <> f.op OR literal <> f.literal")
     rows = differ.groupBy("path", "name").agg(F.min_by(F.struct("line", "op", "literal", "f", "domain"), "place").alias("d")).select("path", "name", "d.*")

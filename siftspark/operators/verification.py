@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from siftspark.operators.patterns import MOST, occurring
 from siftspark.operators.scopes import FUNCTIONS, absolute, imports, module_of, regions, resolved
 from siftspark.operators.structure import enclosing
-from siftspark.session import stored
+from siftspark.session import stored_wide
 
 #: Calls that leave the process, by full name, by last name, and those of databases; fixed values.
 BOUNDARIES = (
@@ -137,12 +137,12 @@ def stubs(symbols: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def gaps(sources: DataFrame, nodes: DataFrame) -> DataFrame:
     """sources: path, source, and their nodes (read several times: store them first). code, path, line, severity, message of BHVERIFY001, BHIMPL001 and BHVERIFY002; a function has one of them at most."""
-    symbols = stored(functions(nodes), "functions")
-    keys = stored(names_of(symbols, nodes), "symbol-names")
-    tested = stored(keys.join(mentions(nodes), ["module", "name"], "left_semi").select("symbol").distinct(), "tested")
+    symbols = stored_wide(functions(nodes), "functions")
+    keys = stored_wide(names_of(symbols, nodes), "symbol-names")
+    tested = stored_wide(keys.join(mentions(nodes), ["module", "name"], "left_semi").select("symbol").distinct(), "tested")
     failing = mentions(nodes, failure_places(sources, nodes))
     failure = keys.join(failing, ["module", "name"], "left_semi").select("symbol").distinct()
-    made = stored(calls(symbols, nodes), "calls")
+    made = stored_wide(calls(symbols, nodes), "calls")
     own = symbols.select("path", "lo", "symbol")
     near = made.where("callee IS NOT NULL").join(symbols.select("path", F.col("lo").alias("callee"), F.col("symbol").alias("target")), ["path", "callee"]).select("path", "lo", "target")
     far = made.join(keys.select(F.concat_ws(".", "module", "name").alias("called"), F.col("symbol").alias("target")), "called").where("callee IS NULL").select("path", "lo", "target")
@@ -181,7 +181,7 @@ def fault_boundaries(sources: DataFrame, nodes: DataFrame, most: int = MOST) ->
         beyond = beyond | F.startswith(F.lower("boundary"), F.lit(prefix.lower()))
     leaving = made.join(callee, ["path", "parent"]).where(beyond)
     held = enclosing(leaving.select("path", F.col("parent").alias("place")), top, nearest=True).withColumnRenamed("place", "parent")
-    rows = stored(leaving.join(held, ["path", "parent"]).select("path", "line", "function", "boundary", F.lower("name").alias("name")), "boundaries")
+    rows = stored_wide(leaving.join(held, ["path", "parent"]).select("path", "line", "function", "boundary", F.lower("name").alias("name")), "boundaries")
     tests = nodes.where(F.col("kind").isin(*FUNCTIONS) & F.col("path").rlike("^tests?/") & F.col("name").like("test%"))
     fails = F.lit(False)
     for marker in FAULT_MARKERS:

@@ -6,26 +6,26 @@ from siftspark.operators import concurrency, inverses, scopes, seams, values, ve
 from siftspark.plans import adapters as a
 from siftspark.plans import project_sources, seam_sources, value_sources
 from siftspark.plans.queries import emitted, query
-from siftspark.session import stored
+from siftspark.session import stored_wide
 from siftspark.sources import documents, inventory, syntax
 
 
 @query(project_sources.uses_sql())
 def name_uses(spark, d):
-    nodes = stored(syntax.nodes(project_sources.sources(a.table(spark, d, "supplier"))), "nodes").where("path LIKE 'src/%'")
+    nodes = stored_wide(syntax.nodes(project_sources.sources(a.table(spark, d, "supplier"))), "nodes").where("path LIKE 'src/%'")
     return scopes.resolved(nodes).select("path", "line", "name", "defined", "how", "origin")
 
 
 @query(project_sources.GAPS_SQL)
 def verification_gaps(spark, d):
     sources = project_sources.sources(a.table(spark, d, "supplier"))
-    return verification.gaps(sources, stored(syntax.nodes(sources), "nodes"))
+    return verification.gaps(sources, stored_wide(syntax.nodes(sources), "nodes"))
 
 
 @query(project_sources.FAULTS_SQL)
 def fault_boundaries(spark, d):
     sources = project_sources.sources(a.table(spark, d, "supplier"))
-    return verification.fault_boundaries(sources, stored(syntax.nodes(sources), "nodes"))
+    return verification.fault_boundaries(sources, stored_wide(syntax.nodes(sources), "nodes"))
 
 
 emitted("BHFAULT001", "fault_boundaries")
@@ -38,14 +38,14 @@ def value_contradictions(spark, d):
 
 @query(project_sources.THREADS_SQL)
 def unsynchronized_writers(spark, d):
-    return concurrency.unsynchronized(stored(syntax.nodes(project_sources.threads(a.table(spark, d, "supplier"))), "nodes"))
+    return concurrency.unsynchronized(stored_wide(syntax.nodes(project_sources.threads(a.table(spark, d, "supplier"))), "nodes"))
 
 
 emitted("BHCONC001", "unsynchronized_writers")
 
 
 def _seams(spark, d):
-    return stored(syntax.nodes(seam_sources.sources(a.table(spark, d, "supplier"))), "nodes")
+    return stored_wide(syntax.nodes(seam_sources.sources(a.table(spark, d, "supplier"))), "nodes")
 
 
 @query(seam_sources.FORWARDING_SQL)
@@ -70,7 +70,7 @@ def inconsistent_rejections(spark, d):
 
 @query(seam_sources.TRIPS_SQL)
 def round_trips(spark, d):
-    return inverses.round_trips(stored(syntax.nodes(seam_sources.trips(a.table(spark, d, "supplier"))), "nodes"))
+    return inverses.round_trips(stored_wide(syntax.nodes(seam_sources.trips(a.table(spark, d, "supplier"))), "nodes"))
 
 
 @query("""WITH f AS (SELECT CASE p_partkey % 4 WHEN 0 THEN 'src/.git' WHEN 1 THEN 'src/lib/node_modules/m' WHEN 2 THEN 'src/git' ELSE 'docs' END || '/f' || p_partkey || CASE WHEN p_size % 3 = 0 THEN '.txt' ELSE '.py' END AS path, p_size AS size FROM part)

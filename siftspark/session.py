@@ -39,6 +39,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def stored_wide(df: DataFrame, name: str) -> DataFrame:
+    """Like stored(), for syntax nodes and what comes from them: their files are far smaller than their rows, so a join that goes by the files' size would collect a large side on the driver. Joins on these exchange both sides."""
+    return stored(df, name).hint("merge")
+
+
 def bucketed(df: DataFrame, name: str, key: str, *order: str) -> DataFrame:
     """Like stored(), dealt out by the key, so that joins on it need no exchange, and sorted by `order`, so that filters on its first columns skip pages. The catalogue entry that the writer needs goes again; the files stay."""
     spark, name = df.sparkSession, f"{name}_{uuid.uuid4().hex}"

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siftspark.operators import compare
+from siftspark.session import stored_wide
 from siftspark.sources import inventory, syntax
 
 
@@ -28,3 +29,11 @@ def test_parameters_that_want_the_same_are_compared_once_and_all_reported(spark)
     assert sorted(map(tuple, clashes.groupBy("site", "code", "severity").count().collect())) == [(1, "BHSEM001", "error", 2501), (3, "BHSEM001", "error", 2501)]
     join = clashes._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
     assert "Aggregate" in join
+
+
+def test_joins_of_stored_nodes_collect_neither_side(spark):
+    nodes = stored_wide(syntax.nodes(spark.range(3).select(F.concat(F.lit("p"), "id").alias("path"), F.lit("f(x)").alias("source"))), "nodes")
+    calls = nodes.where("kind = 'Call'").select("path", F.col("lo").alias("parent"))
+    joined = calls.join(nodes.where("field = 'args'").groupBy("path", "parent").count(), ["path", "parent"])
+    assert joined.count() == 3
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
