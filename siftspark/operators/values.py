@@ -24,9 +24,13 @@ from siftspark.functions import evidence
 from siftspark.functions import semantic as sem
 from siftspark.operators.scopes import FUNCTIONS, imports, module_of, regions, resolved
 from siftspark.operators.structure import enclosing
-from siftspark.session import stored
+from siftspark.session import by_path, joined_in_place, stored
 
 PASSES = 5
+#: Spellings that say something, up to which all tasks are given them.
+SPELLINGS = 50_000
+#: Functions that a pass derives again, up to which all tasks are given them.
+FUNCTIONS_SENT = 100_000
 FACETS = ("unit", "nominal", "dtype", "shape", "timezone", "encoding", "frame")
 FACT = "struct<dimension: map<string,int>, " + ", ".join(f"{f}: string" for f in FACETS) + ", nullable: boolean, provenance: string, confidence: double>"
 #: What known functions give and want: name, dimension, unit, nominal, timezone, encoding; 0.98 sure. Fixed values.
@@ -149,31 +153,33 @@ class Sources:
 
     def __init__(self, nodes: DataFrame) -> None:
         self.value = _value()
-        self.nodes = stored(nodes, "nodes")
+        self.nodes = by_path(nodes, "nodes")
         n = self.nodes
         bodies = regions(n).where(F.col("scope_kind").isin(*FUNCTIONS)).select("path", "start", "stop", F.col("scope").alias("home"))
-        whole = n.where(F.col("kind").isin(*FUNCTIONS)).select("path", (F.col("lo") + 1).alias("start"), F.col("hi").alias("stop"), F.col("lo").alias("owner"))
-        places = n.select("path", F.col("lo").alias("place"))
-        #: places in a function's body, with all functions around; what stands in a decorator or default is in none
-        around = enclosing(places, bodies).withColumnRenamed("place", "lo").select("path", "lo", "home")
-        nearest = enclosing(places, whole, nearest=True).select("path", F.col("place").alias("lo"), "owner")
-        own = around.groupBy("path", "lo").agg(F.max("home").alias("func")).join(nearest, ["path", "lo"]).where("func = owner").drop("owner")
-        self.own = stored(own, "own-functions")
-        self.around = stored(around.join(self.own, ["path", "lo"]), "functions-around")
-        held = n.join(self.own.withColumnRenamed("func", "home"), ["path", "lo"]).drop("func").withColumnRenamed("home", "func")
-        self.held = stored(held, "held-nodes")
+        whole = n.where(F.col("kind").isin(*FUNCTIONS)).select("path", (F.col("lo") + 1).alias("start"), F.col("hi").alias("stop"), F.lit(None).cast("int").alias("home"))
+        #: places in a function's body; what stands in a decorator or default, in the function and not in its body, is in none
+        own = enclosing(n.select("path", F.col("lo").alias("place")), bodies.unionByName(whole), nearest=True).where("home IS NOT NULL").select("path", F.col("place").alias("lo"), "home")
+        self.held = by_path(n.drop("func").join(own, ["path", "lo"]).withColumnRenamed("home", "func"), "held-nodes")
+        #: places whose facts are asked for: what is assigned, returned, passed, computed with, or has an attribute
+        self.asked = self.held.where("field IN ('value', 'args', 'left', 'right')")
+        uses = self.asked.where("kind = 'Name'")
+        #: names that are asked for, with all functions in whose bodies they stand
+        self.around = by_path(enclosing(uses.select("path", F.col("lo").alias("place")), bodies).withColumnRenamed("place", "lo").join(uses.select("path", "lo", "name"), ["path", "lo"]).select("path", "lo", "name", "home"), "functions-around")
         self.names = self._names()
         self.params = self._params()
         self.calls = self._calls()
         self.assigns = self._assigns()
         value = self.held.where("field = 'value'").select("path", F.col("parent").alias("lo"), F.col("lo").alias("expr"))
-        self.returns = stored(self.held.where("kind = 'Return'").select("path", "lo", "hi", "func").join(value, ["path", "lo"]), "returns")
+        self.returns = by_path(self.held.where("kind = 'Return'").select("path", "lo", "hi", "func").join(value, ["path", "lo"]), "returns")
 
     def _names(self) -> DataFrame:
         last = F.element_at(F.split("name", "[.]"), -1)
         spelled = self.nodes.where("kind IN ('Name', 'Attribute', 'arg') AND name IS NOT NULL").select(last.alias("spelling")).distinct()
-        e = stored(spelled.withColumn("e", evidence.name_evidence(F.col("spelling"))).where("e IS NOT NULL"), "name-evidence")
-        return stored(e.select("spelling", _said(F.col("e")).alias("says")), "name-facts")
+        # stored first: a filter on what a spelling says would go below distinct(), to every node
+        e = stored(spelled, "spellings").withColumn("e", evidence.name_evidence(F.col("spelling"))).where("e IS NOT NULL")
+        e = stored(e, "name-evidence")
+        said = stored(e.select("spelling", _said(F.col("e")).alias("says")), "name-facts")
+        return F.broadcast(said) if e.count() <= SPELLINGS else said
 
     def _params(self) -> DataFrame:
         """path, func, nth, name, fact."""
@@ -183,12 +189,12 @@ class Sources:
         functions = n.where(F.col("kind").isin(*FUNCTIONS)).select("path", F.col("lo").alias("of"))
         note = n.where("field = 'annotation'").select("path", F.col("parent").alias("lo"), F.col("value").alias("note"))
         rows = args.join(held, ["path", "parent"]).join(functions, ["path", "of"]).join(note, ["path", "lo"], "left").join(self.names, F.col("name") == F.col("spelling"), "left")
-        rows = stored(rows.select("path", F.col("of").alias("func"), "lo", "name", "later", "says", evidence.annotation_evidence(F.col("note")).alias("e")), "parameters")
+        rows = by_path(rows.select("path", F.col("of").alias("func"), "lo", "name", "later", "says", evidence.annotation_evidence(F.col("note")).alias("e")), "parameters")
         noted = _said(F.col("e"))
         said = F.when(F.col("says").isNull(), noted).when(F.col("e").isNull(), F.col("says")).otherwise(agreed(F.col("says"), noted))
         ordered = rows.groupBy("path", "func").agg(F.sort_array(F.collect_list(F.struct("later", "lo"))).alias("order"))  # a function's parameters
         nth = (F.array_position("order", F.struct("later", "lo")) - 1).cast("int")
-        return stored(rows.join(ordered, ["path", "func"]).select("path", "func", nth.alias("nth"), "name", F.col("lo").alias("at"), F.coalesce(said, fact(F.concat(F.lit("param:"), "name"))).alias("fact")), "parameter-facts")
+        return by_path(rows.join(ordered, ["path", "func"]).select("path", "func", nth.alias("nth"), "name", F.col("lo").alias("at"), F.coalesce(said, fact(F.concat(F.lit("param:"), "name"))).alias("fact")), "parameter-facts")
 
     def _calls(self) -> DataFrame:
         """path, lo, func, line, dotted (null unless a plain chain), canonical, callee and the looks of their arguments."""
@@ -199,10 +205,10 @@ class Sources:
         keys = h.where("kind = 'keyword'").select("path", F.col("parent").alias("lo"), F.col("lo").alias("parent"), F.col("name").alias("key"))
         given = h.where("field = 'value'").select("path", "parent", F.coalesce("name", "value").alias("text"))
         keys = keys.join(given, ["path", "parent"]).groupBy("path", "lo").agg(F.count_if(F.col("key") == "tz").alias("tz"), F.max(F.when(F.col("key") == "dtype", F.col("text"))).alias("dtype"))
-        calls = h.where("kind = 'Call'").select("path", "lo", "func", "line").join(callee, ["path", "lo"]).join(args, ["path", "lo"], "left").join(keys, ["path", "lo"], "left")
+        calls = h.where("kind = 'Call'").select("path", "lo", "func", "line", "field").join(callee, ["path", "lo"]).join(args, ["path", "lo"], "left").join(keys, ["path", "lo"], "left")
         root = F.split_part("dotted", F.lit("."), F.lit(1))
         alias = imports(self.nodes).groupBy("path", F.col("name").alias("head")).agg(F.max_by(F.when(F.col("module").isNull() & F.col("dots").isNull(), F.coalesce("symbol")).otherwise(F.concat_ws(".", "module", "symbol")), "lo").alias("stands"))
-        found = resolved(self.nodes).select("path", F.col("lo").alias("root"), "definition", "how", "origin")
+        found = resolved(self.nodes, callee.select("path", F.col("root").alias("lo"))).select("path", F.col("lo").alias("root"), "definition", "how", "origin")
         rows = calls.withColumn("head", root).join(alias, ["path", "head"], "left").join(found, ["path", "root"], "left")
         rest = F.regexp_replace("dotted", "^[^.]*", "")
         rows = rows.withColumn("canonical", F.concat(F.coalesce("stands", "head"), rest)).withColumn("origin", F.concat(F.col("origin"), rest))
@@ -212,7 +218,7 @@ class Sources:
         rows = rows.join(near, ["path", "definition"], "left").join(far, "origin", "left")
         here = F.col("near") & (F.col("how") == "function") & (F.col("by") == "Name")
         rows = rows.withColumn("to_path", F.when(here, F.col("path")).otherwise(F.col("far.path"))).withColumn("to_func", F.when(here, F.col("definition")).otherwise(F.col("far.lo")))
-        return stored(rows.select("path", "lo", "func", "line", "by", "dotted", "canonical", "receiver", F.coalesce("nargs", F.lit(0)).alias("nargs"), "first", F.coalesce("tz", F.lit(0)).alias("tz"), "dtype", "to_path", "to_func"), "calls")
+        return by_path(rows.select("path", "lo", "func", "line", "field", "by", "dotted", "canonical", "receiver", F.coalesce("nargs", F.lit(0)).alias("nargs"), "first", F.coalesce("tz", F.lit(0)).alias("tz"), "dtype", "to_path", "to_func"), "calls")
 
     def _assigns(self) -> DataFrame:
         """path, func, name, expr (what is assigned), lo and at (from where it holds), call (it is one whose function is known)."""
@@ -221,13 +227,13 @@ class Sources:
         target = h.where("field IN ('targets', 'target') AND kind = 'Name'").select("path", F.col("parent").alias("lo"), "name")
         value = h.where("field = 'value'").select("path", F.col("parent").alias("lo"), F.col("lo").alias("expr"))
         known = self.calls.where("to_func IS NOT NULL").select("path", F.col("lo").alias("expr"), F.lit(True).alias("call"))
-        return stored(stmt.join(target, ["path", "lo"]).join(value, ["path", "lo"]).join(known, ["path", "expr"], "left").select("path", "func", "name", "expr", "lo", "at", F.coalesce("call", F.lit(False)).alias("call")), "assignments")
+        return by_path(stmt.join(target, ["path", "lo"]).join(value, ["path", "lo"]).join(known, ["path", "expr"], "left").select("path", "func", "name", "expr", "lo", "at", F.coalesce("call", F.lit(False)).alias("call")), "assignments")
 
     # ------------------------------------------------------------ what expressions say alone, and what they are made of
 
     def alone(self, aliases: bool) -> tuple[DataFrame, DataFrame]:
         """path, lo, fact of expressions that need no other; path, lo, op, inputs and details of those that do, but for names."""
-        h, c = self.held, self.calls
+        h, c = self.asked, self.calls.where("field IN ('value', 'args', 'left', 'right')")
         spelling = F.element_at(F.split("name", "[.]"), -1)
         said = h.where("kind IN ('Name', 'Attribute')").select("path", "lo", "kind", spelling.alias("spelling")).join(self.names, "spelling", "left")
         names = said.select("path", "lo", F.coalesce("says", fact(F.concat(F.when(F.col("kind") == "Name", "name:").otherwise("attr:"), "spelling"))).alias("fact"))
@@ -235,7 +241,7 @@ class Sources:
         literals = h.where("kind = 'Constant'").select("path", "lo", fact(literal).alias("fact"))
         ops = {"Div": "divided", "Add": "added", "Sub": "added", "Mult": "multiplied", "MatMult": "multiplied"}
         made = h.where(F.col("kind") == "BinOp").where(F.col("name").isin(*ops))
-        sides = h.where("field IN ('left', 'right')").select("path", F.col("parent").alias("lo"), F.col("lo").alias("side"))
+        sides = self.held.where("field IN ('left', 'right')").select("path", F.col("parent").alias("lo"), F.col("lo").alias("side"))
         op = reduce(lambda w, kv: w.when(F.col("name") == kv[0], kv[1]), list(ops.items())[1:], F.when(F.col("name") == "Div", "divided"))
         sums = made.select("path", "lo", op.alias("op")).join(sides, ["path", "lo"]).groupBy("path", "lo", "op").agg(F.sort_array(F.collect_list("side")).alias("inputs"))
         others = h.where("kind NOT IN ('Name', 'Attribute', 'Constant', 'Call')").join(made.select("path", "lo"), ["path", "lo"], "left_anti").select("path", "lo", fact(F.concat(F.lit("expr:"), "kind")).alias("fact"))
@@ -267,7 +273,7 @@ class Sources:
             .otherwise(fact(text))
         )
         results = c.select("path", "lo", result.alias("fact"), F.when(astype, "cast").when(reshape, "reshaped").alias("op"), F.array("receiver").alias("inputs"), target.alias("dtype"), called.alias("called"))
-        results = stored(results, "call-facts")
+        results = by_path(results, "call-facts")
         plain = names.unionByName(literals).unionByName(others).unionByName(results.where("fact IS NOT NULL").select("path", "lo", "fact"))
         dims = self._elements(self.calls.where("nargs > 0"), first=False).withColumnRenamed("shape", "dims")
         waits = results.where("fact IS NULL").select("path", "lo", "op", "inputs", "dtype", "called").unionByName(sums, allowMissingColumns=True)
@@ -302,13 +308,13 @@ def evaluated(known: DataFrame, waits: DataFrame, value: Column) -> DataFrame:
     A round brings the facts of the round before to what waits for them, and is written once, with the facts that each
     has got so far. value: the column that _value() makes, which takes a while.
     """
-    fresh = stored(known, "facts")
+    fresh = by_path(known, "facts")
     done, waits = [fresh], waits.withColumn("got", F.lit(None).cast(f"array<struct<nth: int, fact: {FACT}>>"))
     while True:
         came = waits.select("path", "lo", F.posexplode("inputs").alias("nth", "input")).join(fresh.select("path", F.col("lo").alias("input"), "fact"), ["path", "input"])
         came = came.groupBy("path", "lo").agg(F.collect_list(F.struct("nth", "fact")).alias("new"))  # an expression's inputs
         got = F.concat(F.coalesce("got", F.array()), F.coalesce("new", F.array()))
-        state = stored(waits.join(came, ["path", "lo"], "left").withColumn("got", got).drop("new").withColumn("ready", F.size("got") == F.size("inputs")), "waiting")
+        state = by_path(waits.join(came, ["path", "lo"], "left").withColumn("got", got).drop("new").withColumn("ready", F.size("got") == F.size("inputs")), "waiting")
         ready, open_ = state.agg(F.count_if("ready"), F.count_if(~F.col("ready"))).first()
         if not ready:
             return reduce(DataFrame.unionByName, done)
@@ -316,7 +322,7 @@ def evaluated(known: DataFrame, waits: DataFrame, value: Column) -> DataFrame:
         surer = lambda x, y: F.when((y["fact"]["confidence"] > x["fact"]["confidence"]) | ((y["fact"]["confidence"] == x["fact"]["confidence"]) & (y["nth"] < x["nth"])), y).otherwise(x)
         surest = F.aggregate("got", F.get("got", F.lit(0)), surer)["fact"]
         fresh = state.where("ready").select("path", "lo", "op", "own", "dtype", "called", "dims", at(0).alias("a"), at(1).alias("b"), surest.alias("surest"))
-        fresh = stored(fresh.select("path", "lo", value.alias("fact")), "facts")
+        fresh = by_path(fresh.select("path", "lo", value.alias("fact")), "facts")
         done.append(fresh)
         if not open_:
             return reduce(DataFrame.unionByName, done)
@@ -338,40 +344,46 @@ def read(s: Sources) -> tuple[DataFrame, DataFrame]:
     """Facts of all expressions as the sources are read, and of bindings (path, func, name, fact), the last one of each name."""
     plain, waits = s.alone(aliases=True)
     defs = s.assigns.select("path", F.col("func").alias("home"), "name", "at", F.col("expr")).unionByName(s.params.select("path", F.col("func").alias("home"), "name", "at", F.lit(None).cast("int").alias("expr")))
-    uses = s.held.where("kind = 'Name'").select("path", "lo", "name").join(s.around, ["path", "lo"]).select("path", "lo", "name", "home")
-    linked = uses.join(defs, ["path", "home", "name"]).where("at < lo").groupBy("path", "lo", "name").agg(F.max_by(F.struct("home", "expr"), F.struct("home", "at")).alias("d"))
-    linked = stored(linked.select("path", "lo", "name", "d.*"), "uses").join(s.params.select("path", F.col("func").alias("home"), "name", F.col("fact").alias("given")), ["path", "home", "name"], "left")
+    linked = s.around.join(defs, ["path", "home", "name"]).where("at < lo").groupBy("path", "lo", "name").agg(F.max_by(F.struct("home", "expr"), F.struct("home", "at")).alias("d"))
+    linked = by_path(linked.select("path", "lo", "name", "d.*"), "uses").join(s.params.select("path", F.col("func").alias("home"), "name", F.col("fact").alias("given")), ["path", "home", "name"], "left")
     linked = linked.join(s.names, F.col("name") == F.col("spelling"), "left")
     given = linked.where("expr IS NULL").select("path", "lo", F.col("given").alias("fact"))
     known = plain.join(linked.select("path", "lo"), ["path", "lo"], "left_anti").unionByName(given)
     names = linked.where("expr IS NOT NULL").select("path", "lo", F.lit("assigned").alias("op"), F.array("expr").alias("inputs"), F.col("says").alias("own"))
     facts = evaluated(known, waits.withColumn("own", F.lit(None).cast(FACT)).unionByName(names, allowMissingColumns=True), s.value)
     bound = s.assigns.join(facts.withColumnRenamed("lo", "expr"), ["path", "expr"]).groupBy("path", "func", "name").agg(F.max_by("fact", "at").alias("f")).join(s.names, F.col("name") == F.col("spelling"), "left")
-    return facts, stored(bound.select("path", "func", "name", F.when(F.col("says").isNull(), F.col("f")).otherwise(agreed(F.col("says"), F.col("f"))).alias("fact")), "bindings")
+    return facts, by_path(bound.select("path", "func", "name", F.when(F.col("says").isNull(), F.col("f")).otherwise(agreed(F.col("says"), F.col("f"))).alias("fact")), "bindings")
 
 
-def derived(s: Sources, alone: tuple[DataFrame, DataFrame], params: DataFrame, returns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Bindings and returned facts, derived again from parameters and what called functions return."""
+def derived(s: Sources, alone: tuple[DataFrame, DataFrame], params: DataFrame, returns: DataFrame, some: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Bindings and returned facts, derived again from parameters and what called functions return; of all functions, or of `some` (path, func)."""
+    of = lambda df: df if some is None else df.join(some, ["path", "func"], "left_semi")
+    calls, written, read_ = of(s.calls.where("to_func IS NOT NULL")), of(s.assigns), of(s.returns)
+    asked, params = of(s.asked), of(params)
     plain, waits = alone
+    if some is not None:
+        here = asked.select("path", "lo")
+        plain, waits = (t.join(here, ["path", "lo"], "left_semi") for t in alone)
+        returns = returns.join(calls.select(F.col("to_path").alias("path"), F.col("to_func").alias("func")).distinct(), ["path", "func"], "left_semi")
     joined = returns.groupBy("path", "func").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "fact")), lambda x, y: x["nth"] - y["nth"]), lambda x: x["fact"]).alias("all"))  # a function's returns
     both = joined.select(F.col("path").alias("to_path"), F.col("func").alias("to_func"), F.aggregate(F.slice("all", F.lit(2), F.size("all")), F.get("all", F.lit(0)), agreed).alias("fact"))
     # a known call's result stands at the place below zero that answers to its own
-    given = s.calls.join(both, ["to_path", "to_func"]).select("path", (-F.col("lo") - 1).alias("lo"), "fact")
+    given = calls.join(both, ["to_path", "to_func"]).select("path", (-F.col("lo") - 1).alias("lo"), "fact")
     has = given.select("path", (-F.col("lo") - 1).alias("expr"), F.lit(True).alias("has"))
-    assigns = stored(s.assigns.join(has, ["path", "expr"], "left").select("path", "func", "name", "lo", "at", F.when(F.col("has"), -F.col("expr") - 1).otherwise(F.col("expr")).alias("input")), "inputs")
+    assigns = by_path(written.join(has, ["path", "expr"], "left").select("path", "func", "name", "lo", "at", F.when(F.col("has"), -F.col("expr") - 1).otherwise(F.col("expr")).alias("input")), "inputs")
     # names in what is assigned see the assignments before; names in what is returned see all
-    inside = s.assigns.select("path", "func", F.col("lo").alias("start"), F.col("at").alias("stop"), F.col("lo").alias("until")).unionByName(s.returns.select("path", "func", F.col("lo").alias("start"), F.col("hi").alias("stop"), F.lit(1 << 30).alias("until")))
-    uses = s.held.where("kind = 'Name' AND ctx = 'Load'").select("path", "lo", "func", "name")
+    inside = written.select("path", "func", F.col("lo").alias("start"), F.col("at").alias("stop"), F.col("lo").alias("until")).unionByName(read_.select("path", "func", F.col("lo").alias("start"), F.col("hi").alias("stop"), F.lit(1 << 30).alias("until")))
+    uses = asked.where("kind = 'Name' AND ctx = 'Load'").select("path", "lo", "func", "name")
     uses = enclosing(uses.select("path", F.col("lo").alias("place")), inside.distinct(), nearest=True).select("path", F.col("place").alias("lo"), "until").join(uses, ["path", "lo"])
     before = uses.join(assigns.select("path", "func", "name", F.col("lo").alias("set"), "input"), ["path", "func", "name"]).where("set < until").groupBy("path", "lo").agg(F.transform(F.sort_array(F.collect_list(F.struct("set", "input"))), lambda x: x["input"]).alias("inputs"))
-    linked = stored(uses.join(before, ["path", "lo"], "left").join(params.select("path", "func", "name", F.col("fact").alias("own")), ["path", "func", "name"], "left").where("inputs IS NOT NULL OR own IS NOT NULL"), "uses")
+    linked = by_path(uses.join(before, ["path", "lo"], "left").join(params.select("path", "func", "name", F.col("fact").alias("own")), ["path", "func", "name"], "left").where("inputs IS NOT NULL OR own IS NOT NULL"), "uses")
     known = plain.join(linked.select("path", "lo"), ["path", "lo"], "left_anti").unionByName(given).unionByName(linked.where("inputs IS NULL").select("path", "lo", F.col("own").alias("fact")))
     names = linked.where("inputs IS NOT NULL").select("path", "lo", F.lit("surest").alias("op"), "inputs", "own")
     facts = evaluated(known, waits.withColumn("own", F.lit(None).cast(FACT)).unionByName(names, allowMissingColumns=True), s.value)
     bound = assigns.join(facts.withColumnRenamed("lo", "input"), ["path", "input"]).groupBy("path", "func", "name").agg(F.max_by("fact", F.struct(F.col("fact.confidence"), -F.col("lo"))).alias("fact"))
-    bound = stored(bound.join(params.select("path", "func", "name"), ["path", "func", "name"], "left_anti"), "bindings")
-    back = s.returns.join(facts.withColumnRenamed("lo", "expr"), ["path", "expr"]).select("path", "func", F.col("lo").alias("nth"), "fact")
-    return bound, stored(back, "returned")
+    bound = by_path(bound.join(params.select("path", "func", "name"), ["path", "func", "name"], "left_anti"), "bindings")
+    back = read_.join(facts.withColumnRenamed("lo", "expr"), ["path", "expr"]).select("path", "func", F.col("lo").alias("nth"), "fact")
+    return bound, by_path(back, "returned")
 
 
 def arguments(s: Sources, facts: DataFrame) -> DataFrame:
@@ -383,7 +395,7 @@ def arguments(s: Sources, facts: DataFrame) -> DataFrame:
     value = s.held.where("field = 'value'").select("path", "parent", F.col("lo").alias("arg"))
     keys = keys.join(value, ["path", "parent"]).select("path", "lo", "arg", F.lit(None).cast("string").alias("arg_name"), F.lit(None).cast("int").alias("nth"), "key")
     rows = args.unionByName(keys).join(facts.withColumnRenamed("lo", "arg"), ["path", "arg"])
-    return stored(rows.join(s.calls.select("path", "lo", "func", "line", "dotted", "to_path", "to_func"), ["path", "lo"]), "arguments")
+    return by_path(rows.join(s.calls.select("path", "lo", "func", "line", "dotted", "to_path", "to_func"), ["path", "lo"]), "arguments")
 
 
 def _final(args: DataFrame, *scopes: DataFrame) -> DataFrame:
@@ -399,14 +411,20 @@ def _final(args: DataFrame, *scopes: DataFrame) -> DataFrame:
 
 def contradictions(nodes: DataFrame, passes: int = PASSES) -> DataFrame:
     """code, path, line (0 for what is no call), function, name (the sink, variable or return), severity, message of BHSEM001 to BHSEM010 and BHUNIT004 in the sources whose syntax nodes are given."""
+    with joined_in_place(nodes.sparkSession):
+        return _contradictions(nodes, passes)
+
+
+def _contradictions(nodes: DataFrame, passes: int) -> DataFrame:
     s = Sources(nodes)
     facts, bound = read(s)
-    facts = stored(facts, "facts-as-read")
+    facts = by_path(facts, "facts-as-read")
     args = arguments(s, facts)
     params = s.params
-    returns = stored(s.returns.join(facts.withColumnRenamed("lo", "expr"), ["path", "expr"]).select("path", "func", F.col("lo").alias("nth"), "fact"), "returned")
+    returns = by_path(s.returns.join(facts.withColumnRenamed("lo", "expr"), ["path", "expr"]).select("path", "func", F.col("lo").alias("nth"), "fact"), "returned")
     plain, waits = s.alone(aliases=False)
-    alone = stored(plain, "plain"), stored(waits, "waits")
+    alone = by_path(plain, "plain"), by_path(waits, "waits")
+    some = surer = None
     for step in range(passes):
         came = _final(args.where("to_func IS NOT NULL AND nth IS NOT NULL"), bound).unionByName(args.where("to_func IS NOT NULL AND key IS NOT NULL")).where("fact.confidence > 0")
         onto = params.select(F.col("path").alias("to_path"), F.col("func").alias("to_func"), F.col("nth").alias("p"), F.col("name").alias("param"))
@@ -414,15 +432,21 @@ def contradictions(nodes: DataFrame, passes: int = PASSES) -> DataFrame:
         best = came.groupBy("to_path", "to_func", "param").agg(F.max_by("fact", F.struct(F.col("fact.confidence"), F.struct(-F.crc32("path"), -F.col("lo")))).alias("came"))
         best = best.select(F.col("to_path").alias("path"), F.col("to_func").alias("func"), F.col("param").alias("name"), "came")
         stronger = F.col("came").isNotNull() & (F.col("came.confidence") > F.col("fact.confidence"))
-        params = stored(params.join(best, ["path", "func", "name"], "left").withColumn("stronger", F.coalesce(stronger, F.lit(False))).select("path", "func", "nth", "name", "at", F.when(F.col("stronger"), F.col("came")).otherwise(F.col("fact")).alias("fact"), "stronger"), "parameter-facts")
-        bound, again = derived(s, alone, params.drop("stronger"), returns)
+        params = by_path(params.join(best, ["path", "func", "name"], "left").withColumn("stronger", F.coalesce(stronger, F.lit(False))).select("path", "func", "nth", "name", "at", F.when(F.col("stronger"), F.col("came")).otherwise(F.col("fact")).alias("fact"), "stronger"), "parameter-facts")
+        if step:
+            # what a function gives depends on its parameters and on what it calls: where neither changed, it stays
+            callers = s.calls.join(surer.select(F.col("path").alias("to_path"), F.col("func").alias("to_func")), ["to_path", "to_func"], "left_semi")
+            some = stored(params.where("stronger").select("path", "func").unionByName(callers.select("path", "func")).distinct(), "changed-functions")
+            n = some.count()
+            if not n:
+                break
+            some = F.broadcast(some) if n <= FUNCTIONS_SENT else some
+        params = params.drop("stronger")
+        new, again = derived(s, alone, params, returns, some)
+        bound = new if some is None else by_path(bound.join(some, ["path", "func"], "left_anti").unionByName(new), "bindings")
         surer = again.withColumnRenamed("fact", "new").join(returns, ["path", "func", "nth"]).where("new.confidence > fact.confidence").select("path", "func").distinct()
         surer = stored(surer, "surer-returns")
-        changed = not surer.isEmpty() or not params.where("stronger").isEmpty()
-        returns = stored(returns.join(surer, ["path", "func"], "left_anti").unionByName(again.join(surer, ["path", "func"], "left_semi")), "returned")
-        params = params.drop("stronger")
-        if step and not changed:
-            break
+        returns = by_path(returns.join(surer, ["path", "func"], "left_anti").unionByName(again.join(surer, ["path", "func"], "left_semi")), "returned")
     return _reported(s, facts, args, params, bound, returns)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +55,20 @@ def bucketed(df: DataFrame, name: str, key: str, *order: str) -> DataFrame:
     table.schema  # resolved here, while the entry is there
     spark.sql(f"DROP TABLE {name}")
     return table
+
+
+def by_path(df: DataFrame, name: str) -> DataFrame:
+    """Like stored_wide(), dealt out by path: groups of such tables by path and more exchange nothing, nor do joins that run in joined_in_place()."""
+    return bucketed(df, name.replace("-", "_"), "path", "path", *(c for c in ("lo",) if c in df.columns)).hint("merge")
+
+
+@contextmanager
+def joined_in_place(spark: SparkSession) -> Iterator[None]:
+    """In it, tables that are dealt out by some of a join's keys are not exchanged by all of them. Holds for what is written in it; the setting goes back to what it was."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from siftspark.operators import compare
-from siftspark.session import stored_wide
+from siftspark.operators import compare, values
+from siftspark.plans import value_sources
+from siftspark.session import by_path, joined_in_place, stored_wide
 from siftspark.sources import inventory, syntax
 
 
@@ -37,3 +38,24 @@ def test_joins_of_stored_nodes_collect_neither_side(spark):
     joined = calls.join(nodes.where("field = 'args'").groupBy("path", "parent").count(), ["path", "parent"])
     assert joined.count() == 3
     assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_tables_dealt_out_by_path_join_in_place(spark):
+    nodes = by_path(syntax.nodes(spark.range(3).select(F.concat(F.lit("p"), "id").alias("path"), F.lit("f(x)").alias("source"))), "nodes")
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    with joined_in_place(spark):
+        joined = nodes.where("kind = 'Call'").select("path", F.col("lo").alias("parent")).join(nodes.where("field = 'args'").groupBy("path", "parent").count(), ["path", "parent"])
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert joined.count() == 3
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+
+
+def test_later_passes_derive_only_functions_whose_inputs_changed(spark, monkeypatch):
+    case = lambda k: value_sources.CASES[k][0]
+    sources = spark.createDataFrame([("src/a.py", case(14)), ("src/b.py", case(0)), ("src/c.py", case(17))], "path string, source string")
+    derived, seen = values.derived, []
+    monkeypatch.setattr(values, "derived", lambda s, alone, params, returns, some=None: (seen.append(some and sorted(map(tuple, some.select("path").distinct().collect()))), derived(s, alone, params, returns, some))[1])
+    found = values.contradictions(syntax.nodes(sources)).select("code", "path", "line", "name").collect()
+    assert sorted(map(tuple, found)) == [("BHUNIT004", "src/a.py", 11, "time.sleep"), ("BHUNIT004", "src/b.py", 3, "time.sleep"), ("BHUNIT004", "src/c.py", 7, "time.sleep")]
+    assert seen[0] is None and len(seen) > 1
+    assert all(paths and ("src/b.py",) not in paths for paths in seen[1:])
