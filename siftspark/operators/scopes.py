@@ -10,11 +10,13 @@ What an assignment binds is bound after its value, what a loop binds after its i
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.operators.structure import enclosing
-from siftspark.session import by_path
+from siftspark.session import stored_wide
 
 FUNCTIONS = ["FunctionDef", "AsyncFunctionDef"]
 COMPREHENSIONS = ["ListComp", "SetComp", "DictComp", "GeneratorExp"]
@@ -79,13 +81,13 @@ def _definitions(nodes: DataFrame) -> DataFrame:
     return defs.unionByName(params).unionByName(caught).unionByName(imported).unionByName(said).unionByName(stores)
 
 
-def resolved(nodes: DataFrame, within: DataFrame | None = None) -> DataFrame:
-    """path, lo, line, name of every use of a name, or of those `within` (path, lo), with scope, definition (its node), defined (its line), how it is bound and, for imports, origin; null where nothing in the file binds it."""
+def resolved(nodes: DataFrame, within: DataFrame | None = None, store: Callable[[DataFrame, str], DataFrame] = stored_wide) -> DataFrame:
+    """path, lo, line, name of every use of a name, or of those `within` (path, lo), with scope, definition (its node), defined (its line), how it is bound and, for imports, origin; null where nothing in the file binds it. store: how tables are kept, by_path() for callers that join in place."""
     uses = nodes.where("kind = 'Name' AND ctx IN ('Load', 'Del')").select("path", "lo", "line", "name")
-    uses = uses if within is None else by_path(uses.join(within, ["path", "lo"], "left_semi"), "name-uses")
-    definitions = by_path(_definitions(nodes), "definitions")
+    uses = uses if within is None else store(uses.join(within, ["path", "lo"], "left_semi"), "name-uses")
+    definitions = store(_definitions(nodes), "definitions")
     places = uses.select("path", F.col("lo").alias("place")).unionByName(definitions.select("path", F.col("lo").alias("place")))
-    around = by_path(enclosing(places, regions(nodes)).withColumnRenamed("place", "lo"), "scopes-around")
+    around = store(enclosing(places, regions(nodes)).withColumnRenamed("place", "lo"), "scopes-around")
     plain = ~F.col("scope_kind").isin(*COMPREHENSIONS)
     own = around.groupBy("path", "lo").agg(
         F.max_by("scope", "start").alias("own"),
@@ -98,7 +100,7 @@ def resolved(nodes: DataFrame, within: DataFrame | None = None) -> DataFrame:
     said = placed.where("how IN ('global', 'nonlocal')").select("path", "scope", "name", F.col("how").alias("said")).distinct()
     bound = placed.where("how <> 'nonlocal'").join(said, ["path", "scope", "name"], "left").where("said IS NULL OR said = 'global'")
     away = (F.col("said") == "global") & (F.col("how") != "global")
-    bound = by_path(bound.select("path", F.when(away, F.lit(0)).otherwise(F.col("scope")).alias("scope"), "name", F.struct(F.col("lo").alias("definition"), F.col("line").alias("defined"), F.when(F.col("how") == "walrus", "variable").otherwise(F.col("how")).alias("how"), "origin").alias("d"), "at"), "bindings")
+    bound = store(bound.select("path", F.when(away, F.lit(0)).otherwise(F.col("scope")).alias("scope"), "name", F.struct(F.col("lo").alias("definition"), F.col("line").alias("defined"), F.when(F.col("how") == "walrus", "variable").otherwise(F.col("how")).alias("how"), "origin").alias("d"), "at"), "bindings")
     reach = uses.join(around, ["path", "lo"]).join(own.select("path", "lo", "own", "runs_from"), ["path", "lo"]).where("scope_kind <> 'ClassDef' OR scope = own")
     later = F.coalesce(F.col("runs_from") > F.col("start"), F.lit(False))
     rank = F.struct("start", F.when(later | (F.col("at") < F.col("lo")), 1).otherwise(0).alias("before"), F.when(later | (F.col("at") < F.col("lo")), F.col("at")).otherwise(-F.col("at")).alias("nearness"))

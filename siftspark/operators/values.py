@@ -208,7 +208,7 @@ class Sources:
         calls = h.where("kind = 'Call'").select("path", "lo", "func", "line", "field").join(callee, ["path", "lo"]).join(args, ["path", "lo"], "left").join(keys, ["path", "lo"], "left")
         root = F.split_part("dotted", F.lit("."), F.lit(1))
         alias = imports(self.nodes).groupBy("path", F.col("name").alias("head")).agg(F.max_by(F.when(F.col("module").isNull() & F.col("dots").isNull(), F.coalesce("symbol")).otherwise(F.concat_ws(".", "module", "symbol")), "lo").alias("stands"))
-        found = resolved(self.nodes, callee.select("path", F.col("root").alias("lo"))).select("path", F.col("lo").alias("root"), "definition", "how", "origin")
+        found = resolved(self.nodes, callee.select("path", F.col("root").alias("lo")), by_path).select("path", F.col("lo").alias("root"), "definition", "how", "origin")
         rows = calls.withColumn("head", root).join(alias, ["path", "head"], "left").join(found, ["path", "root"], "left")
         rest = F.regexp_replace("dotted", "^[^.]*", "")
         rows = rows.withColumn("canonical", F.concat(F.coalesce("stands", "head"), rest)).withColumn("origin", F.concat(F.col("origin"), rest))
