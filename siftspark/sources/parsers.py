@@ -44,32 +44,64 @@ def lines_of(runs: DataFrame) -> DataFrame:
     return runs.select("run", "tool", "exit_code", F.posexplode(F.split(text, "\r\n|\n|\r")).alias("pos", "raw"))
 
 
-def text(runs: DataFrame) -> DataFrame:
-    """`path:line[:column]: [severity:] message [code]` lines of failed runs; without any, the last line that says something."""
-    rows = lines_of(runs.where("exit_code <> 0")).withColumn("s", F.btrim("raw", F.lit(_WHITE))).where("s <> ''")
-    # each pattern is tried once, and only where a number stands between colons: its groups come back as one string
-    placed = F.regexp_replace("s", _PLACE, "$1\x01$2\x01$3\x01$4\x01$5")
-    lined = F.regexp_replace("s", _LINE, "$1\x01$2\x01\x01$3\x01$4")
-    rows = rows.withColumn("p", F.when(F.col("s").rlike(r":\d+:"), placed)).withColumn("p", F.when(F.col("p") != F.col("s"), F.col("p")).when(F.col("p").isNotNull(), lined))
-    rows = rows.withColumn("g", F.when(F.col("p") != F.col("s"), F.split("p", "\x01", 5))).drop("p")
-    part = lambda i: F.get("g", F.lit(i))
+def _placed(s: Column, p: Column | None = None) -> Column:
+    """A line with what a pattern finds in it as one string, tried only where a number stands between colons; p: what the first pattern gave, for the second."""
+    if p is None:
+        return F.when(s.rlike(r":\d+:"), F.regexp_replace(s, _PLACE, "$1\x01$2\x01$3\x01$4\x01$5"))
+    return F.when(p != s, p).when(p.isNotNull(), F.regexp_replace(s, _LINE, "$1\x01$2\x01\x01$3\x01$4"))
+
+
+def _parts(s: Column, p: Column) -> Column:
+    return F.when(p != s, F.split(p, "\x01", 5))
+
+
+def _told(g: Column) -> list[Column]:
+    """path, line, column, code, message and severity of a line's parts."""
+    part = lambda i: F.get(g, F.lit(i))
     message = F.trim(part(4))
-    found = rows.where("g IS NOT NULL").select(
-        "run",
-        "pos",
-        "tool",
+    return [
         part(0).alias("path"),
         part(1).try_cast("int").alias("line"),
         part(2).try_cast("int").alias("column"),
         F.nullif(F.regexp_extract(message, _CODE, 1), F.lit("")).alias("code"),
         F.regexp_replace(message, _CODE, "").alias("message"),
         F.lower(F.coalesce(F.nullif(part(3), F.lit("")), F.lit("error"))).alias("severity"),
-    )
+    ]
+
+
+def text(runs: DataFrame) -> DataFrame:
+    """`path:line[:column]: [severity:] message [code]` lines of failed runs; without any, the last line that says something."""
+    rows = lines_of(runs.where("exit_code <> 0")).withColumn("s", F.btrim("raw", F.lit(_WHITE))).where("s <> ''")
+    # each pattern is tried once, and only where a number stands between colons: its groups come back as one string
+    rows = rows.withColumn("p", _placed(F.col("s"))).withColumn("p", _placed(F.col("s"), F.col("p")))
+    rows = rows.withColumn("g", _parts(F.col("s"), F.col("p"))).drop("p")
+    found = rows.where("g IS NOT NULL").select("run", "pos", "tool", *_told(F.col("g")))
     last = rows.groupBy("run", "tool").agg(F.max_by("s", "pos").alias("s"), F.max("pos").alias("pos"), F.bool_or(F.col("g").isNotNull()).alias("any"))
     rest = last.where("NOT any").select("run", "pos", "tool", F.substring("s", 1, 1000).alias("message"), F.lit("error").alias("severity"))
     return _shaped(found).unionByName(_shaped(rest))
 
 
+#: What text() finds in a run, but for what it never fills.
+_SAID = "struct<pos:int,path:string,line:int,column:int,code:string,message:string,severity:string>"
+
+
+def _said() -> Column:
+    """What text() finds in a failed run, as an array of _SAID: no join or group, so that it costs nothing beside what else is read from the run."""
+    lines = F.split(F.concat("stdout", F.lit("\n"), F.coalesce("stderr", F.lit(""))), "\r\n|\n|\r")
+    lines = F.filter(F.transform(lines, lambda raw, i: F.struct(i.alias("pos"), F.btrim(raw, F.lit(_WHITE)).alias("s"))), lambda x: x["s"] != "")
+    lines = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), x["s"].alias("s"), _placed(x["s"]).alias("p")))
+    lines = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), x["s"].alias("s"), _placed(x["s"], x["p"]).alias("p")))
+    lines = F.transform(lines, lambda x: F.struct(x["pos"].alias("pos"), x["s"].alias("s"), _parts(x["s"], x["p"]).alias("g")))
+    null = lambda kind: F.lit(None).cast(kind)
+
+    def found(all_: Column) -> Column:
+        hits = F.transform(F.filter(all_, lambda x: x["g"].isNotNull()), lambda x: F.struct(x["pos"].alias("pos"), *_told(x["g"])))
+        last = F.transform(F.slice(all_, -1, 1), lambda x: F.struct(x["pos"].alias("pos"), null("string").alias("path"), null("int").alias("line"), null("int").alias("column"), null("string").alias("code"), F.substring(x["s"], 1, 1000).alias("message"), F.lit("error").alias("severity")))
+        return F.when(F.exists(all_, lambda x: x["g"].isNotNull()), hits).otherwise(last)
+
+    return F.when(F.col("exit_code") != 0, F.get(F.transform(F.array(lines), found), F.lit(0)))
+
+
 def _lines_or_text(runs: DataFrame, found: DataFrame, quiet_codes: tuple[int, ...] = ()) -> DataFrame:
     """found, and the text parser's findings for runs that gave none and whose exit code is not quiet."""
     none = runs.where(~F.col("exit_code").isin(*quiet_codes)) if quiet_codes else runs
@@ -100,7 +132,26 @@ def _items(runs: DataFrame, *paths: str) -> DataFrame:
     """One row for each item of the first of the arrays that is there."""
     parsed = runs.withColumn("doc", _json())
     array = F.coalesce(*(F.try_variant_get("doc", p, "array<variant>") for p in (*paths, "$")))
-    return parsed.where("doc IS NOT NULL").select("run", "tool", "exit_code", F.posexplode(array).alias("pos", "item"))
+    return parsed.select("run", "tool", "exit_code", F.posexplode(array).alias("pos", "item"))
+
+
+def _items_or_text(runs: DataFrame, *paths: str) -> DataFrame:
+    """Like _items(), with a row for each of text()'s findings, in `said`, of runs whose output is no JSON: one pass, where a union would make and parse the outputs again for each of its sides."""
+    parsed = runs.withColumn("doc", _json())
+    array = F.coalesce(*(F.try_variant_get("doc", p, "array<variant>") for p in (*paths, "$")))
+    items = F.transform(array, lambda x: F.struct(x.alias("item"), F.lit(None).cast(_SAID).alias("said")))
+    lines = F.transform(_said(), lambda x: F.struct(F.lit(None).cast("variant").alias("item"), x.cast(_SAID).alias("said")))
+    rows = parsed.select("run", "tool", "exit_code", F.posexplode(F.when(F.col("doc").isNotNull(), items).otherwise(lines)).alias("pos", "x"))
+    return rows.select("run", "tool", "exit_code", F.coalesce("x.said.pos", "pos").alias("pos"), "x.item", "x.said")
+
+
+def _either(rows: DataFrame, *columns: Column) -> DataFrame:
+    """columns: named ones of FIELDS over items. Findings of the items and, as they are, those that were said."""
+    found = rows.select("run", "pos", "tool", "said", *columns)
+    names = [c for c in found.columns if c not in ("run", "pos", "tool", "said")]
+    told = set(found.schema["said"].dataType.names)
+    other = lambda c: F.col("said")[c] if c in told else F.lit(False if c == "fixable" else None)
+    return _shaped(found.select("run", "pos", "tool", *(F.when(F.col("said").isNull(), F.col(c)).otherwise(other(c)).alias(c) for c in names)))
 
 
 def _nested(runs: DataFrame, paths: tuple[str, ...], inner: tuple[str, ...], place: tuple[str, ...], alone: bool = False) -> DataFrame:
@@ -109,7 +160,7 @@ def _nested(runs: DataFrame, paths: tuple[str, ...], inner: tuple[str, ...], pla
     array = F.coalesce(*(F.try_variant_get("doc", p, "array<variant>") for p in (*paths, "$")))
     within = lambda i: F.coalesce(at(i, inner, "array<variant>"), *([F.array(i)] if alone else []))
     flat = F.flatten(F.transform(array, lambda i: F.coalesce(F.transform(within(i), lambda x: F.struct(at(i, place, "string").alias("place"), x.alias("item"))), F.array())))
-    parsed = runs.withColumn("doc", _json()).where("doc IS NOT NULL")
+    parsed = runs.withColumn("doc", _json())
     return parsed.select("run", "tool", "exit_code", F.posexplode(flat).alias("pos", "x")).select("run", "tool", "exit_code", "pos", "x.*")
 
 
@@ -127,15 +178,14 @@ STYLE_CODES = ("E501", "W505")
 
 
 def ruff(runs: DataFrame) -> DataFrame:
-    code = _get("$.code")
-    style = code.rlike("^(" + "|".join(STYLE_PREFIXES) + ")") | code.isin(*STYLE_CODES)
-    has_fix = _get("$.fix", "variant").isNotNull() & (F.schema_of_variant(_get("$.fix", "variant")) != "VOID")
-    found = _items(runs).select(
-        "run", "pos", "tool", _get("$.filename").alias("path"), _get("$.location.row", "int").alias("line"), _get("$.location.column", "int").alias("column"), code.alias("code"),
-        F.coalesce(_get("$.message"), F.lit("Ruff finding")).alias("message"), F.when(style, "note").otherwise("error").alias("severity"), F.coalesce(has_fix, F.lit(False)).alias("fixable"),
-        F.when(has_fix, F.lower(F.coalesce(_get("$.fix.applicability"), F.lit("unknown")))).alias("fix_safety"), _get("$.fix.message").alias("fix_preview"),
+    rows = _items_or_text(runs).withColumn("code", _get("$.code")).withColumn("fix", _get("$.fix", "variant"))
+    rows = rows.withColumn("has_fix", F.col("fix").isNotNull() & (F.schema_of_variant("fix") != "VOID"))
+    style = F.col("code").rlike("^(" + "|".join(STYLE_PREFIXES) + ")") | F.col("code").isin(*STYLE_CODES)
+    return _either(
+        rows, _get("$.filename").alias("path"), _get("$.location.row", "int").alias("line"), _get("$.location.column", "int").alias("column"), F.col("code"),
+        F.coalesce(_get("$.message"), F.lit("Ruff finding")).alias("message"), F.when(style, "note").otherwise("error").alias("severity"), F.coalesce("has_fix", F.lit(False)).alias("fixable"),
+        F.when(F.col("has_fix"), F.lower(F.coalesce(_get("$.fix.applicability"), F.lit("unknown")))).alias("fix_safety"), _get("$.fix.message").alias("fix_preview"),
     )
-    return _with_fallback(runs, found)
 
 
 def pylint(runs: DataFrame) -> DataFrame:
